@@ -10,6 +10,7 @@ from plumbline.operators import mask as m
 from plumbline.operators import pii
 
 SALT = "pepper"
+SECRETS = ("us_ssn", "aws_access_key", "github_pat", "stripe_key", "iban")
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 PHONE_US = r"\b\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b"
 CARD = r"\b(?:\d[ -]*?){13,19}\b"
@@ -64,6 +65,34 @@ def _named(spark, sf):
     return load(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("full_name"), F.col("c_mktsegment").alias("user_email"))
 
 
+def _shaped(spark, sf):
+    """Customer lines that carry one secret shape each, next to a near miss."""
+    key = F.col("c_custkey")
+    four = F.lpad((key % 10000).cast("string"), 4, "0")
+    hexes = F.md5(key.cast("string"))
+    shapes = [
+        F.concat(F.lit("ssn 123-45-"), four),
+        F.concat(F.lit("call +1555"), F.lit("555"), four, F.lit(" now")),
+        F.concat(F.lit("key AKIA"), F.left(F.upper(hexes), F.lit(16))),
+        F.concat(F.lit("ghp_"), hexes, four),
+        F.concat(F.lit("sk_live_"), hexes),
+        F.concat(F.lit("iban DE89"), F.lit("3704004405320"), four),
+        F.concat(F.lit("near misses 12345-6789 AKIA123 gh_"), hexes),
+        F.lit(None).cast("string"),
+    ]
+    line = F.element_at(F.array(*shapes), (key % len(shapes) + 1).cast("int"))
+    return load(spark, sf, "customer").select("c_custkey", line.alias("line"))
+
+
+SHAPED = """SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'ssn 123-45-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0')
+    WHEN 1 THEN 'call +1555555' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') || ' now'
+    WHEN 2 THEN 'key AKIA' || left(upper(md5(CAST(c_custkey AS VARCHAR))), 16)
+    WHEN 3 THEN 'ghp_' || md5(CAST(c_custkey AS VARCHAR)) || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0')
+    WHEN 4 THEN 'sk_live_' || md5(CAST(c_custkey AS VARCHAR))
+    WHEN 5 THEN 'iban DE893704004405320' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0')
+    WHEN 6 THEN 'near misses 12345-6789 AKIA123 gh_' || md5(CAST(c_custkey AS VARCHAR)) END AS line FROM customer"""
+
+
 def _name_findings(spark, sf):
     return pii.scan(_named(spark, sf), ["c_custkey"])
 
@@ -157,12 +186,12 @@ def _cap_bytes(spark, sf):
 
 QUERIES = {
     "pii_scan_documents": lambda s, d: pii.scan(load(s, d, "documents"), ["doc_id"], cols=["text"]),
-    "pii_scan_conversations": lambda s, d: pii.scan(load(s, d, "conversations"), ["conv_id", "turn"], cols=["text"]),
+    "pii_scan_lines": lambda s, d: pii.scan(_shaped(s, d), ["c_custkey"]),
     "pii_column_names": _name_findings,
     "pii_email": _only("email"),
     "pii_phone": _only("phone_e164", "phone_us"),
     "pii_ipv4": _only("ipv4"),
-    "pii_credentials_ssn_iban": _only("us_ssn", "aws_access_key", "github_pat", "stripe_key", "iban"),
+    "pii_credentials_ssn_iban": lambda s, d: pii.scan(_shaped(s, d), ["c_custkey"], SECRETS),
     "pii_credit_card": _only("credit_card"),
     "content_guard_documents": _guard,
     "content_guard_notes": _packed,
@@ -200,12 +229,13 @@ def _pool(entity):
 ORACLES = {
     "profile_pii_summary": f"SELECT entity_type, count(*) AS findings FROM ({_findings_sql('documents', 'doc_id')}) GROUP BY 1",
     "pii_scan_documents": _findings_sql("documents", "doc_id"),
-    "pii_scan_conversations": _findings_sql("conversations", "conv_id, turn"),
+    "pii_scan_lines": _findings_sql(f"({SHAPED})", "c_custkey", "line"),
     "pii_column_names": """SELECT c_custkey, 'full_name' AS "column", 'column_name' AS detector, 'PERSON' AS entity_type, 0.85 AS confidence FROM customer""",
     "pii_email": _only_sql("email"),
     "pii_phone": _only_sql("phone_e164", "phone_us"),
     "pii_ipv4": _only_sql("ipv4"),
-    "pii_credentials_ssn_iban": _only_sql("us_ssn", "aws_access_key", "github_pat", "stripe_key", "iban"),
+    "pii_credentials_ssn_iban": f"""SELECT * FROM ({_findings_sql(f'({SHAPED})', 'c_custkey', 'line')})
+        WHERE detector IN ({', '.join(repr(n) for n in SECRETS)})""",
     "pii_credit_card": _only_sql("credit_card"),
     "content_guard_documents": f"""SELECT doc_id, reason IS NULL AS accepted, reason FROM (SELECT doc_id, CASE
         WHEN strlen(text) > 16384 THEN 'body too large'
