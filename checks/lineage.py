@@ -42,16 +42,14 @@ def _downstream(spark, sf):
 
 
 def _manifest(spark, sf):
-    """Manifests per nation: its customers as children, exploded back into nodes and edges."""
-    customers = load(spark, sf, "customer")
-    lists = customers.groupBy("c_nationkey").agg(F.collect_list(_name("customer.", "c_custkey")).alias("children"))
+    """One manifest per customer, naming its nation as parent, exploded back into nodes and edges."""
     uid = _name("nation.", "c_nationkey")
     node = F.struct(uid.alias("name"), F.lit("model").alias("resource_type"), F.lit(None).cast("string").alias("original_file_path"), F.concat(uid, F.lit(".sql")).alias("path"))
-    docs = lists.select(F.map_from_arrays(F.array(uid), F.array(node)).alias("nodes"), F.map_from_arrays(F.array(uid), F.array("children")).alias("child_map"))
-    body = docs.select(F.to_json(F.struct("nodes", "child_map")).alias("body"))
-    parsed = body.select(F.from_json("body", manifests.MANIFEST).alias("m")).select("m.*")
+    children = F.map_from_arrays(F.array(uid), F.array(F.array(_name("customer.", "c_custkey"))))
+    body = F.to_json(F.struct(F.map_from_arrays(F.array(uid), F.array(node)).alias("nodes"), children.alias("child_map")))
+    parsed = load(spark, sf, "customer").select(F.from_json(body, manifests.MANIFEST).alias("m")).select("m.*")
     nodes, found = manifests.manifest_tables(parsed)
-    return found.join(nodes, found.src == nodes.unique_id).select("src", "dst", "path", "resource_type")
+    return found.join(nodes.distinct(), found.src == nodes.unique_id).select("src", "dst", "path", "resource_type")
 
 
 def _annotate(spark, sf):
@@ -191,10 +189,9 @@ def _decisions(spark, sf):
 
 
 def _digests(spark, sf):
-    lines = load(spark, sf, "lineitem").groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_set(_name("part/", "l_partkey"))).alias("files_touched"))
-    return load(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(
-        F.lit("shop").alias("repo"), F.col("o_orderkey").alias("number"), F.col("o_orderdate").alias("merged_at"), "files_touched")
+    files = F.array(_name("part/", "o_custkey"), _name("order/", "o_orderkey"))
+    return load(spark, sf, "orders").select(
+        F.lit("shop").alias("repo"), F.col("o_orderkey").alias("number"), F.col("o_orderdate").alias("merged_at"), files.alias("files_touched"))
 
 
 def _touching(spark, sf):
@@ -401,9 +398,8 @@ ORACLES = {
     "knowledge_next_tasks": f"""SELECT id, owner, due_at, rank FROM (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY due_at NULLS FIRST, id) AS rank
         FROM ({TASKS}) WHERE status <> 'done') WHERE rank <= 10""",
     "knowledge_decisions": "SELECT 'lang:' || lang AS key, doc_id FROM documents WHERE lang <> 'en'",
-    "knowledge_changes_touching": """WITH f AS (SELECT DISTINCT l_orderkey, 'part/' || l_partkey AS file FROM lineitem)
-        SELECT o_orderkey AS number, o_orderdate AS merged_at, string_agg(file, ',' ORDER BY file) AS files FROM orders JOIN f ON l_orderkey = o_orderkey
-        GROUP BY 1, 2 HAVING bool_or(file LIKE 'part/12%') ORDER BY merged_at DESC, number LIMIT 20""",
+    "knowledge_changes_touching": """SELECT o_orderkey AS number, o_orderdate AS merged_at, 'part/' || o_custkey || ',order/' || o_orderkey AS files
+        FROM orders WHERE 'part/' || o_custkey LIKE 'part/12%' ORDER BY merged_at DESC, number LIMIT 20""",
     "knowledge_upsert": """WITH u AS (SELECT l_orderkey, l_linestatus, l_extendedprice, l_shipdate, row_number() OVER (PARTITION BY l_orderkey
             ORDER BY l_shipdate DESC, l_extendedprice DESC, l_linestatus DESC) AS rn FROM lineitem)
         SELECT l_orderkey AS o_orderkey, l_linestatus AS o_orderstatus, l_extendedprice AS o_totalprice, l_shipdate AS o_orderdate FROM u WHERE rn = 1
