@@ -76,6 +76,15 @@ def _profile(spark, sf):
     )
 
 
+def _profile_one_pass(spark, sf):
+    """The sketch form agrees with the exact one wherever sketches are exact: nulls, numbers and small value sets."""
+    table = profile.profile(load(spark, sf, "part"), approx=True)
+    return table.select(
+        "column", "row_count", "null_rate", "min", "max", F.round("mean", 4).alias("mean"),
+        F.array_join("enum_values", "|").alias("enum_values"), F.get("top_values", 0)["count"].alias("top_count"),
+    ).where("column IN ('p_brand', 'p_type', 'p_size', 'p_name')")
+
+
 def _suggest_of(df, table):
     return suggest.suggest(profile.profile(df), table)
 
@@ -196,9 +205,11 @@ QUERIES = {
     "profile_distinct_sketch": _sketched_distinct,
     "profile_text_lengths": lambda s, d: profile.length_stats(load(s, d, "documents")).withColumn("avg_length", F.round("avg_length", 6)),
     "profile_top_values": lambda s, d: profile.top_values(load(s, d, "part"), 5, ["p_name", "p_brand", "p_type", "p_size"]),
+    "profile_top_values_sketch": lambda s, d: profile.top_values(load(s, d, "part"), 5, ["p_name", "p_brand", "p_type", "p_size"], approx=True),
     "profile_sample_masked": None,
     "profile_pii_summary": _pii_of_profile,
     "profile_table": _profile,
+    "profile_table_one_pass": _profile_one_pass,
     "diff_schema_and_counts": _schema_rows,
     "diff_row_counts": lambda s, d: diff.rowcount_diff(*_sides(s, d)).withColumn("delta_pct", F.round("delta_pct", 8)),
     "diff_row_counts_by_day": _rowcount_by,
@@ -418,6 +429,14 @@ ORACLES = {
         f"""SELECT '{c}' AS "column", round(avg(length({c})), 6) AS avg_length, min(length({c})) AS min_length,
             max(length({c})) AS max_length FROM documents""" for c in ("text", "lang", "source")),
     "profile_top_values": _top_sql(),
+    "profile_top_values_sketch": _top_sql(),
+    "profile_table_one_pass": " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(*) AS row_count, (count(*) - count({c})) / count(*) AS null_rate,
+            {f'CAST(min({c}) AS DOUBLE)' if c == 'p_size' else 'NULL'} AS min, {f'CAST(max({c}) AS DOUBLE)' if c == 'p_size' else 'NULL'} AS max,
+            {f'round(avg(CAST({c} AS DOUBLE)), 4)' if c == 'p_size' else 'NULL'} AS mean,
+            CASE WHEN count(DISTINCT {c}) <= 12 THEN (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM part)) END AS enum_values,
+            (SELECT max(n) FROM (SELECT count(*) AS n FROM part GROUP BY {c})) AS top_count FROM part"""
+        for c in ("p_name", "p_brand", "p_type", "p_size")),
     "profile_sample_masked": """
         SELECT c_custkey, repeat('*', length(c_name) - 4) || right(c_name, 4) AS full_name, c_nationkey, c_acctbal, c_mktsegment
         FROM customer ORDER BY c_custkey LIMIT 10""",

@@ -10,7 +10,6 @@ from datetime import datetime
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from plumbline.operators.profile import quoted
 from plumbline.operators.replay import keyed_chunks, replay, settle
@@ -90,22 +89,17 @@ def chain(records: DataFrame, chain_key: Sequence[str], order_by: Sequence[str],
     return replay(chunks, ["__body"], outputs, _link, GENESIS, starts).drop("__body")
 
 
-REHASHED = StructType(
-    [StructField("valid_json", BooleanType()), *[StructField(n, StringType()) for n in ("prev", "stated", "computed")]]
-)
-
-
-def _rehash(records: pd.Series) -> pd.DataFrame:
-    """Stated links and recomputed hash of each JSON record."""
-    rows = []
+def _rehash(records: pd.Series) -> pd.Series:
+    """Hash of each JSON record without its own hash; None where the text is not a JSON object."""
+    hashes = []
     for text in records:
         try:
             record = json.loads(text)
-            stated = record.pop("record_hash", "")
-            rows.append((True, record.get("prev_record_hash"), stated, _digest(_canonical(record))))
+            record.pop("record_hash", None)
+            hashes.append(_digest(_canonical(record)))
         except (ValueError, TypeError, AttributeError):
-            rows.append((False, None, None, None))
-    return pd.DataFrame(rows, columns=REHASHED.fieldNames())
+            hashes.append(None)
+    return pd.Series(hashes, dtype=object)
 
 
 def _verified(records: DataFrame, chain_key: Sequence[str], slice_: Column, seq: str, record_col: str) -> DataFrame:
@@ -115,14 +109,19 @@ def _verified(records: DataFrame, chain_key: Sequence[str], slice_: Column, seq:
     """
     keys = [quoted(k) for k in chain_key]
     names = [f"__k{i}" for i in range(len(keys))]
+    record = quoted(record_col)
     rows = records.select(
         *[k.alias(n) for k, n in zip(keys, names, strict=True)],
-        slice_.alias("__slice"), quoted(seq).alias("__seq"), F.pandas_udf(_rehash, REHASHED)(quoted(record_col)).alias("h"),
+        slice_.alias("__slice"), quoted(seq).alias("__seq"),
+        F.get_json_object(record, "$.prev_record_hash").alias("__prev"),
+        F.get_json_object(record, "$.record_hash").alias("__stated"),
+        F.pandas_udf(_rehash, "string")(record).alias("__computed"),
     )
     inside = Window.partitionBy(*names, "__slice").orderBy("__seq")
-    linked = rows.withColumn("__n", F.row_number().over(inside)).withColumn("__before", F.lag("h.stated").over(inside))
-    seams = linked.groupBy(*names, "__slice").agg(
-        F.count(F.lit(1)).alias("__rows"), F.max_by("h.stated", "__seq").alias("__last")
+    linked = rows.withColumn("__n", F.row_number().over(inside)).withColumn("__before", F.lag("__stated").over(inside))
+    # From the plain rows: this branch needs neither the windows nor the hashing.
+    seams = rows.groupBy(*names, "__slice").agg(
+        F.count(F.lit(1)).alias("__rows"), F.max_by("__stated", "__seq").alias("__last")
     )
     across = Window.partitionBy(*names).orderBy("__slice")
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
@@ -138,9 +137,9 @@ def _verified(records: DataFrame, chain_key: Sequence[str], slice_: Column, seq:
     expected = F.when(F.col("__n") == 1, F.col("__carried")).otherwise(F.col("__before"))
     place = F.col("__n") + F.col("__offset")
     error = (
-        F.when(~F.col("h.valid_json"), "invalid JSON")
-        .when(~F.col("h.prev").eqNullSafe(expected), "prev_hash mismatch")
-        .when(~F.col("h.stated").eqNullSafe(F.col("h.computed")), "record_hash mismatch")
+        F.when(F.col("__computed").isNull(), "invalid JSON")
+        .when(~F.col("__prev").eqNullSafe(expected), "prev_hash mismatch")
+        .when(~F.col("__stated").eqNullSafe(F.col("__computed")), "record_hash mismatch")
     )
     first = F.min(F.when(error.isNotNull(), F.struct(place.alias("n"), error.alias("error"))))
     found = joined.groupBy(*names).agg(F.count(F.lit(1)).alias("total"), first.alias("bad"))

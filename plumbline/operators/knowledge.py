@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import terms
 from plumbline.operators.profile import quoted
+from plumbline.session import cut_lineage
 
 SEARCH_LIMIT = 20
 CHANGES_LIMIT = 20
 OPEN_STATES = ("open", "in_progress")
+BROADCAST_TERMS = 1_000_000
 
 
 def notes_for(keys: DataFrame, notes: DataFrame, limit: int | None = None, tie: str = "id") -> DataFrame:
@@ -30,7 +32,7 @@ def notes_for(keys: DataFrame, notes: DataFrame, limit: int | None = None, tie:
 
 def search(
     texts: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str = "query_id",
-    query_col: str = "query", limit: int = SEARCH_LIMIT,
+    query_col: str = "query", limit: int = SEARCH_LIMIT, broadcast_terms: int = BROADCAST_TERMS,
 ) -> DataFrame:
     """Texts that hold every term of a query, for a table of queries: ``(query id, text id, rank)`` in id order.
 
@@ -40,25 +42,30 @@ def search(
     """
     asked = queries.select(quoted(query_id).alias("__q"), terms(quoted(query_col)).alias("__terms")).where(F.size("__terms") > 0)
     tokens = texts.select(quoted(id_col).alias("__id"), terms(quoted(text_col)).alias("__tokens"))
-    postings = tokens.select("__id", F.explode("__tokens").alias("__term"))
     wanted = asked.select("__q", F.explode("__terms").alias("__term"))
-    vocabulary = wanted.select("__term").distinct()
-    frequency = postings.join(vocabulary, "__term", "left_semi").groupBy("__term").agg(F.count(F.lit(1)).alias("__df"))
+    # Counted before the join: a term found in a third of the texts crosses the shuffle as one row per task.
+    # The outer form keeps Spark from tokenising twice, once only to drop empty texts.
+    postings = tokens.select("__id", F.explode_outer("__tokens").alias("__term")).where(F.col("__term").isNotNull())
+    frequency = postings.groupBy("__term").agg(F.count(F.lit(1)).alias("__df"))
     # The list is as long as the query itself.
     by_rarity = F.sort_array(F.collect_list(F.struct("__df", "__term")))
     ranked = wanted.join(frequency, "__term").groupBy("__q").agg(F.transform(by_rarity, lambda x: x["__term"]).alias("__found"))
-    lookups = asked.join(ranked, "__q").where(F.size("__found") == F.size("__terms")).select(
-        "__q", F.element_at("__found", 1).alias("__term"), F.expr("slice(__found, 2, size(__found))").alias("__rest")
+    lookups = cut_lineage(
+        asked.join(ranked, "__q").where(F.size("__found") == F.size("__terms")).select(
+            "__q", F.element_at("__found", 1).alias("__term"), F.expr("slice(__found, 2, size(__found))").alias("__rest")
+        )
     )
-    candidates = postings.join(lookups, "__term").select("__q", "__id", "__rest")
-    tested = (
-        candidates.where(F.size("__rest") > 0)
-        .join(tokens, "__id")
-        .where(F.forall("__rest", lambda t: F.array_contains("__tokens", t)))
-    )
-    checked = candidates.where(F.size("__rest") == 0).select("__q", "__id").unionByName(tested.select("__q", "__id"))
+    complete = F.forall("__rest", lambda t: F.array_contains("__tokens", t))
+    size = lookups.agg(F.coalesce(F.sum(F.size("__rest") + 1), F.lit(0))).first()[0]
+    if size <= broadcast_terms:
+        # The lookups fit in memory by count: one pass over the texts, no text is shuffled.
+        terms_of = tokens.select("__id", "__tokens", F.explode_outer("__tokens").alias("__term"))
+        found = terms_of.join(F.broadcast(lookups), "__term").where(complete)
+    else:
+        candidates = postings.join(lookups, "__term").select("__q", "__id", "__rest")
+        found = candidates.join(tokens, "__id").where(complete)
     rank = F.row_number().over(Window.partitionBy("__q").orderBy("__id"))
-    return checked.withColumn("rank", rank).where(F.col("rank") <= limit).select(
+    return found.select("__q", "__id").withColumn("rank", rank).where(F.col("rank") <= limit).select(
         F.col("__q").alias(query_id), F.col("__id").alias(id_col), "rank"
     )
 

@@ -18,6 +18,8 @@ MONEY_PARTS = ("amount", "price", "total", "cost")
 FREETEXT_PARTS = ("name", "title", "description")
 
 ENUM_LIMIT = 12
+SKETCH_ITEMS = 10_000
+TOP_TYPE = "array<struct<rank: int, value: string, count: bigint>>"
 
 
 def quoted(name: str) -> Column:
@@ -147,12 +149,25 @@ def distinct_stats(df: DataFrame, approx: bool = False, rsd: float = 0.02) -> Da
     )
 
 
-def top_values(df: DataFrame, k: int = 5, columns: Sequence[str] | None = None) -> DataFrame:
+def _sketched_top(column: str, k: int) -> Column:
+    """Most frequent values from a fixed-size sketch, exact while a column has fewer values than the sketch tracks."""
+    items = F.call_function("approx_top_k", quoted(column).cast("string"), F.lit(k), F.lit(SKETCH_ITEMS))
+    found = F.filter(items, lambda x: x["item"].isNotNull())
+    ordered = F.array_sort(F.transform(found, lambda x: F.struct((-x["count"]).alias("n"), x["item"].alias("value"))))
+    return F.transform(ordered, lambda x, i: F.struct((i + 1).cast("int").alias("rank"), x["value"].alias("value"), (-x["n"]).alias("count")))
+
+
+def top_values(df: DataFrame, k: int = 5, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """The ``k`` most frequent non-null values of every column; equal counts are ordered by value.
 
     The rank filter is applied on the map side first (window group limit), so a key-like column does not send
-    all its values to one task.
+    all its values to one task. ``approx`` needs one pass and moves sketches only.
     """
+    if approx:
+        names = list(columns if columns is not None else df.columns)
+        stats = {"top": (lambda c: _sketched_top(c, k + 1), TOP_TYPE)}
+        rows = _long_form(df, names, stats).select("column", F.explode(F.slice("top", 1, k)).alias("t"))
+        return rows.select("column", "t.value", "t.count", "t.rank")
     by_count = Window.partitionBy("column").orderBy(F.col("count").desc(), F.col("value"))
     return value_counts(df, columns).withColumn("rank", F.row_number().over(by_count)).where(F.col("rank") <= k)
 
@@ -188,7 +203,8 @@ def percentiles(
     first = F.col("last") - F.col("count")
     low = F.floor("position").between(first, F.col("last") - 1)
     high = F.ceil("position").between(first, F.col("last") - 1)
-    hits = ranked.join(wanted, (F.col("column") == F.col("of")) & (low | high))
+    # Bounded by the schema: one row per numeric column and probability.
+    hits = ranked.join(F.broadcast(wanted), (F.col("column") == F.col("of")) & (low | high))
     ends = hits.groupBy("column", "prob", "position").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     share = F.col("position") - F.floor("position")
     return ends.select("column", "prob", (F.col("lo") + (F.col("hi") - F.col("lo")) * share).alias("value"))
@@ -249,11 +265,12 @@ def profile(
     """Full profile, one row per column, from two jobs joined on the column name.
 
     One aggregate pass gives counts, nulls, numbers, percentiles (sketch) and lengths. One pass over the value
-    counts gives distincts, top values and, up to twelve distinct values, the whole value set. With ``approx`` the
-    distincts come from the first pass and only low-cardinality columns are counted by value.
+    counts gives distincts, top values and, up to twelve distinct values, the whole value set. With ``approx``
+    everything comes from the first pass, and only fixed-size sketches are shuffled: the form for very large tables.
     """
     numeric, texts = set(_numeric(df)), set(_texts(df))
     probs = list(probs)
+    kept = max(top_k, ENUM_LIMIT)
 
     def sketch(c):
         return F.percentile_approx(quoted(c).cast("double"), probs) if c in numeric else F.max(F.lit(None).cast("array<double>"))
@@ -261,24 +278,26 @@ def profile(
     stats = {**_null_stats(), **_number_stats(numeric), **_text_length_stats(texts), "percentiles": (sketch, "array<double>")}
     columns = list(df.columns)
     if approx:
-        stats["approx_distinct"] = (lambda c: F.approx_count_distinct(quoted(c), 0.02), "bigint")
+        stats["distinct_count"] = (lambda c: F.approx_count_distinct(quoted(c), 0.02), "bigint")
+        # One more than kept: the sketch counts nulls as a value.
+        stats["top"] = (lambda c: _sketched_top(c, kept + 1), TOP_TYPE)
     wide = _long_form(df, columns, stats, {"row_count": F.count(F.lit(1))})
-    counts = value_counts(df, columns)
-    distinct = counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"))
-    by_count = Window.partitionBy("column").orderBy(F.col("count").desc(), F.col("value"))
-    kept = max(top_k, ENUM_LIMIT)
-    top = (
-        counts.withColumn("rank", F.row_number().over(by_count))
-        .where(F.col("rank") <= kept)
-        .groupBy("column")
-        .agg(F.sort_array(F.collect_list(F.struct("rank", "value", "count"))).alias("top"))
-    )
     if approx:
-        wide = wide.withColumnRenamed("approx_distinct", "distinct_count")
+        wide = wide.withColumn("top", F.slice("top", 1, kept))
     else:
+        counts = value_counts(df, columns)
+        distinct = counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"))
+        by_count = Window.partitionBy("column").orderBy(F.col("count").desc(), F.col("value"))
+        top = (
+            counts.withColumn("rank", F.row_number().over(by_count))
+            .where(F.col("rank") <= kept)
+            .groupBy("column")
+            .agg(F.sort_array(F.collect_list(F.struct("rank", "value", "count"))).alias("top"))
+        )
         wide = wide.join(distinct, "column", "left").withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
+        wide = wide.join(top, "column", "left")
     facts = semantic_types(df, rules)
-    joined = facts.join(wide, "column").join(top, "column", "left")
+    joined = facts.join(wide, "column")
     pairs = F.transform(F.slice("top", 1, top_k), lambda v: F.struct(v["value"].alias("value"), v["count"].alias("count")))
     enum = F.when(
         F.col("distinct_count").between(1, ENUM_LIMIT), F.array_sort(F.transform("top", lambda v: v["value"]))

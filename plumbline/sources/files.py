@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Mapping
 
@@ -63,11 +64,14 @@ def register_dir(spark: SparkSession, path: str, mapping: Mapping[str, str] | No
     """
     if mapping:
         return register_views(spark, mapping)
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    listing = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
-    paths = sorted(status.getPath().toString() for status in listing)
-    return register_views(spark, {_stem(p): p for p in paths if _suffix(p) in _SUFFIXES})
+    base = path.rstrip("/")
+    if "://" not in base:
+        base = os.path.abspath(base)
+    # The file listing is a DataFrame of paths (contents are not read); a table may be a file or a folder of files.
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select("path")
+    entry = F.split(F.expr(f"substring(path, instr(path, '{base}/') + {len(base) + 1})"), "/").getItem(0)
+    entries = sorted(row["entry"] for row in listed.select(entry.alias("entry")).distinct().collect())
+    return register_views(spark, {_stem(e): f"{base}/{e}" for e in entries if _suffix(e) in _SUFFIXES})
 
 
 def list_tables(spark: SparkSession) -> DataFrame:
