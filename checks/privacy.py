@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from checks.common import load
+from plumbline.functions.detectors import register_detector
 from plumbline.functions.masks import POOLS, mask_value
 from plumbline.operators import mask as m
 from plumbline.operators import pii
+from plumbline.session import scratch_path
+from plumbline.sources.files import write_jsonl
 
 SALT = "pepper"
 SECRETS = ("us_ssn", "aws_access_key", "github_pat", "stripe_key", "iban")
@@ -127,6 +131,28 @@ def _scrub_documents(spark, sf):
     return pii.scrub(load(spark, sf, "documents").select("doc_id", "text"), ["text"], ["the", "der"])
 
 
+def _name_length(names: pd.Series) -> pd.Series:
+    """Confidence that grows with the last digit of a name, as a model would give it."""
+    return names.str[-1].astype(float) / 10
+
+
+def _custom_detectors(spark, sf):
+    """A regex, a regex with an expression, and a pandas UDF as detectors."""
+    register_detector("customer_ref", "REFERENCE", pattern=r"Customer#\d+5$")
+    register_detector("even_ref", "REFERENCE", pattern=r"Customer#\d+", expr=lambda v: F.right(v, F.lit(2)) == "42")
+    register_detector("scored_ref", "SCORED", udf=F.pandas_udf(_name_length, "double"))
+    customers = load(spark, sf, "customer").select("c_custkey", "c_name")
+    return pii.scan(customers, ["c_custkey"], ("customer_ref", "even_ref", "scored_ref"), threshold=0.8)
+
+
+def _sink(spark, sf):
+    """Findings appended as JSON lines, partitioned by entity, and read back."""
+    path = scratch_path(spark, "findings")
+    findings = pii.scan(load(spark, sf, "documents"), ["doc_id"], cols=["text"])
+    write_jsonl(findings, path, partition_by="entity_type")
+    return spark.read.schema(findings.schema).json(path).select("doc_id", "column", "detector", "entity_type", "confidence")
+
+
 def _masked_by(strategy, entity="EMAIL"):
     def run(spark, sf):
         customers = load(spark, sf, "customer")
@@ -193,6 +219,8 @@ QUERIES = {
     "pii_ipv4": _only("ipv4"),
     "pii_credentials_ssn_iban": lambda s, d: pii.scan(_shaped(s, d), ["c_custkey"], SECRETS),
     "pii_credit_card": _only("credit_card"),
+    "pii_custom_detectors": _custom_detectors,
+    "jsonl_sink": _sink,
     "content_guard_documents": _guard,
     "content_guard_notes": _packed,
     "scrub_secrets": _scrub,
@@ -237,6 +265,10 @@ ORACLES = {
     "pii_credentials_ssn_iban": f"""SELECT * FROM ({_findings_sql(f'({SHAPED})', 'c_custkey', 'line')})
         WHERE detector IN ({', '.join(repr(n) for n in SECRETS)})""",
     "pii_credit_card": _only_sql("credit_card"),
+    "pii_custom_detectors": """SELECT c_custkey, 'c_name' AS "column", 'customer_ref' AS detector, 'REFERENCE' AS entity_type, 0.95 AS confidence FROM customer WHERE c_custkey % 10 = 5
+        UNION ALL SELECT c_custkey, 'c_name', 'even_ref', 'REFERENCE', 0.95 FROM customer WHERE c_custkey % 100 = 42
+        UNION ALL SELECT c_custkey, 'c_name', 'scored_ref', 'SCORED', c_custkey % 10 / 10 FROM customer WHERE c_custkey % 10 >= 8""",
+    "jsonl_sink": _findings_sql("documents", "doc_id"),
     "content_guard_documents": f"""SELECT doc_id, reason IS NULL AS accepted, reason FROM (SELECT doc_id, CASE
         WHEN strlen(text) > 16384 THEN 'body too large'
         WHEN len(regexp_extract_all(text, '{EMAIL}')) >= 5 THEN 'email addresses'

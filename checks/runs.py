@@ -153,7 +153,8 @@ def _triage(spark, sf):
     log = lineage.commits(spark, sf)
     owners = spark.createDataFrame([], "key string, owner string, role string, source string")
     return runs.anomaly_triage(
-        _series(spark, sf), ["event_type"], ["day"], "total", "clicks", 7, 1.5, log, "part/3/3.sql", lineage.AS_OF, owners, notes)
+        _series(spark, sf), ["event_type"], ["day"], "total", "clicks", 7, 1.5, log, "part/3/3.sql", lineage.AS_OF, owners, notes
+    ).select("step", "ok", "detail")
 
 
 def _migration(spark, sf):
@@ -161,7 +162,8 @@ def _migration(spark, sf):
     owners = spark.createDataFrame([], "key string, owner string, role string, source string")
     before, after = lineage.catalogs(spark, sf)
     return runs.migration_safety(
-        load(spark, sf, "customer"), "customer", before, after, lineage._supplier_edges(spark, sf), log.select("path"), owners, log)
+        load(spark, sf, "customer"), "customer", before, after, lineage._supplier_edges(spark, sf), log.select("path"), owners, log
+    ).select("step", "ok", "detail")
 
 
 def _pre_release(spark, sf):
@@ -282,7 +284,34 @@ SUITE = quality.ORACLES["expect_suite"]
 BALANCES = """SELECT s_suppkey, abs(b - CASE WHEN s_suppkey % 5 = 0 THEN s_acctbal + 1000 ELSE s_acctbal END) >
     0.0001 * abs(CASE WHEN s_suppkey % 5 = 0 THEN s_acctbal + 1000 ELSE s_acctbal END) AS bad FROM (SELECT *, round(s_acctbal, 2) AS b FROM supplier)"""
 
+TOP_COMMITTERS = f"""SELECT path, author_login AS handle FROM (SELECT path, author_login, row_number() OVER (PARTITION BY path ORDER BY n DESC, author_login) AS rn
+    FROM (SELECT path, author_login, count(*) AS n FROM ({lineage.COMMITS}) WHERE author_login IS NOT NULL GROUP BY 1, 2)) WHERE rn <= 3"""
+SCORED = f"""WITH s AS ({SERIES}), b AS (SELECT *, avg(total) OVER w AS m, stddev_samp(total) OVER w AS sd
+        FROM s WINDOW w AS (PARTITION BY event_type ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)),
+    a AS (SELECT *, coalesce(abs((total - m) / nullif(sd, 0)) > 1.5, false) AS odd FROM b),
+    r AS (SELECT left(sha, 10) AS sha, coalesce(author_login, 'Someone') AS author, authored_at FROM ({lineage.COMMITS})
+          WHERE path = 'part/3/3.sql' AND authored_at >= TIMESTAMP '{lineage.AS_OF}' - INTERVAL 30 DAY),
+    o AS (SELECT handle FROM ({TOP_COMMITTERS}) WHERE path = 'part/3/3.sql' UNION SELECT author FROM (SELECT author FROM r ORDER BY authored_at DESC, sha LIMIT 3))"""
+
 ORACLES = {
+    "run_anomaly_triage": f"""{SCORED}
+        SELECT 'recent_metric_values' AS step, count(*) FILTER (odd) = 0 AS ok, count(*) || ' datapoint(s), ' || count(*) FILTER (odd) || ' unusual' AS detail FROM a
+        UNION ALL SELECT 'unusual_value', false, 'clicks ' || event_type FROM a WHERE odd
+        UNION ALL SELECT 'recent_changes', true, count(*) || ' commit(s) in the last 30 days' FROM r
+        UNION ALL SELECT 'identify_owners', true, CASE WHEN count(*) > 0 THEN count(*) || ' owner(s)' ELSE 'no owners found' END FROM o
+        UNION ALL SELECT 'action', true, 'ping @' || handle || ' about clicks' FROM o
+        UNION ALL SELECT 'known_quirks', true, p_name FROM part
+        UNION ALL SELECT 'next_task', true, 'Investigate anomaly in clicks'""",
+    "run_migration_safety": f"""{lineage.CATALOGS}, o AS (SELECT DISTINCT handle FROM ({TOP_COMMITTERS})), x AS ({quality._suggest_sql()})
+        SELECT 'profile_sandbox' AS step, true AS ok, count(*) || ' rows, 5 columns' AS detail FROM customer
+        UNION ALL SELECT 'pr_impact_analysis', true, (SELECT count(*) FROM t) || ' table changes · ' || (SELECT count(*) FROM c) || ' column changes · '
+            || (SELECT count(*) FROM t JOIN supplier ON "table" = 'supp_' || s_suppkey) || ' risks'
+        UNION ALL SELECT 'action', true, 'add test: ' || suggestion FROM s
+        UNION ALL SELECT 'identify_owners', true, count(*) || ' owner(s)' FROM o
+        UNION ALL SELECT 'action', true, 'ping @' || handle || ' for migration review' FROM o
+        UNION ALL SELECT 'action', true, 'expectation: ' || expectation || ' ' || args_json FROM x
+        UNION ALL SELECT 'suggest_expectations', true, count(*) || ' expectation(s) drafted' FROM x
+        UNION ALL SELECT 'next_task', true, 'Add data-quality expectations for customer from migration_safety run'""",
     "page_tables": f"""SELECT s_suppkey AS page_id, 0 AS row_no, CAST(s_suppkey AS VARCHAR) AS k, s_name AS name, '$' || {MONEY.format('s_acctbal')} AS balance FROM supplier
         UNION ALL SELECT s_suppkey, 1, '-' || s_suppkey, '', '' FROM supplier""",
     "page_titles": f"SELECT page_id, 0 AS n, trim(regexp_replace({PLAIN}, '\\s+', ' ', 'g')) AS text FROM pages WHERE html LIKE '%<title>%'",

@@ -44,16 +44,24 @@ VALUE_PATTERNS = (
     ("iban", "IBAN", r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b"),
 )
 CARD_PATTERN = r"\b(?:\d[ -]*?){13,19}\b"
+# What every match of a pattern contains. Finding a literal is far cheaper than running the pattern, and
+# one test for any digit spares texts without one all patterns that need digits.
+LITERALS = {"us_ssn": "-", "email": "@", "phone_e164": "+", "aws_access_key": "AKIA", "github_pat": "_", "stripe_key": "_"}
+NEED_DIGITS = ("us_ssn", "phone_e164", "phone_us", "ipv4", "iban", "credit_card")
 
 
 @dataclass(frozen=True)
 class Detector:
-    """A named detector; ``score`` maps a text column to a confidence column."""
+    """A named detector; ``score`` maps a text column to a confidence column.
+
+    ``digits`` says that texts without a digit never fire.
+    """
 
     name: str
     entity: str
     score: Callable[[Column], Column]
     kind: str = "custom"
+    digits: bool = False
 
     def fires(self, value: Column, threshold: float = THRESHOLD) -> Column:
         return F.coalesce(self.score(value) >= F.lit(threshold), F.lit(False))
@@ -75,6 +83,11 @@ def _card_score(value: Column) -> Column:
     return _certain(value.rlike(CARD_PATTERN) & (F.size(card_numbers(value)) > 0))
 
 
+def has_digit(value: Column) -> Column:
+    """The text holds at least one digit."""
+    return F.coalesce(value.rlike("[0-9]"), F.lit(False))
+
+
 REGISTRY: dict[str, Detector] = {}
 
 
@@ -85,8 +98,16 @@ def register_detector(
     expr: Callable[[Column], Column] | None = None,
     udf: Callable[[Column], Column] | None = None,
     kind: str = "custom",
+    literal: str | None = None,
+    digits: bool = False,
 ) -> Detector:
-    """Add a detector: a regex, a regex plus a boolean expression, an expression, or a pandas UDF giving confidences."""
+    """Add a detector: a regex, a regex plus a boolean expression, an expression, or a pandas UDF giving confidences.
+
+    ``literal`` names a text that every match of the regex contains; ``digits`` says that every match has a digit.
+    """
+    if pattern is not None and literal is not None:
+        return register_detector(name, entity, expr=lambda v: v.contains(literal) & v.rlike(pattern) & (expr(v) if expr else F.lit(True)),
+                                 kind=kind, digits=digits)
     if udf is not None:
         score = udf
     elif pattern is not None and expr is not None:
@@ -97,13 +118,13 @@ def register_detector(
         score = lambda value: _certain(expr(value))
     else:
         raise ValueError("a detector needs a pattern, an expression or a UDF")
-    REGISTRY[name] = Detector(name, entity, score, kind)
+    REGISTRY[name] = Detector(name, entity, score, kind, digits)
     return REGISTRY[name]
 
 
 for _name, _entity, _pattern in VALUE_PATTERNS:
-    register_detector(_name, _entity, pattern=_pattern, kind="regex")
-REGISTRY["credit_card"] = Detector("credit_card", "CREDIT_CARD", _card_score, "regex")
+    register_detector(_name, _entity, pattern=_pattern, kind="regex", literal=LITERALS.get(_name), digits=_name in NEED_DIGITS)
+REGISTRY["credit_card"] = Detector("credit_card", "CREDIT_CARD", _card_score, "regex", digits=True)
 
 
 def select_detectors(names: Iterable[str]) -> tuple[bool, list[Detector]]:

@@ -14,6 +14,7 @@ from plumbline.functions.detectors import (
     THRESHOLD,
     VALUE_PATTERNS,
     card_numbers,
+    has_digit,
     name_entity,
     select_detectors,
 )
@@ -73,17 +74,20 @@ def scan(
     names = df.columns if cols is None else cols
     if by_name and threshold <= NAME_CONFIDENCE:
         found += [finding(c, "column_name", name_entity(c), F.lit(NAME_CONFIDENCE)) for c in names if name_entity(c)]
+    groups = [F.array(*found)] if found else []
     for column in scanned_columns(df, cols, scan_types):
         value = quoted(column).cast("string")
-        for detector in chosen:
-            score = detector.score(value)
-            found.append(F.when(score >= F.lit(threshold), finding(column, detector.name, detector.entity, score)))
+        hits = [(d, F.when(d.score(value) >= F.lit(threshold), finding(column, d.name, d.entity, d.score(value)))) for d in chosen]
+        plain = [hit for d, hit in hits if not d.digits]
+        numeric = [hit for d, hit in hits if d.digits]
+        groups += [F.array(*plain)] if plain else []
+        groups += [F.when(has_digit(value), F.array(*numeric))] if numeric else []
     keys = [quoted(k) for k in row_key]
-    if not found:
+    if not groups:
         empty = finding("", "", "", F.lit(0.0))
         return df.select(*keys, empty.alias("f")).select(*keys, "f.*").where(F.lit(False))
-    hits = F.filter(F.array(*found), lambda f: f.isNotNull())
-    return df.select(*keys, F.explode(hits).alias("f")).select(*keys, "f.*")
+    some = F.flatten(F.filter(F.array(*groups), lambda g: g.isNotNull()))
+    return df.select(*keys, F.explode(F.filter(some, lambda f: f.isNotNull())).alias("f")).select(*keys, "f.*")
 
 
 def pii_summary(df: DataFrame, row_key: Sequence[str], sample: int | None = None, **scan_options) -> DataFrame:
