@@ -108,7 +108,7 @@ def _rate(spark, sf):
 
 
 def _over_budget(spark, sf):
-    return govern.over_budget(_fast(spark, sf), "event_type", "ts", 45)
+    return govern.over_budget(_fast(spark, sf), "event_type", "ts", 5)
 
 
 def _conversation_calls(spark, sf):
@@ -156,12 +156,12 @@ def _verify_tampered(spark, sf):
 
 
 def _rotated(spark, sf):
-    files = _chained(spark, sf, "log").withColumn("file_no", F.floor(F.col("event_id") / 1000))
+    files = _chained(spark, sf, "log").withColumn("file_no", F.floor(F.col("event_id") / 100))
     return audit.verify_rotated(files, "file_no", "event_id").select("valid", "records_seen", "first_error")
 
 
 def _rotated_gap(spark, sf):
-    files = _chained(spark, sf, "log").withColumn("file_no", F.floor(F.col("event_id") / 1000)).where(F.col("file_no") != 3)
+    files = _chained(spark, sf, "log").withColumn("file_no", F.floor(F.col("event_id") / 100)).where(F.col("file_no") != 3)
     return audit.verify_rotated(files, "file_no", "event_id").select("valid", "records_seen", "first_error")
 
 
@@ -306,7 +306,7 @@ ORACLES = {
                   FROM c JOIN t ON t.event_type = c.event_type AND t.rn = c.rn + 1))
         SELECT event_id, event_type, allowed FROM c""",
     "rate_over_budget": """SELECT event_type, make_timestamp(us // 60000000 * 60000000) AS minute, count(*) AS calls
-        FROM (SELECT event_type, epoch_us(ts) // 1000 AS us FROM events) GROUP BY 1, 2 HAVING count(*) > 45""",
+        FROM (SELECT event_type, epoch_us(ts) // 1000 AS us FROM events) GROUP BY 1, 2 HAVING count(*) > 5""",
     "audit_records": """WITH s AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS n FROM conversations)
         SELECT conv_id AS call_id, 'sha256:' || sha256('SELECT ' || conv_id) AS sql_hash, count(*) AS rows, 2 * count(*) AS cells,
                nullif(count(*) FILTER (role = 'user'), 0) AS user_findings, count(DISTINCT role) AS entities,
@@ -322,7 +322,7 @@ ORACLES = {
         FROM (SELECT event_type, count(*) AS n FROM n GROUP BY event_type) a LEFT JOIN b ON a.event_type = b.event_type""",
     "audit_verify_rotated": "SELECT true AS valid, count(*) AS records_seen, NULL AS first_error FROM events",
     "audit_verify_rotated_gap": """SELECT false AS valid, n + 1 AS records_seen, 'record ' || (n + 1) || ': prev_hash mismatch' AS first_error
-        FROM (SELECT count(*) AS n FROM events WHERE event_id < 3000)""",
+        FROM (SELECT count(*) AS n FROM events WHERE event_id < 300)""",
     "audit_tail": f"SELECT event_id, ts, tool FROM ({AUDIT}) WHERE ts >= TIMESTAMP '2024-01-20' ORDER BY ts DESC, event_id DESC LIMIT 20",
     "audit_rollup": f"SELECT assistant_id, tool, {ROLLED} FROM ({AUDIT}) GROUP BY 1, 2",
     "audit_rollup_totals": f"SELECT connection, CAST(ts AS DATE) AS day, {ROLLED} FROM ({AUDIT}) GROUP BY ROLLUP (connection, CAST(ts AS DATE))",

@@ -19,6 +19,7 @@ FREETEXT_PARTS = ("name", "title", "description")
 
 ENUM_LIMIT = 12
 SKETCH_ITEMS = 10_000
+SKETCH_READ = 1_000
 TOP_TYPE = "array<struct<rank: int, value: string, count: bigint>>"
 
 
@@ -149,9 +150,12 @@ def distinct_stats(df: DataFrame, approx: bool = False, rsd: float = 0.02) -> Da
     )
 
 
-def _sketched_top(column: str, k: int) -> Column:
-    """Most frequent values from a fixed-size sketch, exact while a column has fewer values than the sketch tracks."""
-    items = F.call_function("approx_top_k", quoted(column).cast("string"), F.lit(k), F.lit(SKETCH_ITEMS))
+def _sketched_top(column: str) -> Column:
+    """Most frequent values from a fixed-size sketch, exact while a column has fewer values than the sketch tracks.
+
+    More values are taken out than anyone asks for, so that equal counts can be ordered by value.
+    """
+    items = F.call_function("approx_top_k", quoted(column).cast("string"), F.lit(SKETCH_READ), F.lit(SKETCH_ITEMS))
     found = F.filter(items, lambda x: x["item"].isNotNull())
     ordered = F.array_sort(F.transform(found, lambda x: F.struct((-x["count"]).alias("n"), x["item"].alias("value"))))
     return F.transform(ordered, lambda x, i: F.struct((i + 1).cast("int").alias("rank"), x["value"].alias("value"), (-x["n"]).alias("count")))
@@ -165,7 +169,7 @@ def top_values(df: DataFrame, k: int = 5, columns: Sequence[str] | None = None,
     """
     if approx:
         names = list(columns if columns is not None else df.columns)
-        stats = {"top": (lambda c: _sketched_top(c, k + 1), TOP_TYPE)}
+        stats = {"top": (_sketched_top, TOP_TYPE)}
         rows = _long_form(df, names, stats).select("column", F.explode(F.slice("top", 1, k)).alias("t"))
         return rows.select("column", "t.value", "t.count", "t.rank")
     by_count = Window.partitionBy("column").orderBy(F.col("count").desc(), F.col("value"))
@@ -279,8 +283,7 @@ def profile(
     columns = list(df.columns)
     if approx:
         stats["distinct_count"] = (lambda c: F.approx_count_distinct(quoted(c), 0.02), "bigint")
-        # One more than kept: the sketch counts nulls as a value.
-        stats["top"] = (lambda c: _sketched_top(c, kept + 1), TOP_TYPE)
+        stats["top"] = (_sketched_top, TOP_TYPE)
     wide = _long_form(df, columns, stats, {"row_count": F.count(F.lit(1))})
     if approx:
         wide = wide.withColumn("top", F.slice("top", 1, kept))
