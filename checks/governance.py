@@ -186,7 +186,7 @@ def _rollup(spark, sf):
 
 
 def _rollup_totals(spark, sf):
-    log = _audit_log(spark, sf).withColumn("day", F.to_date("ts"))
+    log = _audit_log(spark, sf).withColumn("day", F.to_date("ts").cast("string"))
     return audit.audit_rollup(log, ["connection", "day"], with_totals=True)
 
 
@@ -289,7 +289,7 @@ ORACLES = {
             WHEN event_id % 7 <> 0 AND event_id % 2 <> 0 AND event_type IN ('error', 'view') THEN 'large table without LIMIT: ' || event_type
             WHEN (event_id % 41) * 3000000 > 100000000 THEN 'estimated rows over 100000000'
             WHEN (event_id % 37) * 400000000 > 10737418240 THEN 'estimated bytes over 10737418240' END AS reason FROM events)""",
-    "concurrency_peak": f"""SELECT event_type, max(level) AS peak FROM (
+    "concurrency_peak": f"""SELECT event_type, CAST(max(level) AS BIGINT) AS peak FROM (
         SELECT event_type, sum(d) OVER (PARTITION BY event_type ORDER BY moment, d ROWS UNBOUNDED PRECEDING) AS level FROM (
             SELECT event_type, s AS moment, 1 AS d FROM ({CALLS}) UNION ALL SELECT event_type, e, -1 FROM ({CALLS}))) GROUP BY event_type""",
     "concurrency_replay": f"""WITH RECURSIVE t AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY s, event_id) AS rn FROM ({CALLS})),
@@ -313,19 +313,19 @@ ORACLES = {
                string_agg('{"turn":' || turn || ',"role":"' || role || '"}', '|' ORDER BY n) FILTER (n <= 3) AS sample
         FROM s GROUP BY conv_id""",
     "audit_chain": f"{CHAIN} SELECT event_id, prev_record_hash, record_hash FROM c",
-    "audit_verify": "SELECT event_type, true AS valid, count(*) AS records_seen, NULL AS first_error FROM events GROUP BY event_type",
+    "audit_verify": "SELECT event_type, true AS valid, count(*) AS records_seen, CAST(NULL AS VARCHAR) AS first_error FROM events GROUP BY event_type",
     "audit_verify_tampered": """WITH k AS (SELECT *, lag(event_id) OVER w AS before FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)),
         n AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM k WHERE event_id % 4001 <> 4000),
         f AS (SELECT event_type, rn, CASE WHEN before % 4001 = 4000 THEN 'prev_hash mismatch' WHEN event_id % 2999 = 2998 THEN 'record_hash mismatch' END AS error FROM n),
         b AS (SELECT event_type, min(rn) AS rn, arg_min(error, rn) AS error FROM f WHERE error IS NOT NULL GROUP BY event_type)
         SELECT a.event_type, b.rn IS NULL AS valid, coalesce(b.rn, a.n) AS records_seen, 'record ' || b.rn || ': ' || b.error AS first_error
         FROM (SELECT event_type, count(*) AS n FROM n GROUP BY event_type) a LEFT JOIN b ON a.event_type = b.event_type""",
-    "audit_verify_rotated": "SELECT true AS valid, count(*) AS records_seen, NULL AS first_error FROM events",
+    "audit_verify_rotated": "SELECT true AS valid, count(*) AS records_seen, CAST(NULL AS VARCHAR) AS first_error FROM events",
     "audit_verify_rotated_gap": """SELECT false AS valid, n + 1 AS records_seen, 'record ' || (n + 1) || ': prev_hash mismatch' AS first_error
         FROM (SELECT count(*) AS n FROM events WHERE event_id < 300)""",
     "audit_tail": f"SELECT event_id, ts, tool FROM ({AUDIT}) WHERE ts >= TIMESTAMP '2024-01-20' ORDER BY ts DESC, event_id DESC LIMIT 20",
     "audit_rollup": f"SELECT assistant_id, tool, {ROLLED} FROM ({AUDIT}) GROUP BY 1, 2",
-    "audit_rollup_totals": f"SELECT connection, CAST(ts AS DATE) AS day, {ROLLED} FROM ({AUDIT}) GROUP BY ROLLUP (connection, CAST(ts AS DATE))",
+    "audit_rollup_totals": f"SELECT connection, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, {ROLLED} FROM ({AUDIT}) GROUP BY ROLLUP (connection, CAST(CAST(ts AS DATE) AS VARCHAR))",
     "audit_entities": f"""SELECT connection, 'EMAIL' AS entity_type, CAST(sum(emails) AS BIGINT) AS findings FROM ({AUDIT}) GROUP BY 1
         UNION ALL SELECT connection, 'PHONE', CAST(sum(phones) AS BIGINT) FROM ({AUDIT}) GROUP BY 1""",
     "as_of_read": f"""SELECT l_orderkey, l_shipdate, l_linenumber, l_partkey, l_extendedprice FROM (

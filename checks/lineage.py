@@ -421,7 +421,7 @@ ORACLES = {
         r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY n DESC, author_login) AS rn, sum(n) OVER (PARTITION BY path) AS total FROM c),
         o AS (SELECT DISTINCT p_partkey % 10 AS d, p_brand FROM part WHERE p_partkey % 10 IN (1, 2))
         SELECT path, p_brand AS handle, 'owner' AS role, 'knowledge/' || CASE d WHEN 1 THEN 'manual' ELSE 'codeowners' END AS source,
-               CASE d WHEN 1 THEN 0.95 ELSE 0.85 END AS confidence FROM (SELECT DISTINCT path FROM ({COMMITS})) JOIN o ON path LIKE 'part/' || d || '/%'
+               CAST(CASE d WHEN 1 THEN 0.95 ELSE 0.85 END AS DOUBLE) AS confidence FROM (SELECT DISTINCT path FROM ({COMMITS})) JOIN o ON path LIKE 'part/' || d || '/%'
         UNION ALL SELECT path, author_login, 'contributor', 'git_blame', round(least(0.7, n / total), 9) FROM r
         WHERE rn <= 3 AND path NOT LIKE 'part/1/%' AND path NOT LIKE 'part/2/%'""",
 }

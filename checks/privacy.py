@@ -42,7 +42,7 @@ def valid_cards(text: str) -> str:
 
 def _findings_sql(table: str, key: str, text: str = "text") -> str:
     parts = [
-        f"""SELECT {key}, '{text}' AS "column", '{name}' AS detector, '{entity}' AS entity_type, 0.95 AS confidence
+        f"""SELECT {key}, '{text}' AS "column", '{name}' AS detector, '{entity}' AS entity_type, CAST(0.95 AS DOUBLE) AS confidence
             FROM {table} WHERE regexp_matches({text}, '{pattern}')"""
         for name, entity, pattern in SHAPES
     ]
@@ -258,14 +258,14 @@ ORACLES = {
     "profile_pii_summary": f"SELECT entity_type, count(*) AS findings FROM ({_findings_sql('documents', 'doc_id')}) GROUP BY 1",
     "pii_scan_documents": _findings_sql("documents", "doc_id"),
     "pii_scan_lines": _findings_sql(f"({SHAPED})", "c_custkey", "line"),
-    "pii_column_names": """SELECT c_custkey, 'full_name' AS "column", 'column_name' AS detector, 'PERSON' AS entity_type, 0.85 AS confidence FROM customer""",
+    "pii_column_names": """SELECT c_custkey, 'full_name' AS "column", 'column_name' AS detector, 'PERSON' AS entity_type, CAST(0.85 AS DOUBLE) AS confidence FROM customer""",
     "pii_email": _only_sql("email"),
     "pii_phone": _only_sql("phone_e164", "phone_us"),
     "pii_ipv4": _only_sql("ipv4"),
     "pii_credentials_ssn_iban": f"""SELECT * FROM ({_findings_sql(f'({SHAPED})', 'c_custkey', 'line')})
         WHERE detector IN ({', '.join(repr(n) for n in SECRETS)})""",
     "pii_credit_card": _only_sql("credit_card"),
-    "pii_custom_detectors": """SELECT c_custkey, 'c_name' AS "column", 'customer_ref' AS detector, 'REFERENCE' AS entity_type, 0.95 AS confidence FROM customer WHERE c_custkey % 10 = 5
+    "pii_custom_detectors": """SELECT c_custkey, 'c_name' AS "column", 'customer_ref' AS detector, 'REFERENCE' AS entity_type, CAST(0.95 AS DOUBLE) AS confidence FROM customer WHERE c_custkey % 10 = 5
         UNION ALL SELECT c_custkey, 'c_name', 'even_ref', 'REFERENCE', 0.95 FROM customer WHERE c_custkey % 100 = 42
         UNION ALL SELECT c_custkey, 'c_name', 'scored_ref', 'SCORED', c_custkey % 10 / 10 FROM customer WHERE c_custkey % 10 >= 8""",
     "jsonl_sink": _findings_sql("documents", "doc_id"),

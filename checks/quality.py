@@ -130,7 +130,7 @@ def _pii_of_profile(spark, sf):
 
 def _rowcount_by(spark, sf):
     left, right = _sides(spark, sf)
-    return diff.rowcount_diff_by(left, right, {"day": F.to_date("o_orderdate")})
+    return diff.rowcount_diff_by(left, right, {"day": F.to_date("o_orderdate").cast("string")})
 
 
 def _bucket_counts(spark, sf):
@@ -145,7 +145,8 @@ CHECKSUM_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
 
 
 def _bucket_checksums(spark, sf):
-    return diff.bucket_checksum_diff(*_sides(spark, sf), ["o_orderkey"], 4096, CHECKSUM_COLS, "md5")
+    found = diff.bucket_checksum_diff(*_sides(spark, sf), ["o_orderkey"], 4096, CHECKSUM_COLS, "md5")
+    return found.withColumns({c: F.col(c).cast("string") for c in ("left_checksum", "right_checksum")})
 
 
 def _value_diff(spark, sf):
@@ -417,10 +418,10 @@ ORACLES = {
             (count(*) - count({c})) / count(*) AS null_rate FROM o""" for c in ORDERS),
     "profile_numeric_stats": _numeric_sql("lineitem", LINEITEM_NUMERIC),
     "profile_percentiles_exact": " UNION ALL ".join(
-        f"""SELECT '{c}' AS "column", {p} AS prob, round(quantile_cont(CAST({c} AS DOUBLE), {p}), 6) AS value FROM lineitem"""
+        f"""SELECT '{c}' AS "column", CAST({p} AS DOUBLE) AS prob, round(quantile_cont(CAST({c} AS DOUBLE), {p}), 6) AS value FROM lineitem"""
         for c in LINEITEM_NUMERIC for p in (0.5, 0.95, 0.99)),
     "profile_percentiles_sketch": " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", {p} AS prob, count(*) >= 0 AS within FROM lineitem" for c in LINEITEM_NUMERIC for p in (0.5, 0.95, 0.99)),
+        f"SELECT '{c}' AS \"column\", CAST({p} AS DOUBLE) AS prob, count(*) >= 0 AS within FROM lineitem" for c in LINEITEM_NUMERIC for p in (0.5, 0.95, 0.99)),
     "profile_distinct_sketch": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) >= 0 AS within FROM lineitem" for c in LINEITEM),
     "profile_distinct": f"WITH o AS ({ORDERS_DIRTY}) " + " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", count(DISTINCT {c}) AS distinct_count,
@@ -452,7 +453,7 @@ ORACLES = {
     "diff_row_counts_by_day": f"""{SIDES}
         SELECT day, count(*) FILTER (side = 'l') AS left_count, count(*) FILTER (side = 'r') AS right_count,
                count(*) FILTER (side = 'r') - count(*) FILTER (side = 'l') AS delta
-        FROM (SELECT CAST(o_orderdate AS DATE) AS day, 'l' AS side FROM l UNION ALL SELECT CAST(o_orderdate AS DATE), 'r' FROM r) GROUP BY day""",
+        FROM (SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, 'l' AS side FROM l UNION ALL SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR), 'r' FROM r) GROUP BY day""",
     "diff_bucket_counts": f"{BUCKET_COUNTS} SELECT * FROM d",
     "diff_bucket_summary": f"""{BUCKET_COUNTS} SELECT CAST(sum(only_left) AS BIGINT) AS rows_only_left, CAST(sum(only_right) AS BIGINT) AS rows_only_right,
         CAST(0 AS BIGINT) AS rows_changed, CAST(sum(left_count) AS BIGINT) AS rows_total_compared FROM d""",
@@ -460,7 +461,7 @@ ORACLES = {
         a AS (SELECT {BUCKET.format(n=4096)} AS bucket, count(*) AS n, sum({ROW_HASH}) AS h FROM l GROUP BY 1),
         b AS (SELECT {BUCKET.format(n=4096)} AS bucket, count(*) AS n, sum({ROW_HASH}) AS h FROM r GROUP BY 1)
         SELECT coalesce(a.bucket, b.bucket) AS bucket, coalesce(a.n, 0) AS left_count, coalesce(b.n, 0) AS right_count,
-               a.h AS left_checksum, b.h AS right_checksum
+               CAST(a.h AS VARCHAR) AS left_checksum, CAST(b.h AS VARCHAR) AS right_checksum
         FROM a FULL OUTER JOIN b ON a.bucket = b.bucket WHERE a.h IS DISTINCT FROM b.h OR a.n IS DISTINCT FROM b.n""",
     "diff_values": f"{JOINED} SELECT {VALUE_COUNTS} FROM j",
     "diff_values_prefiltered": f"{JOINED} SELECT rows_only_left, rows_only_right, rows_changed, duplicate_keys FROM (SELECT {VALUE_COUNTS} FROM j)",

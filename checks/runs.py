@@ -143,7 +143,7 @@ def _series(spark, sf):
 def _baseline(spark, sf):
     scored = anomaly.rolling_baseline(_series(spark, sf), ["event_type"], ["day"], "total", window=7, threshold=1.5, block_rows=10)
     rounded = [F.round(c, 5).alias(c) for c in ("baseline_mean", "baseline_std", "delta", "step", "z")]
-    return scored.select("event_type", "day", "total", *rounded, "anomaly")
+    return scored.select("event_type", F.col("day").cast("string").alias("day"), "total", *rounded, "anomaly")
 
 
 def _triage(spark, sf):
@@ -269,8 +269,8 @@ QUERIES = {
 
 TITLE = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
 PLAIN = TITLE
-for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
-    PLAIN = f"replace({PLAIN}, '{_entity}', '{_char}')"
+for _entity, _char in (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;?", "''"), ("&amp;?", "&")):
+    PLAIN = f"regexp_replace({PLAIN}, '{_entity}', '{_char}', 'g')"
 MONEY = "format('{{:,.2f}}', {})"
 SHOWN = f"""CASE o_orderkey % 10 WHEN 0 THEN format('{{:,.1f}}', o_totalprice / 1000) || 'K' WHEN 1 THEN ' $' || {MONEY.format('o_totalprice')} WHEN 2 THEN NULL
     WHEN 3 THEN 'n/a' WHEN 4 THEN {MONEY.format('o_totalprice * 2')} ELSE {MONEY.format('o_totalprice')} END"""
@@ -318,7 +318,7 @@ ORACLES = {
     "page_links": r"""SELECT page_id, len(regexp_extract_all(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?i)<a[\s>]')) AS links
         FROM pages WHERE len(regexp_extract_all(html, '(?i)<a[\s>]')) > 0""",
     "page_source": "SELECT page_id, 0 AS n, html AS text FROM pages",
-    "page_buttons": """SELECT c_custkey AS page_id, 0 AS "index", 'Go ' || c_custkey AS text, 'button' AS tag, 'b' AS id, NULL AS testid, NULL AS aria_label FROM customer
+    "page_buttons": """SELECT c_custkey AS page_id, 0 AS "index", 'Go ' || c_custkey AS text, 'button' AS tag, 'b' AS id, CAST(NULL AS VARCHAR) AS testid, CAST(NULL AS VARCHAR) AS aria_label FROM customer
         UNION ALL SELECT c_custkey, 1, 'More', 'a', NULL, NULL, 'more' FROM customer UNION ALL SELECT c_custkey, 2, 'Send', 'input', NULL, NULL, NULL FROM customer""",
     "page_inputs": """SELECT c_custkey AS page_id, 0 AS "index", 'input' AS tag, 'text' AS type, 'user' AS name, 'u' || c_custkey AS id, NULL AS testid, NULL AS placeholder, true AS required, false AS is_password FROM customer
         UNION ALL SELECT c_custkey, 1, 'input', 'password', NULL, NULL, NULL, 'pw', false, true FROM customer
@@ -346,7 +346,7 @@ ORACLES = {
         UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'duplicate_rendered', 2 FROM orders WHERE o_orderkey % 13 <> 0 AND o_orderkey % 19 = 0""",
     "anomaly_baseline": f"""WITH s AS ({SERIES}), b AS (SELECT *, avg(total) OVER w AS m, stddev_samp(total) OVER w AS sd, lag(total) OVER (PARTITION BY event_type ORDER BY day) AS p
             FROM s WINDOW w AS (PARTITION BY event_type ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))
-        SELECT event_type, day, total, round(m, 5) AS baseline_mean, round(sd, 5) AS baseline_std, round(total - m, 5) AS delta, round(total - p, 5) AS step,
+        SELECT event_type, CAST(day AS VARCHAR) AS day, total, round(m, 5) AS baseline_mean, round(sd, 5) AS baseline_std, round(total - m, 5) AS delta, round(total - p, 5) AS step,
                round((total - m) / nullif(sd, 0), 5) AS z, coalesce(abs((total - m) / nullif(sd, 0)) > 1.5, false) AS anomaly FROM b""",
     "run_pre_release": f"""SELECT 'check:' || spec AS step, ok, passed || '/' || total || ' passed' AS detail FROM ({SUITE})
         UNION ALL SELECT 'release', bool_and(ok), CASE WHEN bool_and(ok) THEN count(*) FILTER (ok) || '/' || count(*) || ' expectation files passed'

@@ -8,5 +8,4 @@ from pyspark.sql import functions as F
 
 def terms(text: Column) -> Column:
     """Distinct case-folded runs of letters and digits."""
-    words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    return F.array_distinct(F.filter(words, lambda w: w != ""))
+    return F.array_remove(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), "")

@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import terms
 from plumbline.operators.profile import quoted
-from plumbline.session import cut_lineage
+from plumbline.session import BROADCAST_CELLS, broadcast_if_small, cut_lineage
 
 SEARCH_LIMIT = 20
 CHANGES_LIMIT = 20
 OPEN_STATES = ("open", "in_progress")
-BROADCAST_TERMS = 1_000_000
 
 
 def notes_for(keys: DataFrame, notes: DataFrame, limit: int | None = None, tie: str = "id") -> DataFrame:
@@ -32,20 +31,20 @@ def notes_for(keys: DataFrame, notes: DataFrame, limit: int | None = None, tie:
 
 def search(
     texts: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str = "query_id",
-    query_col: str = "query", limit: int = SEARCH_LIMIT, broadcast_terms: int = BROADCAST_TERMS,
+    query_col: str = "query", limit: int = SEARCH_LIMIT, broadcast_cells: int = BROADCAST_CELLS,
 ) -> DataFrame:
     """Texts that hold every term of a query, for a table of queries: ``(query id, text id, rank)`` in id order.
 
     Each query is looked up by its rarest term only, so frequent terms never build pairs. The other terms are tested
     on the candidates, the next rarest first, which ends most tests at once. A query with a term that occurs nowhere
-    is dropped before the lookup.
+    is dropped before the lookup. Lookups and candidates are written once and broadcast only while they are small.
     """
     asked = queries.select(quoted(query_id).alias("__q"), terms(quoted(query_col)).alias("__terms")).where(F.size("__terms") > 0)
-    tokens = texts.select(quoted(id_col).alias("__id"), terms(quoted(text_col)).alias("__tokens"))
+    bodies = texts.select(quoted(id_col).alias("__id"), quoted(text_col).alias("__text"))
     wanted = asked.select("__q", F.explode("__terms").alias("__term"))
     # Counted before the join: a term found in a third of the texts crosses the shuffle as one row per task.
     # The outer form keeps Spark from tokenising twice, once only to drop empty texts.
-    postings = tokens.select("__id", F.explode_outer("__tokens").alias("__term")).where(F.col("__term").isNotNull())
+    postings = bodies.select("__id", F.explode_outer(terms(F.col("__text"))).alias("__term")).where(F.col("__term").isNotNull())
     frequency = postings.groupBy("__term").agg(F.count(F.lit(1)).alias("__df"))
     # The list is as long as the query itself.
     by_rarity = F.sort_array(F.collect_list(F.struct("__df", "__term")))
@@ -55,17 +54,21 @@ def search(
             "__q", F.element_at("__found", 1).alias("__term"), F.expr("slice(__found, 2, size(__found))").alias("__rest")
         )
     )
-    complete = F.forall("__rest", lambda t: F.array_contains("__tokens", t))
-    size = lookups.agg(F.coalesce(F.sum(F.size("__rest") + 1), F.lit(0))).first()[0]
-    if size <= broadcast_terms:
-        # The lookups fit in memory by count: one pass over the texts, no text is shuffled.
-        terms_of = tokens.select("__id", "__tokens", F.explode_outer("__tokens").alias("__term"))
-        found = terms_of.join(F.broadcast(lookups), "__term").where(complete)
-    else:
-        candidates = postings.join(lookups, "__term").select("__q", "__id", "__rest")
-        found = candidates.join(tokens, "__id").where(complete)
+    pivots = lookups.select("__q", "__term", (F.size("__rest") == 0).alias("__done"))
+    candidates = cut_lineage(
+        postings.join(broadcast_if_small(pivots, limit=broadcast_cells), "__term").select("__q", "__id", "__done")
+    )
+    open_pairs = candidates.where(~F.col("__done")).select("__q", "__id")
+    rest = broadcast_if_small(lookups.select("__q", "__rest"), F.size("__rest") + 1, broadcast_cells)
+    tested = (
+        bodies.join(broadcast_if_small(open_pairs, limit=broadcast_cells), "__id")
+        .select("__q", "__id", terms(F.col("__text")).alias("__tokens"))
+        .join(rest, "__q")
+        .where(F.forall("__rest", lambda t: F.array_contains("__tokens", t)))
+    )
+    found = candidates.where("__done").select("__q", "__id").unionByName(tested.select("__q", "__id"))
     rank = F.row_number().over(Window.partitionBy("__q").orderBy("__id"))
-    return found.select("__q", "__id").withColumn("rank", rank).where(F.col("rank") <= limit).select(
+    return found.withColumn("rank", rank).where(F.col("rank") <= limit).select(
         F.col("__q").alias(query_id), F.col("__id").alias(id_col), "rank"
     )
 

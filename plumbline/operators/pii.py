@@ -106,7 +106,8 @@ def content_guard(df: DataFrame, text_col: str) -> DataFrame:
     phones = F.regexp_count(text, F.lit(patterns["phone_us"]))
     reason = (
         F.when(F.octet_length(text) > MAX_BODY_BYTES, "body too large")
-        .when(emails >= MAX_EMAILS, "email addresses")
+        .when(text.contains("@") & (emails >= MAX_EMAILS), "email addresses")
+        .when(~has_digit(text), F.lit(None))
         .when(phones >= MAX_PHONES, "phone numbers")
         .when(F.size(card_numbers(text)) >= MAX_CARDS, "card numbers")
     )

@@ -91,6 +91,12 @@ def _text_length_stats(texts: set[str]) -> dict[str, tuple]:
     }
 
 
+def _hashable(df: DataFrame, column: str) -> Column:
+    """The column as something distinct sketches accept; maps and variants only as text."""
+    simple = df.schema[column].dataType.simpleString()
+    return quoted(column).cast("string") if "map<" in simple or "variant" in simple else quoted(column)
+
+
 def row_count(df: DataFrame) -> DataFrame:
     """Number of rows."""
     return df.agg(F.count(F.lit(1)).alias("row_count"))
@@ -133,9 +139,9 @@ def distinct_stats(df: DataFrame, approx: bool = False, rsd: float = 0.02) -> Da
     """
     if approx:
         stats = {
-            "distinct_count": (lambda c: F.approx_count_distinct(quoted(c), rsd), "bigint"),
+            "distinct_count": (lambda c: F.approx_count_distinct(_hashable(df, c), rsd), "bigint"),
             "distinct_ratio": (
-                lambda c: F.try_divide(F.approx_count_distinct(quoted(c), rsd).cast("double"), F.count(F.lit(1)).cast("double")),
+                lambda c: F.try_divide(F.approx_count_distinct(_hashable(df, c), rsd).cast("double"), F.count(F.lit(1)).cast("double")),
                 "double",
             ),
         }
@@ -282,7 +288,7 @@ def profile(
     stats = {**_null_stats(), **_number_stats(numeric), **_text_length_stats(texts), "percentiles": (sketch, "array<double>")}
     columns = list(df.columns)
     if approx:
-        stats["distinct_count"] = (lambda c: F.approx_count_distinct(quoted(c), 0.02), "bigint")
+        stats["distinct_count"] = (lambda c: F.approx_count_distinct(_hashable(df, c), 0.02), "bigint")
         stats["top"] = (_sketched_top, TOP_TYPE)
     wide = _long_form(df, columns, stats, {"row_count": F.count(F.lit(1))})
     if approx:

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_CELLS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,3 +40,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for a written table or a stream checkpoint."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def broadcast_if_small(df: DataFrame, cells: Column | None = None, limit: int = BROADCAST_CELLS) -> DataFrame:
+    """``df`` marked for broadcast when its counted size allows it, else unchanged for a shuffle join.
+
+    ``cells`` is the size of one row (1 by default). Meant for written tables, where counting is cheap.
+    """
+    size = df.agg(F.coalesce(F.sum(F.lit(1) if cells is None else cells), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= limit else df
