@@ -1,4 +1,8 @@
-"""Table loading and the derived inputs shared by several queries."""
+"""Table loading and the derived inputs shared by several queries.
+
+Key arithmetic in the checks plants differences: dropped, added, changed, null or unowned rows. It never makes an
+input smaller for the sake of the comparison; every query reads its whole tables.
+"""
 
 from __future__ import annotations
 

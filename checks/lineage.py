@@ -141,8 +141,9 @@ def _search_words(spark, sf):
 
 
 def _owners(spark, sf):
-    owners = load(spark, sf, "supplier").where("s_nationkey % 5 <> 0").select(
-        _name("nation:", "s_nationkey").alias("key"), F.col("s_name").alias("owner"), F.lit("owner").alias("role"), F.lit("manual").alias("source"))
+    place = F.when(F.col("s_nationkey") % 5 != 0, _name("nation:", "s_nationkey")).otherwise(_name("planet:", "s_nationkey"))
+    owners = load(spark, sf, "supplier").select(
+        place.alias("key"), F.col("s_name").alias("owner"), F.lit("owner").alias("role"), F.lit("manual").alias("source"))
     return knowledge.owners_for(load(spark, sf, "nation").select(_name("nation:", "n_nationkey")), owners)
 
 
@@ -154,8 +155,9 @@ def _path_owners(spark, sf):
     """Owners by language folder, and by deeper folders for some pages."""
     docs = load(spark, sf, "documents")
     folders = docs.select(F.concat(F.lit("path:"), "lang").alias("key"), F.concat(F.lit("team-"), "lang").alias("owner")).distinct()
-    deep = load(spark, sf, "pages").where("page_id % 3 = 0").select(
-        F.concat(F.lit("path:"), F.regexp_replace(F.regexp_extract("url", "^[a-z]+://[^/?#]+([^?#]*)", 1), "^/+|/+$", "")).alias("key"),
+    folder = F.when(F.col("page_id") % 3 == 0, F.lit("path:")).otherwise(F.lit("path:archive/"))
+    deep = load(spark, sf, "pages").select(
+        F.concat(folder, F.regexp_replace(F.regexp_extract("url", "^[a-z]+://[^/?#]+([^?#]*)", 1), "^/+|/+$", "")).alias("key"),
         F.lit("page-owner").alias("owner")).distinct()
     kind = lambda df, source: df.withColumn("role", F.lit("owner")).withColumn("source", F.lit(source))
     return kind(folders, "codeowners").unionByName(kind(deep.where("key <> 'path:'"), "manual")).where("key <> 'path:de'")
@@ -271,8 +273,9 @@ def _who(spark, sf):
 
 def _find_owners(spark, sf):
     log = commits(spark, sf)
-    owners = load(spark, sf, "part").where("p_partkey % 10 IN (1, 2)").select(
-        F.concat(F.lit("path:part/"), (F.col("p_partkey") % 10).cast("string")).alias("key"), F.col("p_brand").alias("owner"),
+    folder = F.when(F.col("p_partkey") % 10 <= 2, F.lit("path:part/")).otherwise(F.lit("path:legacy/"))
+    owners = load(spark, sf, "part").select(
+        F.concat(folder, (F.col("p_partkey") % 10).cast("string")).alias("key"), F.col("p_brand").alias("owner"),
         F.lit("owner").alias("role"), F.when(F.col("p_partkey") % 10 == 1, "manual").otherwise("codeowners").alias("source")).distinct()
     found = activity.find_owners(log.select("path"), owners, log)
     return found.withColumn("confidence", F.round("confidence", 9))
@@ -419,9 +422,9 @@ ORACLES = {
     "activity_who_changed": f"SELECT author, count(*) AS commits FROM ({RECENT.format(90)}) GROUP BY author ORDER BY commits DESC, author LIMIT 10",
     "activity_find_owners": f"""WITH c AS (SELECT path, author_login, count(*) AS n FROM ({COMMITS}) WHERE author_login IS NOT NULL GROUP BY 1, 2),
         r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY n DESC, author_login) AS rn, sum(n) OVER (PARTITION BY path) AS total FROM c),
-        o AS (SELECT DISTINCT p_partkey % 10 AS d, p_brand FROM part WHERE p_partkey % 10 IN (1, 2))
+        o AS (SELECT DISTINCT p_partkey % 10 AS d, p_brand FROM part WHERE p_partkey % 10 <= 2)
         SELECT path, p_brand AS handle, 'owner' AS role, 'knowledge/' || CASE d WHEN 1 THEN 'manual' ELSE 'codeowners' END AS source,
                CAST(CASE d WHEN 1 THEN 0.95 ELSE 0.85 END AS DOUBLE) AS confidence FROM (SELECT DISTINCT path FROM ({COMMITS})) JOIN o ON path LIKE 'part/' || d || '/%'
         UNION ALL SELECT path, author_login, 'contributor', 'git_blame', round(least(0.7, n / total), 9) FROM r
-        WHERE rn <= 3 AND path NOT LIKE 'part/1/%' AND path NOT LIKE 'part/2/%'""",
+        WHERE rn <= 3 AND path NOT LIKE 'part/0/%' AND path NOT LIKE 'part/1/%' AND path NOT LIKE 'part/2/%'""",
 }

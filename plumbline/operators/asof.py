@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.profile import quoted
-from plumbline.session import cut_lineage
+from plumbline.session import scratch_path
 
 
 def as_of(
@@ -50,6 +50,11 @@ class Snapshot:
 
 @contextmanager
 def pinned(df: DataFrame) -> Iterator[Snapshot]:
-    """The rows of ``df`` written once to the shared folder; every step inside reads the same copy."""
+    """The rows of ``df`` written once as a table in the shared folder; every step inside reads the same copy.
+
+    The copy is columnar, so steps still read only the columns and row groups they need.
+    """
     taken = datetime.now(timezone.utc)
-    yield Snapshot(cut_lineage(df), taken)
+    path = scratch_path(df.sparkSession, "snapshot")
+    df.write.parquet(path)
+    yield Snapshot(df.sparkSession.read.schema(df.schema).parquet(path), taken)

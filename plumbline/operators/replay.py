@@ -153,6 +153,11 @@ def settle(
         waiting -= set(ready)
 
 
+def _narrow(df: DataFrame, needed: Sequence[str], keep: Sequence[str] | None) -> DataFrame:
+    """Only the needed columns and those to keep; ``None`` keeps all."""
+    return df if keep is None else df.select(*dict.fromkeys([*needed, *keep]))
+
+
 # -- token bucket -----------------------------------------------------------------------------------------------
 
 
@@ -245,14 +250,16 @@ def _bucket_summary(batches: Iterator[pd.DataFrame], bucket: TokenBucket) -> Ite
 
 
 def rate_limit_replay(
-    events: DataFrame, keys: Sequence[str], ts: str, tie: str, per_minute: int = 60, partitions: int | None = None
+    events: DataFrame, keys: Sequence[str], ts: str, tie: str, per_minute: int = 60, partitions: int | None = None,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Adds ``allowed``: whether a token bucket per key, full at the start, lets the call through.
 
-    ``tie`` is a unique column that orders calls of the same instant.
+    ``tie`` is a unique column that orders calls of the same instant. ``keep`` names the other columns to carry along
+    (all by default); on wide logs carry none and join back by ``tie``.
     """
     bucket = TokenBucket(per_minute)
-    timed = events.withColumn("__micros", F.unix_micros(F.col(ts).cast("timestamp")))
+    timed = _narrow(events, [*keys, ts, tie], keep).withColumn("__micros", F.unix_micros(F.col(ts).cast("timestamp")))
     chunks = keyed_chunks(timed, keys, ["__micros", tie], partitions)
     found = _summaries(chunks, ["__micros"], partial(_bucket_summary, bucket=bucket))
     starts: dict[int, int] = {}
@@ -276,10 +283,11 @@ def _gate(ends: list[int], start: int, end: int, cap: int) -> tuple[list[int], t
 
 
 def concurrency_replay(
-    log: DataFrame, keys: Sequence[str], start: str, end: str, tie: str, cap: int = 4, partitions: int | None = None
+    log: DataFrame, keys: Sequence[str], start: str, end: str, tie: str, cap: int = 4, partitions: int | None = None,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Adds ``admitted``: a call is refused when ``cap`` admitted calls of its key still run; refused calls occupy nothing."""
-    timed = log.withColumn("__start", F.unix_micros(F.col(start).cast("timestamp"))).withColumn(
+    timed = _narrow(log, [*keys, start, end, tie], keep).withColumn("__start", F.unix_micros(F.col(start).cast("timestamp"))).withColumn(
         "__end", F.unix_micros(F.col(end).cast("timestamp"))
     )
     chunks = keyed_chunks(timed, keys, ["__start", tie], partitions)

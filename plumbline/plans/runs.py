@@ -74,9 +74,10 @@ def migration_safety(
     paths: DataFrame | None = None,
     owners: DataFrame | None = None,
     commits: DataFrame | None = None,
+    approx: bool = False,
 ) -> DataFrame:
     """Profile, change impact, owners to ping, drafted expectations and the follow-up task of a schema migration."""
-    profiled = cut_lineage(profile(df))
+    profiled = cut_lineage(profile(df, approx=approx))
     report = cut_lineage(impact(before, after, edges))
     counts = report.agg(*[F.count_if(F.col("section") == s).alias(s) for s in ("table", "column", "risk")])
     detail = _text(F.col("table"), " table changes · ", F.col("column"), " column changes · ", F.col("risk"), " risks")
@@ -182,9 +183,10 @@ def handoff(
     commits: DataFrame | None = None,
     notes: DataFrame | None = None,
     as_of: datetime | str | None = None,
+    approx: bool = False,
 ) -> DataFrame:
     """Brief for someone taking a table over: profile, personal data, owners, changes, notes and gotchas."""
-    profiled = cut_lineage(profile(df, rules=rules))
+    profiled = cut_lineage(profile(df, rules=rules, approx=approx))
     findings = cut_lineage(pii_summary(df, row_key))
     parts = [
         _profile_step("profile", profiled),

@@ -14,7 +14,7 @@ def records(spark, n):
     from datetime import datetime
 
     data = [
-        (i, datetime(2026, 1, 1, 0, 0, i), "claude", "s", "query_database", "c", "sha256:x", {"kind": "SELECT"}, ("permit", "r", None),
+        (i, datetime(2026, 1, 1, 0, 0, i), "helper", "s", "query_database", "c", "sha256:x", {"kind": "SELECT"}, ("permit", "r", None),
          {"EMAIL": i}, i, i * 2, 10, 1.5, ['{"a":"[REDACTED:EMAIL]"}'])
         for i in range(n)
     ]

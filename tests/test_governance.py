@@ -8,7 +8,7 @@ from plumbline.plans import governed
 REQUEST = "id int, assistant_id string, connection string, tags array<string>, read_only boolean, tool string, sql struct<is_select: boolean, kind: string, touches: array<string>, joins: int, has_limit: boolean>"
 
 
-def request(i, tool="query_database", tags=(), read_only=True, is_select=True, kind="SELECT", touches=("orders",), joins=0, assistant="claude", connection="w"):
+def request(i, tool="query_database", tags=(), read_only=True, is_select=True, kind="SELECT", touches=("orders",), joins=0, assistant="helper", connection="w"):
     return (i, assistant, connection, list(tags), read_only, tool, (is_select, kind, list(touches), joins, True))
 
 
@@ -32,10 +32,10 @@ def test_priority_globs_and_missing_fields(spark):
     rules = [
         {"name": "late", "effect": "allow", "priority": 50},
         {"name": "joins", "effect": "deny", "priority": 10, "when": "sql.joins > 5"},
-        {"name": "first", "effect": "consent", "priority": 20, "assistants": ["cl?ude-*"], "connections": ["[wx]", "exact"]},
+        {"name": "first", "effect": "consent", "priority": 20, "assistants": ["h?lper-*"], "connections": ["[wx]", "exact"]},
         {"name": "second", "effect": "deny", "priority": 20},
     ]
-    got = decisions(spark, [request(1, joins=6), request(2, joins=None, assistant="claude-1"), request(3, assistant="Claude-1"), request(4, assistant="claude-1", connection="exact")], rules)
+    got = decisions(spark, [request(1, joins=6), request(2, joins=None, assistant="helper-1"), request(3, assistant="Helper-1"), request(4, assistant="helper-1", connection="exact")], rules)
     assert got == {1: ("deny", "joins"), 2: ("consent_required", "first"), 3: ("deny", "second"), 4: ("consent_required", "first")}
     shipped = decisions(spark, [request(1, touches=["auth.sessions"]), request(2, tags=["prod.pii"]), request(3, tags=["prod.pii", "admin"]), request(4, kind="EXPLAIN")], [*govern.DEFAULT_RULES, *govern.SHIPPED_RULES])
     assert [shipped[i][1] for i in (1, 2, 3, 4)] == ["deny-credential-tables", "deny-pii-tables-for-non-admin-assistants", "allow-select-read-only", "allow-explain-everywhere"]

@@ -126,6 +126,18 @@ def test_rolling_baseline(spark):
     assert all((found[i] is None and pd.isna(m)) or abs(found[i] - m) < 1e-9 for i, m in want.items())
 
 
+def test_default_partitioning_spreads_a_hot_key(spark):
+    """Without a partition count the session's shuffle partitions apply; adaptive merging is off to get several."""
+    log = hot_log(13)
+    want = rows(replay.rate_limit_replay(as_frame(spark, log), ["key"], "start", "id", 40, 1), "id", "allowed")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert ordered_chunks(as_frame(spark, log), ["key"], ["s", "id"]).select(CHUNK).distinct().count() > 4
+        assert rows(replay.rate_limit_replay(as_frame(spark, log), ["key"], "start", "id", 40), "id", "allowed") == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_chain_over_chunks(spark):
     import hashlib
     import json
@@ -144,3 +156,18 @@ def test_chain_over_chunks(spark):
     assert {r["seq"]: r["record_hash"] for r in chained.collect()} == want
     verified = audit.verify_chain(chained, ["k"], "seq", slice_rows=8)
     assert rows(verified) == [("cold", True, 30, None), ("hot", True, 60, None)]
+
+
+def test_replay_carries_only_what_is_asked(spark):
+    df = as_frame(spark, hot_log(14, n=50))
+    assert replay.rate_limit_replay(df, ["key"], "start", "id", 60, 3, keep=[]).columns == ["key", "start", "id", "allowed"]
+    assert replay.concurrency_replay(df, ["key"], "start", "end", "id", 2, 3, keep=["s"]).columns == ["key", "start", "end", "id", "s", "admitted"]
+
+
+def test_profile_of_nested_columns(spark):
+    from plumbline.operators.profile import profile
+
+    df = spark.createDataFrame([([1.0, 2.0], {"a": 1}, (1, "x")), ([1.0, 2.0], {"b": 2}, None)], "v array<float>, m map<string,int>, s struct<i: int, t: string>")
+    for approx in (False, True):
+        got = {r["column"]: r for r in profile(df, approx=approx).collect()}
+        assert [got[c]["distinct_count"] for c in "vms"] == [1, 2, 1] and got["s"]["null_count"] == 1
