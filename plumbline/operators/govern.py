@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,6 +37,16 @@ SHIPPED_RULES = (
      "when": "sql.kind = 'EXPLAIN' OR sql.kind = 'DESCRIBE'"},
 )
 
+def load_rules(path: str) -> list[dict]:
+    """Rules of a YAML bundle with a top-level ``rules`` list; conditions are Spark SQL."""
+    import yaml
+
+    bundle = yaml.safe_load(Path(path).read_text())
+    if not isinstance(bundle, dict) or "rules" not in bundle:
+        raise ValueError(f"{path}: expected a top-level 'rules' list")
+    return bundle["rules"]
+
+
 _VERDICTS = {"deny": "deny", "consent": "consent_required", "allow": "permit"}
 _REASONS = {"deny": "deny by rule '{}'", "consent": "rule '{}' requires consent", "allow": "allowed by rule '{}'"}
 

@@ -69,7 +69,8 @@ def register_dir(spark: SparkSession, path: str, mapping: Mapping[str, str] | No
         base = os.path.abspath(base)
     # The file listing is a DataFrame of paths (contents are not read); a table may be a file or a folder of files.
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select("path")
-    entry = F.split(F.expr(f"substring(path, instr(path, '{base}/') + {len(base) + 1})"), "/").getItem(0)
+    below = F.col("path").substr(F.instr("path", base + "/") + F.lit(len(base) + 1), F.length("path"))
+    entry = F.split(below, "/").getItem(0)
     entries = sorted(row["entry"] for row in listed.select(entry.alias("entry")).distinct().collect())
     return register_views(spark, {_stem(e): f"{base}/{e}" for e in entries if _suffix(e) in _SUFFIXES})
 

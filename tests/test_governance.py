@@ -41,6 +41,15 @@ def test_priority_globs_and_missing_fields(spark):
     assert [shipped[i][1] for i in (1, 2, 3, 4)] == ["deny-credential-tables", "deny-pii-tables-for-non-admin-assistants", "allow-select-read-only", "allow-explain-everywhere"]
 
 
+def test_rules_from_a_file(spark, tmp_path):
+    (tmp_path / "rules.yaml").write_text("rules:\n  - {name: only-lists, effect: allow, tools: [list_*], priority: 1}\n")
+    rules = govern.load_rules(str(tmp_path / "rules.yaml"))
+    assert decisions(spark, [request(1, tool="list_tables"), request(2)], rules) == {1: ("permit", "only-lists"), 2: ("deny", "implicit_deny")}
+    (tmp_path / "rules.yaml").write_text("- x")
+    with pytest.raises(ValueError):
+        govern.load_rules(str(tmp_path / "rules.yaml"))
+
+
 def test_tenants(spark):
     manifests = spark.createDataFrame([("team-finance", ["finance-ro", "warehouse-ro"]), ("team-growth", ["growth-ro"]), ("free", []), ("default", ["x"])], "tenant_id string, connections array<string>")
     calls = [("team-finance", "finance-ro"), ("team-finance", "growth-ro"), ("team-growth", "growth-ro"), ("unknown", "finance-ro"), ("free", "any"), ("default", "any")]
