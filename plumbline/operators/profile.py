@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DataType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
+from pyspark.sql.types import (
+    BooleanType,
+    DataType,
+    DateType,
+    DoubleType,
+    FloatType,
+    IntegralType,
+    NumericType,
+    StringType,
+    TimestampNTZType,
+    TimestampType,
+)
 
 from plumbline.operators.ordered import running_total
 
@@ -119,17 +130,51 @@ def length_stats(df: DataFrame) -> DataFrame:
     return _long_form(df, texts, _text_length_stats(set(texts)))
 
 
+def _slot(column: str, kind: DataType) -> tuple[str, Column, Callable[[Column], Column]]:
+    """(slot, the column as that slot, the slot back as text): numbers and times are grouped as numbers, not as text."""
+    value = quoted(column)
+    if isinstance(kind, IntegralType):
+        return "whole", value.cast("bigint"), lambda v: v.cast("string")
+    if isinstance(kind, (DoubleType, FloatType)):
+        return "real", value.cast("double"), lambda v: v.cast(kind).cast("string")
+    if isinstance(kind, TimestampType):
+        return "whole", F.unix_micros(value), lambda v: F.timestamp_micros(v).cast("string")
+    if isinstance(kind, DateType):
+        return "whole", F.unix_date(value).cast("bigint"), lambda v: F.date_from_unix_date(v.cast("int")).cast("string")
+    return "text", value.cast("string"), lambda v: v
+
+
 def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``(column, value, count)`` of all non-null values, values as text; one shuffle for all columns."""
+    """``(column, value, count)`` of all non-null values; one scan and one shuffle for all columns.
+
+    Cells travel as (column number, typed slot) and become text only after they are counted.
+    """
     columns = list(columns if columns is not None else df.columns)
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), quoted(c).cast("string").alias("value")) for c in columns])
-    return (
+    slots = [_slot(c, df.schema[c].dataType) for c in columns]
+    types = {"text": "string", "whole": "bigint", "real": "double"}
+    cells = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("place"),
+                *[(value if slot == name else F.lit(None).cast(kind)).alias(name) for name, kind in types.items()],
+            )
+            for i, (slot, value, _) in enumerate(slots)
+        ]
+    )
+    filled = F.col("text").isNotNull() | F.col("whole").isNotNull() | F.col("real").isNotNull()
+    counted = (
         df.select(F.explode(cells).alias("cell"))
         .select("cell.*")
-        .where(F.col("value").isNotNull())
-        .groupBy("column", "value")
+        .where(filled)
+        .groupBy("place", *types)
         .agg(F.count(F.lit(1)).alias("count"))
     )
+    value = F.col("text")
+    for i, (slot, _, shown) in enumerate(slots):
+        if slot != "text":
+            value = F.when(F.col("place") == i, shown(F.col(slot))).otherwise(value)
+    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("place") + 1)
+    return counted.select(name.alias("column"), value.alias("value"), "count")
 
 
 def distinct_stats(df: DataFrame, approx: bool = False, rsd: float = 0.02) -> DataFrame:
@@ -285,17 +330,19 @@ def profile(
     def sketch(c):
         return F.percentile_approx(quoted(c).cast("double"), probs) if c in numeric else F.max(F.lit(None).cast("array<double>"))
 
-    stats = {**_null_stats(), **_number_stats(numeric), **_text_length_stats(texts), "percentiles": (sketch, "array<double>")}
+    stats = {**_number_stats(numeric), **_text_length_stats(texts), "percentiles": (sketch, "array<double>")}
     columns = list(df.columns)
     if approx:
+        stats |= _null_stats()
         stats["distinct_count"] = (lambda c: F.approx_count_distinct(_hashable(df, c), 0.02), "bigint")
         stats["top"] = (_sketched_top, TOP_TYPE)
     wide = _long_form(df, columns, stats, {"row_count": F.count(F.lit(1))})
     if approx:
         wide = wide.withColumn("top", F.slice("top", 1, kept))
     else:
+        # Both branches read the counts, so they share one shuffle; the nulls are what the counts leave over.
         counts = value_counts(df, columns)
-        distinct = counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"))
+        distinct = counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"), F.sum("count").alias("filled"))
         by_count = Window.partitionBy("column").orderBy(F.col("count").desc(), F.col("value"))
         top = (
             counts.withColumn("rank", F.row_number().over(by_count))
@@ -303,8 +350,11 @@ def profile(
             .groupBy("column")
             .agg(F.sort_array(F.collect_list(F.struct("rank", "value", "count"))).alias("top"))
         )
-        wide = wide.join(distinct, "column", "left").withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
-        wide = wide.join(top, "column", "left")
+        wide = wide.join(distinct, "column", "left").join(top, "column", "left").withColumns({
+            "distinct_count": F.coalesce("distinct_count", F.lit(0)),
+            "null_count": F.col("row_count") - F.coalesce("filled", F.lit(0)),
+        })
+        wide = wide.withColumn("null_rate", F.try_divide(F.col("null_count").cast("double"), F.col("row_count").cast("double")))
     facts = semantic_types(df, rules)
     joined = facts.join(wide, "column")
     pairs = F.transform(F.slice("top", 1, top_k), lambda v: F.struct(v["value"].alias("value"), v["count"].alias("count")))
