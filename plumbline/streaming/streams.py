@@ -12,13 +12,23 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from plumbline.operators.mask import MaskPolicy, Sensitivity, mask
+from plumbline.operators.mask import MaskPolicy, Sensitivity, mask, masked_counts
 from plumbline.operators.profile import quoted
 from plumbline.operators.replay import TokenBucket
 
 
-def mask_stream(stream: DataFrame, policy: MaskPolicy | None = None, sensitivity: Sensitivity | None = None, qualifier: str = "") -> DataFrame:
-    """The masker on a stream: stateless, so memory does not grow with the input."""
+def mask_stream(
+    stream: DataFrame, policy: MaskPolicy | None = None, sensitivity: Sensitivity | None = None, qualifier: str = "",
+    observe: str | None = None,
+) -> DataFrame:
+    """The masker on a stream: stateless, so memory does not grow with the input.
+
+    ``observe`` names a set of metrics: rows and masked cells per column of every micro-batch, found in the progress
+    events of the query.
+    """
+    if observe is not None:
+        counts = masked_counts(stream, policy, sensitivity, qualifier)
+        stream = stream.observe(observe, F.count(F.lit(1)).alias("rows"), *counts)
     return mask(stream, policy, sensitivity, qualifier)
 
 

@@ -138,6 +138,8 @@ def test_scrub(spark):
 
 def test_cap(spark):
     df = spark.range(100).select(F.col("id"), F.lit("x" * 10).alias("v"))
+    spread = m.cap(df.repartition(9), ["id"], row_cap=10)
+    assert [r["id"] for r in spread.orderBy("id").collect()] == list(range(10)) and spread.columns == ["id", "v", "truncated"]
     capped = m.cap(df, ["id"], row_cap=10)
     assert capped.count() == 10 and capped.where("truncated").count() == 10
     assert m.cap(df, ["id"], row_cap=100).where("NOT truncated").count() == 100

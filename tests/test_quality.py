@@ -41,6 +41,14 @@ def test_failures_are_named(spark, shop):
     assert not expect.report_passed(expect.check(dirty, spec, tables={"c": parents})).first()["ok"]
 
 
+def test_custom_expectation(shop):
+    expect.register_expectation("column_positive", lambda args: F.count_if(F.col(args["column"]) <= args.get("above", 0)))
+    got = expect.check(shop, [{"column_positive": {"column": "total_amount"}}, {"column_positive": {"column": "total_amount", "above": 10}}]).collect()
+    assert [(r["passed"], r["observed"]) for r in got] == [(True, "0"), (False, "2")] and got[1]["message"] == "2 violation(s)"
+    with pytest.raises(ValueError):
+        expect.register_expectation("column_unique", F.count)
+
+
 def test_freshness(spark):
     df = spark.createDataFrame([("2026-01-01 00:00:00",)], "t string").select(F.col("t").cast("timestamp").alias("t"))
     rule = [{"column_freshness_seconds": {"column": "t", "max": 60}}]

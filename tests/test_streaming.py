@@ -38,6 +38,15 @@ def test_mask_stream_equals_mask(spark, sf, tmp_path):
     assert rows(sunk(spark, streams.mask_stream(stream), tmp_path)) == rows(mask.mask(docs))
 
 
+def test_masked_cells_are_observed(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stream = spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    query = streams.run_available(streams.mask_stream(stream, observe="masked"), str(tmp_path / "out"), str(tmp_path / "state"))
+    seen = [p["observedMetrics"]["masked"] for p in query.recentProgress if p["observedMetrics"]]
+    assert sum(m["rows"] for m in seen) == docs.count()
+    assert sum(m["text"] for m in seen) == mask.mask(docs).where(F.col("text").startswith("[REDACTED:")).count() > 0
+
+
 def test_late_rows_are_dropped(spark, tmp_path):
     df = spark.createDataFrame([(0, 10), (1, 20), (2, 200), (3, 210), (4, 15), (5, 500)], "id long, s long").withColumn("ts", F.timestamp_seconds("s"))
     path = str(tmp_path / "in")
