@@ -343,7 +343,7 @@ CATALOGS = f"""WITH b AS (SELECT "table", "column", max(type) AS type FROM ({NAM
 FILES = """SELECT DISTINCT CASE l_linenumber WHEN 1 THEN 'models/scratch' WHEN 2 THEN 'models/marts' WHEN 3 THEN 'src' WHEN 4 THEN 'db/migrate' ELSE 'docs' END
     || '/p' || l_partkey || CASE l_partkey % 3 WHEN 0 THEN '.SQL' WHEN 1 THEN '.sql' ELSE '.py' END AS path FROM lineitem"""
 NOTES = "SELECT 'customer:' || o_custkey AS key, o_orderkey AS id, o_orderpriority AS body, o_orderdate AS created_at FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')"
-TERMS = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''))"
+TERMS = r"list_distinct(list_filter(regexp_split_to_array(strip_accents(lower({})), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''))"
 
 
 def _search_sql(queries, limit):

@@ -74,11 +74,11 @@ def test_notes_and_search(spark):
     keys = spark.createDataFrame([("table:orders",), ("table:orders",)], "k string")
     assert [r["id"] for r in knowledge.notes_for(keys, notes).collect()] == [2, 1]
     assert rows(knowledge.notes_for(keys, notes, 1), "id") == [(2,)]
-    queries = spark.createDataFrame([(1, "UTC"), (2, "timezone"), (3, "émails timezone"), (4, "refunds utc"), (5, "nowhere timezone"), (6, " ,. "), (7, "are")], "query_id int, query string")
-    want = [(1, 1), (2, 1), (2, 3), (3, 3), (7, 2), (7, 3)]
+    queries = spark.createDataFrame([(1, "UTC"), (2, "timezone"), (3, "émails timezone"), (4, "refunds utc"), (5, "nowhere timezone"), (6, " ,. "), (7, "are"), (8, "EMAILS")], "query_id int, query string")
+    want = [(1, 1), (2, 1), (2, 3), (3, 3), (7, 2), (7, 3), (8, 3)]
     assert rows(knowledge.search(notes, queries, "id", "body"), "query_id", "id") == want
     assert rows(knowledge.search(notes, queries, "id", "body", broadcast_cells=0), "query_id", "id") == want
-    assert rows(knowledge.search(notes, queries, "id", "body", limit=1), "query_id", "id") == [(1, 1), (2, 1), (3, 3), (7, 2)]
+    assert rows(knowledge.search(notes, queries, "id", "body", limit=1), "query_id", "id") == [(1, 1), (2, 1), (3, 3), (7, 2), (8, 3)]
 
 
 def test_owners(spark):
