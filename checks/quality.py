@@ -85,6 +85,15 @@ def _profile_one_pass(spark, sf):
     ).where("column IN ('p_brand', 'p_type', 'p_size', 'p_name')")
 
 
+def _masked_profile(spark, sf):
+    """Names never show up in a profile: their top values are masked and no value set is kept."""
+    customers = load(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("full_name"), "c_mktsegment")
+    top = F.get("top_values", 0)
+    return profile.profile(customers).select(
+        "column", "distinct_count", top["value"].alias("top_value"), top["count"].alias("top_count"),
+        F.array_join("enum_values", "|").alias("enum_values"))
+
+
 def _suggest_of(df, table):
     return suggest.suggest(profile.profile(df), table)
 
@@ -211,6 +220,7 @@ QUERIES = {
     "profile_pii_summary": _pii_of_profile,
     "profile_table": _profile,
     "profile_table_one_pass": _profile_one_pass,
+    "profile_table_masked": _masked_profile,
     "diff_schema_and_counts": _schema_rows,
     "diff_row_counts": lambda s, d: diff.rowcount_diff(*_sides(s, d)).withColumn("delta_pct", F.round("delta_pct", 8)),
     "diff_row_counts_by_day": _rowcount_by,
@@ -438,6 +448,11 @@ ORACLES = {
             CASE WHEN count(DISTINCT {c}) <= 12 THEN (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM part)) END AS enum_values,
             (SELECT max(n) FROM (SELECT count(*) AS n FROM part GROUP BY {c})) AS top_count FROM part"""
         for c in ("p_name", "p_brand", "p_type", "p_size")),
+    "profile_table_masked": """
+        SELECT 'c_custkey' AS "column", count(DISTINCT c_custkey) AS distinct_count, min(CAST(c_custkey AS VARCHAR)) AS top_value, 1 AS top_count, NULL AS enum_values FROM customer
+        UNION ALL SELECT 'full_name', count(DISTINCT c_name), '[REDACTED:PERSON]', 1, NULL FROM customer
+        UNION ALL SELECT 'c_mktsegment', count(*), arg_min(c_mktsegment, (-n, c_mktsegment)), max(n), string_agg(c_mktsegment, '|' ORDER BY c_mktsegment)
+        FROM (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1)""",
     "profile_sample_masked": """
         SELECT c_custkey, repeat('*', length(c_name) - 4) || right(c_name, 4) AS full_name, c_nationkey, c_acctbal, c_mktsegment
         FROM customer ORDER BY c_custkey LIMIT 10""",

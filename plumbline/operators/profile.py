@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -316,13 +317,19 @@ def profile(
     probs: Sequence[float] = (0.5, 0.95, 0.99),
     approx: bool = False,
     rules: str = "name",
+    policy=True,
 ) -> DataFrame:
     """Full profile, one row per column, from two jobs joined on the column name.
 
     One aggregate pass gives counts, nulls, numbers, percentiles (sketch) and lengths. One pass over the value
     counts gives distincts, top values and, up to twelve distinct values, the whole value set. With ``approx``
     everything comes from the first pass, and only fixed-size sketches are shuffled: the form for very large tables.
+
+    Top values are masked by ``policy`` (a ``MaskPolicy``; True is the default one, None shows raw values), and a
+    value set with a masked value is left out.
     """
+    from plumbline.operators.mask import MaskPolicy, masked_values
+
     numeric, texts = set(_numeric(df)), set(_texts(df))
     probs = list(probs)
     kept = max(top_k, ENUM_LIMIT)
@@ -356,10 +363,21 @@ def profile(
         })
         wide = wide.withColumn("null_rate", F.try_divide(F.col("null_count").cast("double"), F.col("row_count").cast("double")))
     facts = semantic_types(df, rules)
-    joined = facts.join(wide, "column")
+    joined = facts.join(wide, "column").withColumn("hidden", F.lit(False))
+    if policy:
+        # A dozen values per column: taken apart, masked and put together again.
+        values = joined.select("*", F.explode_outer("top").alias("t")).withColumn("raw", F.col("t.value"))
+        shown = values.withColumn("shown", masked_values(df, "column", "raw", MaskPolicy() if policy is True else policy))
+        entry = F.when(F.col("t").isNotNull(), F.struct(F.col("t.rank").alias("rank"), F.col("shown").alias("value"), F.col("t.count").alias("count")))
+        others = [c for c in joined.columns if c not in ("column", "top", "hidden")]
+        joined = shown.groupBy("column").agg(
+            *[F.first(c).alias(c) for c in others],
+            F.sort_array(F.collect_list(entry)).alias("top"),
+            F.bool_or(~F.col("shown").eqNullSafe(F.col("raw"))).alias("hidden"),
+        ).withColumn("top", F.when(F.size("top") > 0, F.col("top")))
     pairs = F.transform(F.slice("top", 1, top_k), lambda v: F.struct(v["value"].alias("value"), v["count"].alias("count")))
     enum = F.when(
-        F.col("distinct_count").between(1, ENUM_LIMIT), F.array_sort(F.transform("top", lambda v: v["value"]))
+        F.col("distinct_count").between(1, ENUM_LIMIT) & ~F.col("hidden"), F.array_sort(F.transform("top", lambda v: v["value"]))
     )
     has_rows = F.col("row_count") > 0
     return joined.select(
@@ -373,3 +391,27 @@ def profile(
         pairs.alias("top_values"),
         enum.alias("enum_values"),
     )
+
+
+@dataclass(frozen=True)
+class TableProfile:
+    """A whole profile: one row per column, masked sample rows, and findings per entity."""
+
+    columns: DataFrame
+    sample: DataFrame
+    pii: DataFrame
+
+
+def table_profile(
+    df: DataFrame, row_key: Sequence[str], top_k: int = 5, sample_n: int = 10, policy=True, approx: bool = False, rules: str = "name"
+) -> TableProfile:
+    """Column statistics, a masked sample in key order, and the personal data found in the whole table."""
+    from plumbline.operators.mask import MaskPolicy
+    from plumbline.operators.pii import pii_summary
+
+    chosen = MaskPolicy() if policy is True else policy
+    return TableProfile(
+        profile(df, top_k, approx=approx, rules=rules, policy=chosen),
+        sample_rows(df, sample_n, row_key, chosen),
+        pii_summary(df, row_key),
+    )

@@ -64,13 +64,15 @@ def doc_find(
         # One row per distinct key: the size of a schema, not of the data.
         inferred = infer_document_schema(found, json_col).orderBy("key").collect()
         keys = {row["key"]: row["type"] for row in inferred}
-    doc = F.try_parse_json(F.col(json_col))
+    # Parsed once per document, then taken apart.
+    parsed = found.select(*keep, F.try_parse_json(F.col(json_col)).alias("__doc"))
+    doc = F.col("__doc")
     plain = {"BIGINT", "DOUBLE", "BOOLEAN"}
     values = [
         F.try_variant_get(doc, _field(key), kind if kind in plain else "string").alias(key)
         for key, kind in keys.items()
     ]
-    return found.select(*keep, *values)
+    return parsed.select(*keep, *values)
 
 
 def doc_count(df: DataFrame, json_col: str, filter: Mapping[str, object] | None = None) -> DataFrame:

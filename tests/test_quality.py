@@ -74,6 +74,24 @@ def test_profile_of_shop(shop):
     assert {c: r["enum_values"] for c, r in one_pass.items()} == {c: r["enum_values"] for c, r in by_column.items()}
 
 
+def test_profile_leaks_nothing(spark):
+    data = [(1, "ann@example.com", "Ann A", "call 415-555-0100", "gold"), (2, "bob@example.com", "Bob B", None, "gold"), (3, "cy@example.com", "Cy C", "none", "free")]
+    customers = spark.createDataFrame(data, "customer_id long, email string, full_name string, remark string, tier string")
+    for approx in (False, True):
+        whole = profile.table_profile(customers, ["customer_id"], approx=approx)
+        columns = {r["column"]: r for r in whole.columns.collect()}
+        assert len(columns) == 5 and columns["email"]["distinct_count"] == 3 and columns["email"]["enum_values"] is None
+        assert [v["value"] for v in columns["email"]["top_values"]] == ["[REDACTED:EMAIL]"] * 3
+        assert sorted(v["value"] for v in columns["remark"]["top_values"]) == ["[REDACTED:PHONE]", "none"]
+        assert columns["tier"]["enum_values"] == ["free", "gold"] and columns["tier"]["top_values"][0] == ("gold", 2)
+        assert columns["customer_id"]["top_values"][0] == ("1", 1)
+        text = str(columns) + str(whole.sample.collect())
+        assert "example.com" not in text and "415-555" not in text and "Ann A" not in text
+        assert dict(rows(whole.pii)) == {"EMAIL": 6, "PERSON": 3, "PHONE": 1}
+    raw = {r["column"]: r for r in profile.profile(customers, policy=None).collect()}
+    assert len(raw["email"]["enum_values"]) == 3
+
+
 def test_empty_table(shop):
     empty = profile.profile(shop.where("false"))
     assert empty.count() == 5
