@@ -211,17 +211,36 @@ class TokenBucket:
         return out
 
     @staticmethod
-    def apply(pieces: list, start: int) -> int:
-        for low, high, fixed, value in pieces:
-            if low < start <= high:
-                return value if fixed else start + value
-        raise ValueError("start state outside of the summarised range")
+    def apply(stages: list, start: int) -> int:
+        """End state from a start state: the stages of the summarised function, one after the other."""
+        for pieces in stages:
+            for low, high, fixed, value in pieces:
+                if low < start <= high:
+                    start = value if fixed else start + value
+                    break
+            else:
+                raise ValueError("start state outside of the summarised range")
+        return start
+
+
+def _image(pieces: list[tuple]) -> tuple[int, int]:
+    """Smallest interval (low, high] that holds all values of a piecewise function."""
+    low = min(value - 1 if fixed else low + value for low, _, fixed, value in pieces)
+    return low, max(value if fixed else high + value for _, high, fixed, value in pieces)
 
 
 def _bucket_summary(batches: Iterator[pd.DataFrame], bucket: TokenBucket) -> Iterator[pd.DataFrame]:
-    """Chunk summary whose ``first_end`` is the first key's end state as a function of its start state."""
+    """Chunk summary whose ``first_end`` is the first key's end state as a function of its start state.
+
+    Refused and capped calls make start states meet, so the values soon lie close together. Whenever their interval
+    has shrunk by a tenth, the function so far is put aside as a finished stage and a new one starts on that interval.
+    That keeps every function short, and the stages of a chunk are few: their number grows with the logarithm of the
+    bucket size, not with the calls.
+    """
     chunk = first_key = key = None
+    stages: list[list[tuple]] = []
     pieces: list[tuple] = []
+    width = bucket.slack + bucket.token
     lowest = state = bucket.FULL
     for batch in batches:
         if not len(batch):
@@ -241,10 +260,14 @@ def _bucket_summary(batches: Iterator[pd.DataFrame], bucket: TokenBucket) -> Ite
                 state, _ = bucket(state, micros)
             elif now + bucket.slack >= lowest:
                 pieces = bucket.spread(pieces, now)
-                lowest = min(value if fixed else low + 1 + value for low, _, fixed, value in pieces)
+                low, high = _image(pieces)
+                if len(pieces) > 4 and high - low <= 0.9 * width:
+                    stages.append(pieces)
+                    pieces, width = [(low, high, False, 0)], high - low
+                lowest = low + 1
     if key is not None:
         yield pd.DataFrame(
-            [(chunk, first_key, key, json.dumps(pieces), json.dumps(state))],
+            [(chunk, first_key, key, json.dumps([*stages, pieces]), json.dumps(state))],
             columns=["chunk", "first_key", "last_key", "first_end", "last_end"],
         )
 

@@ -46,8 +46,10 @@ def test_running_total(spark):
 
 
 def test_rate_limit_replay(spark):
-    for seed, per_minute, gap in [(3, 60, 400_000), (4, 7, 900_000), (5, 1, 5_000_000), (6, 130, 100_000)]:
-        log = hot_log(seed, gap=gap)
+    # The last two keep a large bucket empty for long, over many chunks.
+    cases = [(3, 60, 400_000, 600), (4, 7, 900_000, 600), (5, 1, 5_000_000, 600), (6, 130, 100_000, 600), (15, 300, 20_000, 4000), (16, 97, 9_000, 3000)]
+    for seed, per_minute, gap, n in cases:
+        log = hot_log(seed, n=n, gap=gap)
         got = replay.rate_limit_replay(as_frame(spark, log), ["key"], "start", "id", per_minute, 8)
         tokens, last, want = {}, {}, []
         full, unit = per_minute * 60_000_000, 60_000_000
