@@ -5,7 +5,8 @@ import pytest
 import __spark_entry__ as entry
 from checks.compare import connection, difference
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES = {name: query for module in entry.LIBRARY for name, query in module.QUERIES.items()}
+ORACLES = {name: sql for module in entry.LIBRARY for name, sql in module.ORACLES.items()}
 
 
 @pytest.fixture(scope="module")
