@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import mixing, packing, quality, tokens, topk
+from plumbline.llm import crf, extract, jaccard, licenses, mixing, packing, quality, secrets, tokens, topk
 from plumbline.session import scratch_path
 
 
@@ -19,12 +19,49 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return extract.extract(pages, extract.train(pages))
+
+
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.ngram_components(_table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+    WITH RECURSIVE d AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+        FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+              ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+    r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.b, d.doc_id)) AS component_id
+    FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS b FROM r GROUP BY a) c USING (doc_id)
+"""
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "llm-tokens")
     tokens.write_tokens(_table(spark, sf_dir, "documents"), path, word_bpe(), end_id=2)
     return tokens.token_digests(spark, path)
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.train(docs))
+    base = F.filter("spans", lambda x: x["kind"] < len(secrets.PATTERNS))
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+
+    counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(secrets.PATTERNS)]
+    return found.select("doc_id", *counts, F.sha2(secrets.shown(base), 256).alias("base_sha256"), secrets.shown(F.col("spans")).alias("spans"))
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return topk.exact_topk(vectors, vectors.where("vec_id % 100 = 0"), k=10, scale=1024)
@@ -72,6 +109,28 @@ OP6_SQL = r"""
 """
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_scan(_table(spark, sf_dir, "documents"))
+
+    def labels(spans: str) -> Column:
+        return F.col(spans)["label"]
+
+    first = F.array_min(F.col("base")["first_word"])
+    last = F.array_max(F.col("base")["first_word"])
+    base = F.array_join(F.array_sort(F.array_distinct(labels("base"))), ",")
+    every = F.array_join(F.array_sort(F.array_distinct(F.concat(labels("base"), labels("notices")))), ",")
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), first.alias("first_word"), last.alias("last_word"),
+        base.alias("base_labels"), every.alias("labels"), "score",
+    )
+
+
+def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = crf.score(docs, crf.train(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", crf.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), word_bpe(), end_id=1, capacity=4096)
 
@@ -82,10 +141,15 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_token_output": op3_token_output,
+    "op4_secret_scan": op4_secret_scan,
     "op5_exact_topk": op5_exact_topk,
     "op6_line_frequency": op6_line_frequency,
+    "op7_license_scan": op7_license_scan,
+    "op8_line_quality": op8_line_quality,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_source_mixing": op10_source_mixing,
 }
-ORACLES = {"op5_exact_topk": OP5_SQL, "op6_line_frequency": OP6_SQL}
+ORACLES = {"op2_ngram_jaccard": OP2_SQL, "op5_exact_topk": OP5_SQL, "op6_line_frequency": OP6_SQL}
