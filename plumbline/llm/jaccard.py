@@ -296,5 +296,5 @@ def one_per_component(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """The rows of ``docs`` whose key is their component's; repeated rows of it become one."""
     kept = ngram_components(docs, key, text, n).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_k")).distinct()
     kept = materialise(kept, "kept-keys")
-    found = docs.join(kept, F.col(key) == F.col("_k"), "left_semi").dropDuplicates([key])
+    found = docs.join(kept, docs[key] == kept["_k"], "left_semi").dropDuplicates([key])
     return found.unionByName(docs.where(F.col(key).isNull()))

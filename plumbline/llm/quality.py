@@ -126,8 +126,8 @@ def kept_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", hos
     verdicts = quality_rules(docs, key, text, host, **limits)
     bad = verdicts.where(~F.col("kept")).select(F.col(key).alias("_k"), F.col("host").alias("_h"), F.col("print").alias("_p")).distinct()
     same = (
-        F.col(key).eqNullSafe(F.col("_k"))
-        & (F.xxhash64(F.col(host).isNull(), F.col(host)) == F.col("_h"))
-        & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_p"))
+        docs[key].eqNullSafe(bad["_k"])
+        & (F.xxhash64(docs[host].isNull(), docs[host]) == bad["_h"])
+        & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == bad["_p"])
     )
     return docs.join(bad, same, "left_anti")

@@ -124,7 +124,7 @@ def ratio(token: Column, table: Column) -> Column:
     return let(_codes(token), total)
 
 
-def all_spans(text: Column, models: MarkovModels, least: int = 20, threshold: float = 0.7) -> Column:
+def all_spans(text: Column, models: MarkovModels, least: int = 20, threshold: float = 0.3) -> Column:
     """(start, kind's order, end) of the fixed patterns and of the runs that the models call random, sorted.
 
     A run of ``least`` or more symbols is random if the mean log-likelihood ratio of its pairs is ``threshold`` or
@@ -149,7 +149,7 @@ def shown(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, models: MarkovModels, key: str = "doc_id", text: str = "text", least: int = 20, threshold: float = 0.7) -> DataFrame:
+def scan(docs: DataFrame, models: MarkovModels, key: str = "doc_id", text: str = "text", least: int = 20, threshold: float = 0.3) -> DataFrame:
     """``(key, spans)`` of every row: spans as (start, kind, end) in code points, end exclusive, kinds as in ``KINDS``.
 
     A projection of built-in functions over whole texts: no shuffle, no Python. A null or empty text has no spans;
@@ -158,7 +158,7 @@ def scan(docs: DataFrame, models: MarkovModels, key: str = "doc_id", text: str =
     return docs.select(F.col(key), all_spans(F.coalesce(F.col(text), F.lit("")), models, least, threshold).alias("spans"))
 
 
-def redact(docs: DataFrame, models: MarkovModels, text: str = "text", mark: str = "[secret]", least: int = 20, threshold: float = 0.7) -> DataFrame:
+def redact(docs: DataFrame, models: MarkovModels, text: str = "text", mark: str = "[secret]", least: int = 20, threshold: float = 0.3) -> DataFrame:
     """``docs`` with every span of its text replaced by ``mark``; overlapping spans become one. A null text stays null."""
     value = F.col(text)
 
