@@ -1,13 +1,14 @@
 """Exact n-gram Jaccard join by prefix filters and prefix trees, down to components of similar documents.
 
-The sets are the distinct word n-grams of a text as 64-bit hashes; the global order of the n-grams is the order of
-these hashes. Two sets of Jaccard similarity 4/5 or more share at least ``l`` of the n-grams with which each begins,
-when that beginning has n - ceil(4n/5) + l n-grams. Three exact filters narrow the sets before any pair is formed:
+The sets are the distinct word n-grams of a text as 64-bit hashes. Two sets of Jaccard similarity 4/5 or more share at least ``l`` of the n-grams with which each begins,
+when that beginning has n - ceil(4n/5) + l n-grams, in any global order. Three exact filters narrow the sets before
+any pair is formed:
 
-1. A set whose beginning has fewer n-grams in common with any other set than that goes out. The n-grams of all
+1. In the order of the hashes, a set whose beginning has fewer n-grams in common with any other set than that goes out. The n-grams of all
    beginnings are counted with map-side aggregation, so a passage that many documents share is a few rows.
 2. Of the rest, a set goes out if fewer than 4/5 of all its n-grams occur in any other set of the rest.
-3. Sets that share an n-gram of their (shortest) beginnings are candidates if the n-grams that each shares with any
+3. The n-grams left are put in order of frequency, the rare ones first, so that passages that many documents share come
+   last. Sets that share an n-gram of their (shortest) beginnings are candidates if the n-grams that each shares with any
    set at all, and their sizes, still allow the similarity.
 
 Copies are one set. Candidates first meet the centre of their group, the set with the fewest n-grams of its own; only
@@ -231,6 +232,19 @@ def _possible(a: str, b: str) -> Column:
     return most >= (F.col(f"{a}_n") + F.col(f"{b}_n")) * NUMERATOR
 
 
+def by_frequency(sets: DataFrame) -> DataFrame:
+    """The sets with each n-gram replaced by a number that sorts by frequency among them, then by hash.
+
+    The number holds the frequency (4,095 at most, which orders all that matters) above 51 bits of the hash.
+    """
+    grams = sets.select("id", F.explode("grams").alias("g"))
+    frequency = F.least(F.col("f"), F.lit(4095)).cast("long")
+    number = F.shiftleft(frequency, 51).bitwiseOR(F.col("g").bitwiseAND(F.lit((1 << 51) - 1)))
+    counted = grams.join(grams.groupBy("g").agg(F.count("*").alias("f")), "g").select("id", number.alias("g"))
+    ordered = counted.groupBy("id").agg(F.sort_array(F.collect_list("g")).alias("grams"))
+    return sets.drop("grams").join(ordered, "id")
+
+
 def similar_components(sets: DataFrame) -> DataFrame:
     """``(id, component)`` of the sets ``(id, n, alive, grams)`` that are similar to another one; the rest has no row."""
     length = (F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1).cast("int")
@@ -283,7 +297,8 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n
     whole = materialise(whole.select("id", "n", "grams"), "whole")
     own = _own_grams(whole, "id")
     kept = whole.join(own, "id", "left").withColumn("alive", alive).where(F.col("alive") >= F.ceil(F.col("n") * NUMERATOR / DENOMINATOR))
-    found = similar_components(materialise(kept.select("id", "n", "alive", "grams"), "kept"))
+    kept = materialise(kept.select("id", "n", "alive", "grams"), "kept")
+    found = similar_components(materialise(by_frequency(kept), "ordered"))
     classes = distinct.join(found, "id", "left").select("n", "d1", "d2", F.coalesce("component", "id").alias("component"))
     salted = copies.join(classes, ["n", "d1", "d2"]).select("n", "d1", "d2", "salt", "component")
     result = table.select("id", "n", "d1", "d2", salt.alias("salt")).join(salted, ["n", "d1", "d2", "salt"], "left")
