@@ -202,8 +202,37 @@ def _free_text(spark, sf):
     return m.mask(df, m.MaskPolicy(detectors=()), explicit, "documents")
 
 
+def _mask_nested(spark, sf):
+    """The texts inside an array, a struct and a map."""
+    df = load(spark, sf, "documents").select(
+        "doc_id", F.array("text", "lang").alias("a"), F.struct("text", F.array("text").alias("more")).alias("s"), F.create_map(F.lit("t"), "text").alias("m")
+    )
+    return m.mask(df, m.MaskPolicy())
+
+
+def _mask_numbers(spark, sf):
+    """Card numbers among keys, as whole numbers, decimals and in arrays; phone numbers as plain digits."""
+    key = F.col("o_orderkey")
+    number = F.when(key % 10 == 0, F.lit(4111111111111111)).when(key % 10 == 1, F.lit(4155550123)).otherwise(key)
+    df = load(spark, sf, "orders").select(
+        "o_orderkey", number.alias("n"), number.cast("decimal(20,0)").alias("d"), F.array(number, key).alias("a"), "o_totalprice"
+    )
+    return m.mask(df, m.MaskPolicy())
+
+
+def _scan_nested(spark, sf):
+    df = load(spark, sf, "documents").select("doc_id", F.struct(F.array("text").alias("x")).alias("s"))
+    return pii.scan(df, ["doc_id"])
+
+
+def _scrub_prose(spark, sf):
+    """Web addresses and mail addresses in one text are no credentials; a real one between them is."""
+    text = F.concat(F.lit("see http://x.org/a for more.\n"), "text", F.lit("\nmail bob@x.org, or ftp://joe:pw@x.org/b"))
+    return pii.scrub(load(spark, sf, "documents").select("doc_id", text.alias("text")), ["text"])
+
+
 def _cap_rows(spark, sf):
-    return m.cap(load(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderkey"], row_cap=500)
+    return m.cap(load(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderkey"], row_cap=500, byte_cap=32 << 20)
 
 
 def _cap_bytes(spark, sf):
@@ -211,6 +240,10 @@ def _cap_bytes(spark, sf):
 
 
 QUERIES = {
+    "mask_nested": _mask_nested,
+    "mask_numbers": _mask_numbers,
+    "pii_scan_nested": _scan_nested,
+    "scrub_prose": _scrub_prose,
     "pii_scan_documents": lambda s, d: pii.scan(load(s, d, "documents"), ["doc_id"], cols=["text"]),
     "pii_scan_lines": lambda s, d: pii.scan(_shaped(s, d), ["c_custkey"]),
     "pii_column_names": _name_findings,
@@ -302,6 +335,14 @@ ORACLES = {
         WHEN regexp_full_match(qualified, '.*\.part_9.*') THEN 'hash'
         WHEN regexp_full_match(qualified, '.*\.part_.') THEN 'partial' ELSE 'allow' END AS tier
         FROM (SELECT DISTINCT 'supplier_' || l_suppkey || '.part_' || l_partkey AS qualified FROM lineitem)""",
+    "pii_scan_nested": f"""SELECT doc_id, 's' AS "column", detector, entity_type, confidence FROM ({_findings_sql('documents', 'doc_id')})""",
+    "mask_nested": f"""SELECT doc_id, [t, lang] AS a, {{'text': t, 'more': [t]}} AS s, MAP {{'t': t}} AS m
+        FROM (SELECT doc_id, lang, CASE WHEN label IS NULL THEN text ELSE '[REDACTED:' || label || ']' END AS t FROM (SELECT *, {LABEL} AS label FROM documents))""",
+    "mask_numbers": """SELECT o_orderkey, n, CAST(n AS DECIMAL(20,0)) AS d, [n, o_orderkey] AS a, o_totalprice
+        FROM (SELECT *, CASE WHEN o_orderkey % 10 > 1 THEN o_orderkey END AS n FROM orders)""",
+    "scrub_prose": r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(
+        'see http://x.org/a for more.' || chr(10) || text || chr(10) || 'mail bob@x.org, or ftp://joe:pw@x.org/b',
+        '(?i)password=[^ ;,)]+', 'password=***', 'g'), '(?i)token=[^ ;,)]+', 'token=***', 'g'), '//[^:/@\s]+:[^/@\s]+@', '//***:***@', 'g') AS text FROM documents""",
     "sensitivity_free_text": "SELECT doc_id, '<TEXT len=' || length(text) || '>' AS text, lang, source, n_chars FROM documents",
     "cap_rows": f"SELECT o_orderkey, o_orderstatus, true AS truncated FROM ({SIZED}) WHERE rn <= 500",
     "cap_bytes": f"""SELECT o_orderkey, o_orderstatus, true AS truncated FROM (

@@ -168,8 +168,66 @@ def _value_diff_dirty(spark, sf):
 
 
 def _value_diff_fast(spark, sf):
-    counts = diff.value_diff(*_sides(spark, sf), ["o_orderkey"], prefilter=4096)
-    return counts.select("rows_only_left", "rows_only_right", "rows_changed", "duplicate_keys")
+    return diff.value_diff(*_sides(spark, sf), ["o_orderkey"], prefilter=4096)
+
+
+def _typed_set(spark, sf):
+    """Doubles, decimals, integers and dates against sets written as numbers and texts."""
+    df = load(spark, sf, "lineitem").select(
+        "l_quantity", F.col("l_discount").cast("decimal(12,4)").alias("l_discount"), "l_linenumber", F.to_date("l_shipdate").alias("day")
+    )
+    spec = [
+        {"column_values_in_set": {"column": "l_quantity", "set": [1, 2.0, "3", 50]}},
+        {"column_values_in_set": {"column": "l_discount", "set": [0, 0.05, "0.1"]}},
+        {"column_values_in_set": {"column": "l_linenumber", "set": ["1", 2, 3.0]}},
+        {"column_values_in_set": {"column": "day", "set": ["1995-01-02", "1996-03-04"]}},
+    ]
+    return expect.check(df, spec).select("column", "passed", "observed")
+
+
+def _moved(spark, sf):
+    """Two text columns, and a copy in which a null or a separator has moved from one to the other for some keys."""
+    key = F.col("o_orderkey")
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    left = load(spark, sf, "orders").select(
+        "o_orderkey", F.when(key % 5 != 0, status).alias("a"), F.when(key % 5 == 0, status).otherwise(F.concat(F.lit("x|"), priority)).alias("b")
+    )
+    null_moved, bar_moved = key % 35 == 0, key % 11 == 1
+    right = left.select(
+        "o_orderkey",
+        F.when(null_moved, F.col("b")).when(bar_moved & F.col("a").isNotNull(), F.concat(F.col("a"), F.lit("|x"))).otherwise(F.col("a")).alias("a"),
+        F.when(null_moved, F.lit(None)).when(bar_moved & F.col("a").isNotNull(), F.substring("b", 3, 100)).otherwise(F.col("b")).alias("b"),
+    )
+    return left, right
+
+
+def _null_moves(spark, sf):
+    return diff.value_diff(*_moved(spark, sf), ["o_orderkey"], prefilter=1 << 20)
+
+
+def _null_move_buckets(spark, sf):
+    found = diff.bucket_checksum_diff(*_moved(spark, sf), ["o_orderkey"], 1 << 16, algorithm="md5")
+    return found.select("bucket")
+
+
+def _retyped(spark, sf):
+    """A number that became text, some values changed, and a map column beside it."""
+    key = F.col("o_orderkey")
+    left = load(spark, sf, "orders").select("o_orderkey", "o_custkey", F.create_map(F.lit("s"), "o_orderstatus", F.lit("p"), "o_orderpriority").alias("m"))
+    right = left.select(
+        "o_orderkey", F.when(key % 7 == 0, "?").otherwise(F.col("o_custkey").cast("string")).alias("o_custkey"),
+        F.when(key % 13 == 0, F.create_map(F.lit("s"), F.lit("!"))).otherwise(F.map_from_entries(F.reverse(F.map_entries("m")))).alias("m"),
+    )
+    return left, right
+
+
+def _retyped_cells(spark, sf):
+    cells = diff.changed_cells(*_retyped(spark, sf), ["o_orderkey"])
+    return diff.changed_cells_by_column(cells)
+
+
+def _retyped_environment(spark, sf):
+    return diff.environment_diff(*_retyped(spark, sf), "full", ["o_orderkey"]).where("section = 'value'").select("item", "detail")
 
 
 def _diff_rows(spark, sf):
@@ -230,6 +288,10 @@ QUERIES = {
     "diff_values": _value_diff,
     "diff_values_duplicates": _value_diff_dirty,
     "diff_values_prefiltered": _value_diff_fast,
+    "diff_null_moves": _null_moves,
+    "diff_null_move_buckets": _null_move_buckets,
+    "diff_retyped": _retyped_cells,
+    "diff_retyped_environment": _retyped_environment,
     "diff_value_rows": _diff_rows,
     "diff_changed_cells": _cells,
     "diff_changed_by_column": _cells_by_column,
@@ -238,6 +300,7 @@ QUERIES = {
     "expect_not_null": _one({"column_not_null": "o_orderstatus"}, {"column_not_null": "o_custkey"}),
     "expect_unique": _one({"column_unique": "o_orderkey"}, {"column_unique": ["o_orderkey", "o_custkey"]}),
     "expect_values_in_set": _one({"column_values_in_set": {"column": "o_orderstatus", "set": ["F", "O"]}}),
+    "expect_values_in_typed_set": _typed_set,
     "expect_freshness": _one({"column_freshness_seconds": {"column": "o_orderdate", "max": 3600}}),
     "expect_castable": _one({"column_values_castable": {"column": "o_orderstatus", "type": "int"}}),
     "expect_foreign_key": _one({"foreign_key": {"column": "o_custkey", "ref_table": "customer", "ref_column": "c_custkey"}}),
@@ -325,7 +388,8 @@ BUCKET_COUNTS = f"""{SIDES},
     c AS (SELECT coalesce(a.bucket, b.bucket) AS bucket, coalesce(a.n, 0) AS left_count, coalesce(b.n, 0) AS right_count
           FROM a FULL OUTER JOIN b ON a.bucket = b.bucket),
     d AS (SELECT *, greatest(left_count - right_count, 0) AS only_left, greatest(right_count - left_count, 0) AS only_right FROM c)"""
-ROW_HASH = "CAST(('0x' || substr(md5(concat_ws('|', o_orderkey, o_custkey, coalesce(o_orderstatus, chr(0)), o_orderpriority)), 1, 15)) AS HUGEINT)"
+ROW_TEXT = " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in CHECKSUM_COLS)
+ROW_HASH = f"CAST(('0x' || substr(md5({ROW_TEXT}), 1, 15)) AS HUGEINT)"
 
 RESULT = """CAST({i} AS INTEGER) AS ordinal, '{name}' AS expectation, {column} AS "column", {passed} AS passed, {observed} AS observed,
     {expected} AS expected, {message} AS message"""
@@ -479,7 +543,20 @@ ORACLES = {
                CAST(a.h AS VARCHAR) AS left_checksum, CAST(b.h AS VARCHAR) AS right_checksum
         FROM a FULL OUTER JOIN b ON a.bucket = b.bucket WHERE a.h IS DISTINCT FROM b.h OR a.n IS DISTINCT FROM b.n""",
     "diff_values": f"{JOINED} SELECT {VALUE_COUNTS} FROM j",
-    "diff_values_prefiltered": f"{JOINED} SELECT rows_only_left, rows_only_right, rows_changed, duplicate_keys FROM (SELECT {VALUE_COUNTS} FROM j)",
+    "diff_values_prefiltered": f"{JOINED} SELECT {VALUE_COUNTS} FROM j",
+    "diff_null_moves": """
+        SELECT CAST(0 AS BIGINT) AS rows_only_left, CAST(0 AS BIGINT) AS rows_only_right, count(*) FILTER (moved) AS rows_changed,
+               count(*) FILTER (NOT moved) AS rows_equal, CAST(0 AS BIGINT) AS duplicate_keys, count(*) AS rows_total_compared
+        FROM (SELECT o_orderkey % 35 = 0 OR (o_orderkey % 11 = 1 AND o_orderkey % 5 <> 0) AS moved FROM orders)""",
+    "diff_null_move_buckets": f"""
+        SELECT DISTINCT {BUCKET.format(n=65536)} AS bucket FROM orders WHERE o_orderkey % 35 = 0 OR (o_orderkey % 11 = 1 AND o_orderkey % 5 <> 0)""",
+    "diff_retyped": """SELECT * FROM (SELECT 'o_custkey' AS "column", count(*) FILTER (o_orderkey % 7 = 0) AS changed FROM orders
+        UNION ALL SELECT 'm', count(*) FILTER (o_orderkey % 13 = 0) FROM orders)""",
+    "diff_retyped_environment": """
+        WITH c AS (SELECT count(*) AS n, count(*) FILTER (o_orderkey % 7 = 0 OR o_orderkey % 13 = 0) AS x FROM orders)
+        SELECT 'rows_only_left' AS item, '0' AS detail UNION ALL SELECT 'rows_only_right', '0' UNION ALL SELECT 'duplicate_keys', '0'
+        UNION ALL SELECT 'rows_changed', CAST(x AS VARCHAR) FROM c UNION ALL SELECT 'rows_equal', CAST(n - x AS VARCHAR) FROM c
+        UNION ALL SELECT 'rows_total_compared', CAST(n AS VARCHAR) FROM c""",
     "diff_values_duplicates": f"""WITH r AS ({ORDERS_DIRTY}), k AS (SELECT o_orderkey, count(*) AS n FROM r GROUP BY 1),
         j AS (SELECT l.o_orderkey, n, l.o_orderstatus = r.o_orderstatus AS same
               FROM orders l JOIN k USING (o_orderkey) JOIN (SELECT DISTINCT o_orderkey, o_orderstatus FROM r) r USING (o_orderkey))
@@ -500,6 +577,11 @@ ORACLES = {
     "expect_not_null": _on_dirty(_null_sql(1, "o_orderstatus"), _null_sql(2, "o_custkey")),
     "expect_unique": _on_dirty(_unique_sql(1, ["o_orderkey"]), _unique_sql(2, ["o_orderkey", "o_custkey"])),
     "expect_values_in_set": _on_dirty(_set_sql(1, "o_orderstatus", ["F", "O"])),
+    "expect_values_in_typed_set": """SELECT c AS "column", n = 0 AS passed, CAST(n AS VARCHAR) AS observed FROM (
+        SELECT 'l_quantity' AS c, count(*) FILTER (l_quantity NOT IN (1, 2, 3, 50)) AS n FROM lineitem
+        UNION ALL SELECT 'l_discount', count(*) FILTER (CAST(l_discount AS DECIMAL(12,4)) NOT IN (0, 0.05, 0.1)) FROM lineitem
+        UNION ALL SELECT 'l_linenumber', count(*) FILTER (l_linenumber NOT IN (1, 2, 3)) FROM lineitem
+        UNION ALL SELECT 'day', count(*) FILTER (CAST(l_shipdate AS DATE) NOT IN (DATE '1995-01-02', DATE '1996-03-04')) FROM lineitem)""",
     "expect_freshness": _on_dirty(_fresh_sql(1)),
     "expect_castable": _on_dirty(_cast_sql(1, "o_orderstatus")),
     "expect_foreign_key": _on_dirty(_fk_sql(1)),

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks import governance, lineage, quality
 from checks.common import load
 from checks.privacy import LABEL, valid_cards
 from plumbline.functions.cells import to_number
-from plumbline.operators import anomaly, pages, verify
+from plumbline.operators import anomaly, govern, pages, verify
 from plumbline.operators.mask import MaskPolicy, Sensitivity
 from plumbline.plans import governed, runs
 from plumbline.session import scratch_path
@@ -206,10 +209,37 @@ def _governed_audit(spark, sf):
     load(spark, sf, "documents").createOrReplaceTempView("docs_governed")
     outcome = governed.governed_sql(spark, "SELECT doc_id, text FROM docs_governed")
     return outcome.audit().select(
-        "tool", F.col("policy_verdict.matched_rule").alias("rule"), "rows", "cells", F.col("pii_summary")["EMAIL"].alias("emails"),
+        "tool", F.col("policy_verdict.matched_rule").alias("rule"), "rows", "cells", "bytes_returned", F.col("pii_summary")["EMAIL"].alias("emails"),
         F.col("pii_summary")["CREDIT_CARD"].alias("cards"))
 
 
+def _governed_denied(spark, sf):
+    """One call for every way to be refused, and one that runs: the audit records of them all."""
+    load(spark, sf, "orders").createOrReplaceTempView("audit_log")
+    spark.sql("CREATE OR REPLACE TEMP VIEW innocent AS SELECT o_orderkey FROM audit_log")
+    load(spark, sf, "orders").createOrReplaceTempView("orders_governed")
+    limits = govern.CostLimits(max_bytes=10**15)
+    calls = [
+        ("table", "SELECT o_orderkey FROM audit_log", {}),
+        ("view", "SELECT count(*) AS n FROM innocent", {}),
+        ("subquery", "SELECT o_orderkey FROM orders_governed WHERE o_orderkey IN (SELECT o_orderkey FROM innocent)", {}),
+        ("write", "INSERT INTO orders_governed VALUES (1)", {}),
+        ("tenant", "SELECT o_orderkey FROM orders_governed", {"tenant_id": "t1", "tenants": {"t1": ["other"]}}),
+        ("cost", "SELECT a.o_orderkey FROM orders_governed a CROSS JOIN orders_governed b", {"limits": limits}),
+        ("runs", "SELECT o_orderkey FROM orders_governed", {"limits": limits, "tenants": {"t1": ["spark"]}, "tenant_id": "t1"}),
+    ]
+    records = []
+    for name, sql, context in calls:
+        try:
+            record = governed.governed_sql(spark, sql, governed.CallContext(**context)).audit()
+        except governed.Denied as denied:
+            record = denied.audit
+        records.append(record.select(
+            F.lit(name).alias("call"), F.col("policy_verdict.verdict").alias("verdict"), F.col("policy_verdict.matched_rule").alias("rule"),
+            F.col("sql_ast_summary")["touches"].alias("touches"), "rows"))
+    return reduce(DataFrame.unionByName, records)
+
+
 # -- streams ----------------------------------------------------------------------------------------------------
 
 
@@ -262,6 +292,7 @@ QUERIES = {
     "governed_query": _governed,
     "governed_capped": _governed_capped,
     "governed_audit": _governed_audit,
+    "governed_denied": _governed_denied,
     "stream_mask": _stream_mask,
     "stream_rate_limit": _stream_rate,
     "stream_window_counts": _stream_windows,
@@ -362,8 +393,16 @@ ORACLES = {
         FROM (SELECT *, {LABEL} AS label FROM documents WHERE lang = 'en')""",
     "governed_capped": """SELECT *, true AS truncated FROM (SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1 UNION SELECT 'all', count(*) FROM orders) ORDER BY status LIMIT 3""",
     "governed_audit": r"""SELECT 'query_database' AS tool, 'allow-select-read-only' AS rule, count(*) AS rows, 2 * count(*) AS cells,
+        (SELECT CAST(sum(strlen(to_json({'doc_id': doc_id, 'text': CASE WHEN label IS NULL THEN text ELSE '[REDACTED:' || label || ']' END}))) AS BIGINT)
+         FROM (SELECT *, LABEL AS label FROM documents)) AS bytes_returned,
         count(*) FILTER (regexp_matches(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b')) AS emails,
-        count(*) FILTER (CARDS) AS cards FROM documents""".replace("CARDS", f"len({valid_cards('text')}) > 0"),
+        count(*) FILTER (CARDS) AS cards FROM documents""".replace("CARDS", f"len({valid_cards('text')}) > 0").replace("LABEL", LABEL),
+    "governed_denied": """SELECT call, CASE call WHEN 'runs' THEN 'permit' WHEN 'write' THEN 'consent_required' ELSE 'deny' END AS verdict, rule, touches,
+        CASE call WHEN 'runs' THEN (SELECT count(*) FROM orders) ELSE 0 END AS rows
+        FROM (VALUES ('table', 'deny-system-tables', '["audit_log"]'), ('view', 'deny-system-tables', '["audit_log", "innocent"]'),
+                     ('subquery', 'deny-system-tables', '["audit_log", "innocent", "orders_governed"]'), ('write', WRITE_RULE, '[]'),
+                     ('tenant', 'tenant', '["orders_governed"]'), ('cost', 'cost', '["orders_governed"]'),
+                     ('runs', 'allow-select-read-only', '["orders_governed"]')) v(call, rule, touches)""".replace("WRITE_RULE", "'consent-for-non-select'"),
     "stream_mask": f"""SELECT doc_id, lang, source, n_chars, CASE WHEN label IS NULL THEN text ELSE '[REDACTED:' || label || ']' END AS text
         FROM (SELECT *, {LABEL} AS label FROM documents)""",
     "stream_rate_limit": governance.ORACLES["rate_limit_replay"],

@@ -54,7 +54,7 @@ NEED_DIGITS = ("us_ssn", "phone_e164", "phone_us", "ipv4", "iban", "credit_card"
 class Detector:
     """A named detector; ``score`` maps a text column to a confidence column.
 
-    ``digits`` says that texts without a digit never fire.
+    ``digits`` says that texts without a digit never fire; ``native`` that the score is a built-in expression.
     """
 
     name: str
@@ -62,6 +62,7 @@ class Detector:
     score: Callable[[Column], Column]
     kind: str = "custom"
     digits: bool = False
+    native: bool = True
 
     def fires(self, value: Column, threshold: float = THRESHOLD) -> Column:
         return F.coalesce(self.score(value) >= F.lit(threshold), F.lit(False))
@@ -118,7 +119,7 @@ def register_detector(
         score = lambda value: _certain(expr(value))
     else:
         raise ValueError("a detector needs a pattern, an expression or a UDF")
-    REGISTRY[name] = Detector(name, entity, score, kind, digits)
+    REGISTRY[name] = Detector(name, entity, score, kind, digits, udf is None)
     return REGISTRY[name]
 
 

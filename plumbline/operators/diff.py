@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import DoubleType, FloatType, MapType, VariantType
 
 from plumbline.operators.profile import quoted
 
@@ -60,6 +60,26 @@ def _key_text(pk: Sequence[str]) -> Column:
     return F.concat_ws("|", *[quoted(k).cast("string") for k in pk])
 
 
+def comparable(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``columns`` in a form that compares and hashes alike on either side.
+
+    A column retyped between the sides is compared as text; maps are sorted entries, variants are text.
+    """
+
+    def side(df: DataFrame, other: DataFrame) -> DataFrame:
+        def form(column: str) -> Column:
+            kind = df.schema[column].dataType
+            if kind != other.schema[column].dataType or isinstance(kind, VariantType):
+                return quoted(column).cast("string").alias(column)
+            if isinstance(kind, MapType):
+                return F.sort_array(F.map_entries(quoted(column))).alias(column)
+            return quoted(column).alias(column)
+
+        return df.select(*[form(c) for c in columns])
+
+    return side(left, right), side(right, left)
+
+
 def key_bucket(pk: Sequence[str], buckets: int = BUCKETS, algorithm: str = "md5") -> Column:
     """Bucket of a key. ``md5`` takes 32 bits of the MD5 of its text, the same in any engine; ``xxhash64`` is faster."""
     if algorithm == "xxhash64":
@@ -86,12 +106,29 @@ def bucket_count_summary(buckets: DataFrame) -> DataFrame:
 
 
 def _row_hash(columns: Sequence[str], algorithm: str) -> Column:
+    """Hash of a row in which no two different rows read alike: nulls are marked and texts carry their length."""
     if algorithm == "xxhash64":
-        return F.xxhash64(*[quoted(c) for c in columns]).cast("decimal(38,0)")
-    text = F.concat_ws("|", *[F.coalesce(quoted(c).cast("string"), F.lit("\u0000")) for c in columns])
+        return F.xxhash64(*[part for c in columns for part in (quoted(c).isNull(), quoted(c))]).cast("decimal(38,0)")
+    texts = [quoted(c).cast("string") for c in columns]
+    text = F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts])
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
 
 
+def _bucket_checksums(
+    left: DataFrame, right: DataFrame, pk: Sequence[str], buckets: int, cols: Sequence[str], algorithm: str
+) -> DataFrame:
+    """Counts and checksums of every key bucket, and whether both sides agree."""
+    left, right = comparable(left, right, list(dict.fromkeys([*pk, *cols])))
+    pick = [key_bucket(pk, buckets, algorithm).alias("bucket"), _row_hash(cols, algorithm).alias("__hash")]
+    summed = _two_sided(left.select(*pick), right.select(*pick)).groupBy("bucket").agg(
+        *_side_counts(),
+        F.sum(F.when(F.col("__left"), F.col("__hash"))).alias("left_checksum"),
+        F.sum(F.when(~F.col("__left"), F.col("__hash"))).alias("right_checksum"),
+    )
+    same = F.col("left_checksum").eqNullSafe(F.col("right_checksum")) & (F.col("left_count") == F.col("right_count"))
+    return summed.withColumn("__same", same)
+
+
 def bucket_checksum_diff(
     left: DataFrame,
     right: DataFrame,
@@ -102,53 +139,43 @@ def bucket_checksum_diff(
 ) -> DataFrame:
     """Key buckets whose row checksums differ; buckets that agree are dropped.
 
-    The checksum is the sum of the row hashes: it ignores row order and combines on the map side.
+    The checksum is the sum of the row hashes: it ignores row order and combines on the map side. Without ``cols`` the
+    columns of both sides are compared.
     """
-    cols = list(cols or left.columns)
-    pick = [key_bucket(pk, buckets, algorithm).alias("bucket"), _row_hash(cols, algorithm).alias("__hash")]
-    summed = _two_sided(left.select(*pick), right.select(*pick)).groupBy("bucket").agg(
-        *_side_counts(),
-        F.sum(F.when(F.col("__left"), F.col("__hash"))).alias("left_checksum"),
-        F.sum(F.when(~F.col("__left"), F.col("__hash"))).alias("right_checksum"),
-    )
-    same = F.col("left_checksum").eqNullSafe(F.col("right_checksum")) & (F.col("left_count") == F.col("right_count"))
-    return summed.where(~same)
+    cols = list(cols) if cols is not None else [c for c in left.columns if c in right.columns]
+    return _bucket_checksums(left, right, pk, buckets, cols, algorithm).where(~F.col("__same")).drop("__same")
 
 
-def _equal(left: DataFrame, column: str, tolerance: float) -> Column:
+def _equal(kinds: dict, column: str, tolerance: float) -> Column:
     l, r = F.col("__l")[column], F.col("__r")[column]
     same = l.eqNullSafe(r)
-    if tolerance and isinstance(left.schema[column].dataType, (DoubleType, FloatType)):
+    if tolerance and isinstance(kinds[column], (DoubleType, FloatType)):
         same = same | F.coalesce(F.abs(l - r) <= F.lit(tolerance), F.lit(False))
     return same
 
 
-def _paired(left: DataFrame, right: DataFrame, pk: Sequence[str], cols: Sequence[str] | None, prefilter: int | None) -> tuple[DataFrame, list[str]]:
-    """One row per key with the counts and the rows of both sides, and the compared columns."""
+def _compared(left: DataFrame, right: DataFrame, pk: Sequence[str], cols: Sequence[str] | None) -> list[str]:
     if not pk:
         raise ValueError("a value diff needs a primary key")
-    cols = list(cols) if cols is not None else [c for c in left.columns if c in right.columns and c not in pk]
-    if prefilter:
-        # The documented shortcut: buckets with equal checksums are skipped, which pays when few rows changed and the
-        # buckets are many. Hashes can collide, so it is opt-in.
-        bad = bucket_checksum_diff(left.select(*pk, *cols), right.select(*pk, *cols), pk, prefilter).select("bucket")
-        bucket = key_bucket(pk, prefilter, "xxhash64")
-        left = left.withColumn("bucket", bucket).join(bad, "bucket", "left_semi")
-        right = right.withColumn("bucket", bucket).join(bad, "bucket", "left_semi")
+    return list(cols) if cols is not None else [c for c in left.columns if c in right.columns and c not in pk]
+
+
+def _classified(left: DataFrame, right: DataFrame, pk: Sequence[str], cols: Sequence[str], tolerance: float) -> tuple[DataFrame, dict]:
+    """One row per key: counts, rows of both sides, and the class; and the types in which the columns are compared.
+
+    Of a key that repeats on a side the smallest row stands for the rest, so the result is the same at every run.
+    """
+    left, right = comparable(left, right, list(dict.fromkeys([*pk, *cols])))
+    kinds = {f.name: f.dataType for f in left.schema.fields}
     keys = [quoted(k) for k in pk]
     row = F.struct(*[quoted(c) for c in cols]) if cols else F.struct(F.lit(1).alias("__none"))
     both = _two_sided(left.select(*keys, row.alias("__row")), right.select(*keys, row.alias("__row")))
-    grouped = both.groupBy(*keys).agg(
+    paired = both.groupBy(*keys).agg(
         *_side_counts(),
-        F.first(F.when(F.col("__left"), F.col("__row")), ignorenulls=True).alias("__l"),
-        F.first(F.when(~F.col("__left"), F.col("__row")), ignorenulls=True).alias("__r"),
+        F.min(F.when(F.col("__left"), F.col("__row"))).alias("__l"),
+        F.min(F.when(~F.col("__left"), F.col("__row"))).alias("__r"),
     )
-    return grouped, cols
-
-
-def _classified(left, right, pk, cols, tolerance, prefilter=None) -> tuple[DataFrame, list[str]]:
-    paired, cols = _paired(left, right, pk, cols, prefilter)
-    same = reduce(lambda a, b: a & b, [_equal(left, c, tolerance) for c in cols], F.lit(True))
+    same = reduce(lambda a, b: a & b, [_equal(kinds, c, tolerance) for c in cols], F.lit(True))
     l, r = F.col("left_count"), F.col("right_count")
     kind = (
         F.when(r == 0, "only_left")
@@ -157,7 +184,7 @@ def _classified(left, right, pk, cols, tolerance, prefilter=None) -> tuple[DataF
         .when(same, "equal")
         .otherwise("changed")
     )
-    return paired.withColumn("kind", kind), cols
+    return paired.withColumn("kind", kind), kinds
 
 
 def value_diff(
@@ -170,13 +197,25 @@ def value_diff(
 ) -> DataFrame:
     """Exact counts of rows only left, only right, changed and compared; keys repeated on a shared key are their own class.
 
-    Keys compare null-safe. ``tolerance`` is absolute and applies to floating point columns. ``prefilter`` (a bucket
-    count) first drops key buckets with equal checksums.
+    Keys compare null-safe, retyped columns as text. ``tolerance`` is absolute and applies to floating point columns.
+    ``prefilter`` (a bucket count) first drops key buckets with equal checksums, which pays when few rows changed and
+    the buckets are many; hashes can collide, so it is opt-in. Rows of dropped buckets count as equal and as compared.
     """
-    rows, _ = _classified(left, right, pk, cols, tolerance, prefilter)
+    cols = _compared(left, right, pk, cols)
+    skipped = None
+    if prefilter:
+        both = list(dict.fromkeys([*pk, *cols]))
+        left, right = comparable(left, right, both)
+        buckets = _bucket_checksums(left, right, pk, prefilter, both, "xxhash64")
+        bad = buckets.where(~F.col("__same")).select("bucket")
+        skipped = buckets.where("__same").agg(F.coalesce(F.sum("left_count"), F.lit(0)).alias("n"))
+        bucket = key_bucket(pk, prefilter, "xxhash64")
+        left = left.withColumn("bucket", bucket).join(bad, "bucket", "left_semi")
+        right = right.withColumn("bucket", bucket).join(bad, "bucket", "left_semi")
+    rows, _ = _classified(left, right, pk, cols, tolerance)
     kind, l, r = F.col("kind"), F.col("left_count"), F.col("right_count")
     total = lambda condition, n: F.coalesce(F.sum(F.when(condition, n)), F.lit(0))
-    return rows.agg(
+    counts = rows.agg(
         total(kind == "only_left", l).alias("rows_only_left"),
         total(kind == "only_right", r).alias("rows_only_right"),
         F.count_if(kind == "changed").alias("rows_changed"),
@@ -184,6 +223,10 @@ def value_diff(
         F.count_if(kind == "duplicate").alias("duplicate_keys"),
         F.coalesce(F.sum(l), F.lit(0)).alias("rows_total_compared"),
     )
+    if skipped is None:
+        return counts
+    rest = skipped.select(*[(F.col("n") if c in ("rows_equal", "rows_total_compared") else F.lit(0).cast("bigint")).alias(c) for c in counts.columns])
+    return counts.unionByName(rest).agg(*[F.sum(c).alias(c) for c in counts.columns])
 
 
 def value_diff_rows(
@@ -196,7 +239,7 @@ def value_diff_rows(
     tolerance: float = 0.0,
 ) -> DataFrame:
     """Differing rows with both versions as structs; ``limit`` samples the first keys in key order."""
-    rows, _ = _classified(left, right, pk, cols, tolerance)
+    rows, _ = _classified(left, right, pk, _compared(left, right, pk, cols), tolerance)
     rows = rows.where(F.col("kind") == kind) if kind else rows.where(F.col("kind") != "equal")
     if limit is not None:
         rows = rows.orderBy(*[quoted(k) for k in pk]).limit(limit)
@@ -207,11 +250,12 @@ def changed_cells(
     left: DataFrame, right: DataFrame, pk: Sequence[str], cols: Sequence[str] | None = None, tolerance: float = 0.0
 ) -> DataFrame:
     """One row per changed cell of the keys both sides hold once: key, column, both values as text."""
-    rows, cols = _classified(left, right, pk, cols, tolerance)
+    cols = _compared(left, right, pk, cols)
+    rows, kinds = _classified(left, right, pk, cols, tolerance)
     cells = F.array(
         *[
             F.when(
-                ~_equal(left, c, tolerance),
+                ~_equal(kinds, c, tolerance),
                 F.struct(
                     F.lit(c).alias("column"),
                     F.col("__l")[c].cast("string").alias("left_value"),

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime
+from decimal import Decimal
 from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, NumericType, StringType
 
 from plumbline.operators.profile import quoted
 
@@ -56,7 +58,16 @@ def _bounds(args: Mapping) -> str:
     return f"min={args.get('min', 0)}, max={args.get('max', 'inf')}"
 
 
-def _scalar(ordinal: int, name: str, args, as_of: Column):
+def _plain_number(text: str) -> str:
+    """A whole number without a fraction, so that 3.0 is a member for whole columns too; other texts as they are."""
+    try:
+        number = Decimal(text)
+        return str(int(number)) if number == number.to_integral_value() else text
+    except (ArithmeticError, ValueError):
+        return text
+
+
+def _scalar(ordinal: int, name: str, args, as_of: Column, kind: DataType | None = None):
     """(aggregate, function from the aggregated column to a result row) of a scalar expectation."""
     if name == "row_count_between":
         low, high = args.get("min", 0), args.get("max")
@@ -84,8 +95,14 @@ def _scalar(ordinal: int, name: str, args, as_of: Column):
         return F.count_if(value.isNull()), zero(f" null(s) in '{column}'")
     if name == "column_values_in_set":
         allowed = [str(v) for v in args["set"]]
-        outside = value.isNotNull() & ~value.cast("string").isin(allowed)
-        return F.count_if(outside), zero(f" value(s) outside {allowed!r}")
+        # Values compare in the column's type; a member that is no such value matches nothing.
+        members = [F.lit(_plain_number(v) if isinstance(kind, NumericType) else v) for v in allowed]
+        if kind is not None and not isinstance(kind, StringType):
+            members = [member.try_cast(kind) for member in members]
+        inside = F.lit(False)
+        for member in members:
+            inside = inside | F.coalesce(value == member, F.lit(False))
+        return F.count_if(value.isNotNull() & ~inside), zero(f" value(s) outside {allowed!r}")
     if name == "column_values_castable":
         bad = value.isNotNull() & value.try_cast(args["type"]).isNull()
         return F.count_if(bad), zero(f" value(s) not castable to {args['type']}")
@@ -179,7 +196,8 @@ def check(
             else:
                 parts.append(_foreign_key(df, ordinal, args, tables))
         else:
-            aggregate, make = _scalar(ordinal, name, args, now)
+            kind = df.schema[columns[0]].dataType if len(columns) == 1 else None
+            aggregate, make = _scalar(ordinal, name, args, now, kind)
             aggregates.append(aggregate.alias(f"__{ordinal}"))
             rows.append(make(F.col(f"__{ordinal}")))
     if aggregates:

@@ -31,7 +31,8 @@ FREETEXT_PARTS = ("name", "title", "description")
 
 ENUM_LIMIT = 12
 SKETCH_ITEMS = 10_000
-SKETCH_READ = 1_000
+#: Values read beyond those asked for, so that equal counts can be ordered by value.
+SKETCH_MARGIN = 1_000
 TOP_TYPE = "array<struct<rank: int, value: string, count: bigint>>"
 
 
@@ -151,6 +152,8 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     Cells travel as (column number, typed slot) and become text only after they are counted.
     """
     columns = list(columns if columns is not None else df.columns)
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, value string, count bigint")
     slots = [_slot(c, df.schema[c].dataType) for c in columns]
     types = {"text": "string", "whole": "bigint", "real": "double"}
     cells = F.array(
@@ -202,12 +205,14 @@ def distinct_stats(df: DataFrame, approx: bool = False, rsd: float = 0.02) -> Da
     )
 
 
-def _sketched_top(column: str) -> Column:
+def _sketched_top(column: str, k: int, tracked: int = SKETCH_ITEMS) -> Column:
     """Most frequent values from a fixed-size sketch, exact while a column has fewer values than the sketch tracks.
 
-    More values are taken out than anyone asks for, so that equal counts can be ordered by value.
+    ``SKETCH_MARGIN`` more values than ``k`` are read where the sketch holds them, to order equal counts by value.
     """
-    items = F.call_function("approx_top_k", quoted(column).cast("string"), F.lit(SKETCH_READ), F.lit(SKETCH_ITEMS))
+    if k > tracked:
+        raise ValueError(f"a sketch of {tracked} values cannot give the {k} most frequent ones; ask for the exact form")
+    items = F.call_function("approx_top_k", quoted(column).cast("string"), F.lit(min(tracked, k + SKETCH_MARGIN)), F.lit(tracked))
     found = F.filter(items, lambda x: x["item"].isNotNull())
     ordered = F.array_sort(F.transform(found, lambda x: F.struct((-x["count"]).alias("n"), x["item"].alias("value"))))
     return F.transform(ordered, lambda x, i: F.struct((i + 1).cast("int").alias("rank"), x["value"].alias("value"), (-x["n"]).alias("count")))
@@ -221,7 +226,7 @@ def top_values(df: DataFrame, k: int = 5, columns: Sequence[str] | None = None,
     """
     if approx:
         names = list(columns if columns is not None else df.columns)
-        stats = {"top": (_sketched_top, TOP_TYPE)}
+        stats = {"top": (lambda c: _sketched_top(c, k), TOP_TYPE)}
         rows = _long_form(df, names, stats).select("column", F.explode(F.slice("top", 1, k)).alias("t"))
         return rows.select("column", "t.value", "t.count", "t.rank")
     by_count = Window.partitionBy("column").orderBy(F.col("count").desc(), F.col("value"))
@@ -243,6 +248,8 @@ def percentiles(
         wide = _long_form(df, numeric, stats)
         pairs = F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("prob"), F.col("values").alias("value"))
         return wide.select("column", F.explode(pairs).alias("pair")).select("column", "pair.prob", "pair.value")
+    if not numeric:
+        return df.sparkSession.createDataFrame([], "column string, prob double, value double")
     cells = F.array(*[F.struct(F.lit(c).alias("column"), quoted(c).cast("double").alias("value")) for c in numeric])
     counts = (
         df.select(F.explode(cells).alias("cell"))
@@ -318,11 +325,12 @@ def profile(
     approx: bool = False,
     rules: str = "name",
     policy=True,
+    enum_limit: int = ENUM_LIMIT,
 ) -> DataFrame:
     """Full profile, one row per column, from two jobs joined on the column name.
 
     One aggregate pass gives counts, nulls, numbers, percentiles (sketch) and lengths. One pass over the value
-    counts gives distincts, top values and, up to twelve distinct values, the whole value set. With ``approx``
+    counts gives distincts, top values and, up to ``enum_limit`` distinct values, the whole value set. With ``approx``
     everything comes from the first pass, and only fixed-size sketches are shuffled: the form for very large tables.
 
     Top values are masked by ``policy`` (a ``MaskPolicy``; True is the default one, None shows raw values), and a
@@ -332,7 +340,7 @@ def profile(
 
     numeric, texts = set(_numeric(df)), set(_texts(df))
     probs = list(probs)
-    kept = max(top_k, ENUM_LIMIT)
+    kept = max(top_k, enum_limit)
 
     def sketch(c):
         return F.percentile_approx(quoted(c).cast("double"), probs) if c in numeric else F.max(F.lit(None).cast("array<double>"))
@@ -342,7 +350,7 @@ def profile(
     if approx:
         stats |= _null_stats()
         stats["distinct_count"] = (lambda c: F.approx_count_distinct(_hashable(df, c), 0.02), "bigint")
-        stats["top"] = (_sketched_top, TOP_TYPE)
+        stats["top"] = (lambda c: _sketched_top(c, kept), TOP_TYPE)
     wide = _long_form(df, columns, stats, {"row_count": F.count(F.lit(1))})
     if approx:
         wide = wide.withColumn("top", F.slice("top", 1, kept))
@@ -377,7 +385,7 @@ def profile(
         ).withColumn("top", F.when(F.size("top") > 0, F.col("top")))
     pairs = F.transform(F.slice("top", 1, top_k), lambda v: F.struct(v["value"].alias("value"), v["count"].alias("count")))
     enum = F.when(
-        F.col("distinct_count").between(1, ENUM_LIMIT) & ~F.col("hidden"), F.array_sort(F.transform("top", lambda v: v["value"]))
+        F.col("distinct_count").between(1, enum_limit) & ~F.col("hidden"), F.array_sort(F.transform("top", lambda v: v["value"]))
     )
     has_rows = F.col("row_count") > 0
     return joined.select(

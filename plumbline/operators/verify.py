@@ -20,9 +20,9 @@ def norm_key(key: Column) -> Column:
 
 
 def _indexed(df: DataFrame, key: str, cols: Sequence[str], order_by: Sequence[str], side: str) -> DataFrame:
-    """One row per key, the last duplicate by ``order_by``, with the number of rows behind it."""
+    """One row per key, the last duplicate by ``order_by`` (the largest row without one), with the number of rows behind it."""
     row = F.struct(*[quoted(c) for c in cols], F.lit(0).alias("__none"))
-    last = F.max_by(row, F.struct(*[quoted(c) for c in order_by])) if order_by else F.last(row)
+    last = F.max_by(row, F.struct(*[quoted(c) for c in order_by])) if order_by else F.max(row)
     return df.groupBy(norm_key(quoted(key)).alias(f"__{side}")).agg(last.alias(f"{side}_row"), F.count(F.lit(1)).alias(f"{side}_rows"))
 
 

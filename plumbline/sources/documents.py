@@ -39,12 +39,24 @@ def _matches(json_col: str, filter: Mapping[str, object]) -> Column:
         if value is None:
             hit = F.try_variant_get(doc, _field(key), "string").isNull()
         else:
-            kind = {bool: "boolean", int: "bigint", float: "double"}.get(type(value), "string")
-            hit = F.try_variant_get(doc, _field(key), kind) == F.lit(value)
+            hit = _equals(doc, _field(key), value)
         condition = condition & hit
     return condition
 
 
+def _equals(doc: Column, path: str, value: object) -> Column:
+    """The member has the value's own type and equals it; numbers compare as numbers, whole or not."""
+    kind = F.schema_of_variant(F.try_variant_get(doc, path, "variant"))
+    if isinstance(value, bool):
+        return (kind == "BOOLEAN") & (F.try_variant_get(doc, path, "boolean") == F.lit(value))
+    if isinstance(value, (int, float)):
+        real = kind.rlike("^(DECIMAL|DOUBLE|FLOAT)") & (F.try_variant_get(doc, path, "double") == F.lit(float(value)))
+        if float(value) != int(value):
+            return real
+        return real | ((kind == "BIGINT") & (F.try_variant_get(doc, path, "bigint") == F.lit(int(value))))
+    return (kind == "STRING") & (F.try_variant_get(doc, path, "string") == F.lit(str(value)))
+
+
 def doc_find(
     df: DataFrame,
     json_col: str,

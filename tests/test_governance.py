@@ -115,6 +115,47 @@ def test_governed_sql(spark):
     assert spark.table("gov_customers").count() == 3
 
 
+def test_relations_are_read_from_the_statement(spark):
+    spark.range(3).createOrReplaceTempView("audit_log")
+    spark.sql("CREATE OR REPLACE TEMP VIEW innocent AS SELECT id FROM audit_log")
+    spark.range(3).createOrReplaceTempView("plain")
+    for sql in (
+        "SELECT * FROM audit_log", "SELECT * FROM innocent", "SELECT * FROM plain WHERE id IN (SELECT id FROM audit_log)", "WITH t AS (SELECT * FROM innocent) SELECT * FROM t",
+        "SELECT (SELECT max(id) FROM audit_log) AS m", "SELECT 1 AS id UNION ALL SELECT id FROM audit_log", "SELECT p.id FROM plain p JOIN innocent USING (id)",
+    ):
+        with pytest.raises(governed.Denied) as denied:
+            governed.governed_sql(spark, sql)
+        record = denied.value.audit.first()
+        assert denied.value.matched_rule == "deny-system-tables" and "audit_log" in record["sql_ast_summary"]["touches"]
+        assert record["policy_verdict"]["verdict"] == "deny" and record["rows"] == 0
+    facts = governed.governed_sql(spark, "SELECT a.id FROM plain a JOIN plain b ON a.id = b.id ORDER BY 1 LIMIT 2").facts
+    assert (facts.kind, facts.touches, facts.joins, facts.has_limit, facts.cross_join) == ("SELECT", ("plain",), 1, True, False)
+    assert governed.governed_sql(spark, "SELECT count(*) AS n FROM plain CROSS JOIN plain").facts.cross_join
+
+
+def test_tenants_and_costs_are_checked(spark):
+    spark.range(1000).createOrReplaceTempView("plain")
+    tenant = governed.CallContext(tenant_id="t1", connection="spark", tenants={"t1": ["other"]})
+    with pytest.raises(governed.Denied) as denied:
+        governed.governed_sql(spark, "SELECT 1", tenant)
+    assert denied.value.matched_rule == "tenant"
+    assert governed.governed_sql(spark, "SELECT 1", governed.CallContext(tenant_id="t1", tenants={"t1": ["spark"]})).df.count() == 1
+    limits = governed.CallContext(limits=govern.CostLimits(max_bytes=100))
+    with pytest.raises(governed.Denied) as denied:
+        governed.governed_sql(spark, "SELECT * FROM plain", limits)
+    assert denied.value.matched_rule == "cost" and denied.value.audit.first()["policy_verdict"]["reason"].startswith("estimated bytes")
+    cross = governed.CallContext(limits=govern.CostLimits(max_bytes=10**15))
+    with pytest.raises(governed.Denied):
+        governed.governed_sql(spark, "SELECT a.id FROM plain a CROSS JOIN plain b", cross)
+
+
+def test_audit_counts_all_bytes(spark):
+    spark.range(1000).selectExpr("id", "repeat('x', 100) AS v").createOrReplaceTempView("wide")
+    outcome = governed.governed_sql(spark, "SELECT v FROM wide")
+    record = outcome.audit(sample_rows=2).first()
+    assert record["bytes_returned"] == 1000 * len('{"v":""}') + 100_000 and record["rows"] == 1000 and len(record["sample_masked"]) == 2
+
+
 def test_capped_result(spark):
     spark.range(50).createOrReplaceTempView("gov_ids")
     outcome = governed.governed_sql(spark, "SELECT id FROM gov_ids", cap_by=["id"], row_cap=10)

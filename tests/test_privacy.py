@@ -1,3 +1,5 @@
+from decimal import Decimal
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -36,10 +38,10 @@ def test_column_names(spark):
     assert pii.scan(df.select("id"), ["id"]).count() == 0
 
 
-def test_all_types_are_scanned_on_request(spark):
+def test_all_types_are_scanned_unless_told(spark):
     df = spark.createDataFrame([(1, 4155550123)], "id int, n long")
-    assert pii.scan(df, ["id"]).count() == 0
-    assert rows(pii.scan(df, ["id"], cols=["n"], scan_types="all"), "column", "detector") == [("n", "phone_us")]
+    assert pii.scan(df, ["id"], scan_types="text").count() == 0
+    assert rows(pii.scan(df, ["id"]), "column", "detector") == [("n", "phone_us")]
 
 
 def test_custom_detector(spark):
@@ -96,12 +98,15 @@ def test_strategies(spark):
 
 def test_sensitivity():
     s = m.Sensitivity({"users.notes": "redact", "*.medical_*": "redact", "medical.records.*": "never_leaves", "users.*": "redact", "users.email": "hash"})
-    assert s.tier("users.notes", "int") == "redact" and s.tier("clinic.medical_history", "int") == "redact"
-    assert s.tier("medical.records.diagnosis", "int") == "never_leaves" and s.tier("users.email", "int") == "hash"
+    assert s.tier("users.notes") == "redact" and s.tier("clinic.medical_history") == "redact"
+    assert s.tier("medical.records.diagnosis") == "never_leaves" and s.tier("users.email") == "hash"
     free = m.Sensitivity(free_text_tier="redact", exempt=["public.*"])
-    assert free.tier("a.b", "TEXT") == "redact" and free.tier("a.b", "VARCHAR(16)") == "allow" and free.tier("a.b", "varchar(255)") == "redact"
-    assert free.tier("public.x", "TEXT") == "allow" and m.Sensitivity().tier("a.b", "TEXT") == "allow"
-    assert free.tier("a.b", "int", 201) == "redact" and free.tier("a.b", "int", 200) == "allow"
+    assert free.tier("a.b", True) == "redact" and free.tier("a.b") == "allow"
+    assert free.tier("public.x", True) == "allow" and m.Sensitivity().tier("a.b", True) == "allow"
+    read = m.Sensitivity.from_config({"redact": ["*.notes"], "hash": ["users.email"], "free_text": {"tier": "never_leaves", "exempt": ["public.*"]}})
+    assert read.tier("a.notes") == "redact" and read.tier("users.email") == "hash" and read.tier("a.b", True) == "never_leaves" and read.tier("public.b", True) == "allow"
+    with pytest.raises(ValueError):
+        m.Sensitivity.from_config({"shout loud": ["x"]})
 
 
 def test_tier_and_finding_merge(spark):
@@ -117,6 +122,8 @@ def test_varchar_length_decides_free_text(spark):
     df = spark.createDataFrame([("a" * 10, "b")], "a string, b string")
     short = df.select(F.col("a").alias("a", metadata={"__CHAR_VARCHAR_TYPE_STRING": "varchar(16)"}), "b")
     assert m.sensitivity_tiers(short, m.Sensitivity(free_text_tier="redact")) == {"b": "redact"}
+    wide = df.select(F.col("a").alias("a", metadata={"__CHAR_VARCHAR_TYPE_STRING": "varchar(255)"}), F.col("b").alias("b", metadata={"__CHAR_VARCHAR_TYPE_STRING": "char(300)"}))
+    assert m.sensitivity_tiers(wide, m.Sensitivity(free_text_tier="redact")) == {"a": "redact"}
     assert m.sensitivity_tiers(df, m.Sensitivity(free_text_tier="redact", free_text_chars=5), measure=True) == {"a": "redact"}
 
 
@@ -134,14 +141,32 @@ def test_scrub(spark):
     df = spark.createDataFrame([("connect //user:pw@host PASSWORD=abc; token=xyz, key s3cr3t-long s3cr3t",)], "v string")
     got = pii.scrub(df, ["v"], ["s3cr3t", "s3cr3t-long", ""]).first()[0]
     assert got == "connect //***:***@host password=***; token=***, key [REDACTED:CREDENTIAL] [REDACTED:CREDENTIAL]"
+    prose = "see http://x.org/a for more.\nLong prose: it goes on.\nmail bob@x.org end"
+    assert pii.scrub(spark.createDataFrame([(prose,)], "v string"), ["v"]).first()[0] == prose
+
+
+def test_every_type_is_masked_inside(spark):
+    kinds = "n bigint, m bigint, d decimal(20,0), f double, a array<string>, s struct<x: string, y: array<struct<z: string>>>, t map<string, string>, b binary, e int, i array<bigint>"
+    row = (4111111111111111, 12, Decimal(4111111111111111), 0.5, ["ok", "a@b.co", None], ("a@b.co", [("c@d.co",), None]), {"k": "a@b.co", "c@d.co": "v"}, b"to a@b.co", 7, [4111111111111111, 3])
+    df = spark.createDataFrame([row, (None,) * 10], kinds)
+    got = m.mask(df).collect()
+    assert tuple(got[1]) == (None,) * 10 and [f.dataType for f in m.mask(df).schema] == [f.dataType for f in df.schema]
+    r = got[0]
+    assert (r["n"], r["m"], r["d"], r["f"], r["e"], r["i"]) == (None, 12, None, 0.5, 7, [None, 3])
+    assert r["a"] == ["ok", "[REDACTED:EMAIL]", None] and r["s"]["x"] == "[REDACTED:EMAIL]" and r["s"]["y"][0]["z"] == "[REDACTED:EMAIL]" and r["s"]["y"][1] is None
+    assert set(r["t"].values()) == {"[REDACTED:EMAIL]", "v"} and not any("@" in k for k in r["t"]) and bytes(r["b"]) == b"[REDACTED:EMAIL]"
+    found = pii.scan(df, []).groupBy("column", "detector").count().collect()
+    assert {(x["column"], x["detector"], x["count"]) for x in found} == {(c, "email", 1) for c in "astb"} | {(c, "credit_card", 1) for c in ("n", "d", "i")}
+    assert pii.scan(df, [], scan_types="text").count() == 0
+    assert {(x["column"], x["cells"]) for x in m.mask_report(df).collect()} == {(c, 1) for c in ("n", "d", "a", "s", "t", "b", "i")}
 
 
 def test_cap(spark):
     df = spark.range(100).select(F.col("id"), F.lit("x" * 10).alias("v"))
-    spread = m.cap(df.repartition(9), ["id"], row_cap=10)
+    spread = m.cap(df.repartition(9), ["id"], row_cap=10, byte_cap=None)
     assert [r["id"] for r in spread.orderBy("id").collect()] == list(range(10)) and spread.columns == ["id", "v", "truncated"]
-    capped = m.cap(df, ["id"], row_cap=10)
+    capped = m.cap(df, ["id"], row_cap=10, byte_cap=None)
     assert capped.count() == 10 and capped.where("truncated").count() == 10
-    assert m.cap(df, ["id"], row_cap=100).where("NOT truncated").count() == 100
+    assert m.cap(df, ["id"], row_cap=100, byte_cap=None).where("NOT truncated").count() == 100
     size = len('{"id":0,"v":"xxxxxxxxxx"}')
     assert m.cap(df, ["id"], row_cap=100, byte_cap=size * 3).count() == 3
