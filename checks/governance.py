@@ -134,9 +134,8 @@ def _records(spark, sf):
 
 
 def _chained(spark, sf, key="event_type"):
-    events = load(spark, sf, "events").select("event_id", "event_type", "user_id", F.lit("log").alias("log"))
-    columns = ["event_id", "event_type", "user_id"] if key == "event_type" else ["event_id", "event_type", "user_id", "log"]
-    return audit.chain(events.select(*columns), [key], ["event_id"])
+    events = load(spark, sf, "events").select("event_id", "event_type", "user_id")
+    return audit.chain(events, [key], ["event_id"])
 
 
 def _chain(spark, sf):
@@ -155,14 +154,36 @@ def _verify_tampered(spark, sf):
     return audit.verify_chain(broken, ["event_type"], "event_id", slice_rows=500)
 
 
+def _files(spark, sf):
+    """One rotated log per user, a file for every hundred events."""
+    return _chained(spark, sf, "user_id").withColumn("file_no", F.floor(F.col("event_id") / 100))
+
+
 def _rotated(spark, sf):
-    files = _chained(spark, sf, "log").withColumn("file_no", F.floor(F.col("event_id") / 100))
-    return audit.verify_rotated(files, "file_no", "event_id").select("valid", "records_seen", "first_error")
+    return audit.verify_rotated(_files(spark, sf), "file_no", "event_id", ["user_id"])
 
 
 def _rotated_gap(spark, sf):
-    files = _chained(spark, sf, "log").withColumn("file_no", F.floor(F.col("event_id") / 100)).where(F.col("file_no") != 3)
-    return audit.verify_rotated(files, "file_no", "event_id").select("valid", "records_seen", "first_error")
+    return audit.verify_rotated(_files(spark, sf).where(F.col("file_no") != 3), "file_no", "event_id", ["user_id"])
+
+
+def _segments(spark, sf):
+    events = load(spark, sf, "events").select("event_id", "event_type", "user_id", F.floor(F.col("event_id") / 500).alias("segment"))
+    return audit.segmented_chain(events, ["event_type"], ["event_id"], "segment")
+
+
+def _verify_segments(spark, sf):
+    return audit.verify_segments(*_segments(spark, sf), ["event_type"], "segment", "event_id")
+
+
+def _verify_segments_tampered(spark, sf):
+    """One segment lost its last record, one is missing with its seal kept."""
+    records, seals = _segments(spark, sf)
+    event = F.col("event_id")
+    last = records.groupBy("event_type", "segment").agg(F.max("event_id").alias("last"))
+    short = records.join(last, ["event_type", "segment"]).where((F.col("segment") != 1) | (event != F.col("last"))).drop("last")
+    broken = short.where((F.col("segment") != 0) | (F.col("event_type") != "click"))
+    return audit.verify_segments(broken, seals, ["event_type"], "segment", "event_id")
 
 
 def _audit_log(spark, sf):
@@ -226,6 +247,8 @@ QUERIES = {
     "audit_verify_tampered": _verify_tampered,
     "audit_verify_rotated": _rotated,
     "audit_verify_rotated_gap": _rotated_gap,
+    "audit_verify_segments": _verify_segments,
+    "audit_verify_segments_tampered": _verify_segments_tampered,
     "audit_tail": _tail,
     "audit_rollup": _rollup,
     "audit_rollup_totals": _rollup_totals,
@@ -320,9 +343,19 @@ ORACLES = {
         b AS (SELECT event_type, min(rn) AS rn, arg_min(error, rn) AS error FROM f WHERE error IS NOT NULL GROUP BY event_type)
         SELECT a.event_type, b.rn IS NULL AS valid, coalesce(b.rn, a.n) AS records_seen, 'record ' || b.rn || ': ' || b.error AS first_error
         FROM (SELECT event_type, count(*) AS n FROM n GROUP BY event_type) a LEFT JOIN b ON a.event_type = b.event_type""",
-    "audit_verify_rotated": "SELECT true AS valid, count(*) AS records_seen, CAST(NULL AS VARCHAR) AS first_error FROM events",
-    "audit_verify_rotated_gap": """SELECT false AS valid, n + 1 AS records_seen, 'record ' || (n + 1) || ': prev_hash mismatch' AS first_error
-        FROM (SELECT count(*) AS n FROM events WHERE event_id < 300)""",
+    "audit_verify_rotated": "SELECT user_id, true AS valid, count(*) AS records_seen, CAST(NULL AS VARCHAR) AS first_error FROM events GROUP BY user_id",
+    "audit_verify_rotated_gap": """WITH u AS (SELECT user_id, count(*) FILTER (event_id < 300) AS before, count(*) FILTER (event_id BETWEEN 300 AND 399) AS lost,
+            count(*) FILTER (event_id >= 400) AS later FROM events GROUP BY user_id)
+        SELECT user_id, lost = 0 OR later = 0 AS valid, CASE WHEN lost > 0 AND later > 0 THEN before + 1 ELSE before + later END AS records_seen,
+               CASE WHEN lost > 0 AND later > 0 THEN 'record ' || (before + 1) || ': prev_hash mismatch' END AS first_error
+        FROM u WHERE before + later > 0""",
+    "audit_verify_segments": """SELECT event_type, true AS valid, count(DISTINCT event_id // 500) AS segments, count(*) AS records_seen,
+        CAST(NULL AS VARCHAR) AS first_error FROM events GROUP BY event_type""",
+    "audit_verify_segments_tampered": """WITH e AS (SELECT event_type, event_id // 500 AS segment, count(*) AS n FROM events GROUP BY 1, 2)
+        SELECT event_type, false AS valid, count(*) FILTER (event_type <> 'click' OR segment <> 0) AS segments,
+               CAST(sum(CASE WHEN segment = 1 THEN n - 1 WHEN segment = 0 AND event_type = 'click' THEN 0 ELSE n END) AS BIGINT) AS records_seen,
+               CASE event_type WHEN 'click' THEN 'segment 0: segment missing' ELSE 'segment 1: seal mismatch' END AS first_error
+        FROM e GROUP BY event_type""",
     "audit_tail": f"SELECT event_id, ts, tool FROM ({AUDIT}) WHERE ts >= TIMESTAMP '2024-01-20' ORDER BY ts DESC, event_id DESC LIMIT 20",
     "audit_rollup": f"SELECT assistant_id, tool, {ROLLED} FROM ({AUDIT}) GROUP BY 1, 2",
     "audit_rollup_totals": f"SELECT connection, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, {ROLLED} FROM ({AUDIT}) GROUP BY ROLLUP (connection, CAST(CAST(ts AS DATE) AS VARCHAR))",

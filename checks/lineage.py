@@ -130,7 +130,7 @@ def _notes(spark, sf, limit=None):
 def _search(spark, sf):
     """Every benchmark passage as an all-terms query over the documents."""
     queries = load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return knowledge.search(load(spark, sf, "documents"), queries, "doc_id", "text")
+    return knowledge.search(load(spark, sf, "documents"), queries, "doc_id", "text", limit=20)
 
 
 def _search_words(spark, sf):
@@ -339,7 +339,7 @@ CATALOGS = f"""WITH b AS (SELECT "table", "column", max(type) AS type FROM ({NAM
     s AS (SELECT "table", "column", CASE kind WHEN 'added' THEN 'column_not_null: ' || "table" || '.' || "column"
                  WHEN 'retyped' THEN 'column_values_castable: ' || "table" || '.' || "column" || ' → ' || after END AS suggestion FROM c WHERE kind <> 'removed'
           UNION ALL SELECT "table", NULL, CASE kind WHEN 'created' THEN 'row_count_between: ' || "table" || ' (min: 1)'
-                 ELSE 'verify no remaining references to ' || "table" || ' before merge' END FROM t)"""
+                 ELSE 'no_references_left: ' || "table" END FROM t)"""
 FILES = """SELECT DISTINCT CASE l_linenumber WHEN 1 THEN 'models/scratch' WHEN 2 THEN 'models/marts' WHEN 3 THEN 'src' WHEN 4 THEN 'db/migrate' ELSE 'docs' END
     || '/p' || l_partkey || CASE l_partkey % 3 WHEN 0 THEN '.SQL' WHEN 1 THEN '.sql' ELSE '.py' END AS path FROM lineitem"""
 NOTES = "SELECT 'customer:' || o_custkey AS key, o_orderkey AS id, o_orderpriority AS body, o_orderdate AS created_at FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')"
@@ -360,7 +360,7 @@ TASKS = """SELECT o_orderkey AS id, o_orderpriority AS owner, CASE o_orderstatus
     CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate END AS due_at, o_orderdate AS updated_at FROM orders"""
 COMMITS = """SELECT sha1(l_orderkey || '-' || l_linenumber || '-' || l_partkey) AS sha, 'part/' || l_partkey % 10 || '/' || l_partkey || '.sql' AS path,
     CASE WHEN l_linenumber <> 7 THEN 'dev' || l_suppkey END AS author_login, l_shipdate AS authored_at, 'Change ' || l_orderkey AS message FROM lineitem"""
-RECENT = f"""SELECT left(sha, 10) AS sha, coalesce(author_login, 'Someone') AS author, authored_at AS "when", message FROM ({COMMITS})
+RECENT = f"""SELECT sha, coalesce(author_login, 'Someone') AS author, authored_at AS "when", message FROM ({COMMITS})
     WHERE path LIKE 'part/3/%' AND authored_at >= TIMESTAMP '{AS_OF}' - INTERVAL {{}} DAY"""
 
 ORACLES = {
@@ -402,7 +402,7 @@ ORACLES = {
         FROM ({TASKS}) WHERE status <> 'done') WHERE rank <= 10""",
     "knowledge_decisions": "SELECT 'lang:' || lang AS key, doc_id FROM documents WHERE lang <> 'en'",
     "knowledge_changes_touching": """SELECT o_orderkey AS number, o_orderdate AS merged_at, 'part/' || o_custkey || ',order/' || o_orderkey AS files
-        FROM orders WHERE 'part/' || o_custkey LIKE 'part/12%' ORDER BY merged_at DESC, number LIMIT 20""",
+        FROM orders WHERE 'part/' || o_custkey LIKE 'part/12%' """,
     "knowledge_upsert": """WITH u AS (SELECT l_orderkey, l_linestatus, l_extendedprice, l_shipdate, row_number() OVER (PARTITION BY l_orderkey
             ORDER BY l_shipdate DESC, l_extendedprice DESC, l_linestatus DESC) AS rn FROM lineitem)
         SELECT l_orderkey AS o_orderkey, l_linestatus AS o_orderstatus, l_extendedprice AS o_totalprice, l_shipdate AS o_orderdate FROM u WHERE rn = 1
@@ -415,16 +415,16 @@ ORACLES = {
     "codeowners_rows": """SELECT 'path:src/' || source AS key, unnest([lang, 'ops@example.com']) AS owner, 'owner' AS role, 'codeowners' AS source FROM documents WHERE doc_id % 5 = 2
         UNION ALL SELECT 'path:*.sql', lang, 'owner', 'codeowners' FROM documents WHERE doc_id % 5 = 3""",
     "pr_digests": """SELECT 'shop' AS repo, o_orderkey AS number, o_orderpriority AS title, CASE WHEN o_orderkey % 10 <> 0 THEN 'dev' || o_custkey ELSE '' END AS author,
-        strftime(o_orderdate, '%Y-%m-%d') AS merged_at, 'part/' || o_custkey AS file, left(repeat(o_orderpriority, 60), 512) AS summary FROM orders""",
+        strftime(o_orderdate, '%Y-%m-%d') AS merged_at, 'part/' || o_custkey AS file, repeat(o_orderpriority, 60) AS summary FROM orders""",
     "pr_contributors": """SELECT DISTINCT 'repo:shop' AS key, CASE WHEN o_orderkey % 10 <> 0 THEN 'dev' || o_custkey ELSE '' END AS owner,
         'contributor' AS role, 'git_blame' AS source FROM orders""",
     "activity_recent_changes": RECENT.format(30),
-    "activity_who_changed": f"SELECT author, count(*) AS commits FROM ({RECENT.format(90)}) GROUP BY author ORDER BY commits DESC, author LIMIT 10",
+    "activity_who_changed": f"SELECT author, count(*) AS commits FROM ({RECENT.format(90)}) GROUP BY author",
     "activity_find_owners": f"""WITH c AS (SELECT path, author_login, count(*) AS n FROM ({COMMITS}) WHERE author_login IS NOT NULL GROUP BY 1, 2),
         r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY n DESC, author_login) AS rn, sum(n) OVER (PARTITION BY path) AS total FROM c),
         o AS (SELECT DISTINCT p_partkey % 10 AS d, p_brand FROM part WHERE p_partkey % 10 <= 2)
         SELECT path, p_brand AS handle, 'owner' AS role, 'knowledge/' || CASE d WHEN 1 THEN 'manual' ELSE 'codeowners' END AS source,
                CAST(CASE d WHEN 1 THEN 0.95 ELSE 0.85 END AS DOUBLE) AS confidence FROM (SELECT DISTINCT path FROM ({COMMITS})) JOIN o ON path LIKE 'part/' || d || '/%'
         UNION ALL SELECT path, author_login, 'contributor', 'git_blame', round(least(0.7, n / total), 9) FROM r
-        WHERE rn <= 3 AND path NOT LIKE 'part/0/%' AND path NOT LIKE 'part/1/%' AND path NOT LIKE 'part/2/%'""",
+        WHERE path NOT LIKE 'part/0/%' AND path NOT LIKE 'part/1/%' AND path NOT LIKE 'part/2/%'""",
 }

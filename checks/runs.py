@@ -316,13 +316,13 @@ BALANCES = """SELECT s_suppkey, abs(b - CASE WHEN s_suppkey % 5 = 0 THEN s_acctb
     0.0001 * abs(CASE WHEN s_suppkey % 5 = 0 THEN s_acctbal + 1000 ELSE s_acctbal END) AS bad FROM (SELECT *, round(s_acctbal, 2) AS b FROM supplier)"""
 
 TOP_COMMITTERS = f"""SELECT path, author_login AS handle FROM (SELECT path, author_login, row_number() OVER (PARTITION BY path ORDER BY n DESC, author_login) AS rn
-    FROM (SELECT path, author_login, count(*) AS n FROM ({lineage.COMMITS}) WHERE author_login IS NOT NULL GROUP BY 1, 2)) WHERE rn <= 3"""
+    FROM (SELECT path, author_login, count(*) AS n FROM ({lineage.COMMITS}) WHERE author_login IS NOT NULL GROUP BY 1, 2))"""
 SCORED = f"""WITH s AS ({SERIES}), b AS (SELECT *, avg(total) OVER w AS m, stddev_samp(total) OVER w AS sd
         FROM s WINDOW w AS (PARTITION BY event_type ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)),
     a AS (SELECT *, coalesce(abs((total - m) / nullif(sd, 0)) > 1.5, false) AS odd FROM b),
-    r AS (SELECT left(sha, 10) AS sha, coalesce(author_login, 'Someone') AS author, authored_at FROM ({lineage.COMMITS})
+    r AS (SELECT sha, coalesce(author_login, 'Someone') AS author, authored_at FROM ({lineage.COMMITS})
           WHERE path = 'part/3/3.sql' AND authored_at >= TIMESTAMP '{lineage.AS_OF}' - INTERVAL 30 DAY),
-    o AS (SELECT handle FROM ({TOP_COMMITTERS}) WHERE path = 'part/3/3.sql' UNION SELECT author FROM (SELECT author FROM r ORDER BY authored_at DESC, sha LIMIT 3))"""
+    o AS (SELECT handle FROM ({TOP_COMMITTERS}) WHERE path = 'part/3/3.sql' UNION SELECT author FROM r)"""
 
 ORACLES = {
     "run_anomaly_triage": f"""{SCORED}
@@ -381,10 +381,10 @@ ORACLES = {
                round((total - m) / nullif(sd, 0), 5) AS z, coalesce(abs((total - m) / nullif(sd, 0)) > 1.5, false) AS anomaly FROM b""",
     "run_pre_release": f"""SELECT 'check:' || spec AS step, ok, passed || '/' || total || ' passed' AS detail FROM ({SUITE})
         UNION ALL SELECT 'release', bool_and(ok), CASE WHEN bool_and(ok) THEN count(*) FILTER (ok) || '/' || count(*) || ' expectation files passed'
-            ELSE 'DO NOT release until these resolve: ' || string_agg(DISTINCT "table", ', ' ORDER BY "table") FILTER (NOT ok) END FROM ({SUITE})""",
+            ELSE 'blocked by: ' || string_agg(DISTINCT "table", ', ' ORDER BY "table") FILTER (NOT ok) END FROM ({SUITE})""",
     "run_handoff": """SELECT 'profile' AS step, true AS ok, count(*) || ' rows, 3 columns' AS detail FROM orders
-        UNION ALL SELECT 'gotcha', true, 'note is mostly NULL (' || format('{:.1f}', 100.0 * count(*) FILTER (o_orderkey % 4 <> 0) / count(*)) || '%) — confirm it''s used.' FROM orders
-        UNION ALL SELECT 'gotcha', true, 'created_at is a never-null timestamp — confirm it''s set by the writer, not a default.'""",
+        UNION ALL SELECT 'gotcha', true, 'note holds no value in ' || format('{:.1f}', 100.0 * count(*) FILTER (o_orderkey % 4 <> 0) / count(*)) || '% of the rows' FROM orders
+        UNION ALL SELECT 'gotcha', true, 'created_at always has a time; it may come from a default'""",
     "run_dashboard_verify": f"""SELECT 'extract' AS step, true AS ok, 2 * count(*) || ' rendered row(s)' AS detail FROM supplier
         UNION ALL SELECT 'compare', count(*) FILTER (bad) = 0, 'mismatches=' || count(*) FILTER (bad) FROM ({BALANCES})
         UNION ALL SELECT 'severity', false, 'exact_mismatch=' || count(*) FILTER (bad) || ' → block' FROM ({BALANCES}) HAVING count(*) FILTER (bad) > 0

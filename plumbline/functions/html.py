@@ -138,14 +138,14 @@ def texts(root: Element, tag: str) -> list[str]:
     return [n.text() for n in root.walk() if n.tag == tag]
 
 
-def buttons(root: Element) -> list[tuple]:
+def buttons(root: Element, max_chars: int | None = None) -> list[tuple]:
     """(index, text, tag, id, testid, aria_label) of everything that acts as a button and shows text."""
     found = [
         n for n in root.walk()
         if n.tag == "button" or n.attrs.get("role") == "button" or (n.tag == "input" and n.attrs.get("type") in ("submit", "button"))
     ]
     rows = [
-        (i, (n.text() or n.attrs.get("value", "")).strip()[:120], n.tag, n.attrs.get("id") or None,
+        (i, (n.text() or n.attrs.get("value", "")).strip()[:max_chars], n.tag, n.attrs.get("id") or None,
          n.attrs.get("data-testid") or None, n.attrs.get("aria-label") or None)
         for i, n in enumerate(found)
     ]

@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from plumbline.operators.profile import quoted
 from plumbline.operators.replay import keyed_chunks, replay, settle
 
+# Fixed value: what stands for the record before the first one.
 GENESIS = "sha256:0" * 8
 SAMPLE_ROWS = 3
 SLICE_ROWS = 65_536
 
 
-def audit_records(calls: DataFrame, findings: DataFrame, results: DataFrame, order_by: Sequence[str]) -> DataFrame:
-    """One record per call.
+def audit_records(calls: DataFrame, findings: DataFrame, results: DataFrame, order_by: Sequence[str], sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """One record per call, with the first ``sample_rows`` masked rows of its result.
 
     ``calls`` has ``call_id, ts, assistant_id, assistant_session, tool, connection, sql, policy_verdict, rows, columns,
     bytes_returned, latency_ms``; ``findings`` has ``call_id, entity_type``; ``results`` holds the masked rows with
@@ -33,10 +34,10 @@ def audit_records(calls: DataFrame, findings: DataFrame, results: DataFrame, ord
     )
     first = Window.partitionBy("call_id").orderBy(*[quoted(c) for c in order_by])
     row = F.struct(*[quoted(c) for c in results.columns if c != "call_id"])
-    # The rank filter is pushed below the shuffle: a call with very many rows sends three of them.
+    # The rank filter is pushed below the shuffle: a call with very many rows sends no more than its sample.
     sample = (
         results.withColumn("__n", F.row_number().over(first))
-        .where(F.col("__n") <= SAMPLE_ROWS)
+        .where(F.col("__n") <= sample_rows)
         .groupBy("call_id")
         .agg(F.sort_array(F.collect_list(F.struct("__n", row.alias("row")))).alias("s"))
         .select("call_id", F.transform("s", lambda x: F.to_json(x["row"])).alias("sample_masked"))
@@ -89,6 +90,57 @@ def chain(records: DataFrame, chain_key: Sequence[str], order_by: Sequence[str],
     return replay(chunks, ["__body"], outputs, _link, GENESIS, starts).drop("__body")
 
 
+def segmented_chain(
+    records: DataFrame, chain_key: Sequence[str], order_by: Sequence[str], segment: str, partitions: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(records, seals) of chains that are cut into segments: the form for long logs.
+
+    ``segment`` is a column of whole numbers that grow along a chain, as an hour or a file number. Every segment is a
+    chain of its own that begins anew, so segments are linked side by side and the number of jobs does not grow with
+    the log. One seal per segment holds its rows and its last hash, and the seals, far fewer, are chained per key:
+    a segment changed, cut short, left out or moved breaks its seal or the chain of seals.
+    """
+    linked = chain(records, [*chain_key, segment], order_by, partitions)
+    last = F.max_by("record_hash", F.struct(*[quoted(c) for c in order_by]))
+    seals = linked.groupBy(*[quoted(k) for k in chain_key], quoted(segment)).agg(
+        F.count(F.lit(1)).alias("sealed_rows"), last.alias("sealed_hash")
+    )
+    return linked, chain(seals, chain_key, [segment])
+
+
+def verify_segments(
+    records: DataFrame, seals: DataFrame, chain_key: Sequence[str], segment: str, seq: str, record_col: str = "record"
+) -> DataFrame:
+    """One row per chain: validity, segments, records, and the first broken segment with its error.
+
+    Hashes and links inside the segments, the chain of the seals, and each segment against its seal are all checked.
+    """
+    keys = [quoted(k) for k in chain_key]
+    inside = verify_chain(records, [*chain_key, segment], seq, record_col)
+    found = records.groupBy(*keys, quoted(segment)).agg(
+        F.count(F.lit(1)).alias("__rows"), F.max_by(F.get_json_object(quoted(record_col), "$.record_hash"), quoted(seq)).alias("__last")
+    )
+    seal = F.from_json("record", "sealed_rows bigint, sealed_hash string")
+    sealed = seals.select(*keys, quoted(segment), seal["sealed_rows"].alias("__sealed_rows"), seal["sealed_hash"].alias("__sealed_hash"))
+    both = found.join(sealed, [*chain_key, segment], "full_outer").join(inside, [*chain_key, segment], "left")
+    error = (
+        F.when(F.col("__sealed_rows").isNull(), "no seal")
+        .when(F.col("__rows").isNull(), "segment missing")
+        .when(~F.col("valid"), F.col("first_error"))
+        .when((F.col("__rows") != F.col("__sealed_rows")) | ~F.col("__last").eqNullSafe(F.col("__sealed_hash")), "seal mismatch")
+    )
+    first = F.min(F.when(error.isNotNull(), F.struct(quoted(segment).alias("at"), error.alias("error"))))
+    per_chain = both.groupBy(*keys).agg(
+        F.count("__rows").alias("segments"), F.coalesce(F.sum("__rows"), F.lit(0)).alias("records_seen"), first.alias("__bad")
+    )
+    links = verify_chain(seals, chain_key, segment).select(*keys, F.col("valid").alias("__linked"), F.col("first_error").alias("__seal_error"))
+    text = F.concat(F.lit("segment "), F.col("__bad.at").cast("string"), F.lit(": "), F.col("__bad.error"))
+    return per_chain.join(links, list(chain_key), "left").select(
+        *keys, (F.col("__bad").isNull() & F.coalesce("__linked", F.lit(False))).alias("valid"), "segments", "records_seen",
+        F.coalesce(text, F.concat(F.lit("seals, "), F.col("__seal_error"))).alias("first_error"),
+    )
+
+
 def _rehash(records: pd.Series) -> pd.Series:
     """Hash of each JSON record without its own hash; None where the text is not a JSON object."""
     hashes = []
@@ -167,11 +219,12 @@ def verify_rotated(
     return _verified(records, chain_key, quoted(file_order), seq, record_col)
 
 
-def audit_query(records: DataFrame, limit: int = 20, since: datetime | str | None = None, tie: Sequence[str] = ()) -> DataFrame:
-    """Most recent records, optionally not older than ``since``."""
+def audit_query(records: DataFrame, limit: int | None, since: datetime | str | None = None, tie: Sequence[str] = ()) -> DataFrame:
+    """Records from the newest on, ``limit`` of them or all, optionally not older than ``since``."""
     if since is not None:
         records = records.where(F.col("ts") >= F.lit(str(since)).cast("timestamp"))
-    return records.orderBy(F.col("ts").desc(), *[quoted(t).desc() for t in tie]).limit(limit)
+    ordered = records.orderBy(F.col("ts").desc(), *[quoted(t).desc() for t in tie])
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def audit_rollup(records: DataFrame, by: Sequence[str], with_totals: bool = False) -> DataFrame:

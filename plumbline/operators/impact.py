@@ -60,7 +60,7 @@ def suggest_from_changes(tables: DataFrame, columns: DataFrame) -> DataFrame:
         F.col("kind") == "retyped", F.concat(F.lit("column_values_castable: "), name, F.lit(" → "), "after")
     )
     for_table = F.when(F.col("kind") == "created", F.concat(F.lit("row_count_between: "), "table", F.lit(" (min: 1)"))).when(
-        F.col("kind") == "dropped", F.concat(F.lit("verify no remaining references to "), "table", F.lit(" before merge"))
+        F.col("kind") == "dropped", F.concat(F.lit("no_references_left: "), "table")
     )
     rows = columns.select("table", "column", for_column.alias("suggestion")).unionByName(
         tables.select("table", F.lit(None).cast("string").alias("column"), for_table.alias("suggestion"))

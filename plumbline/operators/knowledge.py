@@ -11,8 +11,6 @@ from plumbline.functions.text import terms
 from plumbline.operators.profile import quoted
 from plumbline.session import BROADCAST_CELLS, broadcast_if_small, cut_lineage
 
-SEARCH_LIMIT = 20
-CHANGES_LIMIT = 20
 OPEN_STATES = ("open", "in_progress")
 
 
@@ -31,21 +29,23 @@ def notes_for(keys: DataFrame, notes: DataFrame, limit: int | None = None, tie:
 
 def search(
     texts: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str = "query_id",
-    query_col: str = "query", limit: int = SEARCH_LIMIT, broadcast_cells: int = BROADCAST_CELLS,
+    query_col: str = "query", limit: int | None = None, broadcast_cells: int = BROADCAST_CELLS,
 ) -> DataFrame:
     """Texts that hold every term of a query, for a table of queries: ``(query id, text id, rank)`` in id order.
 
-    Each query is looked up by its rarest term only, so frequent terms never build pairs. The other terms are tested
-    on the candidates, the next rarest first, which ends most tests at once. A query with a term that occurs nowhere
-    is dropped before the lookup. Lookups and candidates are written once and broadcast only while they are small.
+    Texts are tokenised once, and only occurrences of the queries' own terms are kept and written. Each query is looked
+    up by its rarest term, and the other terms are tested on the candidates, so frequent terms never build pairs. Of
+    the texts with the only term of a query, ``limit`` are kept before queries are joined; queries with a term that
+    occurs nowhere are dropped. Tables are broadcast only while they are counted small.
     """
     asked = queries.select(quoted(query_id).alias("__q"), terms(quoted(query_col)).alias("__terms")).where(F.size("__terms") > 0)
     bodies = texts.select(quoted(id_col).alias("__id"), quoted(text_col).alias("__text"))
     wanted = asked.select("__q", F.explode("__terms").alias("__term"))
-    # Counted before the join: a term found in a third of the texts crosses the shuffle as one row per task.
+    known = broadcast_if_small(wanted.select("__term").distinct(), limit=broadcast_cells)
     # The outer form keeps Spark from tokenising twice, once only to drop empty texts.
-    postings = bodies.select("__id", F.explode_outer(terms(F.col("__text"))).alias("__term")).where(F.col("__term").isNotNull())
-    frequency = postings.groupBy("__term").agg(F.count(F.lit(1)).alias("__df"))
+    hits = cut_lineage(bodies.select("__id", F.explode_outer(terms(F.col("__text"))).alias("__term")).join(known, "__term"))
+    # Counted before the join: a term found in a third of the texts crosses the shuffle as one row per task.
+    frequency = hits.groupBy("__term").agg(F.count(F.lit(1)).alias("__df"))
     # The list is as long as the query itself.
     by_rarity = F.sort_array(F.collect_list(F.struct("__df", "__term")))
     ranked = wanted.join(frequency, "__term").groupBy("__q").agg(F.transform(by_rarity, lambda x: x["__term"]).alias("__found"))
@@ -54,21 +54,19 @@ def search(
             "__q", F.element_at("__found", 1).alias("__term"), F.expr("slice(__found, 2, size(__found))").alias("__rest")
         )
     )
-    pivots = lookups.select("__q", "__term", (F.size("__rest") == 0).alias("__done"))
-    candidates = cut_lineage(
-        postings.join(broadcast_if_small(pivots, limit=broadcast_cells), "__term").select("__q", "__id", "__done")
-    )
-    open_pairs = candidates.where(~F.col("__done")).select("__q", "__id")
-    rest = broadcast_if_small(lookups.select("__q", "__rest"), F.size("__rest") + 1, broadcast_cells)
-    tested = (
-        bodies.join(broadcast_if_small(open_pairs, limit=broadcast_cells), "__id")
-        .select("__q", "__id", terms(F.col("__text")).alias("__tokens"))
-        .join(rest, "__q")
-        .where(F.forall("__rest", lambda t: F.array_contains("__tokens", t)))
-    )
-    found = candidates.where("__done").select("__q", "__id").unionByName(tested.select("__q", "__id"))
+    single = lookups.where(F.size("__rest") == 0).select("__q", "__term")
+    several = lookups.where(F.size("__rest") > 0)
+    firsts = hits.join(broadcast_if_small(single.select("__term").distinct(), limit=broadcast_cells), "__term")
+    if limit is not None:
+        place = F.row_number().over(Window.partitionBy("__term").orderBy("__id"))
+        firsts = firsts.withColumn("__place", place).where(F.col("__place") <= limit)
+    candidates = hits.join(broadcast_if_small(several, F.size("__rest") + 1, broadcast_cells), "__term").select("__q", "__id", "__rest")
+    held = hits.groupBy("__id").agg(F.collect_set("__term").alias("__held"))
+    tested = candidates.join(held, "__id").where(F.forall("__rest", lambda t: F.array_contains("__held", t)))
+    found = firsts.join(single, "__term").select("__q", "__id").unionByName(tested.select("__q", "__id"))
     rank = F.row_number().over(Window.partitionBy("__q").orderBy("__id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= limit).select(
+    placed = found.withColumn("rank", rank)
+    return (placed if limit is None else placed.where(F.col("rank") <= limit)).select(
         F.col("__q").alias(query_id), F.col("__id").alias(id_col), "rank"
     )
 
@@ -112,10 +110,11 @@ def decisions_affecting(keys: DataFrame, decisions: DataFrame) -> DataFrame:
     return affected.join(keys.toDF("key").distinct(), "key", "left_semi")
 
 
-def changes_touching(digests: DataFrame, prefix: str, limit: int = CHANGES_LIMIT, tie: Sequence[str] = ("repo", "number")) -> DataFrame:
-    """Latest digests with a touched file below ``prefix``."""
+def changes_touching(digests: DataFrame, prefix: str, limit: int | None = None, tie: Sequence[str] = ("repo", "number")) -> DataFrame:
+    """Digests with a touched file below ``prefix``, the latest first, all or ``limit`` of them."""
     touched = digests.where(F.exists("files_touched", lambda f: f.startswith(prefix)))
-    return touched.orderBy(F.col("merged_at").desc(), *[quoted(t) for t in tie]).limit(limit)
+    ordered = touched.orderBy(F.col("merged_at").desc(), *[quoted(t) for t in tie])
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def upsert(base: DataFrame, updates: DataFrame, keys: Sequence[str], order_by: Sequence[str] = ()) -> DataFrame:

@@ -72,14 +72,14 @@ def extract_text(pages: DataFrame, tag: str | None = None, id_col: str = "page_i
     return _parsed(pages, partial(_tag_texts, tag=tag.lower()), "n int, text string", id_col, html_col)
 
 
-def _buttons(html: str) -> list[tuple]:
-    return markup.buttons(markup.parse(html))
+def _buttons(html: str, max_chars: int | None) -> list[tuple]:
+    return markup.buttons(markup.parse(html), max_chars)
 
 
-def list_buttons(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Buttons with text: index, text (up to 120 characters), tag, id, test id and aria label."""
+def list_buttons(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_chars: int | None = None) -> DataFrame:
+    """Buttons with text: index, text (all of it or so many characters), tag, id, test id and aria label."""
     columns = "index int, text string, tag string, id string, testid string, aria_label string"
-    return _parsed(pages, _buttons, columns, id_col, html_col)
+    return _parsed(pages, partial(_buttons, max_chars=max_chars), columns, id_col, html_col)
 
 
 def _inputs(html: str) -> list[tuple]:

@@ -27,7 +27,6 @@ from plumbline.session import cut_lineage
 
 STEPS = "step string, ok boolean, detail string, data_json string"
 MOSTLY_NULL = 0.5
-OWNERS_SHOWN = 3
 
 
 def _step(df: DataFrame, step: str | Column, detail: Column, data: Column | None = None, ok: Column | bool = True) -> DataFrame:
@@ -113,8 +112,12 @@ def anomaly_triage(
     as_of: datetime | str | None = None,
     owners: DataFrame | None = None,
     notes: DataFrame | None = None,
+    authors: int | None = None,
 ) -> DataFrame:
-    """Unusual values against their baseline, recent commits, owners, notes on file and the message to send."""
+    """Unusual values against their baseline, recent commits, owners, notes on file and the message to send.
+
+    Owners come first, then the authors of recent commits, each once: all, or the latest ``authors`` of them.
+    """
     scored = cut_lineage(rolling_baseline(metric, keys, order, value, window, threshold))
     counts = scored.agg(F.count(F.lit(1)).alias("points"), F.count_if("anomaly").alias("unusual"))
     point = F.to_json(F.struct(*keys, *order, value, "baseline_mean", "delta", "z"))
@@ -129,7 +132,8 @@ def anomaly_triage(
         if owners is not None:
             asked = spark.createDataFrame([(path,)], "path string")
             handles = find_owners(asked, owners, commits).select("handle")
-            pinged = handles.union(changes.where("author <> ''").orderBy(F.col("when").desc(), "sha").limit(OWNERS_SHOWN).select("author"))
+            latest = changes.where("author <> ''").groupBy("author").agg(F.max("when").alias("when")).orderBy(F.col("when").desc(), "author")
+            pinged = handles.union((latest if authors is None else latest.limit(authors)).select("author"))
             parts.append(_owner_steps(pinged.toDF("handle"), f"about {label}"))
     if notes is not None:
         found = notes_for(spark.createDataFrame([(f"table:{label}",)], "key string"), notes)
@@ -148,7 +152,7 @@ def pre_release(tables: Mapping[str, DataFrame], specs: Mapping[str, Mapping], a
     verdict = suite_verdict(suite)
     attention = F.when(
         F.col("release"), _text(F.col("specs_passed"), "/", F.col("specs_total"), " expectation files passed")
-    ).otherwise(_text("DO NOT release until these resolve: ", F.col("failing_tables")))
+    ).otherwise(_text("blocked by: ", F.col("failing_tables")))
     return _stack([
         _step(suite, name, _text(F.col("passed"), "/", F.col("total"), " passed"), ok=F.col("ok")),
         _step(verdict, "release", attention, ok=F.col("release")),
@@ -159,16 +163,16 @@ def gotchas(profiled: DataFrame, findings: DataFrame | None = None) -> DataFrame
     """What a new reader of the table should know: ``(column, gotcha)``."""
     share = _text(F.format_number(F.col("null_rate") * 100, 1), "%")
     rules = F.array(
-        F.when(F.col("null_rate") > MOSTLY_NULL, _text(F.col("column"), " is mostly NULL (", share, ") — confirm it's used.")),
+        F.when(F.col("null_rate") > MOSTLY_NULL, _text(F.col("column"), " holds no value in ", share, " of the rows")),
         F.when(
             (F.col("semantic_type") == "timestamp") & (F.col("null_rate") == 0),
-            _text(F.col("column"), " is a never-null timestamp — confirm it's set by the writer, not a default."),
+            _text(F.col("column"), " always has a time; it may come from a default"),
         ),
     )
     rows = profiled.select("column", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("gotcha"))
     if findings is not None:
         present = findings.agg(F.count(F.lit(1)).alias("n")).where("n > 0")
-        warning = F.lit("PII present — verify your queries respect masking before sharing results.")
+        warning = F.lit("holds personal data; share masked results only")
         rows = rows.unionByName(present.select(F.lit(None).cast("string").alias("column"), warning.alias("gotcha")))
     return rows
 

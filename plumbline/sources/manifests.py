@@ -9,7 +9,6 @@ MANIFEST = (
     "nodes map<string, struct<name: string, resource_type: string, original_file_path: string, path: string>>, "
     "child_map map<string, array<string>>"
 )
-SUMMARY_CHARS = 512
 
 
 def manifest_tables(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -41,10 +40,10 @@ def parse_codeowners(lines: DataFrame, line_col: str = "value") -> DataFrame:
     )
 
 
-def ingest_prs(df: DataFrame, json_col: str, repo: Column | str) -> tuple[DataFrame, DataFrame]:
+def ingest_prs(df: DataFrame, json_col: str, repo: Column | str, summary_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(digests, contributors) from pull-request JSON, one document per row.
 
-    A digest keeps the first 512 characters of the body; every author becomes a contributor of the repository.
+    A digest keeps the body, or its first ``summary_chars`` characters; every author becomes a contributor of the repository.
     """
     kind = "number int, title string, user struct<login: string>, merged_at string, _files array<string>, body string"
     repo = F.col(repo) if isinstance(repo, str) else repo
@@ -54,7 +53,7 @@ def ingest_prs(df: DataFrame, json_col: str, repo: Column | str) -> tuple[DataFr
         F.coalesce("p.user.login", F.lit("")).alias("author"),
         F.coalesce("p.merged_at", F.lit("")).alias("merged_at"),
         F.coalesce("p._files", F.array().cast("array<string>")).alias("files_touched"),
-        F.coalesce(F.left("p.body", F.lit(SUMMARY_CHARS)), F.lit("")).alias("summary"),
+        F.coalesce("p.body" if summary_chars is None else F.left("p.body", F.lit(summary_chars)), F.lit("")).alias("summary"),
     )
     contributors = digests.select(
         F.concat(F.lit("repo:"), "repo").alias("key"), F.col("author").alias("owner"),

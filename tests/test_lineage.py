@@ -53,7 +53,7 @@ def test_impact(spark):
     assert rows(impact.impact(before, after, edges, None).where("section = 'risk'"), "detail") == [("legacy_users → board",), ("legacy_users → report",)]
     assert rows(report.where("section = 'suggestion'"), "detail") == [
         ("column_not_null: fresh.id",), ("column_not_null: orders.discount_pct",), ("column_values_castable: orders.total → DOUBLE",),
-        ("row_count_between: fresh (min: 1)",), ("verify no remaining references to legacy_users before merge",)]
+        ("no_references_left: legacy_users",), ("row_count_between: fresh (min: 1)",)]
     assert rows(impact.impact_conclusion(report.withColumn("change_set", F.lit(1))), "conclusion") == [("failure",)]
     quiet = report.where("section <> 'risk'").withColumn("change_set", F.lit(1))
     assert rows(impact.impact_conclusion(quiet), "conclusion") == [("neutral",)]
@@ -89,9 +89,10 @@ def test_owners(spark):
     commits = spark.createDataFrame(
         [("s" * 12 + str(i), "src/a.sql", login, "Name", f"2026-01-{day:02d} 00:00:00", "fix\nmore") for i, (login, day) in enumerate([("dan", 1), ("dan", 20), ("eve", 21), (None, 22), ("", 23), ("fay", 24), ("gus", 25)])],
         "sha string, path string, author_login string, author_name string, authored_at string, message string")
-    found = activity.find_owners(paths, owners, commits)
+    found = activity.find_owners(paths, owners, commits, committers_per_path=3)
     assert rows(found.where("path = 'models/marts/orders.sql'"), "handle", "source", "confidence") == [("alice", "knowledge/manual", 0.95), ("bob", "knowledge/codeowners", 0.85)]
     assert rows(found.where("path = 'src/a.sql'"), "handle", "confidence") == [("dan", 2 / 6), ("eve", 1 / 6)]
+    assert activity.find_owners(paths, owners, commits).where("path = 'src/a.sql'").count() == 4
     recent = activity.recent_changes(commits, "src", "2026-01-31 00:00:00", 15)
     assert rows(recent, "author", "message") == [("Name", "fix"), ("Name", "fix"), ("dan", "fix"), ("eve", "fix"), ("fay", "fix"), ("gus", "fix")]
     assert recent.first()["sha"] == "s" * 10

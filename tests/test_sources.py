@@ -99,8 +99,9 @@ def test_codeowners(spark):
 def test_pr_digests(spark):
     prs = [{"number": 1, "title": "t", "user": {"login": "ann"}, "merged_at": "2026-01-01", "_files": ["a.sql"], "body": "b" * 600}, {"number": 2, "title": "u", "body": None}]
     df = spark.createDataFrame([(json.dumps(p),) for p in prs], "j string")
+    assert manifests.ingest_prs(df, "j", F.lit("shop"), summary_chars=512)[0].agg(F.max(F.length("summary"))).first()[0] == 512
     digests, contributors = manifests.ingest_prs(df, "j", F.lit("shop"))
-    assert rows(digests, "number", "author", "merged_at", "files_touched", "summary") == [(1, "ann", "2026-01-01", ["a.sql"], "b" * 512), (2, "", "", [], "")]
+    assert rows(digests, "number", "author", "merged_at", "files_touched", "summary") == [(1, "ann", "2026-01-01", ["a.sql"], "b" * 600), (2, "", "", [], "")]
     assert rows(contributors, "key", "owner") == [("repo:shop", ""), ("repo:shop", "ann")]
 
 
