@@ -58,7 +58,7 @@ def register_views(spark: SparkSession, mapping: Mapping[str, str]) -> list[str]
 
 
 def register_dir(spark: SparkSession, path: str, mapping: Mapping[str, str] | None = None) -> list[str]:
-    """Register every supported file of a directory as a view named by its stem, in name order.
+    """Register every supported file of a directory (or the one file given) as a view named by its stem, in name order.
 
     An explicit ``mapping`` overrides the directory scan.
     """
@@ -67,11 +67,13 @@ def register_dir(spark: SparkSession, path: str, mapping: Mapping[str, str] | No
     base = path.rstrip("/")
     if "://" not in base:
         base = os.path.abspath(base)
-    # The file listing is a DataFrame of paths (contents are not read); a table may be a file or a folder of files.
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select("path")
-    below = F.col("path").substr(F.instr("path", base + "/") + F.lit(len(base) + 1), F.length("path"))
-    entry = F.split(below, "/").getItem(0)
-    entries = sorted(row["entry"] for row in listed.select(entry.alias("entry")).distinct().collect())
+    # Through the store's own listing: direct children only, whatever the store; a table may be a file or a folder of files.
+    context = spark.sparkContext
+    root = context._jvm.org.apache.hadoop.fs.Path(base)
+    store = root.getFileSystem(context._jsc.hadoopConfiguration())
+    if store.getFileStatus(root).isFile():
+        return register_views(spark, {_stem(base): base})
+    entries = sorted(status.getPath().getName() for status in store.listStatus(root))
     return register_views(spark, {_stem(e): f"{base}/{e}" for e in entries if _suffix(e) in _SUFFIXES})
 
 

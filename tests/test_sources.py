@@ -36,6 +36,10 @@ def test_views(spark, folder):
     assert files.register_dir(spark, str(folder)) == ["customers", "lines", "one", "orders", "parts", "written"]
     assert rows(spark.sql("SELECT currency FROM orders WHERE total > :low", args={"low": 50})) == [("GBP",), ("USD",)]
     assert spark.table("written").count() == 4
+    assert files.register_dir(spark, str(folder / "orders.csv")) == ["orders"]
+    (folder / "deep").mkdir()
+    (folder / "deep" / "hidden.csv").write_text("a\n1\n")
+    assert "hidden" not in files.register_dir(spark, str(folder))
     assert files.register_dir(spark, str(folder), {"only-this": str(folder / "orders.csv")}) == ["only-this"]
     assert spark.table("`only-this`").count() == 3
     with pytest.raises(ValueError):
@@ -90,6 +94,18 @@ def test_manifest(spark, tmp_path):
     assert rows(edges) == [("model.p.a", "model.p.b"), ("model.p.a", "model.p.c"), ("model.p.b", "model.p.d")]
 
 
+def test_long_csv_cells(spark):
+    body = 'k,v\n1,"' + "x" * 200_000 + '"\n'
+    df = spark.createDataFrame([(1, body)], "id int, body string")
+    assert exports.parse_export(df, "body", "csv", "k int, v string").select(F.length("v")).first()[0] == 200_000
+
+
+def test_documents_match_by_type(spark):
+    df = spark.createDataFrame([('{"k": 69}',), ('{"k": "69"}',), ('{"k": 69.4}',), ('{"k": 69.0}',), ('{"k": true}',), ('{"k": null}',)], "j string")
+    counts = [documents.doc_count(df, "j", {"k": v}).first()[0] for v in (69, "69", 69.4, 69.0, True, None)]
+    assert counts == [2, 1, 1, 2, 1, 1]
+
+
 def test_codeowners(spark):
     lines = ["# all", "*.sql @data", "/models/marts/   @alice bob@example.com # both", "orphan/", "", "  docs/\t@@carol"]
     got = manifests.parse_codeowners(spark.createDataFrame([(x,) for x in lines], "value string"))
