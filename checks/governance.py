@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.common import load
 from plumbline.operators import asof, audit, govern, replay
+from plumbline.session import cut_lineage
 
 RULES = [
     *govern.DEFAULT_RULES,
@@ -229,7 +230,7 @@ def _pinned(spark, sf):
     with asof.pinned(load(spark, sf, "orders")) as snapshot:
         totals = snapshot.df.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("orders"))
         dates = snapshot.df.groupBy("o_orderstatus").agg(F.max("o_orderdate").alias("newest"))
-        return totals.join(dates, "o_orderstatus")
+        return cut_lineage(totals.join(dates, "o_orderstatus"))
 
 
 QUERIES = {

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.profile import quoted
-from plumbline.session import scratch_path
+from plumbline.session import remove_scratch, scratch_path
 
 
 def as_of(
@@ -52,9 +52,13 @@ class Snapshot:
 def pinned(df: DataFrame) -> Iterator[Snapshot]:
     """The rows of ``df`` written once as a table in the shared folder; every step inside reads the same copy.
 
-    The copy is columnar, so steps still read only the columns and row groups they need.
+    The copy is columnar, so steps still read only the columns and row groups they need. It is removed at the end, so
+    a result that outlives the block must be written inside it.
     """
     taken = datetime.now(timezone.utc)
     path = scratch_path(df.sparkSession, "snapshot")
-    df.write.parquet(path)
-    yield Snapshot(df.sparkSession.read.schema(df.schema).parquet(path), taken)
+    try:
+        df.write.parquet(path)
+        yield Snapshot(df.sparkSession.read.schema(df.schema).parquet(path), taken)
+    finally:
+        remove_scratch(df.sparkSession, path)

@@ -42,6 +42,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def remove_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a path that ``scratch_path`` gave; anything outside the shared folder is refused."""
+    if not path.startswith(shared_dir(spark).rstrip("/") + "/"):
+        raise ValueError(f"{path!r} is not below the shared folder")
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def broadcast_if_small(df: DataFrame, cells: Column | None = None, limit: int = BROADCAST_CELLS) -> DataFrame:
     """``df`` marked for broadcast when its counted size allows it, else unchanged for a shuffle join.
 

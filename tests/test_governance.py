@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -91,6 +93,9 @@ def test_pinned_rows_do_not_move(spark, tmp_path):
     with asof.pinned(spark.read.parquet(path)) as snapshot:
         spark.range(3).write.mode("append").parquet(path)
         assert snapshot.df.count() == 5 and snapshot.snapshot_ts is not None
+        files = [f.removeprefix("file:") for f in snapshot.df.inputFiles()]
+        assert files and all(os.path.exists(f.replace("//", "")) or os.path.exists(f) for f in files)
+    assert not any(os.path.exists("/" + f.lstrip("/")) for f in files)
     assert spark.read.parquet(path).count() == 8
 
 
