@@ -308,9 +308,11 @@ def train(pages: DataFrame, key: str = "page_id", page: str = "html", sample: in
     The labelled samples are blocks whose markup says what they are: inside an article or main element, or inside
     navigation, footers and the like. Without both kinds the text counts for nothing.
     """
-    rows = pages.select(F.col(key).alias("k"), F.col(page).alias("t")).where("t IS NOT NULL").orderBy(F.xxhash64("k"), "k").limit(sample)
+    rows = pages.select(F.coalesce(F.md5(F.col(key).cast("string")), F.lit("")).alias("h"), F.col(page).alias("t")).where("t IS NOT NULL")
+    # Only hashes are sorted; then the pages up to the last hash wanted reach the driver, not some of every task.
+    last = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     tables, labels = [], []
-    for row in rows.collect():
+    for row in rows.where(F.col("h") <= F.lit(last or "")).orderBy("h", "t").limit(sample).collect():
         blocks = blocks_of(row["t"])
         if blocks:
             tables.append(features(blocks))
