@@ -159,21 +159,23 @@ def _semi(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, on)
 
 
-def overlaps(probe: np.ndarray, members: Iterator[tuple[int, np.ndarray]]) -> Iterator[int]:
-    """The ids of the members similar to the probe; members come sorted by their n-grams, a prefix tree depth first.
+def overlaps(probe: np.ndarray, members: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[int, int, bool, bool]]:
+    """(id, overlap, whether it is exact, similar) of each member; members come sorted by their n-grams, a prefix tree depth first.
 
     ``met[d]`` is the overlap of the path of d n-grams with the probe, ``passed[d]`` the probe's n-grams up to its last.
-    What the two differ by the probe has already missed for every set below that node.
+    What the two differ by the probe has already missed for every set below that node. The overlap of a pruned member
+    is what the probe can still have at the pruned node, an upper bound.
     """
     may_miss = len(probe) - int(needed(np.array(len(probe))))
     before = np.empty(0, np.int64)
     met, passed = np.zeros(1, np.int64), np.zeros(1, np.int64)
-    dead = None
+    dead, most = None, 0
     for number, grams in members:
         common = min(len(before), len(grams))
         differ = np.nonzero(before[:common] != grams[:common])[0]
         shared = int(differ[0]) if len(differ) else common
         if dead is not None and shared >= dead:
+            yield number, most, False, False
             continue
         shared = min(shared, len(met) - 1)
         met, passed, dead, before = met[: shared + 1], passed[: shared + 1], None, grams
@@ -186,13 +188,16 @@ def overlaps(probe: np.ndarray, members: Iterator[tuple[int, np.ndarray]]) -> It
             missed = passed[at + 1 :] - met[at + 1 :] > may_miss
             if missed.any():
                 dead = at + 1 + int(np.argmax(missed))
+                most = len(probe) - int(passed[dead] - met[dead])
                 break
-        if dead is None and (NUMERATOR + DENOMINATOR) * int(met[-1]) >= NUMERATOR * (len(probe) + len(grams)):
-            yield number
+        if dead is not None:
+            yield number, most, False, False
+        else:
+            yield number, int(met[-1]), True, (NUMERATOR + DENOMINATOR) * int(met[-1]) >= NUMERATOR * (len(probe) + len(grams))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar. All candidates b of a are walked as one prefix tree, in blocks of bounded size."""
+    """The pairs ``(a, b, overlap, exact, similar)``. All candidates b of a are walked as one prefix tree, in blocks of bounded size."""
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     dealt = pairs.join(counts, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
     members = dealt.join(sets.select(F.col("id").alias("b"), "grams"), "b").select("a", "block", F.lit(1).alias("kind"), "b", "grams")
@@ -219,55 +224,75 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 while (row := next(rows_, None)) is not None and row[:2] == (a, block):
                     yield row[3], row[4]
 
-            found = list(overlaps(probe, members_()))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([a] * len(found), pa.int64()), pa.array(found, pa.int64())], ["a", "b"])
+            if found := list(overlaps(probe, members_())):
+                ids, sizes, exact, same = zip(*found, strict=True)
+                columns = [pa.array([a] * len(found), pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(exact), pa.array(same)]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "overlap", "exact", "similar"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long, overlap long, exact boolean, similar boolean")
 
 
-def _possible(a: str, b: str) -> Column:
-    """Whether sizes and the n-grams each shares with any set allow the pair: 9 * overlap >= 4 * (sizes)."""
-    most = F.least(F.col(f"{a}_alive"), F.col(f"{b}_alive")) * (NUMERATOR + DENOMINATOR)
-    return most >= (F.col(f"{a}_n") + F.col(f"{b}_n")) * NUMERATOR
+def _enough(overlap: Column, a: str, b: str) -> Column:
+    """Whether an overlap suffices for sets of these sizes: 9 * overlap >= 4 * (sizes)."""
+    return overlap * (NUMERATOR + DENOMINATOR) >= (F.col(f"{a}_n") + F.col(f"{b}_n")) * NUMERATOR
 
 
 def by_frequency(sets: DataFrame) -> DataFrame:
-    """The sets with each n-gram replaced by a number that sorts by frequency among them, then by hash.
+    """``(id, n, alive, grams)``: each n-gram replaced by a number that sorts by frequency among the sets, then by hash.
 
-    The number holds the frequency (4,095 at most, which orders all that matters) above 51 bits of the hash.
+    The number holds the frequency (4,095 at most, which orders all that matters) above 51 bits of the hash. ``alive``
+    counts the n-grams that another of the sets has too; the others stand first.
     """
     grams = sets.select("id", F.explode("grams").alias("g"))
     frequency = F.least(F.col("f"), F.lit(4095)).cast("long")
     number = F.shiftleft(frequency, 51).bitwiseOR(F.col("g").bitwiseAND(F.lit((1 << 51) - 1)))
-    counted = grams.join(grams.groupBy("g").agg(F.count("*").alias("f")), "g").select("id", number.alias("g"))
-    ordered = counted.groupBy("id").agg(F.sort_array(F.collect_list("g")).alias("grams"))
-    return sets.drop("grams").join(ordered, "id")
+    counted = grams.join(grams.groupBy("g").agg(F.count("*").alias("f")), "g").select("id", "f", number.alias("g"))
+    ordered = counted.groupBy("id").agg(F.sort_array(F.collect_list("g")).alias("grams"), F.count_if(F.col("f") > 1).alias("alive"))
+    return sets.select("id", "n").join(ordered, "id").where(F.col("alive") >= F.ceil(F.col("n") * NUMERATOR / DENOMINATOR))
 
 
 def similar_components(sets: DataFrame) -> DataFrame:
-    """``(id, component)`` of the sets ``(id, n, alive, grams)`` that are similar to another one; the rest has no row."""
-    length = (F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1).cast("int")
-    begin = materialise(sets.select("id", "n", "alive", F.explode(F.slice("grams", F.lit(1), length)).alias("g")), "begin")
+    """``(id, component)`` of the sets ``(id, n, alive, grams)`` that are similar to another one; the rest has no row.
+
+    A pair's overlap lies in the n-grams from its first common one on; ``left`` is how many of them each set shares
+    with any other. Pairs without enough are never formed.
+    """
+    dead = F.col("n") - F.col("alive")
+    length = (F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1 - dead).cast("int")
+    some = sets.where(length > 0).select("id", "n", "alive", F.posexplode(F.slice("grams", (dead + 1).cast("int"), length)).alias("place", "g"))
+    begin = materialise(some.withColumn("left", F.col("alive") - F.col("place")).drop("place"), "begin")
     # A group's centre is the set with the smallest share of n-grams of its own: a copy's origin, if it is there.
-    rank = F.struct(((F.col("n") - F.col("alive")) / F.col("n")).alias("own"), F.col("id").alias("id"), "n", "alive")
+    rank = F.struct(((F.col("n") - F.col("alive")) / F.col("n")).alias("own"), F.col("id").alias("id"), "n", "alive", "left")
     groups = begin.groupBy("g").agg(F.min(rank).alias("c"), F.count("*").alias("size")).where("size > 1")
-    groups = materialise(groups.select("g", F.col("c.id").alias("a"), F.col("c.n").alias("a_n"), F.col("c.alive").alias("a_alive")), "groups")
-    members = begin.select("g", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("alive").alias("b_alive"))
-    first = materialise(members.join(groups, "g").where((F.col("a") != F.col("b")) & _possible("a", "b")).select("a", "b").distinct(), "pairs")
-    links = materialise(_verify(first, sets), "links")
+    groups = materialise(groups.select("g", *[F.col(f"c.{c}").alias(f"a_{c}") for c in ("id", "n", "alive", "left")]).withColumnRenamed("a_id", "a"), "groups")
+    members = begin.select("g", F.col("id").alias("b"), F.col("n").alias("b_n"), F.col("alive").alias("b_alive"), F.col("left").alias("b_left"))
+    near = (F.col("a") != F.col("b")) & _enough(F.least("a_left", "b_left"), "a", "b")
+    first = materialise(members.join(groups, "g").where(near).select("a", "b").distinct(), "pairs")
+    verified = materialise(_verify(first, sets), "verified")
+    links = verified.where("similar").select("a", "b")
     labels = connected(links)
-    # Sets outside the component of their group's centre meet the group's sets of other components.
+    # Sets outside the component of their group's centre meet the group's sets of other components. Each set's overlap
+    # with the centre is known (or bounded); what two sets share lies inside the centre or outside it.
     known = members.join(labels.select(F.col("node").alias("b"), "component"), "b", "left").withColumn("component", F.coalesce("component", "b"))
     centres = groups.join(labels.select(F.col("node").alias("a"), "component"), "a", "left")
-    centres = centres.select("g", F.coalesce("component", "a").alias("main"))
-    known = materialise(known.join(centres, "g"), "known")
-    outside = known.where("component <> main").select("g", *[F.col(c).alias(c.replace("b", "a", 1)) for c in ("b", "b_n", "b_alive")], F.col("component").alias("a_component"))
-    second = outside.join(known, "g").where((F.col("a_component") != F.col("component")) & _possible("a", "b"))
+    centres = centres.select("g", "a", "a_n", "a_alive", F.coalesce("component", "a").alias("main"))
+    known = known.join(centres, "g").join(verified.select("a", "b", "overlap", "exact"), ["a", "b"], "left")
+    centre = F.col("a") == F.col("b")
+    known = known.withColumns({
+        # At most so many of a set's shared n-grams lie in the centre, and at most so many outside it.
+        "b_inside": F.when(centre, F.col("b_alive")).otherwise(F.least(F.coalesce("overlap", "a_alive"), F.col("b_alive"))),
+        "b_outside": F.when(centre, F.lit(0)).otherwise(F.col("b_alive") - F.when(F.col("exact"), F.col("overlap")).otherwise(F.lit(0))),
+    })
+    known = materialise(known.select("g", "b", "b_n", "b_left", "b_inside", "b_outside", "component", "main"), "known")
+    renamed = [F.col(c).alias(c.replace("b", "a", 1)) for c in ("b", "b_n", "b_left", "b_inside", "b_outside")]
+    outside = known.where("component <> main").select("g", *renamed, F.col("component").alias("a_component"))
+    shared = F.least("a_inside", "b_inside") + F.least("a_outside", "b_outside")
+    far = (F.col("a_component") != F.col("component")) & _enough(F.least("a_left", "b_left"), "a", "b") & _enough(shared, "a", "b")
     # Two sets that are both outside meet once.
-    second = second.where((F.col("component") == F.col("main")) | (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    once = (F.col("component") == F.col("main")) | (F.col("a") < F.col("b"))
+    second = outside.join(known, "g").where(far & once).select("a", "b").distinct()
     second = second.join(first.union(first.select("b", "a")), ["a", "b"], "left_anti")
-    more = materialise(_verify(materialise(second, "pairs"), sets), "links")
+    more = materialise(_verify(materialise(second, "pairs"), sets).where("similar").select("a", "b"), "links")
     if more.isEmpty():
         return labels.select(F.col("node").alias("id"), "component")
     return connected(links.union(more)).select(F.col("node").alias("id"), "component")
@@ -297,7 +322,7 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n
     whole = materialise(whole.select("id", "n", "grams"), "whole")
     own = _own_grams(whole, "id")
     kept = whole.join(own, "id", "left").withColumn("alive", alive).where(F.col("alive") >= F.ceil(F.col("n") * NUMERATOR / DENOMINATOR))
-    kept = materialise(kept.select("id", "n", "alive", "grams"), "kept")
+    kept = materialise(kept.select("id", "n", "grams"), "kept")
     found = similar_components(materialise(by_frequency(kept), "ordered"))
     classes = distinct.join(found, "id", "left").select("n", "d1", "d2", F.coalesce("component", "id").alias("component"))
     salted = copies.join(classes, ["n", "d1", "d2"]).select("n", "d1", "d2", "salt", "component")

@@ -76,6 +76,26 @@ def test_jaccard_against_all_pairs(spark, seed):
     assert {r[0]: r[1] for r in found.collect()} == {k: len(s) for k, s in enumerate(sets)}
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_jaccard_of_variants_of_variants(spark, seed):
+    """Families whose origin is missing, with edits that several variants share: few pairs are similar, chains matter."""
+    pick = random.Random(seed)
+    texts = []
+    for family in range(4):
+        level = [[f"f{family}w{k}" for k in range(pick.choice([40, 80]))]]
+        for _ in range(3):
+            level = [[w if pick.random() > 0.02 else f"e{family}x{pick.randrange(4)}" for w in pick.choice(level)] + ["z"] * pick.randrange(3) for _ in range(25)]
+            texts += [" ".join(w) for w in pick.sample(level, 12)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    label = list(range(len(texts)))
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for _ in texts:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    found = jaccard.ngram_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r[0]: r[2] for r in found.collect()} == dict(enumerate(label)) and 4 < len(set(label)) < len(texts)
+
+
 def test_prefix_tree_walk():
     pick = np.random.default_rng(5)
     probe = np.unique(pick.integers(0, 500, 200))
@@ -85,7 +105,10 @@ def test_prefix_tree_walk():
         members.append(np.union1d(kept, pick.integers(0, 500, pick.integers(0, 30))))
     members.sort(key=lambda x: x.tolist())
     want = [k for k, m in enumerate(members) if 5 * len(np.intersect1d(m, probe)) >= 4 * len(np.union1d(m, probe))]
-    assert list(jaccard.overlaps(probe, enumerate(members))) == want and 0 < len(want) < 300
+    found = list(jaccard.overlaps(probe, enumerate(members)))
+    assert [k for k, *_, same in found if same] == want and 0 < len(want) < 300 and len(found) == 300
+    sizes = [len(np.intersect1d(m, probe)) for m in members]
+    assert all(n == sizes[k] if exact else n >= sizes[k] for k, n, exact, _ in found)
 
 
 def test_tokens(spark, docs, none):
