@@ -62,6 +62,57 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.shown(base), 256).alias("base_sha256"), secrets.shown(F.col("spans")).alias("spans"))
 
 
+SYMBOLS = secrets.SYMBOLS
+# The same patterns for an engine without look-behind and possessive repeats: kind, pattern, group, least length.
+SQL_PATTERNS = (
+    (0, secrets.PATTERNS["assign"][0].replace("'", "''"), 2, 8), (1, "AKIA[A-Z0-9]{12,}", 0, 16), (2, "[0-9a-f]{32,}", 0, 32),
+    (3, "[A-Za-z0-9+/_=-]{20,}", 0, 20),
+)
+SQL_MATCHES = " UNION ALL ".join(
+    f"""SELECT doc_id, {k} AS kind, {least} AS least, regexp_split_to_array(t, '{p}') AS p, regexp_extract_all(t, '{p}') AS w,
+        regexp_extract_all(t, '{p}', {g}) AS v FROM d WHERE regexp_matches(t, '{p}')""" for k, p, g, least in SQL_PATTERNS)
+SQL_REST = "t"
+for _, _pattern, _, _ in SQL_PATTERNS[:3]:
+    SQL_REST = f"regexp_replace({SQL_REST}, '{_pattern}', ' ', 'g')"
+
+
+def _chance_sql(label: str, uniform: float) -> str:
+    n = len(SYMBOLS)
+    return f"""(SELECT a.c AS a, b.c AS b, (1 - {uniform}::DOUBLE) * (coalesce(p.n, 0) + 1)::DOUBLE / (coalesce(o.n, 0) + {n}) + {uniform}::DOUBLE / {n} AS p
+        FROM c a CROSS JOIN c b LEFT JOIN (SELECT * FROM pairs WHERE label = '{label}') p ON p.a = a.c AND p.b = b.c
+        LEFT JOIN (SELECT a, sum(n) AS n FROM pairs WHERE label = '{label}' GROUP BY a) o ON o.a = a.c)"""
+
+
+OP4_SQL = f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(md5(CAST(doc_id AS VARCHAR)), '') AS h FROM documents),
+    m AS ({SQL_MATCHES}),
+    s AS (SELECT doc_id, kind, start, start + length(w[i]) AS stop, v[i] AS value FROM (
+              SELECT *, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+              FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM m)) WHERE length(v[i]) >= least),
+    tokens AS (
+        SELECT 'random' AS label, value AS token FROM s JOIN d USING (doc_id) WHERE kind < 3
+           AND h <= (SELECT max(h) FROM (SELECT h FROM d WHERE doc_id IN (SELECT doc_id FROM s WHERE kind < 3) ORDER BY h LIMIT 1000))
+        UNION ALL
+        SELECT 'usual', unnest(regexp_extract_all({SQL_REST}, '[A-Za-z0-9+/_=-]{{6,}}')) FROM d
+        WHERE h <= (SELECT max(h) FROM (SELECT h FROM d ORDER BY h LIMIT 1000))),
+    c AS (SELECT unnest(string_split('{SYMBOLS}', '')) AS c),
+    pairs AS (SELECT label, substr(token, i, 1) AS a, substr(token, i + 1, 1) AS b, count(*) AS n
+              FROM (SELECT *, unnest(range(1, length(token))) AS i FROM tokens)
+              WHERE contains('{SYMBOLS}', substr(token, i, 1)) AND contains('{SYMBOLS}', substr(token, i + 1, 1)) GROUP BY 1, 2, 3),
+    ratios AS (SELECT r.a, r.b, CAST(round(1000 * ln(r.p / u.p)) AS BIGINT) AS x FROM {_chance_sql('random', 0.5)} r JOIN {_chance_sql('usual', 0.02)} u ON r.a = u.a AND r.b = u.b),
+    runs AS (SELECT * FROM s WHERE kind = 3 AND NOT EXISTS (SELECT 1 FROM s b WHERE b.kind < 3 AND b.doc_id = s.doc_id AND b.start <= s.start AND b.stop >= s.stop)),
+    picked AS (SELECT doc_id, kind, start, stop FROM (SELECT *, unnest(range(1, length(value))) AS i FROM runs) q
+               JOIN ratios ON a = substr(value, i, 1) AND b = substr(value, i + 1, 1) GROUP BY 1, 2, 3, 4, value HAVING sum(x) >= (length(value) - 1) * 300),
+    every AS (SELECT doc_id, kind, start, stop FROM s WHERE kind < 3 UNION ALL SELECT * FROM picked),
+    shown AS (SELECT *, ['assign', 'access', 'hex', 'markov'][kind + 1] || ':' || start || ':' || stop AS x FROM every),
+    o AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+                 string_agg(x, ',' ORDER BY start, kind, stop) FILTER (kind < 3) AS base, string_agg(x, ',' ORDER BY start, kind, stop) AS spans
+          FROM shown GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+           sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN o USING (doc_id)
+"""
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return topk.exact_topk(vectors, vectors.where("vec_id % 100 = 0"), k=10, scale=1024)
@@ -152,4 +203,4 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_source_mixing": op10_source_mixing,
 }
-ORACLES = {"op2_ngram_jaccard": OP2_SQL, "op5_exact_topk": OP5_SQL, "op6_line_frequency": OP6_SQL}
+ORACLES = {"op2_ngram_jaccard": OP2_SQL, "op4_secret_scan": OP4_SQL, "op5_exact_topk": OP5_SQL, "op6_line_frequency": OP6_SQL}
