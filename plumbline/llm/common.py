@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,6 +36,13 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that a task holds few texts as Python strings at a time."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
 def list_column(flat: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list column from its values end to end and the length of each row."""
     offsets = np.zeros(len(counts) + 1, np.int32)

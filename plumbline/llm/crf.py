@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import texts_of
+from plumbline.llm.common import small, texts_of
 from plumbline.llm.jaccard import word_hashes
 from plumbline.llm.tokens import slices
 
@@ -188,7 +188,7 @@ def train(
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(sample), "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = texts_of(batch.column(0))
             for a, b in slices(texts, 2_000_000):
                 table, _, counts = line_features(texts[a:b])
@@ -212,7 +212,7 @@ def score(docs: DataFrame, model: LineModel, key: str = "doc_id", text: str = "t
     """``(key, score)`` of every row, from its whole text alone. A null, empty or blank text scores 0; repeated rows each score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = texts_of(batch.column(1))
             for a, b in slices(texts, 2_000_000):
                 scores = np.clip(model.score(texts[a:b]), 0.0, 1.0)

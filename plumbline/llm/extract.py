@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import texts_of
+from plumbline.llm.common import small, texts_of
 
 #: Fixed values of HTML: elements whose content is raw or never shown, elements without content, and elements that
 #: begin and end a block of text.
@@ -342,7 +342,7 @@ def extract(pages: DataFrame, model: BlockClassifier, key: str = "page_id", url:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found = [main_text(t, model) if t else "" for t in texts_of(batch.column(2))]
             columns = [batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["k", "u", "text", "n_chars"])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import list_column, materialise, starts_of, texts_of
+from plumbline.llm.common import list_column, materialise, small, starts_of, texts_of
 from plumbline.llm.components import connected
 from plumbline.llm.tokens import slices
 
@@ -127,7 +127,7 @@ def _sets(docs: DataFrame, key: str, text: str, n: int, whole: bool) -> DataFram
     """``(id, n, d1, d2, grams)``: size, digests, and all n-grams (``whole``) or those of the first filter's beginning."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = texts_of(batch.column(1))
             for a, b in slices(texts, 2_000_000):
                 values, counts = shingle_sets(texts[a:b], n)

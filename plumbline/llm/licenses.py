@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import texts_of
+from plumbline.llm.common import small, texts_of
 
 #: Words of a phrase and its label.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -139,7 +139,7 @@ def license_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", notic
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = NoticeSearch(sought, per_error)
-        for batch in batches:
+        for batch in small(batches):
             out: list[dict] = []
             for text_ in texts_of(batch.column(1)):
                 words = normal_words(text_)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import materialise, ranges, starts_of, texts_of
+from plumbline.llm.common import materialise, ranges, small, starts_of, texts_of
 from plumbline.llm.tokens import crc_of, encoder, slices
 
 #: Pieces packed together by one task: enough that its last, half-filled bin does not count.
@@ -96,7 +96,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, key:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for batch in batches:
+        for batch in small(batches):
             texts = texts_of(batch.column(1))
             for a, b in slices(texts):
                 ids, counts = encode.encode(texts[a:b])

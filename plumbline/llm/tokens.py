@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import list_column, ranges, starts_of, texts_of
+from plumbline.llm.common import list_column, ranges, small, starts_of, texts_of
 from plumbline.session import scratch_path
 
 #: Small Latin letters that lower-casing and composition leave alone, and marks that never join a word.
@@ -26,7 +27,7 @@ LETTERS = "a-zß-öø-ÿ"
 MARKS = ".,!?;:%$#&*|"
 _PLAIN = re.compile(f"([{LETTERS}]*)([{re.escape(MARKS)}]*)")
 #: Words kept per worker process before the table starts anew: bounds its memory.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 300_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -64,8 +65,7 @@ class Encoder:
         self.parts: dict[str, list[int]] = {}
         self.flat = np.empty(1 << 16, np.uint32)
         self.used = 0
-        self.begin: list[int] = []
-        self.length: list[int] = []
+        self.begin, self.length = array("q"), array("q")
 
     def _part(self, part: str) -> list[int]:
         """Ids of a run of plain letters or of marks, straight from the model."""
@@ -118,8 +118,8 @@ class Encoder:
         if not words:
             return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
         rows = np.array(words, np.int64)
-        lengths = np.array(self.length, np.int64)[rows]
-        ids = self.flat[ranges(np.array(self.begin, np.int64)[rows], lengths)]
+        lengths = np.array(self.length)[rows]
+        ids = self.flat[ranges(np.array(self.begin)[rows], lengths)]
         ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(n_words)]
         return ids, np.diff(ends, prepend=0)
 
@@ -138,7 +138,7 @@ def encoder(path: str) -> Encoder:
     return kept[path]
 
 
-def slices(texts: list[str], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Runs of texts of at most ``most`` characters (or one longer text), so that memory stays bounded."""
     begin = size = 0
     for k, text in enumerate(texts):
@@ -159,7 +159,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, key: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, before = encoder(tokenizer), 0
-        for batch in batches:
+        for batch in small(batches):
             texts = texts_of(batch.column(1))
             for a, b in slices(texts):
                 ids, counts = encode.encode(texts[a:b])
