@@ -16,6 +16,8 @@ from plumbline.llm.common import WORD, materialise
 BLOCK_WORDS = 200_000
 BLOCK_ROWS = 20_000
 SHARD_WORDS = 1_000_000
+RULES = "rules array<struct<after:bigint,upto:bigint,most:bigint>>"
+CUT = f"sid int, spot long, block long, full boolean, {RULES}, left long"
 
 
 def capped_targets(sizes: Sequence[int], weights: Sequence[float], most: float) -> list[float]:
@@ -63,11 +65,12 @@ def _sources(rows: DataFrame, source: str, weights: Sequence[float], most: float
 
     The sources of a mix are its configuration: one summary row for each reaches the driver.
     """
-    found = rows.groupBy(source).agg(F.sum("size").alias("words"), F.count("*").alias("rows")).collect()
+    least = F.min(F.when(F.col("size") > 0, F.col("size")))
+    found = rows.groupBy(source).agg(F.sum("size").alias("words"), F.count("*").alias("rows"), least.alias("least")).collect()
     found = sorted(found, key=lambda r: (r[0] is None, r[0] or ""))
     targets = capped_targets([r["words"] for r in found], [weights[k % len(weights)] for k in range(len(found))], most)
     return [
-        {"sid": k, "source": r[0], "words": int(r["words"]), "rows": int(r["rows"]), "target": t}
+        {"sid": k, "source": r[0], "words": int(r["words"]), "rows": int(r["rows"]), "least": r["least"], "target": t}
         for k, (r, t) in enumerate(zip(found, targets, strict=True))
     ]
 
@@ -91,16 +94,20 @@ def fitting(order: np.ndarray, size: np.ndarray, room: float) -> list[tuple[int,
     """What a block gives to a room of words, going through its rows in order and skipping those that do not fit.
 
     The rows taken are those of one of the returned ranges (after, upto] of the order whose size is at most the third
-    number. Rows of equal order go together.
+    number. Rows of equal order are of equal size and go together, so no range holds such a group that does not fit.
     """
-    order, group = np.unique(order, return_inverse=True)
+    order, first, group = np.unique(order, return_index=True, return_inverse=True)
+    own = np.asarray(size)[first]
     size = np.bincount(group, weights=size).astype(np.int64)
     rules, after, left = [], -(2**63), int(room)
     while True:
-        open_ = np.nonzero((order > after) & (size <= left))[0]
+        open_ = np.nonzero((order > after) & (own <= left))[0]
+        if not len(open_):
+            return rules
         n = int(np.searchsorted(np.cumsum(size[open_]), left, side="right"))
         if n == 0:
-            return rules
+            after = int(order[open_[0]])
+            continue
         upto = int(order[open_[n - 1]])
         rules.append((after, upto, left))
         left -= int(size[open_[:n]].sum())
@@ -109,9 +116,46 @@ def fitting(order: np.ndarray, size: np.ndarray, room: float) -> list[tuple[int,
 
 def _rules(pdf: pd.DataFrame) -> pd.DataFrame:
     """One row for a block that is taken in part; a block holds about ``block_words`` words, so this is bounded."""
-    rules = fitting(pdf["order"].to_numpy(), pdf["size"].to_numpy(), pdf["room"].iloc[0])
+    order, size, room = pdf["order"].to_numpy(), pdf["size"].to_numpy(), int(pdf["room"].iloc[0])
+    rules, taken = fitting(order, size, room), np.zeros(len(pdf), bool)
+    for after, upto, most in rules:
+        taken |= (order > after) & (order <= upto) & (size <= most)
     listed = [{"after": a, "upto": b, "most": c} for a, b, c in rules]
-    return pd.DataFrame({"sid": pdf["sid"].iloc[:1], "block": pdf["block"].iloc[:1], "rules": [listed]})
+    return pdf[["sid", "spot", "block", "full"]].iloc[:1].assign(rules=[listed], left=room - int(size[taken].sum()))
+
+
+def _last_pass(own: DataFrame, listed: list[dict]) -> DataFrame:
+    """``(sid, block, pass, spot, rules)`` of the blocks that the last, partial pass draws; null ``rules``: the block as it is.
+
+    A source's blocks are gone through in their order and rows that do not fit are skipped, to the end of the pass. One
+    round sums up, by block, what fits in the room left; blocks up to the one that fills the room give all of that, and the
+    room which that one leaves goes on to the blocks behind it. A round ends with less room than some row that fitted
+    before it, and rows stand in hashed order, so rounds grow as the logarithm of the rows. The driver sees one row per source.
+    """
+    spark = own.sparkSession
+    found = spark.createDataFrame([], f"sid int, block long, pass int, spot long, {RULES}")
+    least = {x["sid"]: x["least"] or 0 for x in listed}
+    state = [(x["sid"], int(x["rest"]), None, None) for x in listed if x["rest"] >= 1]
+    while state:
+        at = F.broadcast(spark.createDataFrame(state, "sid int, left long, past_spot long, past_block long"))
+        # Behind the first block that was taken in part, only rows with words that fit count.
+        first = F.col("past_spot").isNull()
+        behind = (F.col("spot") > F.col("past_spot")) | ((F.col("spot") == F.col("past_spot")) & (F.col("block") > F.col("past_block")))
+        rows = own.join(at, "sid").where(first | (behind & (F.col("size") > 0) & (F.col("size") <= F.col("left"))))
+        groups = rows.groupBy("sid", "spot", "block", "pass", "left", first.alias("first"), "order").agg(F.sum("size").alias("size"))
+        fits = F.coalesce(F.sum(F.when(F.col("size") <= F.col("left"), F.col("size"))), F.lit(0))
+        blocks = groups.groupBy("sid", "spot", "block", "pass", "left", "first").agg(F.sum("size").alias("held"), fits.alias("fits"))
+        upto = F.sum("fits").over(Window.partitionBy("sid").orderBy("spot", "block").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        blocks = blocks.withColumn("room", F.col("left") - upto + F.col("fits")).where("room > 0 AND (first OR fits > 0)")
+        blocks = blocks.withColumn("full", F.col("fits") > F.col("room"))
+        blocks = materialise(blocks.withColumn("whole", F.col("first") & (F.col("held") <= F.col("room"))), "reached")
+        part = blocks.where("NOT whole").select("sid", "spot", "block", "room", "full").join(own.select("sid", "block", "order", "size"), ["sid", "block"])
+        cut = part.groupBy("sid", "spot", "block").applyInPandas(_rules, CUT)
+        cut = materialise(cut, "cut")
+        given = blocks.join(cut.select("sid", "block", "rules"), ["sid", "block"], "left").where("whole OR size(rules) > 0")
+        found = found.unionByName(given.select("sid", "block", "pass", "spot", "rules"))
+        state = [(r["sid"], r["left"], r["spot"], r["block"]) for r in cut.where("full").collect() if r["left"] >= max(1, least[r["sid"]])]
+    return found
 
 
 def _numbered(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
@@ -141,29 +185,23 @@ def _draws(docs: DataFrame, key: str, text: str, source: str, weights: Sequence[
         return found.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "order"), F.col("blocks")))
 
     own = placed(sizes)
-    blocks = own.groupBy("sid", "block", "passes", "rest").agg(F.sum("size").alias("held"))
-    passes = blocks.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes"))))
-    shuffled = Window.partitionBy("sid", "pass").orderBy(F.xxhash64(F.lit(seed + 2), "sid", "pass", "block"), "block")
-    running = F.sum("held").over(shuffled.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    passes = passes.withColumn("before", running - F.col("held"))
-    # In the last, partial pass a block is taken whole, up to a number of words, or not at all.
-    last = F.col("pass") == F.col("passes")
-    passes = passes.withColumn("room", F.when(last, F.col("rest") - F.col("before"))).where(~last | (F.col("room") > 0))
-    passes = passes.withColumn("room", F.when(F.col("room") < F.col("held"), F.col("room")))
-    numbered = Window.partitionBy("sid").orderBy("pass", "before", "block")
-    draws = materialise(passes.withColumn("draw", F.row_number().over(numbered) - F.lit(1)).select("sid", "block", "pass", "room", "draw"), "draws")
+    spot = F.xxhash64(F.lit(seed + 2), "sid", "pass", "block")
+    blocks = own.groupBy("sid", "block", "passes").agg(F.count("*").alias("n")).where("passes > 0")
+    whole = blocks.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes") - 1))).withColumn("spot", spot)
+    last = _last_pass(own.withColumnRenamed("passes", "pass").withColumn("spot", spot), listed)
+    drawn = last.unionByName(whole.select("sid", "block", "pass", "spot"), allowMissingColumns=True)
+    numbered = Window.partitionBy("sid").orderBy("pass", "spot", "block")
+    draws = materialise(drawn.withColumn("draw", F.row_number().over(numbered) - F.lit(1)).drop("spot"), "draws")
     counted = {r["sid"]: r["n"] for r in draws.groupBy("sid").agg(F.count("*").alias("n")).collect()}
     shards = max(1, round(sum(x["target"] for x in listed) / shard_words))
     dealt = draws.join(_shard_draws(spark, [counted.get(x["sid"], 0) for x in listed], shards, seed), ["sid", "draw"])
-    # The one block of a source that is taken in part.
-    partial = draws.where("room IS NOT NULL").select("sid", "block", "room").join(own.select("sid", "block", "order", "size"), ["sid", "block"])
-    cut = partial.groupBy("sid", "block").applyInPandas(_rules, "sid int, block long, rules array<struct<after:bigint,upto:bigint,most:bigint>>")
     spot = F.struct(F.col("pass"), F.col("shard"))
     per_block = dealt.groupBy("sid", "block").agg(
-        F.sort_array(F.collect_list(F.when(F.col("room").isNull(), spot))).alias("whole"),
-        F.sort_array(F.collect_list(F.when(F.col("room").isNotNull(), spot))).alias("part"),
+        F.sort_array(F.collect_list(F.when(F.col("rules").isNull(), spot))).alias("whole"),
+        F.sort_array(F.collect_list(F.when(F.col("rules").isNotNull(), spot))).alias("part"),
+        F.first("rules", ignorenulls=True).alias("rules"),  # only the last pass has any
     )
-    per_block = materialise(per_block.join(cut, ["sid", "block"], "left"), "blocks")
+    per_block = materialise(per_block, "blocks")
     none = F.array().cast("array<struct<pass:int,shard:bigint>>")
     fits = F.exists("rules", lambda r: (F.col("order") > r["after"]) & (F.col("order") <= r["upto"]) & (F.col("size") <= r["most"]))
     taken = F.concat(F.coalesce("whole", none), F.when(fits, F.col("part")).otherwise(none))
@@ -179,9 +217,10 @@ def assign(
     A row's size is its number of words (null text: 0). Sources in code point order, null last, weigh ``weights`` in
     turn; targets share the total of all sizes, none above ``most`` times its source. Rows are dealt to the blocks of
     their source by a hash (the permutation), blocks stand in hashed order anew for each pass, and a source's target
-    is met by whole passes and a first part of one more. Of the block in which that part ends, the rows
-    that still fit are taken in hashed order, so what a source gives misses its target by less than a small row. The splitting tree deals the
-    draws to shards. Repeated rows are rows of their own; no rows give an empty result; reruns agree.
+    is met by whole passes and a part of one more: rows are taken in that order, and those that do not fit in the room left
+    are skipped, to the end of the pass. So what a source gives misses its target by less than the smallest row with words
+    that the last pass leaves out (repeated rows of one key and size go together there), or by less than a word. The
+    splitting tree deals the draws to shards. Repeated rows are rows of their own; no rows give an empty result; reruns agree.
     """
     add = _draws(docs, key, text, source, weights, most, seed, block_words, block_rows, shard_words)
     rows = add(_numbered(docs, key, text, source).select("k", "source", "size"))

@@ -411,6 +411,30 @@ def test_mixing(docs, none):
     assert mixing.mix(none).count() == 0 and mixing.assign(none).count() == 0
 
 
+def test_a_long_document_does_not_leave_the_target_unmet(spark):
+    pick = random.Random(8)
+    rows = []
+    for s in "abcde":
+        rows += [(len(rows) + k, "w " * pick.randint(20, 60), s) for k in range(300)]
+        rows.append((len(rows), "w " * 6000, s))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    source = {i: s for i, _, s in rows}
+    for seed in (1, 2):
+        found = mixing.assign(frame, weights=(1, 2, 3, 2, 1), seed=seed, block_words=1500, block_rows=100, shard_words=5000).collect()
+        for s in "abcde":
+            of = [r for r in found if source[r["doc_id"]] == s]
+            passes = int(of[0]["target"] // of[0]["source_size"])
+            spare = min((r["size"] for r in of if len(r["draws"]) <= passes), default=1)
+            assert 0 <= of[0]["target"] + 1e-6 - sum(r["size"] * len(r["draws"]) for r in of) < max(1, spare)
+            assert all(len(r["draws"]) in (passes, passes + 1) for r in of)
+
+
+def test_repeated_rows_that_do_not_fit_together_are_skipped():
+    order, size = np.array([1, 2, 2, 3]), np.array([2, 5, 5, 4])
+    assert all(not (a < 2 <= b and 5 <= c) for a, b, c in mixing.fitting(order, size, 9))
+    assert any(a < 3 <= b and 4 <= c for a, b, c in mixing.fitting(order, size, 9))
+
+
 def test_pipeline_edges(spark, docs, none, sf):
     for start in (docs, none):
         at = start
