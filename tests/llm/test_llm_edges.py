@@ -252,6 +252,34 @@ def test_shared_lines_deplete_documents(spark):
     assert found[0]["words_removed"] == 200 and found[100]["words_removed"] == 40
 
 
+def test_near_copies_do_not_deplete_each_other(spark):
+    pick = random.Random(5)
+
+    def prose(n):
+        return [f"w{pick.random()}" for _ in range(n)]
+
+    def altered(lines):
+        lines = [list(x) for x in lines]
+        x = pick.choice(lines)
+        x[pick.randrange(len(x))] = prose(1)[0]
+        return "\n".join(" ".join(x) for x in lines)
+
+    rows = []
+    for host, copies in (("a", 60), ("b", 2000)):
+        lines = [prose(n) for n in (4, 5, 6, 8, 8, 10, 10, 12, 30, 45)]  # some copies lose over 30 % with their line, some less
+        rows += [(len(rows) + k, altered(lines), host) for k in range(copies)]
+    near = len(rows)
+    boiler = [prose(40) for _ in range(5)]
+    for _ in range(30):  # pages that are boilerplate but for a line, each twice with another word in that line
+        own = prose(30)
+        rows += [(len(rows) + k, "\n".join(" ".join(x) for x in [*boiler, [*own[:29], *prose(1)]]), "c") for k in range(2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {r["doc_id"] for r in quality.quality_rules(frame).collect() if r["kept"]}
+    assert kept == set(range(near))
+    by_text = {r["doc_id"] for r in quality.quality_rules(frame, alike=None).collect() if r["kept"]}
+    assert by_text < kept
+
+
 def test_licenses(docs, none):
     found = licenses.license_scan(docs)
     by = {r["doc_id"]: r for r in found.collect()}
