@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import crf, extract, jaccard, licenses, mixing, packing, quality, secrets, tokens, topk
+from plumbline.llm import crf, extract, filters, jaccard, licenses, mixing, packing, periodic, quality, secrets, simhash, tokens, topk
 from plumbline.session import scratch_path
 
 
@@ -192,6 +192,42 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
 
 
+def op11_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(_table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(_table(spark, sf_dir, "documents")).drop("runs")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+    WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+                      list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    y AS (SELECT doc_id, max(coalesce(quality, 0) = 1) AS good, max(coalesce(toxic, 0) = 1) AS toxic FROM labels GROUP BY doc_id),
+    d AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+                 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'),
+                 coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails FROM w LEFT JOIN y USING (doc_id)),
+    m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic,
+                 len(list_filter(fails, lambda x: x)) AS failing FROM d GROUP BY part, fails),
+    f AS (SELECT unnest(range(1, 6)) AS f),
+    o AS (SELECT [a.f, b.f, c.f, e.f, g.f] AS o, list_aggregate(list_transform([a.f, b.f, c.f, e.f, g.f], lambda i: 'ABCDE'[i]), 'string_agg', '') AS filter_order
+          FROM f a, f b, f c, f e, f g WHERE len(list_distinct([a.f, b.f, c.f, e.f, g.f])) = 5),
+    r AS (SELECT m.*, o.o, o.filter_order, coalesce(list_min(list_filter(range(1, 6), lambda s: fails[o[s]])), 6) AS gone FROM m, o),
+    s AS (SELECT part, filter_order, f.f AS step, o[f.f] AS filter, CAST(sum(n) FILTER (gone > f.f) AS BIGINT) AS kept, CAST(sum(n) FILTER (gone = f.f) AS BIGINT) AS removed,
+                 CAST(sum(n) FILTER (fails[o[f.f]] AND gone < f.f) AS BIGINT) AS redundant, CAST(sum(n) FILTER (fails[o[f.f]] AND failing = 1) AS BIGINT) AS unique_fails,
+                 CAST(sum(good) FILTER (gone = f.f) AS BIGINT) AS good_lost, CAST(sum(toxic) FILTER (gone = f.f) AS BIGINT) AS toxic_lost
+          FROM r, f GROUP BY part, filter_order, step, filter)
+    SELECT part, filter_order, CAST(step AS INTEGER) AS step, coalesce(kept, 0) AS kept, coalesce(removed, 0) AS removed, coalesce(redundant, 0) AS redundant,
+           coalesce(unique_fails, 0) AS unique_fails, coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost,
+           CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+    FROM s
+"""
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -203,5 +239,8 @@ QUERIES = {
     "op8_line_quality": op8_line_quality,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_source_mixing": op10_source_mixing,
+    "op11_simhash_neardup": op11_simhash_neardup,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_filter_audit": op13_filter_audit,
 }
-ORACLES = {"op2_ngram_jaccard": OP2_SQL, "op4_secret_scan": OP4_SQL, "op5_exact_topk": OP5_SQL, "op6_line_frequency": OP6_SQL}
+ORACLES = {"op2_ngram_jaccard": OP2_SQL, "op4_secret_scan": OP4_SQL, "op5_exact_topk": OP5_SQL, "op6_line_frequency": OP6_SQL, "op13_filter_audit": OP13_SQL}
