@@ -6,13 +6,14 @@ import hashlib
 import json
 from collections.abc import Sequence
 from datetime import datetime
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.profile import quoted
-from plumbline.operators.replay import keyed_chunks, replay, settle
+from plumbline.operators.replay import keyed_chunks, replay, settle, summarise
 
 # Fixed value: what stands for the record before the first one.
 GENESIS = "sha256:0" * 8
@@ -85,7 +86,7 @@ def chain(records: DataFrame, chain_key: Sequence[str], order_by: Sequence[str],
     """
     bodied = records.withColumn("__body", F.to_json(F.struct(*[quoted(c) for c in records.columns])))
     chunks = keyed_chunks(bodied, chain_key, order_by, partitions)
-    starts = settle(chunks, ["__body"], _link, GENESIS, speculate=False)
+    starts = settle(chunks, ["__body"], partial(summarise, advance=_link), GENESIS, speculate=False)
     outputs = "prev_record_hash string, record_hash string, record string"
     return replay(chunks, ["__body"], outputs, _link, GENESIS, starts).drop("__body")
 

@@ -5,7 +5,9 @@ ordered chunks (``ordered_chunks``), so a hot key spans many tasks. Each chunk i
 Arrow batches and holds only the state. What crosses a chunk boundary is settled first, from one summary row per chunk:
 
 * a token bucket has a compact transfer function, so two passes are always enough;
-* a concurrency gate is replayed from a guessed state and repeated only where the guess was wrong;
+* a concurrency gate forgets everything at an idle instant, when all earlier calls of its key have ended, admitted or
+  not. A chunk with such an instant hands on a state that no earlier chunk can change, so two passes are enough where a
+  log has gaps; only a stretch without any over a whole chunk is replayed from guessed states, until no guess is wrong;
 * a hash chain has neither, so the chunks of one chain run in turn, different chains side by side.
 """
 
@@ -16,16 +18,18 @@ import math
 from collections.abc import Callable, Iterator, Sequence
 from functools import partial
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from plumbline.operators.ordered import CHUNK, ordered_chunks
 from plumbline.operators.profile import quoted
 
 KEY = "__key"
-SUMMARY = "chunk int, first_key string, last_key string, first_end string, last_end string"
+#: ``latest`` is the latest end of the calls of the last key, ``quiet`` the last start that none of its calls in the chunk reaches.
+SUMMARY = "chunk int, first_key string, last_key string, first_end string, last_end string, quiet long, latest long"
 
 Advance = Callable[..., tuple[object, tuple]]
 
@@ -36,58 +40,48 @@ def keyed_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], parti
     return ordered_chunks(keyed, [KEY], order, partitions)
 
 
-def _summarise(
-    batches: Iterator[pd.DataFrame], inputs: Sequence[str], advance: Advance, fresh, starts: dict[int, object]
-) -> Iterator[pd.DataFrame]:
+def summarise(
+    batches: Iterator[pa.RecordBatch], inputs: Sequence[str], advance: Advance, fresh, starts: dict[int, object]
+) -> Iterator[pa.RecordBatch]:
     """One row for the chunk: its outer keys, and the states after its first and its last key."""
     chunk = first_key = key = state = first_end = None
-    for batch in batches:
-        if not len(batch):
-            continue
-        if key is None:
-            chunk = int(batch[CHUNK].iloc[0])
-        for this, *values in zip(batch[KEY].tolist(), *(batch[c].tolist() for c in inputs), strict=True):
-            if this != key:
-                if key is None:
-                    first_key, state = this, starts.get(chunk, fresh)
-                else:
-                    first_end = state if first_end is None else first_end
-                    state = fresh
-                key = this
-            state, _ = advance(state, *values)
+    for chunk, this, *values in _rows(batches, inputs):
+        if this != key:
+            if key is None:
+                first_key, state = this, starts.get(chunk, fresh)
+            else:
+                first_end = state if first_end is None else first_end
+                state = fresh
+            key = this
+        state, _ = advance(state, *values)
     if key is not None:
-        first_end = state if first_end is None else first_end
-        yield pd.DataFrame(
-            [(chunk, first_key, key, json.dumps(first_end), json.dumps(state))],
-            columns=["chunk", "first_key", "last_key", "first_end", "last_end"],
-        )
+        yield _summary(chunk, first_key, key, state if first_end is None else first_end, state)
 
 
 def _emit(
-    batches: Iterator[pd.DataFrame],
+    batches: Iterator[pa.RecordBatch],
     inputs: Sequence[str],
-    outputs: Sequence[str],
+    outputs: StructType,
     advance: Advance,
     fresh,
     starts: dict[int, object],
-) -> Iterator[pd.DataFrame]:
-    """The rows of the chunk with the outputs of ``advance``."""
+) -> Iterator[pa.RecordBatch]:
+    """The rows of the chunk with the outputs of ``advance``; all other columns pass as they are."""
+    added = to_arrow_schema(outputs)
     key = state = None
     for batch in batches:
-        if not len(batch):
+        if not batch.num_rows:
             continue
         results = []
-        chunk = int(batch[CHUNK].iloc[0])
-        for this, *values in zip(batch[KEY].tolist(), *(batch[c].tolist() for c in inputs), strict=True):
+        chunk = batch.column(CHUNK)[0].as_py()
+        for this, *values in zip(batch.column(KEY).to_pylist(), *(batch.column(c).to_pylist() for c in inputs), strict=True):
             if this != key:
                 state = starts.get(chunk, fresh) if key is None else fresh
                 key = this
             state, result = advance(state, *values)
             results.append(result)
-        columns = list(zip(*results, strict=True))
-        for name, values in zip(outputs, columns, strict=True):
-            batch[name] = list(values)
-        yield batch
+        columns = [pa.array(list(values), field.type) for values, field in zip(zip(*results, strict=True), added, strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *added.names])
 
 
 def replay(
@@ -96,37 +90,67 @@ def replay(
     """All rows with the output columns (a DDL string), every chunk starting from its settled state."""
     added = StructType.fromDDL(outputs)
     schema = StructType([*chunks.schema.fields, *added.fields])
-    walk = partial(_emit, inputs=list(inputs), outputs=added.fieldNames(), advance=advance, fresh=fresh, starts=starts)
-    return chunks.mapInPandas(walk, schema).drop(KEY, CHUNK)
+    walk = partial(_emit, inputs=list(inputs), outputs=added, advance=advance, fresh=fresh, starts=starts)
+    return chunks.mapInArrow(walk, schema).drop(KEY, CHUNK)
 
 
 def _summaries(chunks: DataFrame, inputs: Sequence[str], walk) -> dict[int, dict]:
     """One row per chunk on the driver: as many rows as the job has partitions."""
-    rows = chunks.select(CHUNK, KEY, *inputs).mapInPandas(walk, SUMMARY).collect()
+    rows = chunks.select(CHUNK, KEY, *inputs).mapInArrow(walk, SUMMARY).collect()
     return {
-        r["chunk"]: {"first": r["first_key"], "last": r["last_key"], "first_end": json.loads(r["first_end"]), "last_end": json.loads(r["last_end"])}
+        r["chunk"]: {
+            "first": r["first_key"], "last": r["last_key"], "first_end": json.loads(r["first_end"]), "last_end": json.loads(r["last_end"]),
+            "quiet": r["quiet"], "latest": r["latest"],
+        }
         for r in rows
     }
 
 
+def _summary(chunk: int, first_key: str, last_key: str, first_end, last_end, quiet: int | None = None, latest: int | None = None) -> pa.RecordBatch:
+    numbers = [(name, pa.array([value], pa.int64())) for name, value in (("quiet", quiet), ("latest", latest))]
+    texts = [("first_key", first_key), ("last_key", last_key), ("first_end", json.dumps(first_end)), ("last_end", json.dumps(last_end))]
+    columns = [("chunk", pa.array([chunk], pa.int32())), *[(name, pa.array([value], pa.string())) for name, value in texts], *numbers]
+    return pa.RecordBatch.from_arrays([column for _, column in columns], [name for name, _ in columns])
+
+
+def _rows(batches: Iterator[pa.RecordBatch], inputs: Sequence[str]) -> Iterator[tuple]:
+    """(chunk, key, inputs ...) of each row."""
+    for batch in batches:
+        yield from zip(*(batch.column(c).to_pylist() for c in (CHUNK, KEY, *inputs)), strict=True)
+
+
 def _continued(found: dict[int, dict]) -> list[tuple[int, int]]:
     """(earlier chunk, chunk) wherever a key goes on from one chunk to the next."""
     order = sorted(found)
     return [(a, b) for a, b in zip(order, order[1:], strict=False) if found[a]["last"] == found[b]["first"]]
 
 
+def _rejoined(found: dict[int, dict], links: list[tuple[int, int]]) -> set[int]:
+    """Chunks whose last state does not depend on their start: an idle instant of theirs lies behind all earlier ends."""
+    before: dict[int, int] = {}
+    for a, b in links:
+        row = found[a]
+        one_key = row["first"] == row["last"]
+        ends = [e for e in (row["latest"], before.get(a) if one_key else None) if e is not None]
+        if ends:
+            before[b] = max(ends)
+    return {chunk for chunk, row in found.items() if row["quiet"] is not None and row["quiet"] >= before.get(chunk, row["quiet"])}
+
+
 def settle(
-    chunks: DataFrame, inputs: Sequence[str], advance: Advance, fresh, speculate: bool
+    chunks: DataFrame, inputs: Sequence[str], summarise: Callable, fresh, speculate: bool, rejoined: Callable | None = None
 ) -> dict[int, object]:
     """Start state of every chunk that continues a key.
 
     All chunks are summarised once from a fresh state. Then chunks are summarised again where the state handed over
     differs from the one they were started with, until none does. With ``speculate`` a chunk may start from a state
-    that is itself still a guess; without, it waits until its predecessor is final. Either way the result is exact.
+    that is itself still a guess; without, it waits until its predecessor is final. ``rejoined`` names chunks that
+    need no second summary. Either way the result is exact.
     """
-    walk = partial(_summarise, inputs=list(inputs), advance=advance, fresh=fresh)
+    walk = partial(summarise, inputs=list(inputs), fresh=fresh)
     found = _summaries(chunks, inputs, partial(walk, starts={}))
     links = _continued(found)
+    settled = rejoined(found, links) if rejoined else set()
     waiting = {b for _, b in links}
     starts: dict[int, object] = {}
 
@@ -146,7 +170,7 @@ def settle(
             return starts
         starts.update(ready)
         # Only a chunk that is one run of its key passes the new state on.
-        rerun = {chunk: state for chunk, state in ready.items() if one_key(chunk)}
+        rerun = {chunk: state for chunk, state in ready.items() if one_key(chunk) and chunk not in settled}
         if rerun:
             again = chunks.where(F.col(CHUNK).isin(sorted(rerun)))
             found.update(_summaries(again, inputs, partial(walk, starts=rerun)))
@@ -176,7 +200,9 @@ class TokenBucket:
         self.token = 60_000_000 // common
         self.slack = (per_minute - 1) * self.token
 
-    def __call__(self, full_at: int, micros: int) -> tuple[int, tuple]:
+    def __call__(self, full_at: int, micros: int | None) -> tuple[int, tuple]:
+        if micros is None:
+            return full_at, (None,)
         now = micros * self.scale
         if full_at <= now + self.slack:
             return (full_at if full_at > now else now) + self.token, (True,)
@@ -229,7 +255,7 @@ def _image(pieces: list[tuple]) -> tuple[int, int]:
     return low, max(value if fixed else high + value for _, high, fixed, value in pieces)
 
 
-def _bucket_summary(batches: Iterator[pd.DataFrame], bucket: TokenBucket) -> Iterator[pd.DataFrame]:
+def _bucket_summary(batches: Iterator[pa.RecordBatch], bucket: TokenBucket) -> Iterator[pa.RecordBatch]:
     """Chunk summary whose ``first_end`` is the first key's end state as a function of its start state.
 
     Refused and capped calls make start states meet, so the values soon lie close together. Whenever their interval
@@ -237,39 +263,34 @@ def _bucket_summary(batches: Iterator[pd.DataFrame], bucket: TokenBucket) -> Ite
     That keeps every function short, and the stages of a chunk are few: their number grows with the logarithm of the
     bucket size, not with the calls.
     """
-    chunk = first_key = key = None
+    chunk = first_key = key = pieces = None
     stages: list[list[tuple]] = []
-    pieces: list[tuple] = []
     width = bucket.slack + bucket.token
     lowest = state = bucket.FULL
-    for batch in batches:
-        if not len(batch):
-            continue
+    for chunk, this, micros in _rows(batches, ["__micros"]):
         if key is None:
-            chunk = int(batch[CHUNK].iloc[0])
-        for this, micros in zip(batch[KEY].tolist(), batch["__micros"].tolist(), strict=True):
-            now = micros * bucket.scale
-            if key is None:
-                first_key = this
-                # An earlier call leaves the bucket full again at most a whole bucket after it.
-                pieces = [(bucket.FULL - 1, now + bucket.slack + bucket.token, False, 0)]
-            elif this != key:
-                state = bucket.FULL
-            key = this
-            if key != first_key:
-                state, _ = bucket(state, micros)
-            elif now + bucket.slack >= lowest:
-                pieces = bucket.spread(pieces, now)
-                low, high = _image(pieces)
-                if len(pieces) > 4 and high - low <= 0.9 * width:
-                    stages.append(pieces)
-                    pieces, width = [(low, high, False, 0)], high - low
-                lowest = low + 1
+            first_key = this
+        elif this != key:
+            state = bucket.FULL
+        key = this
+        if micros is None:
+            continue
+        now = micros * bucket.scale
+        if key != first_key:
+            state, _ = bucket(state, micros)
+            continue
+        if pieces is None:
+            # An earlier call leaves the bucket full again at most a whole bucket after it.
+            pieces = [(bucket.FULL - 1, now + bucket.slack + bucket.token, False, 0)]
+        if now + bucket.slack >= lowest:
+            pieces = bucket.spread(pieces, now)
+            low, high = _image(pieces)
+            if len(pieces) > 4 and high - low <= 0.9 * width:
+                stages.append(pieces)
+                pieces, width = [(low, high, False, 0)], high - low
+            lowest = low + 1
     if key is not None:
-        yield pd.DataFrame(
-            [(chunk, first_key, key, json.dumps([*stages, pieces]), json.dumps(state))],
-            columns=["chunk", "first_key", "last_key", "first_end", "last_end"],
-        )
+        yield _summary(chunk, first_key, key, stages if pieces is None else [*stages, pieces], state)
 
 
 def rate_limit_replay(
@@ -279,7 +300,7 @@ def rate_limit_replay(
     """Adds ``allowed``: whether a token bucket per key, full at the start, lets the call through.
 
     ``tie`` is a unique column that orders calls of the same instant. ``keep`` names the other columns to carry along
-    (all by default); on wide logs carry none and join back by ``tie``.
+    (all by default); on wide logs carry none and join back by ``tie``. A call without a time gets null and takes no token.
     """
     bucket = TokenBucket(per_minute)
     timed = _narrow(events, [*keys, ts, tie], keep).withColumn("__micros", F.unix_micros(F.col(ts).cast("timestamp")))
@@ -298,22 +319,49 @@ def rate_limit_replay(
 # -- concurrency gate -------------------------------------------------------------------------------------------
 
 
-def _gate(ends: list[int], start: int, end: int, cap: int) -> tuple[list[int], tuple]:
+def _gate(ends: list[int], start: int | None, end: int | None, cap: int) -> tuple[list[int], tuple]:
+    if start is None or end is None:
+        return ends, (None,)
     running = [e for e in ends if e > start]
     if len(running) >= cap:
         return running, (False,)
     return sorted([*running, end]), (True,)
 
 
+def _gate_summary(
+    batches: Iterator[pa.RecordBatch], inputs: Sequence[str], fresh: list[int], starts: dict[int, list[int]], cap: int
+) -> Iterator[pa.RecordBatch]:
+    """The chunk's summary with the idle instants of its last key, over all calls, admitted or not."""
+    chunk = first_key = key = state = first_end = quiet = latest = None
+    for chunk, this, start, end in _rows(batches, inputs):
+        if this != key:
+            if key is None:
+                first_key, state = this, starts.get(chunk, fresh)
+            else:
+                first_end = state if first_end is None else first_end
+                state, quiet, latest = fresh, None, None
+            key = this
+        state, _ = _gate(state, start, end, cap)
+        if start is not None and end is not None:
+            if latest is None or start >= latest:
+                quiet = start
+            latest = end if latest is None else max(latest, end)
+    if key is not None:
+        yield _summary(chunk, first_key, key, state if first_end is None else first_end, state, quiet, latest)
+
+
 def concurrency_replay(
     log: DataFrame, keys: Sequence[str], start: str, end: str, tie: str, cap: int = 4, partitions: int | None = None,
     keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Adds ``admitted``: a call is refused when ``cap`` admitted calls of its key still run; refused calls occupy nothing."""
+    """Adds ``admitted``: a call is refused when ``cap`` admitted calls of its key still run; refused calls occupy nothing.
+
+    Calls that have ended at a start no longer run. The number of jobs is fixed if every chunk of a key that spans several
+    has an instant at which nothing runs. A call without a start or an end gets null and occupies nothing.
+    """
     timed = _narrow(log, [*keys, start, end, tie], keep).withColumn("__start", F.unix_micros(F.col(start).cast("timestamp"))).withColumn(
         "__end", F.unix_micros(F.col(end).cast("timestamp"))
     )
     chunks = keyed_chunks(timed, keys, ["__start", tie], partitions)
-    advance = partial(_gate, cap=cap)
-    starts = settle(chunks, ["__start", "__end"], advance, [], speculate=True)
-    return replay(chunks, ["__start", "__end"], "admitted boolean", advance, [], starts).drop("__start", "__end")
+    starts = settle(chunks, ["__start", "__end"], partial(_gate_summary, cap=cap), [], speculate=True, rejoined=_rejoined)
+    return replay(chunks, ["__start", "__end"], "admitted boolean", partial(_gate, cap=cap), [], starts).drop("__start", "__end")

@@ -51,6 +51,11 @@ def remove_scratch(spark: SparkSession, path: str) -> None:
     target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def rocksdb_state(spark: SparkSession) -> None:
+    """State of the session's streams that start from now on lives in RocksDB; running and restarted ones keep theirs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def broadcast_if_small(df: DataFrame, cells: Column | None = None, limit: int = BROADCAST_CELLS) -> DataFrame:
     """``df`` marked for broadcast when its counted size allows it, else unchanged for a shuffle join.
 

@@ -1,20 +1,18 @@
-"""Masking, rate limits and window counts on unbounded input."""
+"""Masking and window counts on unbounded input; rate limits are in ``limits``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from functools import partial
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
 
 from plumbline.operators.mask import MaskPolicy, Sensitivity, mask, masked_counts
 from plumbline.operators.profile import quoted
-from plumbline.operators.replay import TokenBucket
+from plumbline.streaming.limits import rate_limit_stream
+
+__all__ = ["mask_stream", "rate_limit_stream", "run_available", "window_counts"]
 
 
 def mask_stream(
@@ -32,32 +30,6 @@ def mask_stream(
     return mask(stream, policy, sensitivity, qualifier)
 
 
-def _limit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, bucket: TokenBucket, ts: str, tie: str) -> Iterator[pd.DataFrame]:
-    full_at = state.get[0] if state.exists else bucket.FULL
-    rows = pd.concat(list(batches)).sort_values([ts, tie], kind="stable")
-    allowed = []
-    for micros in rows["__micros"].tolist():
-        full_at, (passed,) = bucket(full_at, micros)
-        allowed.append(passed)
-    state.update((full_at,))
-    yield rows.drop(columns=["__micros"]).assign(allowed=allowed)
-
-
-def rate_limit_stream(stream: DataFrame, keys: Sequence[str], ts: str, tie: str, per_minute: int = 60) -> DataFrame:
-    """Adds ``allowed`` per call from a token bucket per key, one number of state each.
-
-    Within a micro-batch calls are taken in time order; what a batch holds is bounded by the source's batch limit
-    (files or offsets per trigger). On input in time order the result equals the batch replay.
-    """
-    bucket = TokenBucket(per_minute)
-    timed = stream.withColumn("__micros", F.unix_micros(F.col(ts).cast("timestamp")))
-    schema = StructType(stream.schema.fields).add("allowed", "boolean")
-    walk = partial(_limit, bucket=bucket, ts=ts, tie=tie)
-    return timed.groupBy(*[quoted(k) for k in keys]).applyInPandasWithState(
-        walk, schema, StructType().add("full_at", "long"), "append", GroupStateTimeout.NoTimeout
-    )
-
-
 def window_counts(stream: DataFrame, ts: str, size: str = "1 day", watermark: str = "1 hour", by: Sequence[str] = ()) -> DataFrame:
     """Rows and newest time per tumbling window; a window is final once the watermark has passed it, later rows are dropped."""
     timed = stream.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", watermark)

@@ -160,6 +160,55 @@ def test_chain_over_chunks(spark):
     assert rows(verified) == [("cold", True, 30, None), ("hot", True, 60, None)]
 
 
+def jobs_of(spark, name, work):
+    """How many Spark jobs the work takes."""
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        work()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+
+
+def test_gate_with_idle_instants_takes_two_passes(spark):
+    """One busy key with an idle instant now and then: the jobs do not grow with the chunks. Without any, it stays exact."""
+    rng, now, log = random.Random(15), 0, []
+    for i in range(900):
+        now += 50_000 if i % 17 else 9_000_000
+        log.append((i, "hot", now, now + rng.randrange(1, 2_000_000)))
+    want = gate_by_hand(log, 3)
+    found = {}
+    for parts in (3, 24):
+        df = as_frame(spark, log)
+        found[parts] = jobs_of(spark, f"gate-{parts}", lambda: rows(replay.concurrency_replay(df, ["key"], "start", "end", "id", 3, parts), "id", "admitted"))
+        assert rows(replay.concurrency_replay(df, ["key"], "start", "end", "id", 3, parts), "id", "admitted") == want
+    assert found[3] == found[24]
+    dense = [(i, key, s // 100, e) for i, key, s, e in log]
+    assert rows(replay.concurrency_replay(as_frame(spark, dense), ["key"], "start", "end", "id", 3, 24), "id", "admitted") == gate_by_hand(dense, 3)
+
+
+def gate_by_hand(log, cap):
+    running, want = {}, []
+    for i, key, start, end in sorted(log, key=lambda r: (r[2], r[0])):
+        live = [e for e in running.get(key, []) if e > start]
+        want.append((i, len(live) < cap))
+        running[key] = live + [end] * (len(live) < cap)
+    return sorted(want, key=repr)
+
+
+def test_calls_without_a_time_are_not_decided(spark):
+    log = [(0, "a", None, 5, None), (1, "a", 1, 9, 2**60 + 1), (2, "a", 2, None, None), (3, "a", 3, 9, 3), (4, "a", 4, 9, None), (5, "b", None, None, 1)]
+    df = spark.createDataFrame(log, "id long, key string, s long, e long, other long").select(
+        "id", "key", F.timestamp_micros("s").alias("start"), F.timestamp_micros("e").alias("end"), "other")
+    for parts in (1, 4):
+        gate = replay.concurrency_replay(df, ["key"], "start", "end", "id", 2, parts)
+        assert rows(gate, "id", "admitted") == [(0, None), (1, True), (2, None), (3, True), (4, False), (5, None)]
+        limit = replay.rate_limit_replay(df, ["key"], "start", "id", 2, parts)
+        assert rows(limit, "id", "allowed") == [(0, None), (1, True), (2, True), (3, False), (4, False), (5, None)]
+        # Columns that are only carried along keep every digit.
+        assert rows(limit, "id", "other") == [(i, other) for i, _, _, _, other in log]
+
+
 def test_replay_carries_only_what_is_asked(spark):
     df = as_frame(spark, hot_log(14, n=50))
     assert replay.rate_limit_replay(df, ["key"], "start", "id", 60, 3, keep=[]).columns == ["key", "start", "id", "allowed"]

@@ -32,6 +32,46 @@ def test_rate_limit_stream_equals_replay(spark, tmp_path):
     assert batch.where("NOT allowed").count() > 0
 
 
+def test_hot_key_is_merged_in_blocks(spark, tmp_path):
+    """A key of many runs a micro-batch, out of order, with ties and calls without a time."""
+    log = spark.range(3_000).select(
+        "id", F.when(F.col("id") % 10 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 70)).alias("key"),
+        F.when(F.col("id") % 97 > 0, F.timestamp_micros(F.lit(10**15) + (F.col("id") * 7919 % 1_500) * 400_000)).alias("ts"),
+        F.when(F.col("id") % 3 > 0, (F.lit(2**60) + F.col("id"))).alias("_other one"))
+    path = str(tmp_path / "in")
+    log.repartition(3).write.parquet(path)
+    stream = spark.readStream.schema(log.schema).parquet(path)
+    streamed = sunk(spark, streams.rate_limit_stream(stream, ["key"], "ts", "id", 20, run=40, block=7), tmp_path)
+    timed = replay.rate_limit_replay(log.where("ts IS NOT NULL"), ["key"], "ts", "id", 20, 5)
+    assert rows(streamed.where("ts IS NOT NULL")) == rows(timed, *streamed.columns)
+    untimed = streamed.where("ts IS NULL")
+    assert untimed.count() == 31 and untimed.where("allowed IS NOT NULL").isEmpty()
+
+
+def test_idle_keys_leave_the_state(spark, tmp_path):
+    """Every batch brings new keys, an hour later; the state holds those of the last hours, and the answers are the replay's."""
+    log = spark.range(400).select(
+        "id", F.concat(F.lit("k"), F.expr("id DIV 50"), F.lit("-"), F.col("id") % 5).alias("key"),
+        F.timestamp_seconds(F.lit(10**9) + F.expr("id DIV 50") * 3_600 + F.col("id") % 50).alias("ts"))
+    path = str(tmp_path / "in")
+    written_in_parts(spark, log, "id", path, [(50 * k, 50 * k + 49) for k in range(8)])
+    stream = streams.rate_limit_stream(source(spark, log, path), ["key"], "ts", "id", 3, late="10 minutes")
+    query = streams.run_available(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(held) <= 30 and held[-1] <= 15
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert rows(out, "id", "allowed") == rows(replay.rate_limit_replay(log, ["key"], "ts", "id", 3), "id", "allowed")
+    assert out.where("NOT allowed").count() > 0
+
+
+def test_unbounded_lateness_keeps_every_call(spark, tmp_path):
+    log = spark.createDataFrame([(0, "a", 10_000), (1, "a", 1), (2, "a", 20_000), (3, "a", 2)], "id long, key string, s long").select("id", "key", F.timestamp_seconds("s").alias("ts"))
+    path = str(tmp_path / "in")
+    written_in_parts(spark, log, "id", path, [(k, k) for k in range(4)])
+    out = sunk(spark, streams.rate_limit_stream(source(spark, log, path), ["key"], "ts", "id", 1, late=None), tmp_path)
+    assert rows(out, "id", "allowed") == [(0, True), (1, False), (2, True), (3, False)]
+
+
 def test_mask_stream_equals_mask(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     stream = spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
