@@ -30,11 +30,18 @@ def edges(spark, sf):
 
 
 def _upstream(spark, sf):
-    targets = load(spark, sf, "orders").select(_name("order.", "o_orderkey"))
-    found = lineage.upstream(edges(spark, sf), targets, 3)
+    """The sources of the newest order of each nation, supplier by supplier: the targets are stated, the graph is whole."""
+    orders = load(spark, sf, "orders").join(load(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    newest = orders.groupBy("c_nationkey").agg(F.max("o_orderkey").alias("o_orderkey"))
+    found = lineage.upstream(edges(spark, sf), newest.select(_name("order.", "o_orderkey")), 3)
     return found.select("origin", "node", "depth", F.array_join("path", ">").alias("path"))
 
 
+def _reached(spark, sf):
+    """What any order comes from, a row for each source."""
+    return lineage.reached_upstream(edges(spark, sf), load(spark, sf, "orders").select(_name("order.", "o_orderkey")))
+
+
 def _downstream(spark, sf):
     changed = load(spark, sf, "region").select(_name("region.", "r_regionkey"))
     found = lineage.downstream(edges(spark, sf), changed)
@@ -283,6 +290,7 @@ def _find_owners(spark, sf):
 
 QUERIES = {
     "lineage_upstream": _upstream,
+    "lineage_reached_upstream": _reached,
     "lineage_downstream": _downstream,
     "lineage_manifest": _manifest,
     "lineage_annotate_models": _annotate,
@@ -364,7 +372,16 @@ RECENT = f"""SELECT sha, coalesce(author_login, 'Someone') AS author, authored_a
     WHERE path LIKE 'part/3/%' AND authored_at >= TIMESTAMP '{AS_OF}' - INTERVAL {{}} DAY"""
 
 ORACLES = {
-    "lineage_upstream": _closure_sql("SELECT 'order.' || o_orderkey AS name FROM orders", "dst", "src", 3),
+    "lineage_upstream": _closure_sql(
+        "SELECT 'order.' || max(o_orderkey) AS name FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY c_nationkey", "dst", "src", 3),
+    "lineage_reached_upstream": """WITH c AS (SELECT 'customer.' || o_custkey AS node, o_custkey, min('order.' || o_orderkey) AS origin FROM orders GROUP BY o_custkey),
+        n AS (SELECT c_nationkey, 'nation.' || c_nationkey AS node, min(struct_pack(origin := origin, parent := c.node)) AS best
+              FROM c JOIN customer ON c_custkey = o_custkey GROUP BY c_nationkey),
+        s AS (SELECT 'region.' || n_regionkey AS node, c_nationkey FROM n JOIN nation ON n_nationkey = c_nationkey
+              UNION ALL SELECT 'supplier.' || s_suppkey, c_nationkey FROM n JOIN supplier ON s_nationkey = c_nationkey),
+        r AS (SELECT s.node, min(struct_pack(origin := best.origin, parent := n.node)) AS best FROM s JOIN n USING (c_nationkey) GROUP BY s.node)
+        SELECT node, origin, 1 AS depth, origin AS parent FROM c
+        UNION ALL SELECT node, best.origin, 2, best.parent FROM n UNION ALL SELECT node, best.origin, 3, best.parent FROM r""",
     "lineage_downstream": _closure_sql("SELECT 'region.' || r_regionkey AS name FROM region", "src", "dst", 10),
     "lineage_manifest": """SELECT 'nation.' || c_nationkey AS src, 'customer.' || c_custkey AS dst, 'nation.' || c_nationkey || '.sql' AS path, 'model' AS resource_type FROM customer""",
     "lineage_annotate_models": """SELECT c_custkey, 'db.sales.' || c_mktsegment AS name,

@@ -1,8 +1,11 @@
 import random
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from checks import lineage as lineage_checks
+
 from plumbline.operators import activity, impact, knowledge, lineage
 
 
@@ -34,6 +37,46 @@ def test_closures_with_cycles(spark):
     assert paths["a", "e"] == ["a", "b", "d", "e"]
 
 
+@pytest.mark.parametrize("hub", [2, 10_000])
+def test_closures_with_hubs(spark, hub):
+    """Hubs in blocks, nulls, and paths from parent to parent: the smallest parent of those that lead on soonest."""
+    rng = random.Random(hub)
+    edges = {("hub", f"n{k}") for k in range(40)} | {(f"n{k}", "hub") for k in range(0, 40, 3)} | {(f"n{rng.randrange(40)}", f"m{rng.randrange(25)}") for _ in range(70)}
+    edges |= {(f"m{rng.randrange(25)}", f"m{rng.randrange(25)}") for _ in range(20)}
+    df = spark.createDataFrame([*sorted(edges), ("hub", None), (None, "n1")], "src string, dst string")
+    origins = ["hub", "n1", "n2", "m3"]
+    starts = spark.createDataFrame([(o,) for o in [*origins, None]], "name string")
+    want, parents = {}, {}
+    for origin in origins:
+        depth, level, seen = 0, {origin}, {origin}
+        want[origin, origin] = [origin]
+        while level:
+            depth += 1
+            new = {d for s, d in edges if s in level} - seen
+            for node in new:
+                parents[origin, node] = (depth, min(s for s, d in edges if d == node and s in level))
+                want[origin, node] = [*want[origin, parents[origin, node][1]], node]
+            level, seen = new, seen | new
+    got = lineage.downstream(df, starts, hub=hub).collect()
+    assert {(r["origin"], r["node"]): r["path"] for r in got} == {k: v for k, v in want.items() if len(v) > 1}
+    got = lineage.downstream(df, starts, paths=False, hub=hub).collect()
+    assert {(r["origin"], r["node"]): (r["depth"], r["parent"]) for r in got} == parents
+    got = {r["node"]: (r["depth"], r["origin"]) for r in lineage.reached_downstream(df, starts, hub=hub).collect()}
+    nearest = {}
+    for (origin, node), (depth, _) in parents.items():
+        if node not in origins:
+            nearest[node] = min((depth, origin), nearest.get(node, (depth, origin)))
+    assert got == nearest
+    back = {(r["node"], r["origin"], r["depth"]) for r in lineage.reached_upstream(df.toDF("dst", "src").select("src", "dst"), starts, hub=hub).collect()}
+    assert back == {(node, origin, depth) for node, (depth, origin) in nearest.items()}
+
+
+def test_upstream_rows_grow_with_the_data(spark, sf):
+    """With stated targets the result grows no faster than the tables."""
+    small, large = (lineage_checks.QUERIES["lineage_upstream"](spark, d).count() for d in (sf, "/root/testdata/sf0.01"))
+    assert sf != "/root/testdata/sf0.001" or large <= 12 * small
+
+
 def test_annotate(spark):
     nodes = spark.createDataFrame([("db.s.orders",), ("orders",), ("other",)], "name string")
     models = spark.createDataFrame([("orders", "models/orders.sql")], "name string, path string")
