@@ -134,30 +134,40 @@ def _records(spark, sf):
     )
 
 
-def _chained(spark, sf, key="event_type"):
-    events = load(spark, sf, "events").select("event_id", "event_type", "user_id")
-    return audit.chain(events, [key], ["event_id"])
+def _chain(spark, sf):
+    """All events, every segment of a type a chain of its own."""
+    return _segments(spark, sf)[0].select("event_id", "prev_record_hash", "record_hash")
 
 
-def _chain(spark, sf):
-    return _chained(spark, sf).select("event_id", "prev_record_hash", "record_hash")
+def _seals(spark, sf):
+    """The chain of one seal per segment that holds the segments of a type together."""
+    return _segments(spark, sf)[1].select("event_type", "segment", "sealed_rows", "sealed_hash", "prev_record_hash", "record_hash")
 
 
 def _verify(spark, sf):
-    return audit.verify_chain(_chained(spark, sf), ["event_type"], "event_id", slice_rows=500)
+    records, seals = _segments(spark, sf)
+    return audit.verify_segments(records, seals, ["event_type"], "segment", "event_id").drop("segments")
+
+
+def _verify_plain(spark, sf):
+    """One chain per user and kind of event."""
+    events = load(spark, sf, "events").select("event_id", "event_type", "user_id")
+    chained = audit.chain(events, ["user_id", "event_type"], ["event_id"])
+    return audit.verify_chain(chained, ["user_id", "event_type"], "event_id", slice_rows=500)
 
 
 def _verify_tampered(spark, sf):
     """Every 2999th record edited, every 4001st missing."""
     event = F.col("event_id")
     edited = F.when(event % 2999 == 2998, F.regexp_replace("record", '"user_id":', '"user_id":9')).otherwise(F.col("record"))
-    broken = _chained(spark, sf).withColumn("record", edited).where(event % 4001 != 4000)
-    return audit.verify_chain(broken, ["event_type"], "event_id", slice_rows=500)
+    broken = _segments(spark, sf)[0].withColumn("record", edited).where(event % 4001 != 4000)
+    return audit.verify_chain(broken, ["event_type", "segment"], "event_id", slice_rows=200)
 
 
 def _files(spark, sf):
     """One rotated log per user, a file for every hundred events."""
-    return _chained(spark, sf, "user_id").withColumn("file_no", F.floor(F.col("event_id") / 100))
+    events = load(spark, sf, "events").select("event_id", "event_type", "user_id")
+    return audit.chain(events, ["user_id"], ["event_id"]).withColumn("file_no", F.floor(F.col("event_id") / 100))
 
 
 def _rotated(spark, sf):
@@ -244,7 +254,9 @@ QUERIES = {
     "rate_over_budget": _over_budget,
     "audit_records": _records,
     "audit_chain": _chain,
+    "audit_chain_seals": _seals,
     "audit_verify": _verify,
+    "audit_verify_plain": _verify_plain,
     "audit_verify_tampered": _verify_tampered,
     "audit_verify_rotated": _rotated,
     "audit_verify_rotated_gap": _rotated_gap,
@@ -284,14 +296,24 @@ AUDIT = f"SELECT *, event_id % 100 AS rows, event_id % 3 AS emails, event_id % 5
 ROLLED = """count(*) AS calls, count(*) FILTER (verdict = 'permit') AS permit, count(*) FILTER (verdict = 'deny') AS deny,
     count(*) FILTER (verdict = 'consent_required') AS consent_required, CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(emails + phones) AS BIGINT) AS pii_findings"""
 GENESIS = audit.GENESIS
-CHAIN = f"""WITH RECURSIVE t AS (SELECT event_id, event_type, user_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM events),
+CHAIN = f"""WITH RECURSIVE t AS (SELECT event_id, event_type, user_id, event_id // 500 AS segment,
+        row_number() OVER (PARTITION BY event_type, event_id // 500 ORDER BY event_id) AS rn FROM events),
     c AS (
-        SELECT event_id, event_type, rn, '{GENESIS}' AS prev_record_hash, 'sha256:' || sha256('{{"event_id":' || event_id || ',"event_type":"' || event_type
-               || '","prev_record_hash":"{GENESIS}","user_id":' || user_id || '}}') AS record_hash FROM t WHERE rn = 1
+        SELECT event_id, event_type, segment, rn, '{GENESIS}' AS prev_record_hash, 'sha256:' || sha256('{{"event_id":' || event_id || ',"event_type":"' || event_type
+               || '","prev_record_hash":"{GENESIS}","segment":' || segment || ',"user_id":' || user_id || '}}') AS record_hash FROM t WHERE rn = 1
+        UNION ALL
+        SELECT t.event_id, t.event_type, t.segment, t.rn, c.record_hash, 'sha256:' || sha256('{{"event_id":' || t.event_id || ',"event_type":"' || t.event_type
+               || '","prev_record_hash":"' || c.record_hash || '","segment":' || t.segment || ',"user_id":' || t.user_id || '}}')
+        FROM c JOIN t ON t.event_type = c.event_type AND t.segment = c.segment AND t.rn = c.rn + 1)"""
+SEALS = f"""{CHAIN}, l AS (SELECT event_type, segment, count(*) AS sealed_rows, arg_max(record_hash, event_id) AS sealed_hash,
+        row_number() OVER (PARTITION BY event_type ORDER BY segment) AS rn FROM c GROUP BY event_type, segment),
+    s AS (
+        SELECT l.*, '{GENESIS}' AS prev_record_hash, 'sha256:' || sha256('{{"event_type":"' || event_type || '","prev_record_hash":"{GENESIS}","sealed_hash":"'
+               || sealed_hash || '","sealed_rows":' || sealed_rows || ',"segment":' || segment || '}}') AS record_hash FROM l WHERE rn = 1
         UNION ALL
-        SELECT t.event_id, t.event_type, t.rn, c.record_hash, 'sha256:' || sha256('{{"event_id":' || t.event_id || ',"event_type":"' || t.event_type
-               || '","prev_record_hash":"' || c.record_hash || '","user_id":' || t.user_id || '}}')
-        FROM c JOIN t ON t.event_type = c.event_type AND t.rn = c.rn + 1)"""
+        SELECT l.*, s.record_hash, 'sha256:' || sha256('{{"event_type":"' || l.event_type || '","prev_record_hash":"' || s.record_hash || '","sealed_hash":"'
+               || l.sealed_hash || '","sealed_rows":' || l.sealed_rows || ',"segment":' || l.segment || '}}')
+        FROM s JOIN l ON l.event_type = s.event_type AND l.rn = s.rn + 1)"""
 
 ORACLES = {
     "policy_decisions": f"""SELECT event_id, verdict, matched_rule, CASE
@@ -337,13 +359,17 @@ ORACLES = {
                string_agg('{"turn":' || turn || ',"role":"' || role || '"}', '|' ORDER BY n) FILTER (n <= 3) AS sample
         FROM s GROUP BY conv_id""",
     "audit_chain": f"{CHAIN} SELECT event_id, prev_record_hash, record_hash FROM c",
+    "audit_chain_seals": f"{SEALS} SELECT event_type, segment, sealed_rows, sealed_hash, prev_record_hash, record_hash FROM s",
     "audit_verify": "SELECT event_type, true AS valid, count(*) AS records_seen, CAST(NULL AS VARCHAR) AS first_error FROM events GROUP BY event_type",
-    "audit_verify_tampered": """WITH k AS (SELECT *, lag(event_id) OVER w AS before FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)),
-        n AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM k WHERE event_id % 4001 <> 4000),
-        f AS (SELECT event_type, rn, CASE WHEN before % 4001 = 4000 THEN 'prev_hash mismatch' WHEN event_id % 2999 = 2998 THEN 'record_hash mismatch' END AS error FROM n),
-        b AS (SELECT event_type, min(rn) AS rn, arg_min(error, rn) AS error FROM f WHERE error IS NOT NULL GROUP BY event_type)
-        SELECT a.event_type, b.rn IS NULL AS valid, coalesce(b.rn, a.n) AS records_seen, 'record ' || b.rn || ': ' || b.error AS first_error
-        FROM (SELECT event_type, count(*) AS n FROM n GROUP BY event_type) a LEFT JOIN b ON a.event_type = b.event_type""",
+    "audit_verify_plain": """SELECT user_id, event_type, true AS valid, count(*) AS records_seen, CAST(NULL AS VARCHAR) AS first_error
+        FROM events GROUP BY user_id, event_type""",
+    "audit_verify_tampered": """WITH e AS (SELECT *, event_id // 500 AS segment FROM events),
+        k AS (SELECT *, lag(event_id) OVER w AS before FROM e WINDOW w AS (PARTITION BY event_type, segment ORDER BY event_id)),
+        n AS (SELECT *, row_number() OVER (PARTITION BY event_type, segment ORDER BY event_id) AS rn FROM k WHERE event_id % 4001 <> 4000),
+        f AS (SELECT event_type, segment, rn, CASE WHEN before % 4001 = 4000 THEN 'prev_hash mismatch' WHEN event_id % 2999 = 2998 THEN 'record_hash mismatch' END AS error FROM n),
+        b AS (SELECT event_type, segment, min(rn) AS rn, arg_min(error, rn) AS error FROM f WHERE error IS NOT NULL GROUP BY event_type, segment)
+        SELECT a.event_type, a.segment, b.rn IS NULL AS valid, coalesce(b.rn, a.n) AS records_seen, 'record ' || b.rn || ': ' || b.error AS first_error
+        FROM (SELECT event_type, segment, count(*) AS n FROM n GROUP BY event_type, segment) a LEFT JOIN b ON a.event_type = b.event_type AND a.segment = b.segment""",
     "audit_verify_rotated": "SELECT user_id, true AS valid, count(*) AS records_seen, CAST(NULL AS VARCHAR) AS first_error FROM events GROUP BY user_id",
     "audit_verify_rotated_gap": """WITH u AS (SELECT user_id, count(*) FILTER (event_id < 300) AS before, count(*) FILTER (event_id BETWEEN 300 AND 399) AS lost,
             count(*) FILTER (event_id >= 400) AS later FROM events GROUP BY user_id)

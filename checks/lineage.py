@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.common import load
-from plumbline.operators import activity, impact, knowledge, lineage
+from plumbline.operators import activity, impact, knowledge, lineage, textindex
+from plumbline.session import scratch_path
 from plumbline.sources import manifests
 
 SPLIT = "1998-01-01 00:00:00"
@@ -140,6 +141,19 @@ def _search(spark, sf):
     return knowledge.search(load(spark, sf, "documents"), queries, "doc_id", "text", limit=20)
 
 
+def _search_indexed(spark, sf):
+    """The same from a written index: built on one half of the documents, extended by the other, some of it replaced and removed."""
+    docs = load(spark, sf, "documents").select("doc_id", "text")
+    late = F.col("doc_id") % 2 == 1
+    stale = docs.where(F.col("doc_id") % 7 == 0).withColumn("text", F.lit("an older text"))
+    index = textindex.TextIndex.build(docs.where(~late & (F.col("doc_id") % 7 != 0)).unionByName(stale), scratch_path(spark, "index"), "doc_id", "text", 8)
+    index.append(docs.where(late | (F.col("doc_id") % 7 == 0)), "doc_id", "text")
+    index.remove(docs.where(F.col("doc_id") % 11 == 0).select("doc_id"))
+    queries = load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    older = spark.range(1).select((F.lit(-1) - F.col("id")).alias("query_id"), F.lit("older TEXT").alias("query"))
+    return index.search(queries.unionByName(older), "doc_id", limit=20)
+
+
 def _search_words(spark, sf):
     """Common two-word queries, where the limit of the report applies."""
     pairs = load(spark, sf, "documents").select(F.element_at(F.split("text", r"\s+"), 1).alias("a"), "lang").distinct()
@@ -304,6 +318,7 @@ QUERIES = {
     "knowledge_notes": _notes,
     "knowledge_latest_notes": lambda s, d: _notes(s, d, 2),
     "knowledge_search": _search,
+    "knowledge_search_indexed": _search_indexed,
     "knowledge_search_words": _search_words,
     "knowledge_owners": _owners,
     "knowledge_path_owners": _owners_of_paths,
@@ -354,9 +369,9 @@ NOTES = "SELECT 'customer:' || o_custkey AS key, o_orderkey AS id, o_orderpriori
 TERMS = r"list_distinct(list_filter(regexp_split_to_array(strip_accents(lower({})), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''))"
 
 
-def _search_sql(queries, limit):
+def _search_sql(queries, limit, documents="documents"):
     return f"""WITH q AS (SELECT query_id, {TERMS.format('query')} AS terms FROM ({queries})),
-        d AS (SELECT doc_id, {TERMS.format('text')} AS tokens FROM documents)
+        d AS (SELECT doc_id, {TERMS.format('text')} AS tokens FROM {documents})
         SELECT query_id, doc_id, rank FROM (
             SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank
             FROM q JOIN d ON list_has_all(d.tokens, q.terms) WHERE len(q.terms) > 0) WHERE rank <= {limit}"""
@@ -404,6 +419,8 @@ ORACLES = {
     "knowledge_notes": NOTES,
     "knowledge_latest_notes": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY created_at DESC, id DESC) AS rank FROM ({NOTES})) WHERE rank <= 2",
     "knowledge_search": _search_sql("SELECT item_id AS query_id, text AS query FROM benchmark", 20),
+    "knowledge_search_indexed": _search_sql(
+        "SELECT item_id AS query_id, text AS query FROM benchmark UNION ALL SELECT -1, 'older TEXT'", 20, "documents WHERE doc_id % 11 <> 0"),
     "knowledge_search_words": _search_sql(
         r"SELECT DISTINCT a || ' ' || lang AS query_id, a AS query FROM (SELECT regexp_split_to_array(text, '\s+')[1] AS a, lang FROM documents)", 5),
     "knowledge_owners": """SELECT 'nation:' || n_nationkey AS key, s_name AS owner, CASE WHEN s_name IS NOT NULL THEN 'owner' END AS role,

@@ -12,6 +12,8 @@ from plumbline.operators.profile import quoted
 from plumbline.session import BROADCAST_CELLS, broadcast_if_small, cut_lineage
 
 OPEN_STATES = ("open", "in_progress")
+#: Distinct terms of a table of queries up to which a search names them in its plan.
+NAMED_TERMS = 2_000
 
 
 def notes_for(keys: DataFrame, notes: DataFrame, limit: int | None = None, tie: str = "id") -> DataFrame:
@@ -27,23 +29,45 @@ def notes_for(keys: DataFrame, notes: DataFrame, limit: int | None = None, tie:
     return found.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
+def asked_terms(queries: DataFrame, query_id: str = "query_id", query_col: str = "query") -> DataFrame:
+    """``(__q, __terms)`` of every query with a term."""
+    return queries.select(quoted(query_id).alias("__q"), terms(quoted(query_col)).alias("__terms")).where(F.size("__terms") > 0)
+
+
 def search(
     texts: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str = "query_id",
-    query_col: str = "query", limit: int | None = None, broadcast_cells: int = BROADCAST_CELLS,
+    query_col: str = "query", limit: int | None = None, broadcast_cells: int = BROADCAST_CELLS, named_terms: int = NAMED_TERMS,
 ) -> DataFrame:
     """Texts that hold every term of a query, for a table of queries: ``(query id, text id, rank)`` in id order.
 
-    Texts are tokenised once, and only occurrences of the queries' own terms are kept and written. Each query is looked
-    up by its rarest term, and the other terms are tested on the candidates, so frequent terms never build pairs. Of
-    the texts with the only term of a query, ``limit`` are kept before queries are joined; queries with a term that
-    occurs nowhere are dropped. Tables are broadcast only while they are counted small.
+    Texts are tokenised once, and only occurrences of the queries' own terms are kept and written. Up to ``named_terms`` distinct
+    terms they are picked out before a text's terms become rows, beyond it by a join. ``textindex`` holds the same
+    occurrences for good. Tables are broadcast only while they are counted small.
     """
-    asked = queries.select(quoted(query_id).alias("__q"), terms(quoted(query_col)).alias("__terms")).where(F.size("__terms") > 0)
+    asked = cut_lineage(asked_terms(queries, query_id, query_col))
     bodies = texts.select(quoted(id_col).alias("__id"), quoted(text_col).alias("__text"))
+    wanted = cut_lineage(asked.select(F.explode("__terms").alias("__term")).distinct())
+    found = terms(F.col("__text"))
+    if wanted.count() <= named_terms:
+        named = F.array(*[F.lit(r["__term"]) for r in wanted.collect()]).cast("array<string>")
+        hits = bodies.select("__id", F.explode(F.array_intersect(found, named)).alias("__term"))
+    else:
+        # The outer form keeps Spark from tokenising twice, once only to drop empty texts.
+        known = broadcast_if_small(wanted, limit=broadcast_cells)
+        hits = bodies.select("__id", F.explode_outer(found).alias("__term")).join(known, "__term")
+    return lookup(cut_lineage(hits), asked, id_col, query_id, limit, broadcast_cells)
+
+
+def lookup(
+    hits: DataFrame, asked: DataFrame, id_col: str, query_id: str, limit: int | None = None, broadcast_cells: int = BROADCAST_CELLS,
+) -> DataFrame:
+    """The answers to ``asked`` from the occurrences ``(__id, __term)`` of its terms, a written table.
+
+    Each query is looked up by its rarest term, and the other terms are tested on the candidates, so frequent terms never
+    build pairs. Of the texts with the only term of a query, ``limit`` are kept before queries are joined; queries with a term that
+    occurs nowhere are dropped.
+    """
     wanted = asked.select("__q", F.explode("__terms").alias("__term"))
-    known = broadcast_if_small(wanted.select("__term").distinct(), limit=broadcast_cells)
-    # The outer form keeps Spark from tokenising twice, once only to drop empty texts.
-    hits = cut_lineage(bodies.select("__id", F.explode_outer(terms(F.col("__text"))).alias("__term")).join(known, "__term"))
     # Counted before the join: a term found in a third of the texts crosses the shuffle as one row per task.
     frequency = hits.groupBy("__term").agg(F.count(F.lit(1)).alias("__df"))
     # The list is as long as the query itself.

@@ -68,3 +68,18 @@ def test_audit_records(spark):
     assert found[1]["sample_masked"] == ['{"n":0,"v":"v0"}', '{"n":1,"v":"v1"}', '{"n":2,"v":"v2"}']
     assert found[2]["pii_summary"] == {} and found[2]["sample_masked"] == []
     assert found[1]["sql_hash"].startswith("sha256:") and len(found[1]["sql_hash"]) == 71
+
+
+def test_verification_is_native_on_a_sound_log(spark):
+    """No Python in the plan unless a record's text has another hash than it states; reordered but sound JSON is still sound."""
+    records = spark.createDataFrame([(k % 2, k, f"é, \"record_hash\": {k}") for k in range(60)], "k int, seq long, v string")
+    linked = audit.chain(records, ["k"], ["seq"])
+    sound = audit.verify_chain(linked, ["k"], "seq", slice_rows=7)
+    assert "Python" not in sound._jdf.queryExecution().executedPlan().toString()
+    assert rows(sound) == [(0, True, 30, None), (1, True, 30, None)]
+    spaced = F.when(F.col("seq") % 5 == 0, F.replace("record", F.lit('","'), F.lit('" , "'))).otherwise(F.col("record"))
+    assert rows(audit.verify_chain(linked.withColumn("record", spaced), ["k"], "seq", slice_rows=7)) == rows(sound)
+    edited = F.when(F.col("seq") == 21, F.replace("record", F.lit('"k":1'), F.lit('"k":2'))).when(F.col("seq") == 44, F.lit("no json")).when(
+        F.col("seq") == 46, F.lit(None)).otherwise(F.col("record"))
+    broken = audit.verify_chain(linked.withColumn("record", edited), ["k"], "seq", slice_rows=7)
+    assert rows(broken) == [(0, False, 23, "record 23: invalid JSON"), (1, False, 11, "record 11: record_hash mismatch")]

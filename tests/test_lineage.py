@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from conftest import rows
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from checks import lineage as lineage_checks
 
-from plumbline.operators import activity, impact, knowledge, lineage
+from plumbline.operators import activity, impact, knowledge, lineage, textindex
 
 
 def closure(edges, origins, limit=None):
@@ -124,6 +125,40 @@ def test_notes_and_search(spark):
     assert rows(knowledge.search(notes, queries, "id", "body", limit=1), "query_id", "id") == [(1, 1), (2, 1), (3, 3), (7, 2), (8, 3)]
 
 
+def test_index_is_extended_replaced_trimmed_and_compacted(spark, tmp_path):
+    texts = spark.createDataFrame([(1, "Red apples, green pears"), (2, "red wine"), (3, None), (None, "red without a number"), (4, "Café rouge")], "id long, body string")
+    index = textindex.TextIndex.build(texts, str(tmp_path / "one"), "id", "body", buckets=4)
+    queries = spark.createDataFrame([("a", "RED"), ("b", "red pears"), ("c", "cafe"), ("d", "missing red"), ("e", "--")], "query_id string, query string")
+
+    def answers(of, limit=None):
+        return [(q, i) for q, i, _ in rows(of.search(queries, limit=limit))]
+
+    assert answers(index) == [("a", 1), ("a", 2), ("b", 1), ("c", 4)]
+    assert index.append(spark.createDataFrame([(2, "white wine"), (5, "red cafe, pears"), (6, "")], "id int, body string"), "id", "body") == 1
+    assert answers(index) == [("a", 1), ("a", 5), ("b", 1), ("b", 5), ("c", 4), ("c", 5)]
+    index.remove(spark.createDataFrame([(1,), (4,), (77,)], "id long"))
+    index.append(spark.createDataFrame([(4, "red again")], "id long, body string"), "id", "body")
+    assert answers(index) == [("a", 4), ("a", 5), ("b", 5), ("c", 5)] and answers(index, 1) == [("a", 4), ("b", 5), ("c", 5)]
+    small = index.compact(str(tmp_path / "two"))
+    assert answers(small) == answers(index)
+    counted = dict(rows(small.frequencies(spark.createDataFrame([("red",), ("wine",), ("none",)], "term string"))))
+    assert counted == {"red": 2, "wine": 1}
+
+
+def test_index_reads_only_the_buckets_asked(spark, sf, tmp_path, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    index = textindex.TextIndex.build(docs, str(tmp_path / "index"), "doc_id", "text")
+    found = index.postings(spark.createDataFrame([("the",), ("law",)], "term string"))
+    plan = re.sub(r"#\d+", "", found._jdf.queryExecution().executedPlan().toString())
+    assert re.search(r"PartitionFilters: \[[^]]*bucket IN \(", plan) and re.search(r"PushedFilters: \[[^]]*In\(term", plan)
+    queries = docs.select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
+    plain = knowledge.search(docs, queries, "doc_id", "text", limit=3)
+    assert rows(index.search(queries, "doc_id", limit=3)) == rows(plain)
+    monkeypatch.setattr(textindex, "NAMED_TERMS", 1)
+    assert rows(index.search(queries, "doc_id", limit=3)) == rows(plain)
+    assert rows(knowledge.search(docs, queries, "doc_id", "text", limit=3, named_terms=1)) == rows(plain)
+
+
 def test_owners(spark):
     owners = spark.createDataFrame([("path:models/marts", "alice", "owner", "manual"), ("path:models/marts", "bob", "owner", "codeowners"), ("path:models", "carol", "owner", "codeowners"), ("path:", "root", "owner", "manual")], "key string, owner string, role string, source string")
     paths = spark.createDataFrame([("models/marts/orders.sql",), ("/models/x.sql",), ("src/a.sql",)], "path string")
