@@ -6,9 +6,9 @@ one list for every choice of four positions and their bytes (70 choices); the li
 256th of all fingerprints each. In a list, the shared positional bytes of a pair are tallied, pairs that reach the
 minimum are kept, and their differing bits are counted.
 
-Equal fingerprints are one entry. The entries of a list first meet its smallest and its largest one. Then only entries
-outside the component of the list's smallest one meet the others, in blocks, so that a dense group of near copies is
-joined by stars and not by all its pairs.
+Equal fingerprints are one entry. The entries of a list first meet its smallest and its largest one, twice: as
+entries, and as members of the components found by then. Then only entries outside the component of the list's smallest one
+meet the others, in blocks. So a dense group of near copies is joined by stars and not by all its pairs.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import materialise
@@ -77,9 +78,9 @@ def _masks() -> list[int]:
 
 
 def index(entries: DataFrame) -> DataFrame:
-    """``(list, fp)``: the lists of every fingerprint. A list is named by a hash of its positions and their bytes."""
-    dealt = entries.select("fp", F.posexplode(F.array(*[F.lit(m) for m in _masks()])).alias("choice", "mask"))
-    return dealt.select(F.xxhash64("choice", F.col("fp").bitwiseAND(F.col("mask"))).alias("list"), "fp")
+    """``(list, fp, ...)``: the lists of every fingerprint. A list is named by a hash of its positions and their bytes."""
+    dealt = entries.select("*", F.posexplode(F.array(*[F.lit(m) for m in _masks()])).alias("choice", "mask"))
+    return dealt.select(F.xxhash64("choice", F.col("fp").bitwiseAND(F.col("mask"))).alias("list"), *entries.columns)
 
 
 def shared_bytes(a: Column, b: Column) -> Column:
@@ -93,33 +94,44 @@ def similar(a: Column, b: Column) -> Column:
     return (shared_bytes(a, b) >= SHARED) & (F.bit_count(a.bitwiseXOR(b)) <= DISTANCE)
 
 
+def _joined(known: DataFrame, links: DataFrame) -> DataFrame:
+    """``known`` with the components that these links ``(component, other)`` between components make one."""
+    labels = connected(links, "component", "other").withColumnRenamed("component", "joined")
+    found = known.join(labels, known["component"] == labels["node"], "left")
+    return materialise(found.select("fp", F.coalesce("joined", known["component"]).alias("component")), "known")
+
+
 def fingerprint_components(entries: DataFrame) -> DataFrame:
-    """``(fp, component)`` of the distinct fingerprints ``fp`` that link with another one; the rest has no row."""
-    dealt = index(entries).repartition("list")
-    lists = dealt.groupBy("list").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count("*").alias("size")).where("low < high")
-    members = materialise(dealt.join(lists, "list"), "members")
-    ends = members.select("fp", F.explode(F.array("low", "high")).alias("end"))
-    stars = materialise(ends.where((F.col("fp") != F.col("end")) & similar(F.col("fp"), F.col("end"))).distinct(), "stars")
-    labels = connected(stars, "fp", "end")
-    named = labels.select(F.col("node").alias("fp"), "component")
-    own = members.join(named, "fp", "left").select("list", "fp", "low", "size", F.coalesce("component", "fp").alias("component"))
-    main = own.where("fp = low").select("list", F.col("component").alias("main"))
-    own = own.join(main, "list")
-    # Lists that one component fills are settled.
-    mixed = own.groupBy("list").agg(F.count_if(F.col("component") != F.col("main")).alias("outside")).where("outside > 0")
-    open_ = materialise(own.join(mixed, "list"), "open")
+    """``(fp, component)`` of the distinct fingerprints ``fp`` that share a list with another one; the rest has no row."""
+    of_list = W.partitionBy("list")
+    ends = index(entries.select("fp")).withColumns({"low": F.min("fp").over(of_list), "high": F.max("fp").over(of_list)})
+    members = materialise(ends.where("low < high").select("fp", "low", "high").distinct(), "members")
+    # One link for each entry makes the first components.
+    pairs = members.select("fp", F.explode(F.array("low", "high")).alias("end"))
+    stars = pairs.where((F.col("fp") != F.col("end")) & similar(F.col("fp"), F.col("end"))).groupBy("fp").agg(F.min("end").alias("other"))
+    known = members.select("fp", F.col("fp").alias("component")).distinct()
+    known = _joined(known, materialise(stars.select(F.col("fp").alias("component"), "other"), "stars"))
+    # The same again between components, so that a group has few of them left.
+    entry = F.struct("fp", "component")
+    ends = index(known).withColumn("ends", F.array(F.min(entry).over(of_list), F.max(entry).over(of_list)))
+    pairs = ends.select("fp", "component", F.explode("ends").alias("end"))
+    across = pairs.where((F.col("component") != F.col("end.component")) & similar(F.col("fp"), F.col("end.fp")))
+    across = materialise(across.select("component", F.col("end.component").alias("other")).distinct(), "across")
+    if not across.isEmpty():
+        known = _joined(known, across)
+    # Lists that one component fills are settled; of the others, the component of the smallest entry is the main one.
+    mixed = index(known).withColumns({"main": F.min(entry).over(of_list)["component"], "size": F.count("*").over(of_list)})
+    mixed = mixed.withColumn("outside", F.max(F.col("component") != F.col("main")).over(of_list))
+    mixed = materialise(mixed.where("outside").drop("outside"), "mixed")
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    inside = open_.select("list", F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("block"), "fp", "component", "main")
+    inside = mixed.select("list", F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("block"), "fp", "component", "main")
     each = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")
-    outside = open_.where("component <> main").select("list", each, F.col("fp").alias("other"), F.col("component").alias("other_component"))
+    outside = mixed.where("component <> main").select("list", each, F.col("fp").alias("end"), F.col("component").alias("other"))
     # Two entries that are both outside meet once.
-    once = (F.col("component") == F.col("main")) | (F.col("other") < F.col("fp"))
-    apart = F.col("component") != F.col("other_component")
-    more = outside.join(inside, ["list", "block"]).where(apart & once & similar(F.col("fp"), F.col("other")))
-    more = materialise(more.select("fp", F.col("other").alias("end")).distinct(), "links")
-    if more.isEmpty():
-        return named
-    return connected(stars.union(more), "fp", "end").select(F.col("node").alias("fp"), "component")
+    once = (F.col("component") == F.col("main")) | (F.col("end") < F.col("fp"))
+    more = outside.join(inside, ["list", "block"]).where((F.col("component") != F.col("other")) & once & similar(F.col("fp"), F.col("end")))
+    more = materialise(more.select("component", "other").distinct(), "links")
+    return known if more.isEmpty() else _joined(known, more)
 
 
 def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORDS) -> DataFrame:
