@@ -9,9 +9,12 @@ all others, and whole texts that hold combining or rarer characters or a special
 from __future__ import annotations
 
 import re
+import sys
+import types
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,7 @@ from plumbline.session import scratch_path
 #: Small Latin letters that lower-casing and composition leave alone, and marks that never join a word.
 LETTERS = "a-zß-öø-ÿ"
 MARKS = ".,!?;:%$#&*|"
+_MARKS = MARKS.encode()
 _PLAIN = re.compile(f"([{LETTERS}]*)([{re.escape(MARKS)}]*)")
 #: Words kept per worker process before the table starts anew: bounds its memory.
 WORDS_KEPT = 300_000
@@ -37,18 +41,6 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
-class _Index(dict):
-    """Word bytes -> row of the id table; a missing word is encoded on first use."""
-
-    def __init__(self, encoder: Encoder) -> None:
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = row = self.encoder.add(word)
-        return row
-
-
 class Encoder:
     """Encodes texts; ids equal ``Tokenizer.encode(text, add_special_tokens=False).ids`` for any text."""
 
@@ -61,7 +53,7 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.index = _Index(self)
+        self.index: dict[bytes, int] = {}
         self.parts: dict[str, list[int]] = {}
         self.flat = np.empty(1 << 16, np.uint32)
         self.used = 0
@@ -76,63 +68,79 @@ class Encoder:
         return [t.id for t in self.model.tokenize(shown)]
 
     def _word(self, word: bytes) -> list[int]:
+        letters = word.rstrip(_MARKS)
+        if letters.isalpha():
+            ids = [t.id for t in self.model.tokenize(letters.decode())]
+            return ids if len(letters) == len(word) else ids + self._marks(word[len(letters) :].decode())
         text = word.decode()
         if plain := _PLAIN.fullmatch(text):
             letters, marks = plain.groups()
             ids = self._part(letters) if letters else []
-            if marks:
-                if marks not in self.parts:
-                    self.parts[marks] = self._part(marks)
-                ids = ids + self.parts[marks]
-            return ids
+            return ids + self._marks(marks) if marks else ids
         return self.full.encode(text, add_special_tokens=False).ids
 
-    def add(self, word: bytes) -> int:
-        return self._append(self._word(word))
+    def _marks(self, marks: str) -> list[int]:
+        if marks not in self.parts:
+            self.parts[marks] = self._part(marks)
+        return self.parts[marks]
 
-    def _append(self, ids: list[int]) -> int:
-        while self.used + len(ids) > len(self.flat):
+    def _append(self, found: list[list[int]]) -> int:
+        """New rows of the id table; the number of the first."""
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        total = int(lengths.sum())
+        while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.begin.append(self.used)
-        self.length.append(len(ids))
-        self.used += len(ids)
-        return len(self.begin) - 1
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
+        first = len(self.begin)
+        self.begin.frombytes((self.used + starts_of(lengths)).tobytes())
+        self.length.frombytes(lengths.tobytes())
+        self.used += total
+        return first
+
+    def _learn(self, words: list[bytes]) -> None:
+        """New words join the table, all of a slice at once."""
+        first = self._append([self._word(w) for w in words])
+        self.index.update(zip(words, range(first, first + len(words))))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and the number of ids of each text."""
         if len(self.index) > WORDS_KEPT or self.used > 16 * WORDS_KEPT:
             self.clear()
-        words: list[int] = []
+        words: list[bytes | None] = []
+        special: list[list[int]] = []
         n_words = np.zeros(len(texts), np.int64)
         for k, text in enumerate(texts):
             raw = text.encode("utf-8", "surrogatepass")
             # Lead bytes from 0xCC on: characters from U+0300 on, where case and composition can interact.
-            whole = b"<|" in raw or (not text.isascii() and np.frombuffer(raw, np.uint8).max() >= 0xCC)
-            if whole:
-                found = [self.special(text)]
+            if b"<|" in raw or (not text.isascii() and np.frombuffer(raw, np.uint8).max() >= 0xCC):
+                # The text as a whole, not kept for reuse.
+                special.append(self.full.encode(text, add_special_tokens=False).ids)
+                found = [None]
             else:
-                found = list(map(self.index.__getitem__, raw.lower().split()))
+                found = raw.lower().split()
             n_words[k] = len(found)
             words += found
         if not words:
             return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
-        rows = np.array(words, np.int64)
-        lengths = np.array(self.length)[rows]
-        ids = self.flat[ranges(np.array(self.begin)[rows], lengths)]
+        rows = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        new = np.nonzero(rows < 0)[0]
+        if len(new):
+            unknown = [words[k] for k in new.tolist()]
+            self._learn([w for w in dict.fromkeys(unknown) if w is not None])
+            rows[new] = np.fromiter(map(self.index.get, unknown, repeat(-1)), np.int64, len(new))
+        if special:
+            rows[rows < 0] = self._append(special) + np.arange(len(special))
+        # Views of the growing arrays, gone before they grow again.
+        lengths = np.frombuffer(self.length, np.int64)[rows]
+        ids = self.flat[ranges(np.frombuffer(self.begin, np.int64)[rows], lengths)]
         ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(n_words)]
         return ids, np.diff(ends, prepend=0)
 
-    def special(self, text: str) -> int:
-        """A row for one whole text, encoded as it is and not kept for reuse."""
-        return self._append(self.full.encode(text, add_special_tokens=False).ids)
-
 
 def encoder(path: str) -> Encoder:
     """The encoder of this worker process; tasks that run in it one after another share its word table."""
-    import tokenizers
-
-    kept = tokenizers.__dict__.setdefault("_plumbline_encoders", {})
+    # Functions travel by value, so a variable of this module would be new in every task.
+    kept = sys.modules.setdefault("_plumbline_worker", types.ModuleType("_plumbline_worker")).__dict__.setdefault("encoders", {})
     if path not in kept:
         kept[path] = Encoder(path)
     return kept[path]
