@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.common import ORDERS_CHANGED, ORDERS_DIRTY, load, orders_changed, orders_dirty
-from plumbline.operators import diff, expect, profile, suggest
+from plumbline.operators import diff, expect, profile, sketches, suggest
+from plumbline.session import scratch_path
 
 AS_OF = "2002-01-01 00:00:00"
 
@@ -67,7 +68,7 @@ def _suite(spark, sf):
 
 
 def _profile(spark, sf):
-    table = profile.profile(load(spark, sf, "lineitem"))
+    table = profile.profile(load(spark, sf, "lineitem"), approx=False)
     return table.select(
         "ordinal", "column", "semantic_type", "row_count", "null_count", "null_rate", "min", "max",
         F.round("mean", 4).alias("mean"), "distinct_count", F.round("distinct_ratio", 8).alias("distinct_ratio"),
@@ -85,17 +86,47 @@ def _profile_one_pass(spark, sf):
     ).where("column IN ('p_brand', 'p_type', 'p_size', 'p_name')")
 
 
+def _stored_profile(spark, sf):
+    """Sketches stored by return flag, two of the three merged: exact facts as they are, sketched ones by whether they keep the stated error."""
+    path = scratch_path(spark, "sketches")
+    lines = load(spark, sf, "lineitem")
+    sketches.store(sketches.sketch(lines, ["l_returnflag"]), path, ["l_returnflag"])
+    found = sketches.profile_of(spark.read.parquet(path).where("l_returnflag <> 'R'"))
+    kept = lines.where("l_returnflag <> 'R'").drop("l_returnflag")
+    exact = profile.distinct_stats(kept).select("column", F.col("distinct_count").alias("exact"))
+    off = F.abs(F.col("distinct_count") - F.col("exact"))
+    # Up to a thousand distinct values the sketches hold them all.
+    small = F.col("exact") <= 1000
+    return found.join(exact, "column").select(
+        "column", "row_count", "null_count", "min", "max", F.round("mean", 4).alias("mean"), F.round("avg_length", 6).alias("avg_length"), "min_length", "max_length",
+        F.when(small, F.col("distinct_count")).alias("distinct_count"), (off <= 4 * sketches.DISTINCT_ERROR * F.col("exact")).alias("within"),
+        F.when(small, F.get("top_values", 0)["count"]).alias("top_count"))
+
+
+def _refined_diff(spark, sf):
+    return diff.refined_diff(*_sides(spark, sf), ["o_orderkey"], fanout=16, leaf_rows=1_000).counts
+
+
+def _refined_rows(spark, sf):
+    """The same few changed orders, found by refinement."""
+    orders = load(spark, sf, "orders")
+    key = F.col("o_orderkey")
+    newest = orders.agg(F.max("o_orderkey").alias("newest"))
+    other = orders.join(F.broadcast(newest)).withColumn("o_orderstatus", F.when(key > F.col("newest") - 8, "X").otherwise(F.col("o_orderstatus"))).drop("newest")
+    return diff.refined_diff(orders, other, ["o_orderkey"], fanout=16, leaf_rows=100).rows.select("o_orderkey", "kind", F.col("left.o_orderstatus").alias("before"), F.col("right.o_orderstatus").alias("after"))
+
+
 def _masked_profile(spark, sf):
     """Names never show up in a profile: their top values are masked and no value set is kept."""
     customers = load(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("full_name"), "c_mktsegment")
     top = F.get("top_values", 0)
-    return profile.profile(customers).select(
+    return profile.profile(customers, approx=False).select(
         "column", "distinct_count", top["value"].alias("top_value"), top["count"].alias("top_count"),
         F.array_join("enum_values", "|").alias("enum_values"))
 
 
 def _suggest_of(df, table):
-    return suggest.suggest(profile.profile(df), table)
+    return suggest.suggest(profile.profile(df, approx=False), table)
 
 
 def _suggest(spark, sf):
@@ -278,6 +309,9 @@ QUERIES = {
     "profile_pii_summary": _pii_of_profile,
     "profile_table": _profile,
     "profile_table_one_pass": _profile_one_pass,
+    "profile_stored_sketches": _stored_profile,
+    "diff_values_refined": _refined_diff,
+    "diff_rows_refined": _refined_rows,
     "profile_table_masked": _masked_profile,
     "diff_schema_and_counts": _schema_rows,
     "diff_row_counts": lambda s, d: diff.rowcount_diff(*_sides(s, d)).withColumn("delta_pct", F.round("delta_pct", 8)),
@@ -505,6 +539,19 @@ ORACLES = {
             max(length({c})) AS max_length FROM documents""" for c in ("text", "lang", "source")),
     "profile_top_values": _top_sql(),
     "profile_top_values_sketch": _top_sql(),
+    "profile_stored_sketches": " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(*) AS row_count, count(*) - count({c}) AS null_count,
+            {f'CAST(min({c}) AS DOUBLE)' if c in LINEITEM_NUMERIC else 'NULL'} AS min, {f'CAST(max({c}) AS DOUBLE)' if c in LINEITEM_NUMERIC else 'NULL'} AS max,
+            {f'round(avg(CAST({c} AS DOUBLE)), 4)' if c in LINEITEM_NUMERIC else 'NULL'} AS mean,
+            {'1.0, 1, 1' if c == 'l_linestatus' else 'CAST(NULL AS DOUBLE), NULL, NULL'},
+            CASE WHEN count(DISTINCT {c}) <= 1000 THEN count(DISTINCT {c}) END AS distinct_count, true AS within,
+            CASE WHEN count(DISTINCT {c}) <= 1000 THEN (SELECT max(n) FROM (SELECT count(*) AS n FROM lineitem WHERE l_returnflag <> 'R' GROUP BY {c})) END AS top_count
+            FROM lineitem WHERE l_returnflag <> 'R'""".replace("1.0, 1, 1,", "1.0 AS avg_length, 1 AS min_length, 1 AS max_length,").replace(
+            "CAST(NULL AS DOUBLE), NULL, NULL,", "CAST(NULL AS DOUBLE) AS avg_length, NULL AS min_length, NULL AS max_length,")
+        for c in LINEITEM if c != "l_returnflag"),
+    "diff_values_refined": f"{JOINED} SELECT {VALUE_COUNTS} FROM j",
+    "diff_rows_refined": """SELECT o_orderkey, 'changed' AS kind, o_orderstatus AS before, 'X' AS after FROM orders
+        WHERE o_orderkey > (SELECT max(o_orderkey) FROM orders) - 8 AND o_orderstatus <> 'X'""",
     "profile_table_one_pass": " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", count(*) AS row_count, (count(*) - count({c})) / count(*) AS null_rate,
             {f'CAST(min({c}) AS DOUBLE)' if c == 'p_size' else 'NULL'} AS min, {f'CAST(max({c}) AS DOUBLE)' if c == 'p_size' else 'NULL'} AS max,

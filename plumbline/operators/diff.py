@@ -7,6 +7,7 @@ key that fills a third of a side, are reduced on the map side and cannot multipl
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, MapType, VariantType
 
 from plumbline.operators.profile import quoted
+from plumbline.session import broadcast_if_small, cut_lineage
 
 BUCKETS = 32
 
@@ -229,6 +231,66 @@ def value_diff(
     return counts.unionByName(rest).agg(*[F.sum(c).alias(c) for c in counts.columns])
 
 
+@dataclass(frozen=True)
+class RefinedDiff:
+    """What a refined diff found: ``counts`` as from ``value_diff``, the differing ``rows`` as from ``value_diff_rows``, and one row
+    per level: buckets and rows compared, buckets that differ, and the rows in them."""
+
+    counts: DataFrame
+    rows: DataFrame
+    levels: DataFrame
+
+
+def refined_diff(
+    left: DataFrame, right: DataFrame, pk: Sequence[str], cols: Sequence[str] | None = None, tolerance: float = 0.0,
+    fanout: int = 64, leaf_rows: int = 100_000, levels: int = 5,
+) -> RefinedDiff:
+    """The value diff of two large tables that differ in few rows, by checksums of ever smaller key buckets.
+
+    The first level compares ``fanout`` buckets; each bucket that differs is split ``fanout`` ways at the next, and only the rows of
+    such buckets are hashed again. What crosses a shuffle is one row per task and bucket. It ends when nothing
+    differs, when no more than ``leaf_rows`` rows are left, when a level could not halve them, or after ``levels``; the rows left are compared one by one.
+    Buckets with equal checksums count as equal; hashes can collide, at one in some 10^18 for each.
+    """
+    cols = _compared(left, right, pk, cols)
+    both = list(dict.fromkeys([*pk, *cols]))
+    left, right = comparable(left, right, both)
+    key, row = F.xxhash64(*[quoted(k) for k in pk]).alias("__key"), _row_hash(both, "xxhash64").alias("__hash")
+    hashed = _two_sided(left.select(key, row), right.select(key, row))
+    steps, total, open_ = [], None, None
+
+    def place(level: int) -> Column:
+        return F.pmod("__key", F.lit(fanout**level))
+
+    def inside(df: DataFrame, buckets: DataFrame, level: int) -> DataFrame:
+        return df.withColumn("__bucket", place(level)).join(broadcast_if_small(buckets), "__bucket", "left_semi").drop("__bucket")
+
+    for level in range(1, levels + 1):
+        rows = hashed if open_ is None else inside(hashed, open_, level - 1)
+        summed = rows.groupBy(place(level).alias("__bucket")).agg(
+            *_side_counts(), F.sum(F.when(F.col("__left"), F.col("__hash"))).alias("l"), F.sum(F.when(~F.col("__left"), F.col("__hash"))).alias("r"))
+        same = F.col("l").eqNullSafe(F.col("r")) & (F.col("left_count") == F.col("right_count"))
+        summed = cut_lineage(summed.select("__bucket", "left_count", "right_count", same.alias("same")))
+        size = F.col("left_count") + F.col("right_count")
+        found = summed.agg(
+            F.count(F.lit(1)).alias("buckets"), F.coalesce(F.sum(size), F.lit(0)).alias("rows"), F.coalesce(F.sum("left_count"), F.lit(0)).alias("left"),
+            F.count_if(~F.col("same")).alias("differing"), F.coalesce(F.sum(F.when(~F.col("same"), size)), F.lit(0)).alias("open"),
+            F.coalesce(F.sum(F.when(~F.col("same"), F.col("left_count"))), F.lit(0)).alias("open_left"),
+        ).first()
+        total = found["left"] if total is None else total
+        steps.append((level, found["buckets"], found["rows"], found["differing"], found["open"]))
+        open_ = summed.where(~F.col("same")).select("__bucket")
+        if found["open"] <= leaf_rows or 2 * found["open"] > found["rows"]:
+            break
+    last = steps[-1][0]
+    sides = [inside(side.withColumn("__key", key), open_, last).drop("__key") for side in (left, right)]
+    skipped = total - found["open_left"]
+    counts = value_diff(*sides, pk, cols, tolerance)
+    counts = counts.withColumns({c: F.col(c) + F.lit(skipped).cast("bigint") for c in ("rows_equal", "rows_total_compared")})
+    shown = left.sparkSession.createDataFrame(steps, "level int, buckets bigint, rows bigint, differing bigint, rows_differing bigint")
+    return RefinedDiff(counts, value_diff_rows(*sides, pk, cols=cols, tolerance=tolerance), shown)
+
+
 def value_diff_rows(
     left: DataFrame,
     right: DataFrame,

@@ -322,16 +322,16 @@ def profile(
     df: DataFrame,
     top_k: int = 5,
     probs: Sequence[float] = (0.5, 0.95, 0.99),
-    approx: bool = False,
+    approx: bool = True,
     rules: str = "name",
     policy=True,
     enum_limit: int = ENUM_LIMIT,
 ) -> DataFrame:
-    """Full profile, one row per column, from two jobs joined on the column name.
+    """Full profile, one row per column.
 
-    One aggregate pass gives counts, nulls, numbers, percentiles (sketch) and lengths. One pass over the value
-    counts gives distincts, top values and, up to ``enum_limit`` distinct values, the whole value set. With ``approx``
-    everything comes from the first pass, and only fixed-size sketches are shuffled: the form for very large tables.
+    One aggregate pass gives counts, nulls, numbers, percentiles (sketch) and lengths, and by sketches distincts, top values and, up
+    to ``enum_limit`` distinct values, the whole value set; only fixed-size sketches are shuffled. ``approx=False`` takes
+    distincts and top values from a second pass over the value counts, which moves every distinct value once.
 
     Top values are masked by ``policy`` (a ``MaskPolicy``; True is the default one, None shows raw values), and a
     value set with a masked value is left out.
@@ -411,7 +411,7 @@ class TableProfile:
 
 
 def table_profile(
-    df: DataFrame, row_key: Sequence[str], top_k: int = 5, sample_n: int = 10, policy=True, approx: bool = False, rules: str = "name"
+    df: DataFrame, row_key: Sequence[str], top_k: int = 5, sample_n: int = 10, policy=True, approx: bool = True, rules: str = "name"
 ) -> TableProfile:
     """Column statistics, a masked sample in key order, and the personal data found in the whole table."""
     from plumbline.operators.mask import MaskPolicy

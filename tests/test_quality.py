@@ -2,7 +2,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from plumbline.operators import diff, expect, profile, suggest
+from plumbline.operators import diff, expect, profile, sketches, suggest
 
 ORDERS = "order_id long, customer_id long, status string, currency string, total_amount double"
 
@@ -64,7 +64,7 @@ def test_suite_with_missing_table(shop):
 
 
 def test_profile_of_shop(shop):
-    by_column = {r["column"]: r for r in profile.profile(shop).collect()}
+    by_column = {r["column"]: r for r in profile.profile(shop, approx=False).collect()}
     assert by_column["order_id"]["semantic_type"] == "identifier" and by_column["total_amount"]["semantic_type"] == "money"
     assert by_column["status"]["top_values"][0] == ("paid", 2) and by_column["status"]["enum_values"] == ["paid", "pending", "refunded", "shipped"]
     assert by_column["total_amount"]["min"] == 1.0 and by_column["total_amount"]["p50"] == 15.0
@@ -88,12 +88,12 @@ def test_profile_leaks_nothing(spark):
         text = str(columns) + str(whole.sample.collect())
         assert "example.com" not in text and "415-555" not in text and "Ann A" not in text
         assert dict(rows(whole.pii)) == {"EMAIL": 6, "PERSON": 3, "PHONE": 1}
-    raw = {r["column"]: r for r in profile.profile(customers, policy=None).collect()}
+    raw = {r["column"]: r for r in profile.profile(customers, approx=False, policy=None).collect()}
     assert len(raw["email"]["enum_values"]) == 3
 
 
 def test_empty_table(shop):
-    empty = profile.profile(shop.where("false"))
+    empty = profile.profile(shop.where("false"), approx=False)
     assert empty.count() == 5
     assert empty.where("row_count = 0 AND null_rate IS NULL AND distinct_count IS NULL AND top_values IS NULL").count() == 5
     # What follows from the names alone is still proposed.
@@ -116,7 +116,7 @@ def test_semantic_types_by_type(spark):
 
 
 def test_suggestions_round_trip(shop):
-    spec = suggest.to_spec(suggest.suggest(profile.profile(shop), "orders"))
+    spec = suggest.to_spec(suggest.suggest(profile.profile(shop, approx=False), "orders"))
     assert {"column_unique": "order_id"} in spec["expectations"] and {"row_count_between": {"min": 1, "max": 50}} in spec["expectations"]
     assert expect.check(shop, spec).where("NOT passed").count() == 0
 
@@ -172,3 +172,55 @@ def test_odd_column_names(spark):
     df = spark.createDataFrame([(1, "x"), (2, None)], "`a.b` int, `c d` string")
     assert rows(profile.null_rates(df), "column", "null_count") == [("a.b", 0), ("c d", 1)]
     assert profile.profile(df).count() == 2 and diff.value_diff(df, df, ["a.b"]).first()["rows_equal"] == 2
+
+
+def test_stored_sketches_equal_one_pass(spark, tmp_path):
+    """Parts stored day by day and merged: exact where one pass is exact, inside the stated errors elsewhere; a part can be sketched anew."""
+    df = spark.range(60_000).select(
+        (F.col("id") % 7).cast("int").alias("day"), F.col("id").alias("key"), (F.col("id") * 7919 % 10_007).cast("double").alias("x"),
+        F.when(F.col("id") % 3 > 0, F.concat(F.lit("é"), F.col("id") % 40)).alias("label"), F.lit(None).cast("string").alias("none"))
+    path = str(tmp_path / "sketches")
+    for day in range(7):
+        part = df.where(F.col("day") == day)
+        sketches.store(sketches.sketch(part if day != 3 else part.limit(5), ["day"]), path, ["day"])
+    sketches.store(sketches.sketch(df.where("day = 3"), ["day"]), path, ["day"])
+    stored = spark.read.parquet(path)
+    assert stored.groupBy("day").count().where("count <> 4").isEmpty()
+    for some in (stored, stored.where("day IN (1, 3)")):
+        part = df if some is stored else df.where("day IN (1, 3)")
+        found = {r["column"]: r for r in sketches.profile_of(some).collect()}
+        exact = {r["column"]: r for r in profile.profile(part.drop("day"), approx=False, policy=None).collect()}
+        assert set(found) == set(exact)
+        for name, row in found.items():
+            want = exact[name]
+            assert [row[c] for c in ("row_count", "null_count", "null_rate", "min", "max", "min_length", "max_length")] == [
+                want[c] for c in ("row_count", "null_count", "null_rate", "min", "max", "min_length", "max_length")]
+            assert abs(row["distinct_count"] - want["distinct_count"]) <= 4 * sketches.DISTINCT_ERROR * want["distinct_count"]
+            if want["mean"] is not None:
+                assert abs(row["mean"] - want["mean"]) < 1e-9 * abs(want["mean"])
+        assert [(t["value"], t["count"]) for t in found["label"]["top_values"]] == [(t["value"], t["count"]) for t in exact["label"]["top_values"]]
+        total = part.count()
+        for prob, name in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99")):
+            below, upto = part.agg(F.count_if(F.col("x") < found["x"][name]), F.count_if(F.col("x") <= found["x"][name])).first()
+            assert below - 2 * sketches.RANK_ERROR * total <= prob * total <= upto + 2 * sketches.RANK_ERROR * total
+    by_day = sketches.profile_of(stored, ["day"]).where("column = 'key'").select("day", "row_count")
+    assert rows(by_day) == rows(df.groupBy("day").count())
+
+
+def test_refined_diff_reads_only_what_differs(spark):
+    left = spark.range(50_000).select("id", (F.col("id") % 100).alias("n"), F.concat(F.lit("t"), F.col("id")).alias("t"))
+    right = left.where("id <> 77 AND id <> 40000").withColumn("n", F.when(F.col("id").isin(5, 9_000), -1).otherwise(F.col("n"))).unionByName(
+        spark.createDataFrame([(60_001, 1, "new"), (123, 23, "t123")], "id long, n long, t string"))
+    found = diff.refined_diff(left, right, ["id"], fanout=16, leaf_rows=50, levels=5)
+    assert rows(found.counts) == rows(diff.value_diff(left, right, ["id"]))
+    assert rows(found.rows) == rows(diff.value_diff_rows(left, right, ["id"]))
+    levels = found.levels.orderBy("level").collect()
+    assert levels[0]["rows"] == 50_000 + 50_000 and levels[0]["differing"] <= 6 and len(levels) >= 3
+    assert all(b["rows"] == a["rows_differing"] <= a["rows"] * 0.6 for a, b in zip(levels, levels[1:])) and levels[-1]["rows_differing"] <= 50 * 4
+    same = diff.refined_diff(left, left, ["id"])
+    assert same.rows.isEmpty() and same.levels.count() == 1 and same.counts.first()["rows_equal"] == 50_000
+    nothing = diff.refined_diff(left.limit(0), left.limit(0), ["id"])
+    assert nothing.counts.first()["rows_total_compared"] == 0
+    # Where everything differs, the first level ends the refinement.
+    other = diff.refined_diff(left, left.withColumn("n", F.col("n") + 1), ["id"], leaf_rows=10)
+    assert other.levels.count() == 1 and other.counts.first()["rows_changed"] == 50_000

@@ -1,3 +1,6 @@
+import csv
+import io
+import random
 import json
 
 import pytest
@@ -100,6 +103,26 @@ def test_long_csv_cells(spark):
     assert exports.parse_export(df, "body", "csv", "k int, v string").select(F.length("v")).first()[0] == 200_000
 
 
+def test_csv_exports_as_the_csv_module_reads_them(spark):
+    """Quoted separators and line breaks, doubled quotes, blank lines, short and long records, odd characters: row by row as csv gives them."""
+    pick = random.Random(4)
+    pieces = ["a", "b c", "", '"q"', '"x,y"', '"line\nbreak"', '"say ""hi"""', '""', '"tail"x', 'in"side', "é", "1", "\ufdd0", '"\r\n"', "  ", '"""all"""']
+    bodies = ["", "k", "k,v", "k,v\n", "k,v\n\n1,2\n\n", "v,k\r\n1,2\r\n", '\nk,v\n1,"open\nend', "k,k,v\n1,2,3", 'k,v\n"1","' + "x" * 1_000_000 + '"\n', "v\n" + '"' + '""' * 20_000 + '"']
+    for _ in range(300):
+        header = pick.choice(["k,v", "v,k", '"k",v,w', "w,v"])
+        lines = [",".join(pick.choice(pieces) for _ in range(pick.randrange(1, 5))) for _ in range(pick.randrange(0, 6))]
+        bodies.append(pick.choice(["\n", "\r\n"]).join([header, *lines]) + pick.choice(["", "\n", "\n\n"]))
+    df = spark.createDataFrame([*enumerate(bodies), (-1, None)], "id long, body string")
+    found = exports.parse_export(df, "body", "csv", "k string, v string", ("id",))
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    want = []
+    csv.field_size_limit(2**31 - 1)
+    for i, body in enumerate(bodies):
+        for row in csv.DictReader(io.StringIO(body.lstrip("\n"), newline="")):
+            want.append((i, row.get("k"), row.get("v")))
+    assert rows(found) == sorted(want, key=repr)
+
+
 def test_documents_match_by_type(spark):
     df = spark.createDataFrame([('{"k": 69}',), ('{"k": "69"}',), ('{"k": 69.4}',), ('{"k": 69.0}',), ('{"k": true}',), ('{"k": null}',)], "j string")
     counts = [documents.doc_count(df, "j", {"k": v}).first()[0] for v in (69, "69", 69.4, 69.0, True, None)]
