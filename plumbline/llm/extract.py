@@ -32,76 +32,147 @@ SCOPES = frozenset("table ul ol dl select article aside nav header footer main s
 #: Evidence that an element's text is, or is not, the page's main text.
 AGAINST = frozenset("nav footer aside form button select textarea dialog menu fieldset search label legend".split())
 AGAINST_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
-AGAINST_NAMES = frozenset(
-    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disclaimer disqus "
+COMMENT_NAMES = frozenset("comment comments disqus reply replies respond".split())
+AGAINST_NAMES = COMMENT_NAMES | frozenset(
+    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs byline consent cookie cookies disclaimer "
     "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo "
-    "recommend recommended related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe subscription tags "
+    "recommend recommended related search share sharing sidebar signup social sponsor sponsored subscribe subscription tags "
     "toolbar widget".split()
 )
 FOR = frozenset("article main".split())
 FOR_NAMES = frozenset("article articlebody content entry main maincontent post postbody story text".split())
-
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*?)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<]*\Z""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: What an element says about the text in it. Names are the weakest, since a page's outermost wrapper may carry them.
+NONE, MAIN, PARTS, NAMED, COMMENTS = range(5)
+#: A wrapper around so much of a page's text is no part beside its main text.
+WRAPS, WRAPS_COMMENTS = 0.6, 0.95
+
+_START = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 _NAME = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 
 
 @dataclass
 class Block:
-    """A run of text between block boundaries: its text, share of link text, path of containers, and structural evidence."""
+    """A run of text between block boundaries: its text, share of link text, the element it stands in, and what that says."""
 
     text: str
     linked: float
-    path: tuple[int, ...]
-    evidence: int
+    element: int
+    evidence: int = NONE
+
+
+@dataclass
+class Page:
+    """The blocks of a page in order, and for each element its parent; element 0 is the page, parents come first."""
+
+    blocks: list[Block]
+    parents: list[int]
 
 
 @dataclass
 class _Open:
     tag: str
     number: int
-    evidence: int
     inside: bool
     link: bool
 
 
-def _evidence(tag: str, attributes: str, above: _Open) -> tuple[int, bool]:
-    """Evidence of a new element (-1 against, 1 for, 0 none) from its tag, role and names, and whether main text is around.
+def tags_of(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(begin, end, whether it closes, name, attributes) of every tag; comments and declarations have no name.
 
-    Evidence against holds for everything below; a header inside an article is a part of it.
+    One pass: nothing is looked at again. A tag whose quotes never end, ends at the next ``>``, and so do all later ones.
     """
-    if above.evidence < 0:
-        return -1, above.inside
-    if tag in FOR:
-        return 1, True
+    at, quotes = 0, True
+    while (begin := page.find("<", at)) >= 0:
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            at = len(page) if end < 0 else end + 3
+            yield begin, at, False, "", ""
+        elif start := _START.match(page, begin):
+            rest = _REST.match(page, start.end()) if quotes else None
+            if rest is None:
+                quotes = False
+                end = page.find(">", start.end())
+                if end < 0:
+                    yield begin, len(page), False, "", ""
+                    return
+                at = end + 1
+            else:
+                at = rest.end()
+            yield begin, at, bool(start[1]), start[2].lower(), page[start.end() : at - 1]
+        elif page[begin + 1 : begin + 2] in ("!", "?", "/"):
+            end = page.find(">", begin)
+            at = len(page) if end < 0 else end + 1
+            yield begin, at, False, "", ""
+        else:
+            at = begin + 1
+
+
+def _said(tag: str, attributes: str, inside: bool) -> int:
+    """What an element's tag, role and names say about its text; a header inside an article is a part of it."""
+    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes else {}
+    names = {x.lower() for x in _NAME.findall(html.unescape(f"{found.get('class', '')} {found.get('id', '')}"))}
+    if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
+        return PARTS
+    if names & COMMENT_NAMES and tag not in ("html", "body"):
+        return COMMENTS
+    if tag in FOR or found.get("role", "").lower() in FOR:
+        return MAIN
     if tag in ("html", "body"):
-        return above.evidence, above.inside
-    if tag in AGAINST or (tag == "header" and not above.inside):
-        return -1, above.inside
-    if attributes:
-        found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
-        if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
-            return -1, above.inside
-        if found.get("role", "").lower() in AGAINST_ROLES:
-            return -1, above.inside
-        if found.get("role", "").lower() in FOR:
-            return 1, True
-        if "class" in found or "id" in found:
-            names = {x.lower() for x in _NAME.findall(html.unescape(f"{found.get('class', '')} {found.get('id', '')}"))}
-            if names & (AGAINST_NAMES - {"header", "byline", "tags"} if above.inside else AGAINST_NAMES):
-                return -1, above.inside
-            if names & FOR_NAMES:
-                return 1, True
-    return above.evidence, above.inside
-
-
-def blocks_of(page: str) -> list[Block]:
-    """The text blocks of a page in order; tags need not be closed or well nested."""
-    stack = [_Open("", 0, 0, False, False)]
+        return NONE
+    if tag in AGAINST or (tag == "header" and not inside) or found.get("role", "").lower() in AGAINST_ROLES:
+        return PARTS
+    against = names & (AGAINST_NAMES - {"header", "byline", "tags"} if inside else AGAINST_NAMES)
+    if names & FOR_NAMES:
+        return NONE if against else MAIN
+    return NAMED if against else NONE
+
+
+def _settle(blocks: list[Block], parents: list[int], said: list[int]) -> None:
+    """Gives every block what its elements say: the nearest word for main text, unless one around it speaks against.
+
+    What speaks against holds for all below, but not for a wrapper: an element around the page's main element, or, if no
+    element is marked as such, around most of its text.
+    """
+    n = len(parents)
+    mass = [0.0] * n
+    for block in blocks:
+        mass[block.element] += len(block.text) * (1 - block.linked)
+    for e in range(n - 1, 0, -1):
+        mass[parents[e]] += mass[e]
+    # Below a part or a comment, an element marked as main text is a teaser or an answer, if there is another one.
+    below = [False] * n
+    for e in range(1, n):
+        below[e] = below[parents[e]] or said[parents[e]] in (PARTS, COMMENTS)
+    marked = [e for e in range(n) if said[e] == MAIN]
+    wraps = [False] * n
+    if marked:
+        # Among elements of the same text the inner one is the main one.
+        at = max(marked, key=lambda e: (not below[e], mass[e], e))
+        while at:
+            wraps[at] = True
+            at = parents[at]
+    else:
+        total = max(mass[0], 1.0)
+        wraps = [m >= total * (WRAPS_COMMENTS if s == COMMENTS else WRAPS) for m, s in zip(mass, said, strict=True)]
+    states = [NONE] * n
+    for e in range(1, n):
+        above = states[parents[e]]
+        own = NONE if wraps[e] and said[e] != MAIN else said[e]
+        states[e] = above if above >= PARTS or own == NONE else own
+    for block in blocks:
+        block.evidence = states[block.element]
+
+
+def page_of(page: str) -> Page:
+    """The text blocks of a page in order; tags need not be closed or well nested. The work is in proportion to the page."""
+    stack = [_Open("", 0, False, False)]
     blocks: list[Block] = []
+    parents, said = [0], [NONE]
+    opened: dict[str, int] = {}
     parts: list[str] = []
     linked = shown = 0
-    number = 0
     skipped = 0
 
     def flush() -> None:
@@ -109,7 +180,7 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                blocks.append(Block(text, linked / max(1, shown), tuple(x.number for x in stack), stack[-1].evidence))
+                blocks.append(Block(text, linked / max(1, shown), stack[-1].number))
             parts, linked, shown = [], 0, 0
 
     def add(text: str) -> None:
@@ -121,63 +192,76 @@ def blocks_of(page: str) -> list[Block]:
             if stack[-1].link:
                 linked += size
 
+    def push(name: str, attributes: str, link: bool) -> None:
+        nonlocal skipped
+        above = stack[-1]
+        parents.append(above.number)
+        said.append(_said(name, attributes, above.inside))
+        inside = above.inside or said[-1] == MAIN
+        stack.append(_Open(name, len(parents) - 1, inside, link))
+        opened[name] = opened.get(name, 0) + 1
+        skipped += name in SKIPPED
+
     def close(depth: int) -> None:
         nonlocal skipped
         for x in stack[depth:]:
             skipped -= x.tag in SKIPPED
+            opened[x.tag] -= 1
         del stack[depth:]
 
     at = 0
-    while tag := _TAG.search(page, at):
-        add(page[at : tag.start()])
-        at = tag.end()
-        name = tag[2]
-        if name is None:
+    raw_until = 0
+    for begin, end, closes, name, attributes in tags_of(page):
+        if begin < raw_until:
+            continue
+        add(page[at:begin])
+        at = end
+        if not name:
             continue
-        name = name.lower()
         if name == "br":
             add("\n")
             continue
         if name in BLOCK:
             flush()
-        if tag[1]:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == name), 0)
-            if depth:
-                close(depth)
+        if closes:
+            if opened.get(name):
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == name))
             continue
         if name in VOID:
             continue
         if name in BLOCK and stack[-1].tag == "p":
             close(len(stack) - 1)
-        if name in CLOSES:
+        if any(opened.get(x) for x in CLOSES.get(name, ())):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in CLOSES[name]:
                     close(k)
                     break
                 if stack[k].tag in SCOPES:
                     break
-        if name == "body":
+        if name == "body" and skipped:
             # The head ends here, closed or not.
-            close(next((k for k in range(1, len(stack)) if stack[k].tag in SKIPPED), len(stack)))
-        number += 1
-        evidence, inside = _evidence(name, tag[3], stack[-1])
+            close(next(k for k in range(1, len(stack)) if stack[k].tag in SKIPPED))
         if name in RAW:
             # Raw content lasts up to its own end tag, whatever stands in it.
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>?", re.I).search(page, at)
+            found = _ENDS[name].search(page, at)
             if name not in SKIPPED:
-                stack.append(_Open(name, number, evidence, inside, False))
-                add(page[at : end.start() if end else len(page)])
+                push(name, attributes, False)
+                add(page[at : found.start() if found else len(page)])
                 flush()
-                stack.pop()
-            at = end.end() if end else len(page)
+                close(len(stack) - 1)
+            at = raw_until = found.end() if found else len(page)
             continue
-        if tag[3].rstrip().endswith("/") and name in ("svg", "math"):
+        if attributes.rstrip().endswith("/") and name in ("svg", "math"):
             continue
-        stack.append(_Open(name, number, evidence, inside, stack[-1].link or name == "a"))
-        skipped += name in SKIPPED
-    add(page[at:])
+        push(name, attributes, stack[-1].link or name == "a")
+    if at < len(page):
+        add(page[at:])
     flush()
-    return blocks
+    _settle(blocks, parents, said)
+    return Page(blocks, parents)
+
+
+_ENDS = {name: re.compile(rf"</{name}\b[^>]*>?", re.I) for name in RAW}
 
 
 def features(blocks: list[Block]) -> np.ndarray:
@@ -196,14 +280,19 @@ def features(blocks: list[Block]) -> np.ndarray:
 
 @dataclass(frozen=True)
 class BlockClassifier:
-    """Logistic regression on ``features``, and how much structure, text and smoothness count in the cut."""
+    """Logistic regression on ``features``, and how much structure, text and smoothness count in the cut.
+
+    No word of a page's markup outweighs the text and the neighbours of a block together.
+    """
 
     weights: tuple[float, ...] = (0.0,) * 7
-    structure: float = 6.0
+    main: float = 3.0
+    parts: float = 4.6
+    named: float = 4.2
     outside: float = -2.0
-    text: float = 2.0
-    adjacency: float = 0.8
-    proximity: float = 0.6
+    text: float = 1.5
+    adjacency: float = 1.2
+    proximity: float = 1.2
     mean: tuple[float, ...] = field(default=(0.0,) * 7)
     scale: tuple[float, ...] = field(default=(1.0,) * 7)
 
@@ -212,25 +301,28 @@ class BlockClassifier:
         usual = ((features(blocks) - np.array(self.mean)) / np.array(self.scale)) @ np.array(self.weights)
         usual = self.text * np.tanh(usual / self.text)
         # Where a page marks its main text, unmarked blocks are less likely to be part of it.
-        marked = any(b.evidence > 0 for b in blocks)
-        plain = self.outside if marked else 0.0
-        return [u + (self.structure * b.evidence if b.evidence else plain) for u, b in zip(usual.tolist(), blocks, strict=True)]
+        plain = self.outside if any(b.evidence == MAIN for b in blocks) else 0.0
+        words = {NONE: plain, MAIN: self.main, PARTS: -self.parts, NAMED: -self.named, COMMENTS: -self.parts}
+        return [u + words[b.evidence] for u, b in zip(usual.tolist(), blocks, strict=True)]
 
 
-def edges_of(blocks: list[Block], model: BlockClassifier) -> list[tuple[int, int, float]]:
+def edges_of(page: Page, model: BlockClassifier) -> list[tuple[int, int, float]]:
     """Smoothness edges: between neighbours, weaker the more containers lie between them, and between siblings."""
+    parents = page.parents
     edges = []
     last: dict[int, int] = {}
-    for k, block in enumerate(blocks):
+    for k, block in enumerate(page.blocks):
         if k:
-            a, b = blocks[k - 1].path, block.path
-            common = 0
-            for x, y in zip(a, b, strict=False):
-                if x != y:
-                    break
-                common += 1
-            edges.append((k - 1, k, model.adjacency / (1 + len(a) + len(b) - 2 * common)))
-        holder = block.path[-2] if len(block.path) > 1 else 0
+            # Up from both to where they meet: the higher number is never above the lower one.
+            a, b, between = page.blocks[k - 1].element, block.element, 0
+            while a != b:
+                if a > b:
+                    a = parents[a]
+                else:
+                    b = parents[b]
+                between += 1
+            edges.append((k - 1, k, model.adjacency / (1 + between)))
+        holder = parents[block.element]
         if holder in last:
             edges.append((last[holder], k, model.proximity))
         last[holder] = k
@@ -295,11 +387,11 @@ def minimum_cut(gains: list[float], edges: list[tuple[int, int, float]]) -> list
 
 def main_text(page: str, model: BlockClassifier) -> str:
     """The blocks on the content side of the cut, joined by an empty line."""
-    blocks = blocks_of(page)
-    if not blocks:
+    found = page_of(page)
+    if not found.blocks:
         return ""
-    kept = minimum_cut(model.scores(blocks), edges_of(blocks, model))
-    return "\n\n".join(b.text for b, k in zip(blocks, kept, strict=True) if k)
+    kept = minimum_cut(model.scores(found.blocks), edges_of(found, model))
+    return "\n\n".join(b.text for b, k in zip(found.blocks, kept, strict=True) if k)
 
 
 def train(pages: DataFrame, key: str = "page_id", page: str = "html", sample: int = 300) -> BlockClassifier:
@@ -313,10 +405,10 @@ def train(pages: DataFrame, key: str = "page_id", page: str = "html", sample: in
     last = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     tables, labels = [], []
     for row in rows.where(F.col("h") <= F.lit(last or "")).orderBy("h", "t").limit(sample).collect():
-        blocks = blocks_of(row["t"])
+        blocks = page_of(row["t"]).blocks
         if blocks:
             tables.append(features(blocks))
-            labels.append(np.array([b.evidence for b in blocks]))
+            labels.append(np.array([0 if b.evidence == NONE else 1 if b.evidence == MAIN else -1 for b in blocks]))
     if not tables:
         return BlockClassifier()
     x, y = np.concatenate(tables), np.concatenate(labels)
