@@ -212,6 +212,40 @@ def test_threshold_walk(seed):
         assert [(int(s), i) for s, i in topk.threshold_topk(matrix, ids, lists, query, 7, 9)] == want
 
 
+def test_threshold_walk_passes_blocks_by():
+    """Blocks whose best possible score is below a query's kth score are not walked, ties are."""
+    pick = np.random.default_rng(6)
+    near, far = pick.integers(50, 60, (200, 4)).astype(float), pick.integers(-20, 20, (500, 4)).astype(float)
+    asked = np.abs(pick.normal(size=(20, 4))).round(2) * 100
+    own = np.full(20, -1)
+    lists = [np.argsort(m, axis=0, kind="stable").T for m in (near, far)]
+    first, walked = topk.threshold_walk(near, np.arange(200), lists[0], asked, own, 5, [None] * 20)
+    assert walked == 20
+    low = [int(found[-1][0]) for found in first]
+    assert topk.threshold_walk(far, np.arange(500), lists[1], asked, own, 5, low)[1] == 0
+    both = np.concatenate([near[:1], far])
+    best, walked = topk.threshold_walk(both, np.arange(501), np.argsort(both, axis=0, kind="stable").T, both[:1], own, 1, [int(near[0] @ near[0])])
+    assert walked == 1 and best == [[(int(near[0] @ near[0]), 0)]]
+
+
+@pytest.mark.parametrize("block", [7, 50, 1_000])
+def test_topk_over_many_blocks(spark, monkeypatch, block):
+    """Several classes, blocks and query blocks, repeated keys and ties, against all pairs."""
+    monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 9)
+    pick = np.random.default_rng(block)
+    rows = [(int(k), pick.integers(-3, 4, 5).astype(float).tolist()) for k in range(200)] + [(3, [2.0] * 5), (7, [0.0] * 5), (999, [9.0, 0.0, 0.0, 0.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    other = [(1_000, [0.0, 0.0, 0.0, -9.0, 0.0]), (4, [1.0, 2.0, 3.0, 0.0, 1.0])]
+    asked = table.where("vec_id % 10 = 0").union(spark.createDataFrame(other, table.schema))
+    want = []
+    queries_ = sorted({(i, tuple(v)) for i, v in rows if i % 10 == 0} | {(i, tuple(v)) for i, v in other})
+    for q, x in queries_:
+        scores = sorted((-int(np.dot(x, y)), i) for i, y in {(i, tuple(v)) for i, v in rows} if i != q)[:6]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
+    assert sorted(map(tuple, topk.exact_topk(table, asked, k=6, scale=1).collect())) == sorted(want)
+
+
 def python_rules(text):
     w = words(text)
     grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
