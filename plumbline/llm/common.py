@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import scratch_path
+from plumbline.session import remove_scratch, scratch_path
 
 #: A word: a run of characters other than ASCII white space (a pattern for Java's engine).
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -31,6 +31,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables of one computation, removed one by one when the next table is written."""
+
+    def __init__(self) -> None:
+        self.paths: list[tuple[DataFrame, str]] = []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """As ``materialise``."""
+        path = scratch_path(df.sparkSession, f"llm-{name}")
+        df.write.parquet(path)
+        table = df.sparkSession.read.schema(df.schema).parquet(path)
+        self.paths.append((table, path))
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove tables that nothing reads any more."""
+        for table, path in self.paths:
+            if any(table is t for t in tables):
+                remove_scratch(table.sparkSession, path)
+        self.paths = [(table, path) for table, path in self.paths if not any(table is t for t in tables)]
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """Python strings of a text column, null as the empty text."""
     return [t or "" for t in column.to_pylist()]

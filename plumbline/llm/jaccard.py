@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import list_column, materialise, small, starts_of, texts_of
+from plumbline.llm.common import Scratch, list_column, materialise, small, starts_of, texts_of
 from plumbline.llm.components import connected
 from plumbline.llm.tokens import slices
 
@@ -37,7 +37,7 @@ LONGER = 20
 BROADCAST_ROWS = 500_000
 SALTS = 64
 #: Candidates of one centre that one task verifies.
-BLOCK = 512
+BLOCK = 64
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64)
@@ -123,8 +123,8 @@ def set_digests(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.
     return found[0], found[1]
 
 
-def _sets(docs: DataFrame, key: str, text: str, n: int, whole: bool) -> DataFrame:
-    """``(id, n, d1, d2, grams)``: size, digests, and all n-grams (``whole``) or those of the first filter's beginning."""
+def _sets(docs: DataFrame, key: str, text: str, n: int, whole: bool, mark: Column | None = None) -> DataFrame:
+    """``(id, mark, n, d1, d2, grams)``: size, digests, and all n-grams (``whole``) or those of the first filter's beginning."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
@@ -137,21 +137,22 @@ def _sets(docs: DataFrame, key: str, text: str, n: int, whole: bool) -> DataFram
                     kept = np.minimum(counts, counts - needed(counts) + np.maximum(1, counts // LONGER))
                     place = np.arange(len(values)) - np.repeat(starts_of(counts), counts)
                     values = values[place < np.repeat(kept, counts)]
-                columns = [batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(d1), pa.array(d2), list_column(values, kept, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "d1", "d2", "grams"])
+                given = [batch.column(k).slice(a, b - a) for k in (0, 2)]
+                columns = [*given, pa.array(counts, pa.int64()), pa.array(d1), pa.array(d2), list_column(values, kept, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "mark", "n", "d1", "d2", "grams"])
 
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
-    return rows.mapInArrow(run, "id long, n long, d1 long, d2 long, grams array<long>")
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"), (F.lit(None) if mark is None else mark).cast("string").alias("mark"))
+    return rows.mapInArrow(run, "id long, mark string, n long, d1 long, d2 long, grams array<long>")
 
 
-def _own_grams(rows: DataFrame, same: str) -> DataFrame:
-    """``(id, own)``: how many n-grams only this set has. Rows with equal ``same`` are copies, known by their smallest id.
+def _own_grams(rows: DataFrame, name: str) -> DataFrame:
+    """``(name, own)``: how many n-grams only this set has. Rows of one ``name`` are copies.
 
     Aggregated before it moves, so no n-gram is hot.
     """
-    grams = rows.select("id", F.col(same).alias("same"), F.explode("grams").alias("g"))
-    single = grams.groupBy("g").agg(F.min("same").alias("one"), F.max("same").alias("last"), F.min("id").alias("id")).where("one = last")
-    return single.groupBy("id").agg(F.count("*").alias("own"))
+    grams = rows.select(F.col(name).alias("name"), F.explode("grams").alias("g"))
+    single = grams.groupBy("g").agg(F.min("name").alias("one"), F.max("name").alias("last")).where("one = last")
+    return single.groupBy(F.col("one").alias(name)).agg(F.count("*").alias("own"))
 
 
 def _semi(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
@@ -298,43 +299,79 @@ def similar_components(sets: DataFrame) -> DataFrame:
     return connected(links.union(more)).select(F.col("node").alias("id"), "component")
 
 
-def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5) -> DataFrame:
-    """``(key, n_shingles, component_id)`` of every row: set size, and the smallest key reachable by links.
+def _classes(docs: DataFrame, key: str, text: str, n: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``(id, n, d1, d2)`` of every row, and ``(n, d1, d2, class, first, component)`` of every distinct set with words: the sets it
+    links with, the smallest key that has the set, and the smallest that its links reach.
 
-    Two documents link when the Jaccard similarity of their sets of word n-grams is 4/5 or more. A null, empty or
-    blank text has the empty set and links with nothing, its component is its own key; a row without a key has the
-    component null. Repeated rows each get a row; an empty table gives an empty result.
+    A set is known by its first digest, never by a key: rows of one key may hold different texts.
     """
-    table = materialise(_sets(docs, key, text, n, whole=False), "sets")
+    sets = scratch.write(_sets(docs, key, text, n, whole=False).drop("mark"), "sets")
+    rows = scratch.write(sets.drop("grams"), "rows")
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
-    keyed = table.where("id IS NOT NULL AND n > 0")
     # Copies become one set, in two steps, so that no set is hot.
-    copies = materialise(keyed.groupBy("n", "d1", "d2", salt.alias("salt")).agg(F.min("id").alias("id")), "copies")
-    distinct = materialise(copies.groupBy("n", "d1", "d2").agg(F.min("id").alias("id")), "distinct")
+    copies = rows.where("id IS NOT NULL AND n > 0").groupBy("n", "d1", "d2", salt.alias("salt")).agg(F.min("id").alias("id"))
+    distinct = scratch.write(copies.groupBy("n", "d1", "d2").agg(F.min("id").alias("id")), "distinct")
     beginning = F.least(F.col("n"), F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + F.greatest(F.lit(1), F.floor(F.col("n") / LONGER)))
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) / LONGER))
-    own = _own_grams(keyed, "d1")
-    alive = F.col("n") - F.coalesce("own", F.lit(0))
-    first = distinct.join(own, "id", "left").where(beginning - F.coalesce("own", F.lit(0)) >= least)
-    first = materialise(first.select("id", "n", "d1", "d2"), "first")
-    texts = _semi(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")), first.select("id"), "id")
-    whole = _sets(texts, "id", "t", n, whole=True).join(first, ["id", "n", "d1", "d2"], "left_semi").dropDuplicates(["id"])
-    whole = materialise(whole.select("id", "n", "grams"), "whole")
+    own = _own_grams(sets.where("id IS NOT NULL AND n > 0"), "d1")
+    first = distinct.join(own, "d1", "left").where(beginning - F.coalesce("own", F.lit(0)) >= least)
+    first = scratch.write(first.select("id", "n", "d1", "d2"), "first")
+    scratch.drop(sets)
+    texts = _semi(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")), first.select("id").distinct(), "id")
+    whole = _sets(texts, "id", "t", n, whole=True).join(first, ["id", "n", "d1", "d2"], "left_semi").dropDuplicates(["d1", "d2"])
+    whole = scratch.write(whole.select(F.col("d1").alias("id"), "n", "grams"), "whole")
     own = _own_grams(whole, "id")
-    kept = whole.join(own, "id", "left").withColumn("alive", alive).where(F.col("alive") >= F.ceil(F.col("n") * NUMERATOR / DENOMINATOR))
-    kept = materialise(kept.select("id", "n", "grams"), "kept")
-    found = similar_components(materialise(by_frequency(kept), "ordered"))
-    classes = distinct.join(found, "id", "left").select("n", "d1", "d2", F.coalesce("component", "id").alias("component"))
-    salted = copies.join(classes, ["n", "d1", "d2"]).select("n", "d1", "d2", "salt", "component")
-    result = table.select("id", "n", "d1", "d2", salt.alias("salt")).join(salted, ["n", "d1", "d2", "salt"], "left")
+    alive = F.col("n") - F.coalesce("own", F.lit(0))
+    kept = whole.join(own, "id", "left").where(alive >= F.ceil(F.col("n") * NUMERATOR / DENOMINATOR))
+    kept = scratch.write(kept.select("id", "n", "grams"), "kept")
+    scratch.drop(whole)
+    ordered = scratch.write(by_frequency(kept), "ordered")
+    scratch.drop(kept)
+    found = scratch.write(similar_components(ordered), "found")
+    scratch.drop(ordered)
+    named = distinct.join(found.select(F.col("id").alias("d1"), F.col("component").alias("class")), "d1", "left").withColumn("class", F.coalesce("class", "d1"))
+    smallest = named.groupBy("class").agg(F.min("id").alias("component"))
+    return rows, scratch.write(named.join(smallest, "class").select("n", "d1", "d2", "class", F.col("id").alias("first"), "component"), "classes")
+
+
+def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5) -> DataFrame:
+    """``(key, n_shingles, component_id)`` of every row: set size, and the smallest key reachable by links.
+
+    Two documents link when the Jaccard similarity of their sets of word n-grams is 4/5 or more. A null, empty or
+    blank text has the empty set and links with nothing, its component is its own key; a row without a key has the
+    component null. Repeated rows each get a row, and so do rows of one key with different texts, each with the component of
+    its own text; an empty table gives an empty result.
+    """
+    rows, classes = _classes(docs, key, text, n, Scratch())
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    salted = rows.where("id IS NOT NULL AND n > 0").select("n", "d1", "d2", salt.alias("salt")).distinct().join(classes, ["n", "d1", "d2"])
+    result = rows.withColumn("salt", salt).join(salted.select("n", "d1", "d2", "salt", "component"), ["n", "d1", "d2", "salt"], "left")
     component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))
     kind = docs.schema[key].dataType
     return result.select(F.col("id").cast(kind).alias(key), F.col("n").alias("n_shingles"), component.cast(kind).alias("component_id"))
 
 
 def one_per_component(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5) -> DataFrame:
-    """The rows of ``docs`` whose key is their component's; repeated rows of it become one."""
-    kept = ngram_components(docs, key, text, n).where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_k")).distinct()
-    kept = materialise(kept, "kept-keys")
-    found = docs.join(kept, docs[key] == kept["_k"], "left_semi").dropDuplicates([key])
-    return found.unionByName(docs.where(F.col(key).isNull()))
+    """One row of ``docs`` for each component: that of its smallest key. Rows without a key all stay.
+
+    Rows of one key and one set of n-grams become one, rows of one key without words too. Of rows of one key with different
+    texts every one stays that no other row stands for.
+    """
+    scratch = Scratch()
+    rows, classes = _classes(docs, key, text, n, scratch)
+    # Of the sets whose key names the component, one: a key may hold several of them, and name several components.
+    heads = classes.where(F.col("first") == F.col("component")).groupBy("class", "component").agg(F.min(F.struct("d1", "d2")).alias("d"))
+    heads = heads.select(F.col("component").alias("id"), "d.d1", "d.d2")
+    heads = heads.union(rows.where("id IS NOT NULL AND n = 0").select("id", "d1", "d2").distinct())
+    heads = scratch.write(heads, "heads")
+    mixed = rows.where("id IS NOT NULL").groupBy("id").agg(F.min(F.struct("n", "d1", "d2")).alias("low"), F.max(F.struct("n", "d1", "d2")).alias("high")).where("low <> high")
+    mixed = scratch.write(mixed.select("id"), "mixed")
+    plain = scratch.write(heads.select("id").distinct().join(mixed, "id", "left_anti").select(F.col("id").alias("_k")), "kept-keys")
+    found = docs.join(plain, docs[key] == plain["_k"], "left_semi").dropDuplicates([key])
+    # Keys with several texts, if there are any: their texts are read again.
+    several = _semi(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")), mixed, "id")
+    digest = F.sha2("t", 256)
+    known = _sets(several, "id", "t", n, whole=False, mark=digest).join(heads, ["id", "d1", "d2"], "left_semi").groupBy("id", "d1", "d2").agg(F.min("mark").alias("mark"))
+    known = known.select(F.col("id").alias("_k"), F.col("mark").alias("_m")).distinct()
+    others = docs.join(known, (docs[key] == known["_k"]) & F.sha2(docs[text], 256).eqNullSafe(known["_m"]), "left_semi").dropDuplicates([key, text])
+    return found.unionByName(others).unionByName(docs.where(F.col(key).isNull()))

@@ -53,6 +53,18 @@ def test_jaccard(docs, none):
     assert kept.columns == docs.columns and jaccard.one_per_component(none).count() == 0
 
 
+def test_one_key_with_several_texts(spark):
+    """Each text of a key is a document of its own: none is lost unless another one stands for it."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (1, b), (2, a + " more"), (3, c), (3, b + " end"), (4, c + " end"), (4, ""), (4, None), (5, a + " end"), (1, b + " tail")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.ngram_components(table).collect()}
+    assert found == {(1, 56, 1), (1, 57, 1), (2, 57, 1), (3, 56, 3), (3, 57, 1), (4, 57, 3), (4, 0, 4), (5, 57, 1)}
+    kept = sorted((r["doc_id"], r["text"] or "") for r in jaccard.one_per_component(table).collect())
+    assert len(kept) == 4 and {k for k in kept if k[0] != 1} == {(3, c), (4, "")}
+    assert [t[:2] in ("a0", "b0") for i, t in kept if i == 1] == [True, True] and len({t[0] for i, t in kept if i == 1}) == 2
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_jaccard_against_all_pairs(spark, seed):
     """Families of edited texts, with copies and a passage in every text: brute force over all pairs."""
