@@ -292,13 +292,17 @@ def _who(spark, sf):
     return activity.who_changed(commits(spark, sf), "part/3", AS_OF, 90)
 
 
-def _find_owners(spark, sf):
-    log = commits(spark, sf)
+def owner_table(spark, sf):
+    """Owners of the folders 0 to 2, the brands of their parts; others own folders that no commit touches."""
     folder = F.when(F.col("p_partkey") % 10 <= 2, F.lit("path:part/")).otherwise(F.lit("path:legacy/"))
-    owners = load(spark, sf, "part").select(
+    return load(spark, sf, "part").select(
         F.concat(folder, (F.col("p_partkey") % 10).cast("string")).alias("key"), F.col("p_brand").alias("owner"),
         F.lit("owner").alias("role"), F.when(F.col("p_partkey") % 10 == 1, "manual").otherwise("codeowners").alias("source")).distinct()
-    found = activity.find_owners(log.select("path"), owners, log)
+
+
+def _find_owners(spark, sf):
+    log = commits(spark, sf)
+    found = activity.find_owners(log.select("path"), owner_table(spark, sf), log)
     return found.withColumn("confidence", F.round("confidence", 9))
 
 

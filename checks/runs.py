@@ -154,15 +154,14 @@ def _triage(spark, sf):
         F.lit("table:clicks").alias("key"), F.col("p_name").alias("body"), F.col("p_brand").alias("author"),
         F.lit(None).cast("timestamp").alias("created_at"), F.col("p_partkey").alias("id"))
     log = lineage.commits(spark, sf)
-    owners = spark.createDataFrame([], "key string, owner string, role string, source string")
     return runs.anomaly_triage(
-        _series(spark, sf), ["event_type"], ["day"], "total", "clicks", 7, 1.5, log, "part/3/3.sql", lineage.AS_OF, owners, notes
+        _series(spark, sf), ["event_type"], ["day"], "total", "clicks", 7, 1.5, log, "part/1/1.sql", lineage.AS_OF, lineage.owner_table(spark, sf), notes
     ).select("step", "ok", "detail")
 
 
 def _migration(spark, sf):
     log = lineage.commits(spark, sf)
-    owners = spark.createDataFrame([], "key string, owner string, role string, source string")
+    owners = lineage.owner_table(spark, sf)
     before, after = lineage.catalogs(spark, sf)
     return runs.migration_safety(
         load(spark, sf, "customer"), "customer", before, after, lineage._supplier_edges(spark, sf), log.select("path"), owners, log
@@ -175,12 +174,20 @@ def _pre_release(spark, sf):
     ).select("step", "ok", "detail")
 
 
-def _gotchas(spark, sf):
-    """Orders as a handed-over table: a mostly empty column, a never-null timestamp."""
-    orders = load(spark, sf, "orders").select(
-        "o_orderkey", F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderpriority")).alias("note"), F.col("o_orderdate").alias("created_at"))
-    steps = runs.handoff(orders, "orders", ["o_orderkey"])
-    return steps.where("step IN ('profile', 'gotcha')").select("step", "ok", "detail")
+def _handoff(spark, sf):
+    """Orders handed over with everything known of them: owners or committers of all paths, commits of the last weeks, notes on file."""
+    orders = load(spark, sf, "orders").withColumns({
+        "note": F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderpriority")),
+        "created_at": F.col("o_orderdate").cast("timestamp"),
+        "contact_email": F.concat(F.lit("clerk"), F.col("o_custkey").cast("string"), F.lit("@example.com")),
+    })
+    log = lineage.commits(spark, sf)
+    notes = load(spark, sf, "part").select(
+        F.when(F.col("p_size") > 10, "table:orders").otherwise("table:parts").alias("key"), F.col("p_name").alias("body"), F.col("p_brand").alias("author"),
+        F.lit(None).cast("timestamp").alias("created_at"), F.col("p_partkey").alias("id"))
+    steps = runs.handoff(
+        orders, "orders", ["o_orderkey"], paths=log.select("path"), owners=lineage.owner_table(spark, sf), commits=log, notes=notes, as_of=lineage.AS_OF, approx=False)
+    return steps.select("step", "ok", "detail")
 
 
 def _dashboard(spark, sf):
@@ -287,7 +294,7 @@ QUERIES = {
     "run_anomaly_triage": _triage,
     "run_migration_safety": _migration,
     "run_pre_release": _pre_release,
-    "run_handoff": _gotchas,
+    "run_handoff": _handoff,
     "run_dashboard_verify": _dashboard,
     "governed_query": _governed,
     "governed_capped": _governed_capped,
@@ -317,12 +324,15 @@ BALANCES = """SELECT s_suppkey, abs(b - CASE WHEN s_suppkey % 5 = 0 THEN s_acctb
 
 TOP_COMMITTERS = f"""SELECT path, author_login AS handle FROM (SELECT path, author_login, row_number() OVER (PARTITION BY path ORDER BY n DESC, author_login) AS rn
     FROM (SELECT path, author_login, count(*) AS n FROM ({lineage.COMMITS}) WHERE author_login IS NOT NULL GROUP BY 1, 2))"""
+# Folders 0 to 2 have owners, the brands of their parts; elsewhere the committers stand in.
+HANDLES = f"""SELECT p_brand AS handle FROM part WHERE p_partkey % 10 <= 2 AND p_partkey % 10 IN (SELECT l_partkey % 10 FROM lineitem)
+    UNION SELECT handle FROM ({TOP_COMMITTERS}) WHERE NOT regexp_matches(path, '^part/[012]/')"""
 SCORED = f"""WITH s AS ({SERIES}), b AS (SELECT *, avg(total) OVER w AS m, stddev_samp(total) OVER w AS sd
         FROM s WINDOW w AS (PARTITION BY event_type ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)),
     a AS (SELECT *, coalesce(abs((total - m) / nullif(sd, 0)) > 1.5, false) AS odd FROM b),
     r AS (SELECT sha, coalesce(author_login, 'Someone') AS author, authored_at FROM ({lineage.COMMITS})
-          WHERE path = 'part/3/3.sql' AND authored_at >= TIMESTAMP '{lineage.AS_OF}' - INTERVAL 30 DAY),
-    o AS (SELECT handle FROM ({TOP_COMMITTERS}) WHERE path = 'part/3/3.sql' UNION SELECT author FROM r)"""
+          WHERE path = 'part/1/1.sql' AND authored_at >= TIMESTAMP '{lineage.AS_OF}' - INTERVAL 30 DAY),
+    o AS (SELECT p_brand AS handle FROM part WHERE p_partkey % 10 = 1 UNION SELECT author FROM r)"""
 
 ORACLES = {
     "run_anomaly_triage": f"""{SCORED}
@@ -333,7 +343,7 @@ ORACLES = {
         UNION ALL SELECT 'action', true, 'ping @' || handle || ' about clicks' FROM o
         UNION ALL SELECT 'known_quirks', true, p_name FROM part
         UNION ALL SELECT 'next_task', true, 'Investigate anomaly in clicks'""",
-    "run_migration_safety": f"""{lineage.CATALOGS}, o AS (SELECT DISTINCT handle FROM ({TOP_COMMITTERS})), x AS ({quality._suggest_sql()})
+    "run_migration_safety": f"""{lineage.CATALOGS}, o AS ({HANDLES}), x AS ({quality._suggest_sql()})
         SELECT 'profile_sandbox' AS step, true AS ok, count(*) || ' rows, 5 columns' AS detail FROM customer
         UNION ALL SELECT 'pr_impact_analysis', true, (SELECT count(*) FROM t) || ' table changes · ' || (SELECT count(*) FROM c) || ' column changes · '
             || (SELECT count(*) FROM t JOIN supplier ON "table" = 'supp_' || s_suppkey) || ' risks'
@@ -382,9 +392,17 @@ ORACLES = {
     "run_pre_release": f"""SELECT 'check:' || spec AS step, ok, passed || '/' || total || ' passed' AS detail FROM ({SUITE})
         UNION ALL SELECT 'release', bool_and(ok), CASE WHEN bool_and(ok) THEN count(*) FILTER (ok) || '/' || count(*) || ' expectation files passed'
             ELSE 'blocked by: ' || string_agg(DISTINCT "table", ', ' ORDER BY "table") FILTER (NOT ok) END FROM ({SUITE})""",
-    "run_handoff": """SELECT 'profile' AS step, true AS ok, count(*) || ' rows, 3 columns' AS detail FROM orders
-        UNION ALL SELECT 'gotcha', true, 'note holds no value in ' || format('{:.1f}', 100.0 * count(*) FILTER (o_orderkey % 4 <> 0) / count(*)) || '% of the rows' FROM orders
-        UNION ALL SELECT 'gotcha', true, 'created_at always has a time; it may come from a default'""",
+    "run_handoff": f"""SELECT 'profile' AS step, true AS ok, count(*) || ' rows, 9 columns' AS detail FROM orders
+        UNION ALL SELECT 'column', true, unnest(['o_orderkey: bigint, number', 'o_custkey: bigint, number', 'o_orderstatus: string, category', 'o_totalprice: double, money',
+            'o_orderdate: timestamp_ntz, unknown', 'o_orderpriority: string, category', 'note: string, category', 'created_at: timestamp, timestamp', 'contact_email: string, category'])
+        UNION ALL SELECT 'pii_summary', true, 'EMAIL: ' || count(*) FROM orders
+        UNION ALL SELECT 'identify_owners', true, count(*) || ' owner(s)' FROM ({HANDLES})
+        UNION ALL SELECT 'action', true, 'ping @' || handle || ' about orders' FROM ({HANDLES})
+        UNION ALL SELECT 'recent_changes', true, count(*) || ' commit(s) in last 60 days' FROM ({lineage.COMMITS}) WHERE authored_at >= TIMESTAMP '{lineage.AS_OF}' - INTERVAL 60 DAY
+        UNION ALL SELECT 'known_quirks', true, p_name FROM part WHERE p_size > 10
+        UNION ALL SELECT 'gotcha', true, 'note holds no value in ' || format('{{:.1f}}', 100.0 * count(*) FILTER (o_orderkey % 4 <> 0) / count(*)) || '% of the rows' FROM orders
+        UNION ALL SELECT 'gotcha', true, 'created_at always has a time; it may come from a default'
+        UNION ALL SELECT 'gotcha', true, 'holds personal data; share masked results only'""",
     "run_dashboard_verify": f"""SELECT 'extract' AS step, true AS ok, 2 * count(*) || ' rendered row(s)' AS detail FROM supplier
         UNION ALL SELECT 'compare', count(*) FILTER (bad) = 0, 'mismatches=' || count(*) FILTER (bad) FROM ({BALANCES})
         UNION ALL SELECT 'severity', false, 'exact_mismatch=' || count(*) FILTER (bad) || ' → block' FROM ({BALANCES}) HAVING count(*) FILTER (bad) > 0
