@@ -83,7 +83,7 @@ def _profile_one_pass(spark, sf):
     return table.select(
         "column", "row_count", "null_rate", "min", "max", F.round("mean", 4).alias("mean"),
         F.array_join("enum_values", "|").alias("enum_values"), F.get("top_values", 0)["count"].alias("top_count"),
-    ).where("column IN ('p_brand', 'p_type', 'p_size', 'p_name')")
+    )
 
 
 def _stored_profile(spark, sf):
@@ -554,11 +554,11 @@ ORACLES = {
         WHERE o_orderkey > (SELECT max(o_orderkey) FROM orders) - 8 AND o_orderstatus <> 'X'""",
     "profile_table_one_pass": " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", count(*) AS row_count, (count(*) - count({c})) / count(*) AS null_rate,
-            {f'CAST(min({c}) AS DOUBLE)' if c == 'p_size' else 'NULL'} AS min, {f'CAST(max({c}) AS DOUBLE)' if c == 'p_size' else 'NULL'} AS max,
-            {f'round(avg(CAST({c} AS DOUBLE)), 4)' if c == 'p_size' else 'NULL'} AS mean,
+            {f'CAST(min({c}) AS DOUBLE)' if c in ('p_partkey', 'p_size', 'p_retailprice') else 'NULL'} AS min, {f'CAST(max({c}) AS DOUBLE)' if c in ('p_partkey', 'p_size', 'p_retailprice') else 'NULL'} AS max,
+            {f'round(avg(CAST({c} AS DOUBLE)), 4)' if c in ('p_partkey', 'p_size', 'p_retailprice') else 'NULL'} AS mean,
             CASE WHEN count(DISTINCT {c}) <= 12 THEN (SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM part)) END AS enum_values,
             (SELECT max(n) FROM (SELECT count(*) AS n FROM part GROUP BY {c})) AS top_count FROM part"""
-        for c in ("p_name", "p_brand", "p_type", "p_size")),
+        for c in ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")),
     "profile_table_masked": """
         SELECT 'c_custkey' AS "column", count(DISTINCT c_custkey) AS distinct_count, min(CAST(c_custkey AS VARCHAR)) AS top_value, 1 AS top_count, NULL AS enum_values FROM customer
         UNION ALL SELECT 'full_name', count(DISTINCT c_name), '[REDACTED:PERSON]', 1, NULL FROM customer

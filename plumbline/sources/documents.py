@@ -7,6 +7,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Distinct keys that a flattened table of documents may have.
+MAX_KEYS = 10_000
+
 
 def _field(key: str) -> str:
     return "$['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']"
@@ -64,17 +67,21 @@ def doc_find(
     limit: int | None = None,
     keep: tuple[str, ...] = (),
     keys: Mapping[str, str] | None = None,
+    max_keys: int = MAX_KEYS,
 ) -> DataFrame:
     """Documents equal to ``filter`` on its keys, flattened to the union of keys (missing becomes null).
 
-    ``keys`` (name -> type) skips the inference pass. ``keep`` carries columns along and orders a ``limit``.
+    ``keys`` (name -> type) skips the inference pass. ``keep`` carries columns along and orders a ``limit``. More than ``max_keys``
+    distinct keys are an error, since each becomes a column: such documents are tables of members (``doc_members``).
     """
     found = df.where(_matches(json_col, filter or {}))
     if limit is not None:
         found = (found.orderBy(*keep) if keep else found).limit(limit)
     if keys is None:
-        # One row per distinct key: the size of a schema, not of the data.
-        inferred = infer_document_schema(found, json_col).orderBy("key").collect()
+        # One row per distinct key, the size of a schema; what is no schema is not collected.
+        inferred = infer_document_schema(found, json_col).orderBy("key").limit(max_keys + 1).collect()
+        if len(inferred) > max_keys:
+            raise ValueError(f"more than {max_keys} distinct keys: name the ones wanted, or take the documents as members")
         keys = {row["key"]: row["type"] for row in inferred}
     # Parsed once per document, then taken apart.
     parsed = found.select(*keep, F.try_parse_json(F.col(json_col)).alias("__doc"))
@@ -87,6 +94,16 @@ def doc_find(
     return parsed.select(*keep, *values)
 
 
+def doc_members(df: DataFrame, json_col: str, filter: Mapping[str, object] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per top-level member of the documents equal to ``filter``: the ``keep`` columns, key, value as text and type.
+
+    Any number of distinct keys, none of them on the driver. JSON nulls are members without a value.
+    """
+    found = df.where(_matches(json_col, filter or {})).select(*keep, F.try_parse_json(F.col(json_col)).alias("__doc"))
+    members = found.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("__doc").outer()))
+    return members.select(*keep, "key", F.try_variant_get("value", "$", "string").alias("value"), F.schema_of_variant("value").alias("type"))
+
+
 def doc_count(df: DataFrame, json_col: str, filter: Mapping[str, object] | None = None) -> DataFrame:
     """Number of documents equal to ``filter`` on its keys."""
     return df.where(_matches(json_col, filter or {})).agg(F.count(F.lit(1)).alias("n"))

@@ -1,7 +1,7 @@
 import csv
 import io
-import random
 import json
+import random
 
 import pytest
 from conftest import rows
@@ -74,6 +74,17 @@ def test_documents(spark):
     assert documents.doc_count(df, "body", {"a": 2}).first()[0] == 1 and documents.doc_count(df, "body").first()[0] == 5
 
 
+def test_documents_with_very_many_keys(spark):
+    df = spark.range(30).select("id", F.to_json(F.map_from_arrays(F.array(F.concat(F.lit("k"), "id"), F.lit("same")), F.array("id", F.lit(1)))).alias("doc"))
+    df = df.unionByName(spark.createDataFrame([(99, '{"none": null}'), (100, "no json")], "id long, doc string"))
+    with pytest.raises(ValueError, match="distinct keys"):
+        documents.doc_find(df, "doc", max_keys=20)
+    assert len(documents.doc_find(df, "doc").columns) == 32
+    found = rows(documents.doc_members(df, "doc", keep=("id",)))
+    assert len(found) == 61 and (7, "k7", "7", "BIGINT") in found and (99, "none", None, "VOID") in found
+    assert rows(documents.doc_members(df, "doc", {"k3": 3})) == [("k3", "3", "BIGINT"), ("same", "1", "BIGINT")]
+
+
 def test_exports(spark):
     bodies = [(1, '[{"k": 1, "v": "a"}, {"k": 2}]'), (2, ' {"data": [{"k": 3, "v": "c"}]}'), (3, '{"k": 4, "v": "d"}')]
     df = spark.createDataFrame(bodies, "id int, body string")
