@@ -12,9 +12,8 @@ import re
 import sys
 import types
 import zlib
-from array import array
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ LETTERS = "a-zß-öø-ÿ"
 MARKS = ".,!?;:%$#&*|"
 _MARKS = MARKS.encode()
 _PLAIN = re.compile(f"([{LETTERS}]*)([{re.escape(MARKS)}]*)")
-#: Words kept per worker process before the table starts anew: bounds its memory.
+#: Words kept per worker process before those used once go: bounds its memory.
 WORDS_KEPT = 300_000
 
 
@@ -57,7 +56,23 @@ class Encoder:
         self.parts: dict[str, list[int]] = {}
         self.flat = np.empty(1 << 16, np.uint32)
         self.used = 0
-        self.begin, self.length = array("q"), array("q")
+        # Of each row: where its ids begin, how many they are, and how often it was used.
+        self.table = np.zeros((3, 1 << 14), np.int64)
+        self.rows = 0
+
+    def _shrink(self) -> None:
+        """Only words used again stay, the most used ones if they are many."""
+        begin, length, uses = self.table[:, : self.rows]
+        rows = np.fromiter(self.index.values(), np.int64, len(self.index))
+        bar = max(2, int(np.partition(uses[rows], len(rows) // 2)[len(rows) // 2]) + 1)
+        stay = uses[rows] >= bar
+        words, rows = list(compress(self.index, stay.tolist())), rows[stay]
+        ids, lengths = self.flat[ranges(begin[rows], length[rows])], length[rows]
+        marks = self.parts
+        self.clear()
+        self.parts = marks
+        self._rows(ids, lengths)
+        self.index = dict(zip(words, range(len(words))))
 
     def _part(self, part: str) -> list[int]:
         """Ids of a run of plain letters or of marks, straight from the model."""
@@ -68,10 +83,6 @@ class Encoder:
         return [t.id for t in self.model.tokenize(shown)]
 
     def _word(self, word: bytes) -> list[int]:
-        letters = word.rstrip(_MARKS)
-        if letters.isalpha():
-            ids = [t.id for t in self.model.tokenize(letters.decode())]
-            return ids if len(letters) == len(word) else ids + self._marks(word[len(letters) :].decode())
         text = word.decode()
         if plain := _PLAIN.fullmatch(text):
             letters, marks = plain.groups()
@@ -84,27 +95,48 @@ class Encoder:
             self.parts[marks] = self._part(marks)
         return self.parts[marks]
 
-    def _append(self, found: list[list[int]]) -> int:
+    def _rows(self, ids: np.ndarray, lengths: np.ndarray) -> int:
         """New rows of the id table; the number of the first."""
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(lengths.sum())
-        while self.used + total > len(self.flat):
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
-        first = len(self.begin)
-        self.begin.frombytes((self.used + starts_of(lengths)).tobytes())
-        self.length.frombytes(lengths.tobytes())
-        self.used += total
+        while self.rows + len(lengths) > self.table.shape[1]:
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)], axis=1)
+        self.flat[self.used : self.used + len(ids)] = ids
+        first, end = self.rows, self.rows + len(lengths)
+        self.table[:, first:end] = self.used + starts_of(lengths), lengths, np.zeros(len(lengths), np.int64)
+        self.used, self.rows = self.used + len(ids), end
         return first
 
+    def _append(self, found: list[list[int]]) -> int:
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return self._rows(np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths)
+
     def _learn(self, words: list[bytes]) -> None:
-        """New words join the table, all of a slice at once."""
-        first = self._append([self._word(w) for w in words])
+        """New words join the table, all of a slice at once; plain letters first, with and without marks behind them."""
+        bare = [w.rstrip(_MARKS) for w in words]
+        new = [w for w in dict.fromkeys(compress(bare, map(bytes.isalpha, bare))) if w not in self.index]
+        self._known(new, [[t.id for t in self.model.tokenize(w.decode())] for w in new])
+        rest = [(w, b) for w, b in zip(words, bare) if w not in self.index]
+        found = []
+        for word, letters in rest:
+            # Marks are a token of their own behind a letter or a digit.
+            row = self.index.get(letters) if letters[-1:].isalnum() else None
+            if row is None or len(letters) == len(word):
+                found.append(self._word(word))
+            else:
+                begin, length = self.table[:2, row].tolist()
+                found.append(self.flat[begin : begin + length].tolist() + self._marks(word[len(letters) :].decode()))
+        self._known([w for w, _ in rest], found)
+
+    def _known(self, words: list[bytes], found: list[list[int]]) -> None:
+        first = self._append(found)
         self.index.update(zip(words, range(first, first + len(words))))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and the number of ids of each text."""
-        if len(self.index) > WORDS_KEPT or self.used > 16 * WORDS_KEPT:
+        if len(self.index) > WORDS_KEPT:
+            self._shrink()
+        if self.used > 16 * WORDS_KEPT:
             self.clear()
         words: list[bytes | None] = []
         special: list[list[int]] = []
@@ -130,9 +162,9 @@ class Encoder:
             rows[new] = np.fromiter(map(self.index.get, unknown, repeat(-1)), np.int64, len(new))
         if special:
             rows[rows < 0] = self._append(special) + np.arange(len(special))
-        # Views of the growing arrays, gone before they grow again.
-        lengths = np.frombuffer(self.length, np.int64)[rows]
-        ids = self.flat[ranges(np.frombuffer(self.begin, np.int64)[rows], lengths)]
+        self.table[2, : self.rows] += np.bincount(rows, minlength=self.rows)
+        lengths = self.table[1, rows]
+        ids = self.flat[ranges(self.table[0, rows], lengths)]
         ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(n_words)]
         return ids, np.diff(ends, prepend=0)
 
