@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import small, texts_of
+from plumbline.llm.common import materialise, small, texts_of
 from plumbline.llm.jaccard import word_hashes
 from plumbline.llm.tokens import slices
 
@@ -180,7 +180,8 @@ def train(
     """A model from at most ``documents`` labelled rows of at most ``lines`` lines in all, none of them held out.
 
     Rows are taken in the order of a hash of their key, so the sample is the same at every run; both bounds are
-    parameters. Whole texts are used. Labels other than 0 and 1 are ignored; without labels every score is 1/2.
+    parameters, and a text that does not fit into the lines left is passed over, not those behind it. Whole texts are
+    used. Labels other than 0 and 1 are ignored; without labels every score is 1/2.
     """
     known = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col(key))).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
     # Bounded by the parameter, so it may be broadcast.
@@ -198,11 +199,18 @@ def train(
                 yield pa.RecordBatch.from_arrays(columns, ["h", "y", "n", "x"])
 
     found = rows.select("t", F.xxhash64("k").alias("h"), "y").mapInArrow(run, "h long, y int, n long, x binary")
+    found = materialise(found.where(F.col("n") <= lines), "lines")
     # Bounded twice: `documents` rows, and those whose lines fit.
-    sizes = sorted((r["h"], r["n"]) for r in found.select("h", "n").collect())
-    fits = np.cumsum([n for _, n in sizes]) <= lines
-    last = max((h for (h, _), ok in zip(sizes, fits, strict=True) if ok), default=None)
-    taken = sorted(found.where(F.col("h") <= F.lit(last)).collect(), key=lambda r: (r["h"], r["y"], r["x"])) if last is not None else []
+    fits, left = [], lines
+    for h, y, n in sorted(map(tuple, found.select("h", "y", "n").collect())):
+        if n <= left:
+            fits.append((h, y, n))
+            left -= n
+    if fits:
+        sizes = F.broadcast(docs.sparkSession.createDataFrame(sorted(set(fits)), "h long, y int, n long"))
+        taken = sorted(found.join(sizes, ["h", "y", "n"]).collect(), key=lambda r: (r["h"], r["y"], r["x"]))
+    else:
+        taken = []
     counts = np.array([r["n"] for r in taken], np.int64)
     table = np.concatenate([np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES) for r in taken]).astype(float) if taken else np.empty((0, FEATURES))
     return fit_lines(table, counts, np.array([r["y"] for r in taken], np.int64))

@@ -63,7 +63,8 @@ class NoticeSearch:
 
         self.listed = list(self.notices)
         self.errors = [max(1, len(n) // self.per_error) for n in self.listed]
-        self.patterns = [regex.compile(f"(?b)(?<= )(?:{regex.escape(n, special_only=True)}){{e<={e}}}(?= )") for n, e in zip(self.listed, self.errors, strict=True)]
+        sought = [f"(?<= )(?:{regex.escape(n, special_only=True)}){{e<={e}}}(?= )" for n, e in zip(self.listed, self.errors, strict=True)]
+        self.patterns = [(regex.compile(s), regex.compile(f"(?b){s}")) for s in sought]
         found: dict[str, list[tuple[int, int]]] = {}
         for k, notice in enumerate(self.listed):
             for offset, part in seeds(notice, self.errors[k]):
@@ -86,13 +87,13 @@ class NoticeSearch:
                 low, high = max(0, begin - offset - slack), begin - offset + len(self.listed[k]) + slack
                 held = windows.setdefault(k, [])
                 if held and low <= held[-1][1]:
-                    held[-1] = (held[-1][0], max(high, held[-1][1]))
+                    held[-1] = (min(low, held[-1][0]), max(high, held[-1][1]))
                 else:
                     held.append((low, high))
         found = []
         for k, spans in windows.items():
             for low, high in spans:
-                for m in self.patterns[k].finditer(line, low, min(len(line), high)):
+                for m in self._matches(k, line, low, min(len(line), high)):
                     found.append((sum(m.fuzzy_counts), -(m.end() - m.start()), m.start(), m.end(), k))
         kept: list[tuple[int, int, int, int]] = []
         ends: list[tuple[int, int]] = []
@@ -102,6 +103,15 @@ class NoticeSearch:
                 kept.append((start, end, k, edits))
         return sorted(kept)
 
+    def _matches(self, k: int, line: str, low: int, high: int) -> Iterator:
+        """Matches of a notice from left to right: each one found is put into its best place, and the search goes on behind it."""
+        some, best = self.patterns[k]
+        slack = self.errors[k] + 1
+        while m := some.search(line, low, high):
+            near = best.search(line, max(low, m.start() - slack), min(high, m.end() + slack)) or m
+            yield near
+            low = max(near.end(), low + 1)
+
 
 def phrase_places(line: str) -> list[tuple[int, str]]:
     """(character offset, label) of every place where a phrase's words stand together; places may overlap."""

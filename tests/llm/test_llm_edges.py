@@ -326,6 +326,28 @@ def test_near_copies_do_not_deplete_each_other(spark):
     assert by_text < kept
 
 
+def test_notices_side_by_side():
+    """An edited notice just before an exact one, one of the same kind far behind, and a text full of them are all found."""
+    finder = licenses.NoticeSearch(licenses.NOTICES, 12)
+    notice = max(finder.listed, key=len)
+    edited = notice.replace("e", "o", 2)
+    line = f" start {edited} {notice} and {edited} "
+    found = [(line[s:e], n) for s, e, _, n in finder.search(line)]
+    assert [n for _, n in found] == [2, 0, 2] and [t for t, _ in found] == [edited, notice, edited]
+    many = " " + " ".join([edited, notice] * 300) + " "
+    assert [n for _, _, _, n in finder.search(many)] == [2, 0] * 300
+
+
+def test_line_sample_passes_over_long_documents(spark):
+    """A labelled document above the bound, first or in between, costs only itself."""
+    texts = [(k, (f"good line {k} of some words here.\n" if k % 2 else "x 1 # $ | bad\n") * (500 if k % 7 == 0 else 5)) for k in range(60)]
+    docs_ = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    model = crf.train(docs_, labels, lines=200)
+    scores = {r["doc_id"]: r["score"] for r in crf.score(docs_, model).collect()}
+    assert min(s for k, s in scores.items() if k % 2) > 0.5 > max(s for k, s in scores.items() if k % 2 == 0)
+
+
 def test_licenses(docs, none):
     found = licenses.license_scan(docs)
     by = {r["doc_id"]: r for r in found.collect()}
