@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.llm.common import WORD, materialise
+from plumbline.operators.ordered import running_total
 
 #: Words, and rows, of a block: the unit that shards draw. Words of an output shard.
 BLOCK_WORDS = 200_000
@@ -85,9 +86,9 @@ def _shard_draws(spark: SparkSession, quotas: list[int], shards: int, seed: int)
                 yield pd.DataFrame({"sid": np.arange(len(held)), "shard": int(shard), "quota": leaf_quotas(held, shards, int(shard), seed)})
 
     leaves = spark.range(shards).mapInPandas(run, "sid int, shard long, quota long").where("quota > 0")
-    before = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    first = F.coalesce(F.sum("quota").over(before), F.lit(0))
-    return leaves.withColumn("first", first).select("sid", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("quota") - 1)).alias("draw"), "shard")
+    # In chunks: a source may have a quota in every shard.
+    first = F.col("upto") - F.col("quota")
+    return running_total(leaves, ["sid"], ["shard"], F.col("quota"), "upto").withColumn("first", first).select("sid", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("quota") - 1)).alias("draw"), "shard")
 
 
 def fitting(order: np.ndarray, size: np.ndarray, room: float) -> list[tuple[int, int, int]]:
@@ -190,8 +191,8 @@ def _draws(docs: DataFrame, key: str, text: str, source: str, weights: Sequence[
     whole = blocks.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes") - 1))).withColumn("spot", spot)
     last = _last_pass(own.withColumnRenamed("passes", "pass").withColumn("spot", spot), listed)
     drawn = last.unionByName(whole.select("sid", "block", "pass", "spot"), allowMissingColumns=True)
-    numbered = Window.partitionBy("sid").orderBy("pass", "spot", "block")
-    draws = materialise(drawn.withColumn("draw", F.row_number().over(numbered) - F.lit(1)).drop("spot"), "draws")
+    numbered = running_total(drawn, ["sid"], ["pass", "spot", "block"], F.lit(1), "upto")
+    draws = materialise(numbered.withColumn("draw", (F.col("upto") - 1).cast("long")).drop("spot", "upto"), "draws")
     counted = {r["sid"]: r["n"] for r in draws.groupBy("sid").agg(F.count("*").alias("n")).collect()}
     shards = max(1, round(sum(x["target"] for x in listed) / shard_words))
     dealt = draws.join(_shard_draws(spark, [counted.get(x["sid"], 0) for x in listed], shards, seed), ["sid", "draw"])

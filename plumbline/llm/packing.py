@@ -120,14 +120,15 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 4096, key
     """``(key, piece, start, length, ids_crc32, sequence_id, offset)`` of every piece of every document.
 
     Only small rows move: texts are encoded where they are read, and the cut pieces are written once. Pieces are dealt
-    to shards of about ``PIECES_PER_SHARD`` by a hash of all their columns and a number that tells repeats apart; each
-    shard is packed on its own. A null or empty text is a document of its end id; repeated rows are documents of
+    in turn to shards of about ``PIECES_PER_SHARD``; each shard is packed on its own. A null or empty text is a document of its end id; repeated rows are documents of
     their own; an empty table gives an empty result.
     """
     pieces = materialise(cut_pieces(docs, tokenizer, end_id, capacity, key, text), "pieces")
     shards = max(1, -(-pieces.count() // PIECES_PER_SHARD))
-    # Repeats of one row hash alike; the row's place in the written table spreads them.
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64(key, "piece", "length", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
+    # Round robin within each part of the written table, each part beginning elsewhere: shards of one size, repeats spread.
+    place = F.monotonically_increasing_id()
+    turn = F.shiftright(place, 33) + place.bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = pieces.withColumn("shard", F.pmod(turn, F.lit(shards)).cast("int")).repartitionByRange(shards, "shard")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([key, "piece", "ids_crc32"], kind="stable").reset_index(drop=True)

@@ -189,7 +189,9 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.assign(_table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
+    # Which shards take the row, one for each time it is drawn: dealt by the splitting tree.
+    shards = F.array_join(F.transform(F.col("draws")["shard"], lambda s: s.cast("string")), ",")
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), shards.alias("shards"))
 
 
 def op11_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
