@@ -199,7 +199,9 @@ def fragments(tiles: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["row", "period", "begin", "end"])
 
-    dealt = tiles.select("row", "octave", "start", "tile", "stop", "words").repartition("row", "octave", "tile")
+    # Few bytes and much work: as many tasks as shuffles have, not as many as the bytes would give.
+    tasks = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = tiles.select("row", "octave", "start", "tile", "stop", "words").repartition(tasks, "row", "octave", "tile")
     return dealt.mapInArrow(run, "row long, period long, begin long, end long")
 
 
