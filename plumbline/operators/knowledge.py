@@ -13,7 +13,7 @@ from plumbline.session import BROADCAST_CELLS, broadcast_if_small, cut_lineage
 
 OPEN_STATES = ("open", "in_progress")
 #: Distinct terms of a table of queries up to which a search names them in its plan.
-NAMED_TERMS = 2_000
+NAMED_TERMS = 10_000
 
 
 def notes_for(keys: DataFrame, notes: DataFrame, limit: int | None = None, tie: str = "id") -> DataFrame:
@@ -44,15 +44,16 @@ def search(
     terms they are picked out before a text's terms become rows, beyond it by a join. ``textindex`` holds the same
     occurrences for good. Tables are broadcast only while they are counted small.
     """
-    asked = cut_lineage(asked_terms(queries, query_id, query_col))
+    asked = asked_terms(queries, query_id, query_col)
     bodies = texts.select(quoted(id_col).alias("__id"), quoted(text_col).alias("__text"))
-    wanted = cut_lineage(asked.select(F.explode("__terms").alias("__term")).distinct())
+    wanted = asked.select(F.explode("__terms").alias("__term")).distinct()
     found = terms(F.col("__text"))
-    if wanted.count() <= named_terms:
-        named = F.array(*[F.lit(r["__term"]) for r in wanted.collect()]).cast("array<string>")
-        hits = bodies.select("__id", F.explode(F.array_intersect(found, named)).alias("__term"))
+    named = [r["__term"] for r in wanted.limit(named_terms + 1).collect()]
+    # The outer form keeps Spark from tokenising twice, once only to drop empty texts.
+    if len(named) <= named_terms:
+        held = bodies.select("__id", F.explode_outer(F.filter(found, lambda term: term.isin(named))).alias("__term"))
+        hits = held.where("__term IS NOT NULL")
     else:
-        # The outer form keeps Spark from tokenising twice, once only to drop empty texts.
         known = broadcast_if_small(wanted, limit=broadcast_cells)
         hits = bodies.select("__id", F.explode_outer(found).alias("__term")).join(known, "__term")
     return lookup(cut_lineage(hits), asked, id_col, query_id, limit, broadcast_cells)
