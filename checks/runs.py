@@ -251,8 +251,9 @@ def _governed_denied(spark, sf):
 
 
 def _stream(spark, sf, table):
+    """A table as a stream, be it one file or a folder of part files: a pattern may name either, a plain path only a folder."""
     schema = load(spark, sf, table).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{table}.parque[t]")
 
 
 def _sunk(spark, stream, name):

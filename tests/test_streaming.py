@@ -1,3 +1,4 @@
+from checks import runs
 from conftest import rows
 from pyspark.sql import functions as F
 from test_ordered import hot_log
@@ -78,6 +79,14 @@ def test_mask_stream_equals_mask(spark, sf, tmp_path):
     assert rows(sunk(spark, streams.mask_stream(stream), tmp_path)) == rows(mask.mask(docs))
 
 
+def test_stream_reads_a_folder_of_part_files(spark, sf, tmp_path):
+    """Larger tables are folders; a stream that took one file of that name gave no rows."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    for path in (str(tmp_path), sf):
+        assert rows(runs.QUERIES["stream_mask"](spark, path)) == rows(mask.mask(docs))
+
+
 def test_masked_cells_are_observed(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     stream = spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
