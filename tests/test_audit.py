@@ -1,3 +1,7 @@
+import hashlib
+import json
+
+from checks import governance
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -83,3 +87,26 @@ def test_verification_is_native_on_a_sound_log(spark):
         F.col("seq") == 46, F.lit(None)).otherwise(F.col("record"))
     broken = audit.verify_chain(linked.withColumn("record", edited), ["k"], "seq", slice_rows=7)
     assert rows(broken) == [(0, False, 23, "record 23: invalid JSON"), (1, False, 11, "record 11: record_hash mismatch")]
+
+
+def test_events_of_a_type_are_one_chain(spark, sf):
+    """Each type has one record without a predecessor, however many segments its events fill."""
+    found = governance.QUERIES["audit_chain"](spark, sf)
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    assert found.count() == events.count()
+    assert found.where(F.col("prev_record_hash") == audit.GENESIS).count() == events.select("event_type").distinct().count()
+
+
+def test_chain_writes_canonical_json(spark):
+    """Names on all sides of the hashes, a stale hash, nested and non-ASCII values: the text is that of json.dumps."""
+    rows_ = spark.createDataFrame([(1, "é\"", "old", {"b": 1, "a": 2}, 1.5), (2, None, "old", {}, 2e20)], "id int, zeta string, record_hash_old string, q map<string,int>, alpha double")
+    linked = audit.chain(rows_.withColumn("k", F.lit("x")), ["k"], ["id"]).orderBy("id").collect()
+    before = audit.GENESIS
+    for row in linked:
+        record = json.loads(row["record"])
+        assert row["record"] == json.dumps(record, separators=(",", ":"), sort_keys=True)
+        stated = record.pop("record_hash")
+        text = json.dumps(record, separators=(",", ":"), sort_keys=True)
+        assert stated == row["record_hash"] == "sha256:" + hashlib.sha256(text.encode()).hexdigest()
+        assert record["prev_record_hash"] == row["prev_record_hash"] == before
+        before = stated
