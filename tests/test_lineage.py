@@ -78,6 +78,12 @@ def test_upstream_rows_grow_with_the_data(spark, sf):
     assert sf != "/root/testdata/sf0.001" or large <= 12 * small
 
 
+def test_upstream_of_every_order(spark, sf):
+    """Every order is a target, as its SQL says: none is left out."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select(F.concat(F.lit("order."), F.col("o_orderkey").cast("string")).alias("origin"))
+    assert rows(lineage_checks.QUERIES["lineage_upstream"](spark, sf).select("origin").distinct()) == rows(orders.distinct())
+
+
 def test_annotate(spark):
     nodes = spark.createDataFrame([("db.s.orders",), ("orders",), ("other",)], "name string")
     models = spark.createDataFrame([("orders", "models/orders.sql")], "name string, path string")
