@@ -43,7 +43,16 @@ def _expand(batches: Iterator[pd.DataFrame], rows_of: Callable[[str], list[tuple
 def _parsed(pages: DataFrame, rows_of: Callable[[str], list[tuple]], columns: str, id_col: str, html_col: str) -> DataFrame:
     schema = StructType([pages.schema[id_col], *StructType.fromDDL(columns).fields])
     walk = partial(_expand, rows_of=rows_of, names=schema.fieldNames())
-    return pages.select(id_col, html_col).mapInPandas(walk, schema)
+    return _spread(pages.select(id_col, html_col)).mapInPandas(walk, schema)
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt out evenly where they come in fewer partitions than keep the cores busy: parsing costs far more than moving them.
+
+    A small file may hold very many short or much alike pages, and a file that is not split is one task.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(4 * cores) if rows.rdd.getNumPartitions() < 2 * cores else rows
 
 
 def _table_rows(html: str, header_as_row: bool) -> list[tuple]:

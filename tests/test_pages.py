@@ -100,3 +100,11 @@ def test_dashboard_run(spark):
     truth = spark.createDataFrame([("1", 5.0), ("3", 1.0)], "Day string, Rev double")
     steps = {(r["step"], r["detail"]): r["ok"] for r in runs.dashboard_verify(df, truth, "Day", ["Rev"]).collect()}
     assert steps == {("extract", "2 rendered row(s)"): True, ("compare", "mismatches=0"): True, ("unmatched", "only_rendered=1"): True, ("unmatched", "only_db=1"): True}
+
+
+def test_one_file_is_parsed_by_many_tasks(spark):
+    """All pages in one partition: they are dealt out before they are parsed, and none is lost."""
+    shown = spark.range(0, 2_000, 1, 1).select(F.col("id").alias("page_id"), F.lit("<button>Go</button><input name=a>").alias("html"))
+    for found in (pages.list_buttons(shown), pages.list_inputs(shown), pages.extract_text(shown, "button")):
+        tasks = found.select("page_id", F.spark_partition_id().alias("task")).collect()
+        assert len(tasks) == len({r["page_id"] for r in tasks}) == 2_000 and len({r["task"] for r in tasks}) > 8
