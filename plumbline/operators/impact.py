@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.lineage import downstream
+from plumbline.session import cut_lineage
 
 # Paths that matter to data, as regular expressions.
 DATA_PATHS = (
@@ -25,23 +26,41 @@ DATA_PATHS = (
 DATA_FRAGMENTS = ("models/", "migrations/", "macros/", "snapshots/", "seeds/")
 
 
+#: Catalog rows that one task sorts; larger catalogs are dealt to more tasks, so that a task's memory does not grow with them.
+TASK_ROWS = 200_000
+
+
 def _both(before: DataFrame, after: DataFrame) -> DataFrame:
     return before.withColumn("__before", F.lit(True)).unionByName(after.withColumn("__before", F.lit(False)))
 
 
+def _written(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Both catalogs, worked out once."""
+    pick = ["table", "column", "type"]
+    return cut_lineage(_both(before.select(*pick), after.select(*pick)))
+
+
 def table_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """Tables created or dropped between two catalogs ``(table, column, type)``."""
-    sides = _both(before.select("table"), after.select("table")).groupBy("table").agg(
-        F.bool_or("__before").alias("was"), F.bool_or(~F.col("__before")).alias("is")
-    )
+    return _table_changes(_both(before.select("table"), after.select("table")))
+
+
+def _table_changes(both: DataFrame) -> DataFrame:
+    sides = both.groupBy("table").agg(F.bool_or("__before").alias("was"), F.bool_or(~F.col("__before")).alias("is"))
     kind = F.when(~F.col("was"), "created").when(~F.col("is"), "dropped")
     return sides.select("table", kind.alias("kind")).where(F.col("kind").isNotNull())
 
 
 def column_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """Columns added, removed or retyped, with both types (compared exactly)."""
-    pick = ["table", "column", "type"]
-    sides = _both(before.select(*pick), after.select(*pick)).groupBy("table", "column").agg(
+    return _column_changes(_written(before, after))
+
+
+def _column_changes(both: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    parts = -(-both.count() // task_rows)
+    if parts > int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        both = both.repartition(parts, "table", "column")
+    sides = both.groupBy("table", "column").agg(
         F.max(F.when(F.col("__before"), F.col("type"))).alias("before"),
         F.max(F.when(~F.col("__before"), F.col("type"))).alias("after"),
     )
@@ -99,7 +118,9 @@ def select_changed_files(
 
 def impact(before: DataFrame, after: DataFrame, edges: DataFrame | None = None, max_depth: int | None = 1) -> DataFrame:
     """Full report ``(section, table, column, kind, before, after, detail)``: changes, proposed tests, downstream risks."""
-    tables, columns = table_changes(before, after), column_changes(before, after)
+    both = _written(before, after)
+    # Each is read several times.
+    tables, columns = cut_lineage(_table_changes(both)), cut_lineage(_column_changes(both))
     none = F.lit(None).cast("string")
 
     def rows(section, df, table, column=none, kind=none, old=none, new=none, detail=none):

@@ -206,3 +206,13 @@ def test_upserts(spark):
     tasks = spark.createDataFrame([(1, "open", "t0"), (2, "open", "t0")], "id int, status string, updated_at string")
     changes = spark.createDataFrame([(1, "in_progress", "t1"), (1, "done", "t2"), (9, "done", "t1")], "id int, status string, updated_at string")
     assert rows(knowledge.update_status(tasks, changes)) == [(1, "done", "t2"), (2, "open", "t0")]
+
+
+def test_large_catalogs_go_to_more_tasks(spark):
+    """The rows of a task are bounded, whatever the size of the catalogs, and the changes stay the same."""
+    columns = spark.range(6_000).select(
+        F.concat(F.lit("t"), F.col("id") % 300).alias("table"), F.concat(F.lit("c"), F.col("id")).alias("column"), F.lit("int").alias("type"))
+    both = impact._both(columns, columns.withColumn("type", F.when(F.col("column").endswith("7"), "long").otherwise(F.col("type"))))
+    found = impact._column_changes(both, task_rows=300)
+    assert rows(found) == rows(impact._column_changes(both)) and found.count() == 600
+    assert found.rdd.getNumPartitions() == 40
