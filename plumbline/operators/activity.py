@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.knowledge import owners_of_paths
+from plumbline.session import cut_lineage
 
 MANUAL_CONFIDENCE = 0.95
 LISTED_CONFIDENCE = 0.85
@@ -54,8 +55,9 @@ def who_changed(commits: DataFrame, path: str, as_of: datetime | str, days: int
 
 def find_owners(paths: DataFrame, owners: DataFrame, commits: DataFrame, committers_per_path: int | None = None) -> DataFrame:
     """``(path, handle, role, source, confidence)``: registered owners, else the committers of the path, all or the busiest ones."""
-    asked = paths.toDF("path").distinct()
-    registered = owners_of_paths(asked, owners)
+    # Written: the paths and their owners are read three times.
+    asked = cut_lineage(paths.toDF("path").distinct())
+    registered = cut_lineage(owners_of_paths(asked, owners))
     listed = registered.select(
         "path", F.col("owner").alias("handle"), "role", F.concat(F.lit("knowledge/"), "source").alias("source"),
         F.when(F.col("source") == "manual", F.lit(MANUAL_CONFIDENCE)).otherwise(F.lit(LISTED_CONFIDENCE)).alias("confidence"),
