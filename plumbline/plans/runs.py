@@ -58,7 +58,8 @@ def _pii_step(findings: DataFrame) -> DataFrame:
 
 def _owner_steps(suggestions: DataFrame, action: str) -> DataFrame:
     """Number of owners, then one action per owner."""
-    handles = suggestions.select("handle").distinct()
+    # Both steps read it, so it is written: finding owners reads every path and commit.
+    handles = cut_lineage(suggestions.select("handle").distinct())
     counted = handles.agg(F.count(F.lit(1)).alias("n"))
     found = F.when(F.col("n") > 0, _text(F.col("n"), " owner(s)")).otherwise(F.lit("no owners found"))
     return _stack([_step(counted, "identify_owners", found), _step(handles, "action", _text("ping @", F.col("handle"), f" {action}"))])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from checks import lineage as lineage_checks
 
 from plumbline.operators import activity, impact, knowledge, lineage, textindex
+from plumbline.plans import runs
 
 
 def closure(edges, origins, limit=None):
@@ -216,3 +217,14 @@ def test_large_catalogs_go_to_more_tasks(spark):
     found = impact._column_changes(both, task_rows=300)
     assert rows(found) == rows(impact._column_changes(both)) and found.count() == 600
     assert found.rdd.getNumPartitions() == 40
+
+
+def test_owners_are_found_once(spark):
+    """Both owner steps read the written handles: no plan behind them reads paths, owners or commits again."""
+    paths = spark.createDataFrame([("a/x",), ("b/y",), ("b/y",)], "path string")
+    owners = spark.createDataFrame([("path:a", "ann", "owner", "manual")], "key string, owner string, role string, source string")
+    commits = spark.createDataFrame([("b/y", "bob"), ("b/y", None)], "path string, author_login string")
+    steps = runs._owner_steps(activity.find_owners(paths, owners, commits), "about x")
+    assert rows(steps, "step", "detail") == [("action", "ping @ann about x"), ("action", "ping @bob about x"), ("identify_owners", "2 owner(s)")]
+    plan = steps._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
