@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import materialise, ranges, small, starts_of, texts_of
-from plumbline.llm.tokens import crc_of, encoder, slices
+from plumbline.llm.common import materialise, ranges, starts_of
+from plumbline.llm.tokens import crc_of, encoder, text_slices
 
 #: Pieces packed together by one task: enough that its last, half-filled bin does not count.
 PIECES_PER_SHARD = 8_192
@@ -96,20 +96,18 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, key:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for batch in small(batches):
-            texts = texts_of(batch.column(1))
-            for a, b in slices(texts):
-                ids, counts = encode.encode(texts[a:b])
-                ids = np.insert(ids, np.cumsum(counts), end_id)
-                counts = counts + 1
-                pieces = -(-counts // capacity)
-                number = ranges(np.zeros(len(pieces), np.int64), pieces)
-                begin = number * capacity
-                size = np.minimum(capacity, np.repeat(counts, pieces) - begin)
-                offsets = np.append(np.repeat(starts_of(counts), pieces) + begin, len(ids))
-                keys = batch.column(0).slice(a, b - a).take(pa.array(np.repeat(np.arange(b - a), pieces)))
-                crc = pa.array(crc_of(ids, offsets), pa.int64())
-                yield pa.RecordBatch.from_arrays([keys, pa.array(number.astype(np.int32)), pa.array(begin), pa.array(size), crc], ["k", "piece", "start", "length", "ids_crc32"])
+        for batch in text_slices(batches):
+            ids, counts = encode.encode(batch.column(1))
+            ids = np.insert(ids, np.cumsum(counts), end_id)
+            counts = counts + 1
+            pieces = -(-counts // capacity)
+            number = ranges(np.zeros(len(pieces), np.int64), pieces)
+            begin = number * capacity
+            size = np.minimum(capacity, np.repeat(counts, pieces) - begin)
+            offsets = np.append(np.repeat(starts_of(counts), pieces) + begin, len(ids))
+            keys = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), pieces)))
+            crc = pa.array(crc_of(ids, offsets), pa.int64())
+            yield pa.RecordBatch.from_arrays([keys, pa.array(number.astype(np.int32)), pa.array(begin), pa.array(size), crc], ["k", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[key].dataType.simpleString()
     found = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, piece int, start long, length long, ids_crc32 long")

@@ -1,43 +1,50 @@
 """Token ids as Parquet list columns, written in document order and read back selectively.
 
 The encoder calls the tokenizers library once per distinct word of a task. Its pre-tokenizer drops white space, so
-the ids of a text are the ids of its words end to end; words met again are looked up. Words of plain lower-case
+the ids of a text are the ids of its words end to end. Arrow splits the texts and numbers the distinct words of a slice;
+only these are looked up, and only those never met are encoded. Words of plain lower-case
 letters go straight to the library's BPE model, since the normaliser and the pre-tokenizer leave them as they are;
 all others, and whole texts that hold combining or rarer characters or a special token, take the full tokenizer.
 """
 
 from __future__ import annotations
 
+import codecs
 import re
 import sys
 import types
 import zlib
-from collections.abc import Iterator
-from itertools import chain, compress, repeat
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.llm.common import list_column, ranges, small, starts_of, texts_of
+from plumbline.llm.common import list_column, ranges, starts_of
 from plumbline.session import scratch_path
 
 #: Small Latin letters that lower-casing and composition leave alone, and marks that never join a word.
 LETTERS = "a-zß-öø-ÿ"
 MARKS = ".,!?;:%$#&*|"
-_MARKS = MARKS.encode()
-_PLAIN = re.compile(f"([{LETTERS}]*)([{re.escape(MARKS)}]*)")
+_PLAIN = re.compile(f"[{LETTERS}]+")
+#: Behind these, marks are a token of their own.
+_ENDS = frozenset(chr(c) for c in range(256) if re.fullmatch(f"[{LETTERS}0-9]", chr(c)))
 #: Words kept per worker process before those used once go: bounds its memory.
 WORDS_KEPT = 300_000
+#: Stands for a text that takes the full tokenizer as a whole; every text that holds it is one.
+SPECIAL = "<|"
 
 
-def _byte_letters() -> dict[int, str]:
+def _byte_letters() -> str:
     """The byte-level alphabet: printable bytes stand for themselves, the others follow from code point 256 on."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+    letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+    return "".join(letters[b] for b in range(256))
 
 
 class Encoder:
@@ -52,13 +59,13 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.parts: dict[str, list[int]] = {}
         self.flat = np.empty(1 << 16, np.uint32)
         self.used = 0
         # Of each row: where its ids begin, how many they are, and how often it was used.
         self.table = np.zeros((3, 1 << 14), np.int64)
-        self.rows = 0
+        # The empty word is row 0 and has no ids.
+        self.rows = 1
+        self.index: dict[str, int] = {"": 0}
 
     def _shrink(self) -> None:
         """Only words used again stay, the most used ones if they are many."""
@@ -68,32 +75,8 @@ class Encoder:
         stay = uses[rows] >= bar
         words, rows = list(compress(self.index, stay.tolist())), rows[stay]
         ids, lengths = self.flat[ranges(begin[rows], length[rows])], length[rows]
-        marks = self.parts
         self.clear()
-        self.parts = marks
-        self._rows(ids, lengths)
-        self.index = dict(zip(words, range(len(words))))
-
-    def _part(self, part: str) -> list[int]:
-        """Ids of a run of plain letters or of marks, straight from the model."""
-        if part.isascii():
-            shown = part
-        else:
-            shown = part.encode().decode("latin-1").translate(self.letters)
-        return [t.id for t in self.model.tokenize(shown)]
-
-    def _word(self, word: bytes) -> list[int]:
-        text = word.decode()
-        if plain := _PLAIN.fullmatch(text):
-            letters, marks = plain.groups()
-            ids = self._part(letters) if letters else []
-            return ids + self._marks(marks) if marks else ids
-        return self.full.encode(text, add_special_tokens=False).ids
-
-    def _marks(self, marks: str) -> list[int]:
-        if marks not in self.parts:
-            self.parts[marks] = self._part(marks)
-        return self.parts[marks]
+        self._known(words, ids, lengths)
 
     def _rows(self, ids: np.ndarray, lengths: np.ndarray) -> int:
         """New rows of the id table; the number of the first."""
@@ -107,66 +90,91 @@ class Encoder:
         self.used, self.rows = self.used + len(ids), end
         return first
 
-    def _append(self, found: list[list[int]]) -> int:
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        return self._rows(np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths)
-
-    def _learn(self, words: list[bytes]) -> None:
-        """New words join the table, all of a slice at once; plain letters first, with and without marks behind them."""
-        bare = [w.rstrip(_MARKS) for w in words]
-        new = [w for w in dict.fromkeys(compress(bare, map(bytes.isalpha, bare))) if w not in self.index]
-        self._known(new, [[t.id for t in self.model.tokenize(w.decode())] for w in new])
-        rest = [(w, b) for w, b in zip(words, bare) if w not in self.index]
-        found = []
-        for word, letters in rest:
-            # Marks are a token of their own behind a letter or a digit.
-            row = self.index.get(letters) if letters[-1:].isalnum() else None
-            if row is None or len(letters) == len(word):
-                found.append(self._word(word))
-            else:
-                begin, length = self.table[:2, row].tolist()
-                found.append(self.flat[begin : begin + length].tolist() + self._marks(word[len(letters) :].decode()))
-        self._known([w for w, _ in rest], found)
-
-    def _known(self, words: list[bytes], found: list[list[int]]) -> None:
-        first = self._append(found)
+    def _known(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        first = self._rows(ids, lengths)
         self.index.update(zip(words, range(first, first + len(words))))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids end to end, and the number of ids of each text."""
+    def _found(self, words: Sequence[str]) -> np.ndarray:
+        """The rows of words, -1 for those not met."""
+        return np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+
+    def _modelled(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their numbers of words of plain letters, straight from the model."""
+        lines = codecs.charmap_decode("\n".join(words).encode(), "strict", self.letters)[0]
+        return _flat([t.id for t in found] for found in map(self.model.tokenize, lines.split(self.letters[ord("\n")])))
+
+    def _encoded(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+        return _flat(self.full.encode(text, add_special_tokens=False).ids for text in texts)
+
+    def _learn(self, words: list[str]) -> None:
+        """New words join the table: what stands before marks, and the marks, are encoded once and put together."""
+        heads = [bare if bare[-1:] in _ENDS else word for word, bare in zip(words, [w.rstrip(MARKS) for w in words])]
+        tails = [word[len(head) :] for word, head in zip(words, heads)]
+        new = [part for part in dict.fromkeys([*heads, *dict.fromkeys(tails)]) if part not in self.index]
+        plain = [_PLAIN.fullmatch(part) is not None for part in new]
+        letters, others = list(compress(new, plain)), [part for part, known in zip(new, plain) if not known]
+        if letters:
+            self._known(letters, *self._modelled(letters))
+        self._known(others, *self._encoded(others))
+        marked = [k for k, tail in enumerate(tails) if tail]
+        pairs = np.stack([self._found([part[k] for k in marked]) for part in (heads, tails)], axis=1)
+        begin, length, _ = self.table[:, pairs.ravel()]
+        self._known([words[k] for k in marked], self.flat[ranges(begin, length)], length.reshape(-1, 2).sum(axis=1))
+
+    def encode(self, texts: Sequence[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids end to end, and the number of ids of each text; a null text is empty."""
         if len(self.index) > WORDS_KEPT:
             self._shrink()
         if self.used > 16 * WORDS_KEPT:
             self.clear()
-        words: list[bytes | None] = []
-        special: list[list[int]] = []
-        n_words = np.zeros(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            raw = text.encode("utf-8", "surrogatepass")
-            # Lead bytes from 0xCC on: characters from U+0300 on, where case and composition can interact.
-            if b"<|" in raw or (not text.isascii() and np.frombuffer(raw, np.uint8).max() >= 0xCC):
-                # The text as a whole, not kept for reuse.
-                special.append(self.full.encode(text, add_special_tokens=False).ids)
-                found = [None]
-            else:
-                found = raw.lower().split()
-            n_words[k] = len(found)
-            words += found
-        if not words:
-            return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
-        rows = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-        new = np.nonzero(rows < 0)[0]
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        column = column.fill_null("")
+        special = _special(column)
+        whole = self._encoded(column.filter(pa.array(special)).to_pylist())
+        if special.any():
+            column = pc.if_else(pa.array(special), pa.scalar(SPECIAL, column.type), column)
+        split = pc.ascii_split_whitespace(pc.ascii_lower(column))
+        n_words = split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = split.values.dictionary_encode()
+        words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(zero_copy_only=False)
+        rows = self._found(words)
+        new = np.flatnonzero(rows < 0)
         if len(new):
             unknown = [words[k] for k in new.tolist()]
-            self._learn([w for w in dict.fromkeys(unknown) if w is not None])
-            rows[new] = np.fromiter(map(self.index.get, unknown, repeat(-1)), np.int64, len(new))
-        if special:
-            rows[rows < 0] = self._append(special) + np.arange(len(special))
-        self.table[2, : self.rows] += np.bincount(rows, minlength=self.rows)
-        lengths = self.table[1, rows]
-        ids = self.flat[ranges(self.table[0, rows], lengths)]
+            self._learn([word for word in unknown if word != SPECIAL])
+            rows[new] = self._found(unknown)
+        self.table[2, rows] += np.bincount(codes, minlength=len(words))
+        places = rows[codes]
+        if special.any():
+            # Each is one word; the text as a whole is not kept for reuse.
+            places[starts_of(n_words)[special]] = self._rows(*whole) + np.arange(special.sum())
+        begin, lengths = self.table[0, places], self.table[1, places]
         ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(n_words)]
-        return ids, np.diff(ends, prepend=0)
+        return self.flat[ranges(begin, lengths)], np.diff(ends, prepend=0)
+
+
+def _flat(lists: Iterable[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids end to end, and their lengths."""
+    ids: list[int] = []
+    lengths: list[int] = []
+    for found in lists:
+        ids += found
+        lengths.append(len(found))
+    return np.array(ids, np.uint32), np.array(lengths, np.int64)
+
+
+def _special(column: pa.Array) -> np.ndarray:
+    """Whether each text has to be encoded as a whole."""
+    special = pc.match_substring(column, SPECIAL).to_numpy(zero_copy_only=False).copy()
+    data = column.buffers()[2]
+    if data is not None:
+        kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+        offsets = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1]
+        raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+        # Lead bytes from 0xCC on: characters from U+0300 on, where case and composition can interact.
+        rare = np.flatnonzero(raw >= 0xCC)
+        special[np.searchsorted(offsets, rare + offsets[0], "right") - 1] = True
+    return special
 
 
 def encoder(path: str) -> Encoder:
@@ -190,6 +198,17 @@ def slices(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, int]]
         yield begin, len(texts)
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts, the second column, have at most ``most`` bytes (or one longer text), so that memory stays bounded."""
+    for batch in batches:
+        before = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = size = 0
+        while begin < batch.num_rows:
+            end = max(begin + 1, int(np.searchsorted(before, size + most, "right")))
+            yield batch.slice(begin, end - begin)
+            begin, size = end, before[end - 1]
+
+
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, local_start, n_tokens, input_ids)``: the ids of each whole text, then ``end_id``.
 
@@ -199,16 +218,14 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, key: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, before = encoder(tokenizer), 0
-        for batch in small(batches):
-            texts = texts_of(batch.column(1))
-            for a, b in slices(texts):
-                ids, counts = encode.encode(texts[a:b])
-                ids = np.insert(ids, np.cumsum(counts), end_id).astype(np.int32)
-                counts = counts + 1
-                starts = pa.array(before + starts_of(counts))
-                before += len(ids)
-                columns = [batch.column(0).slice(a, b - a), starts, pa.array(counts), list_column(ids, counts, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, ["k", "local_start", "n_tokens", "input_ids"])
+        for batch in text_slices(batches):
+            ids, counts = encode.encode(batch.column(1))
+            ids = np.insert(ids, np.cumsum(counts), end_id).astype(np.int32)
+            counts = counts + 1
+            starts = pa.array(before + starts_of(counts))
+            before += len(ids)
+            columns = [batch.column(0), starts, pa.array(counts), list_column(ids, counts, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["k", "local_start", "n_tokens", "input_ids"])
 
     kind = docs.schema[key].dataType.simpleString()
     found = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))

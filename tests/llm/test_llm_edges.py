@@ -7,6 +7,7 @@ import zlib
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -153,6 +154,44 @@ def test_encoder_equals_the_tokenizer():
         assert ids[e - c : e].tolist() == full.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_encoder_looks_up_distinct_words_once_per_slice():
+    full, own = Tokenizer.from_file(queries.word_bpe()), tokens.Encoder(queries.word_bpe())
+    asked = []
+
+    class Counted(dict):
+        def get(self, word, *other):
+            asked.append(word)
+            return dict.get(self, word, *other)
+
+    own.index = Counted(own.index)
+    texts = pa.array(["The été, the (été). 555-2757, \u00b2. 'S.' i\u0130. ", None, "", "cafe\u0301, THE <|endoftext|>", *["the the, été "] * 5000])
+    ids, counts = own.encode(texts.slice(1))
+    # Before, every one of 15,000 words was looked up.
+    assert len(asked) < 100 and counts[:2].tolist() == [0, 0]
+    ids, counts = own.encode(texts)
+    ends = np.cumsum(counts)
+    for text, e, c in zip(texts.to_pylist()[:6], ends, counts):
+        assert ids[e - c : e].tolist() == full.encode(text or "", add_special_tokens=False).ids, text
+
+
+def test_encoder_forgets_words_and_stays_right(monkeypatch):
+    monkeypatch.setattr(tokens, "WORDS_KEPT", 50)
+    full, own = Tokenizer.from_file(queries.word_bpe()), tokens.Encoder(queries.word_bpe())
+    pick = random.Random(2)
+    for _ in range(40):
+        texts = [" ".join("".join(pick.choices("abé", k=pick.randint(1, 4))) + pick.choice(["", "", ".", "',", "ß!"]) for _ in range(30)) for _ in range(5)]
+        ids, counts = own.encode(texts)
+        assert ids.tolist() == [i for t in texts for i in full.encode(t, add_special_tokens=False).ids] and len(counts) == 5
+    assert len(own.index) < 500
+
+
+def test_text_slices_keep_every_row():
+    texts = ["a" * 10, None, "", "é" * 50, "b", "c" * 30, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["k", "t"])
+    found = list(tokens.text_slices([batch.slice(0, 3), batch.slice(3, 0), batch.slice(3)], 40))
+    assert [r for b in found for r in b.column(1).to_pylist()] == texts and len(found) == 3
+
+
 def python_spans(text):
     assign = re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A)
     found = [(m.start(), 0, m.end()) for m in assign if len(m[2]) >= 8]
