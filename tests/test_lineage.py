@@ -132,6 +132,27 @@ def test_notes_and_search(spark):
     assert rows(knowledge.search(notes, queries, "id", "body", limit=1), "query_id", "id") == [(1, 1), (2, 1), (3, 3), (7, 2), (8, 3)]
 
 
+def test_search_makes_its_queries_once_and_keeps_the_first_texts(spark):
+    words = ["alpha", "beta", "gamma", "delta"]
+    texts = [(None if k % 50 == 0 else (k * 37) % 400, " ".join(w for j, w in enumerate(words) if k % (j + 2) == 0)) for k in range(600)]
+    texts = spark.createDataFrame(texts, "id long, body string").repartition(5)
+    made = spark.sparkContext.accumulator(0)
+
+    def query(k):
+        made.add(1)
+        return " ".join([*words, "alpha beta", "gamma delta", "none"][k % 7 :][:1])
+
+    queries = spark.range(7).select(F.col("id").alias("query_id"), F.udf(query)("id").alias("query"))
+    counted = knowledge.search(texts, queries, "id", "body", limit=4).collect()
+    # Before, every step made the queries anew.
+    assert made.value <= 14  # one pass, in a filter and a projection
+    whole = [(r["query_id"], r["id"], r["rank"]) for r in knowledge.search(texts, queries, "id", "body").collect()]
+    assert sorted(map(tuple, counted), key=repr) == sorted([r for r in whole if r[2] <= 4], key=repr) and len(counted) == 24
+    for limit in (1, 2, 30, 100, 101):
+        some = knowledge.search(texts, queries, "id", "body", limit=limit, named_terms=0).collect()
+        assert sorted(map(tuple, some), key=repr) == sorted([r for r in whole if r[2] <= limit], key=repr)
+
+
 def test_index_is_extended_replaced_trimmed_and_compacted(spark, tmp_path):
     texts = spark.createDataFrame([(1, "Red apples, green pears"), (2, "red wine"), (3, None), (None, "red without a number"), (4, "Café rouge")], "id long, body string")
     index = textindex.TextIndex.build(texts, str(tmp_path / "one"), "id", "body", buckets=4)
