@@ -3,9 +3,9 @@
 Below the index's folder stand, each partitioned by generation:
 
 * ``postings`` (term, id), partitioned also by a hash bucket of the term and sorted by term, so that a lookup reads the
-  buckets of its terms and, in them, the row groups that can hold them;
+  buckets of its terms and, in them, the row groups that can hold them; a text holds a term once;
 * ``frequencies`` (term, texts), one row per term;
-* ``ids`` (id), the texts written, and ``gone`` (id), texts removed or replaced: their postings of earlier generations
+* ``ids`` (id, copies), the texts written, and ``gone`` (id), texts removed or replaced: their postings of earlier generations
   count no more.
 """
 
@@ -18,11 +18,13 @@ from pyspark.sql.types import StructType
 from plumbline.functions.text import terms
 from plumbline.operators import knowledge
 from plumbline.operators.profile import quoted
-from plumbline.session import broadcast_if_small, cut_lineage
+from plumbline.session import broadcast_if_small, cut_lineage, written
 
 BUCKETS = 64
 #: Distinct terms up to which a lookup names its terms in the filter of the scan; beyond it they are a join.
 NAMED_TERMS = 2_000
+#: Shares into which the postings are dealt, per partition of a shuffle: many enough for tasks of like size.
+DEALT = 3
 
 
 class TextIndex:
@@ -54,16 +56,20 @@ class TextIndex:
         index = cls(texts.sparkSession, path)
         kind = StructType([texts.schema[id_col]]).fields[0].dataType.simpleString()
         index.spark.range(1).select(F.lit(buckets).alias("buckets"), F.lit(kind).alias("id_type")).coalesce(1).write.parquet(f"{index.path}/about")
-        index._write(index._bodies(texts, id_col, text_col, kind), 0, buckets)
+        bodies = index._bodies(texts, id_col, text_col, kind)
+        added = index._ids(bodies.groupBy("id").agg(F.count(F.lit(1)).alias("copies")), 0)
+        index._gone(added.select("id").limit(0), 0)
+        index._write(bodies, added, 0, buckets)
         return index
 
     def append(self, texts: DataFrame, id_col: str, text_col: str) -> int:
         """Adds texts as a new generation and returns its number; a text whose id is already there takes the place of the old one."""
         buckets, kind, newest = self._facts()
-        bodies = cut_lineage(self._bodies(texts, id_col, text_col, kind))
-        known = bodies.select("id").distinct().join(self._table("ids").select("id"), "id", "left_semi")
-        self._gone(known, newest + 1)
-        self._write(bodies, newest + 1, buckets)
+        bodies = self._bodies(texts, id_col, text_col, kind)
+        earlier = self._table("ids").where(F.col("generation") <= newest).select("id")
+        added = self._ids(bodies.groupBy("id").agg(F.count(F.lit(1)).alias("copies")), newest + 1)
+        self._gone(added.select("id").join(earlier, "id", "left_semi"), newest + 1)
+        self._write(bodies, added, newest + 1, buckets)
         return newest + 1
 
     def remove(self, ids: DataFrame) -> int:
@@ -78,28 +84,37 @@ class TextIndex:
         buckets, kind, _ = self._facts()
         fresh = TextIndex(self.spark, path)
         self._table("about").coalesce(1).write.parquet(f"{fresh.path}/about")
-        fresh._store(self._living(self._table("postings")).select("id", "term"), self._living(self._table("ids")).select("id").distinct(), 0, buckets)
+        kept = fresh._ids(self._living(self._table("ids")).select("id", F.lit(1).cast("long").alias("copies")), 0)
+        fresh._gone(kept.select("id").limit(0), 0)
+        fresh._store(self._living(self._table("postings")).select("id", "term"), 0, buckets)
         return fresh
 
     @staticmethod
     def _bodies(texts: DataFrame, id_col: str, text_col: str, kind: str) -> DataFrame:
         return texts.select(quoted(id_col).cast(kind).alias("id"), quoted(text_col).alias("text")).where("id IS NOT NULL")
 
-    def _write(self, bodies: DataFrame, generation: int, buckets: int) -> None:
-        found = bodies.select("id", F.explode_outer(terms(F.col("text"))).alias("term")).where("term IS NOT NULL")
-        self._store(found, bodies.select("id").distinct(), generation, buckets)
+    def _ids(self, ids: DataFrame, generation: int) -> DataFrame:
+        path = f"{self.path}/ids/generation={generation}"
+        ids.write.parquet(path)
+        return self.spark.read.schema(ids.schema).parquet(path)
 
-    def _store(self, found: DataFrame, ids: DataFrame, generation: int, buckets: int) -> None:
-        # Ranges of (term, id): a term of a third of all texts fills many tasks and files.
-        placed = found.distinct().withColumn("bucket", self._bucket(F.col("term"), buckets))
+    def _write(self, bodies: DataFrame, ids: DataFrame, generation: int, buckets: int) -> None:
+        found = bodies.select("id", F.explode_outer(terms(F.col("text"))).alias("term")).where("term IS NOT NULL")
+        # A text holds each of its terms once; only several texts with one id can repeat them.
+        repeated = not ids.where("copies > 1").isEmpty()
+        self._store(found.distinct() if repeated else found, generation, buckets)
+
+    def _store(self, found: DataFrame, generation: int, buckets: int) -> None:
+        # One shuffle, without a sample of the texts: a bucket is dealt out by id, so a term of a third of all texts fills many
+        # tasks and files.
+        shares = -(-DEALT * int(self.spark.conf.get("spark.sql.shuffle.partitions")) // buckets)
+        placed = found.withColumn("bucket", self._bucket(F.col("term"), buckets))
+        dealt = placed.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(shares)))
         postings = f"{self.path}/postings/generation={generation}"
-        placed.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(postings)
+        dealt.sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(postings)
         written = self.spark.read.schema("term string, bucket int").parquet(postings)
         counted = written.groupBy("term").agg(F.count(F.lit(1)).alias("texts"))
         counted.write.parquet(f"{self.path}/frequencies/generation={generation}")
-        ids.write.parquet(f"{self.path}/ids/generation={generation}")
-        if generation == 0:
-            self._gone(ids.limit(0), 0)
         self._mark(generation)
 
     def _gone(self, ids: DataFrame, generation: int) -> None:
@@ -138,7 +153,8 @@ class TextIndex:
             # The buckets of the terms prune the scan while it runs.
             keyed = wanted.withColumn("bucket", self._bucket(F.col("term"), buckets))
             table = table.join(broadcast_if_small(keyed), ["bucket", "term"], "left_semi")
-        return self._living(table).select("id", "term").distinct()
+        # An id lives in one generation, where it has each term once.
+        return self._living(table).select("id", "term")
 
     def frequencies(self, asked: DataFrame) -> DataFrame:
         """``(term, texts)`` of the terms (one column), removed and replaced texts counted until ``compact``."""
@@ -148,6 +164,6 @@ class TextIndex:
 
     def search(self, queries: DataFrame, id_col: str = "id", query_id: str = "query_id", query_col: str = "query", limit: int | None = None) -> DataFrame:
         """As ``knowledge.search`` over the indexed texts; no text is read."""
-        asked = knowledge.asked_terms(queries, query_id, query_col)
+        asked = cut_lineage(knowledge.asked_terms(queries, query_id, query_col))
         hits = self.postings(asked.select(F.explode("__terms"))).select(F.col("id").alias("__id"), F.col("term").alias("__term"))
-        return knowledge.lookup(cut_lineage(hits), asked, id_col, query_id, limit)
+        return knowledge.lookup(written(hits, "hits"), asked, id_col, query_id, limit)

@@ -173,6 +173,21 @@ def test_index_is_extended_replaced_trimmed_and_compacted(spark, tmp_path):
     assert counted == {"red": 2, "wine": 1}
 
 
+def test_index_holds_a_term_of_a_text_once(spark, tmp_path):
+    texts = spark.createDataFrame([(1, "red apple red"), (1, "Red wine"), (2, "red")], "id long, body string")
+    index = textindex.TextIndex.build(texts, str(tmp_path / "one"), "id", "body", buckets=2)
+    index.append(spark.createDataFrame([(2, "red pear"), (3, "red"), (3, "red, pear")], "id long, body string"), "id", "body")
+    written = spark.read.parquet(str(tmp_path / "one" / "postings"))
+    want = [(0, 1, "apple"), (0, 1, "red"), (0, 1, "wine"), (0, 2, "red"), (1, 2, "pear"), (1, 2, "red"), (1, 3, "pear"), (1, 3, "red")]
+    assert rows(written, "generation", "id", "term") == want
+    asked = spark.createDataFrame([("red",), ("pear",)], "term string")
+    assert rows(index.postings(asked), "id", "term") == [(1, "red"), (2, "pear"), (2, "red"), (3, "pear"), (3, "red")]
+    # Before, all postings that were read were shuffled to make them distinct.
+    small = index.compact(str(tmp_path / "two"))
+    assert "Exchange" not in small.postings(asked)._jdf.queryExecution().executedPlan().toString()
+    assert rows(small.postings(asked)) == rows(index.postings(asked))
+
+
 def test_index_reads_only_the_buckets_asked(spark, sf, tmp_path, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     index = textindex.TextIndex.build(docs, str(tmp_path / "index"), "doc_id", "text")
