@@ -4,8 +4,9 @@ Each key's state is one number, the time at which its bucket is full again. An e
 a full bucket is what a key without state has, so nothing is forgotten. State and timers live in RocksDB.
 
 A key's calls of a micro-batch arrive one by one, in no order. A handful is sorted in memory. The calls of a busy key
-become sorted runs that go to the state store in small blocks, and the runs are merged block by block. So the calls are
-walked in time order, while memory holds one run that is being sorted, or one block of every run.
+become sorted runs that go to the state store in small blocks. As many runs as are merged at a time become one longer run, and
+the last ones are merged block by block. So the calls are walked in time order, while memory holds one run that is being sorted,
+or one block of each of a few runs. Answers leave in frames of one run: Spark's form for single rows would hold all answers of a key.
 """
 
 from __future__ import annotations
@@ -15,10 +16,13 @@ import pickle
 from collections.abc import Iterator, Sequence
 from itertools import islice
 
-from pyspark.sql import DataFrame, Row
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (
+    BinaryType, BooleanType, DateType, DecimalType, DoubleType, FloatType, IntegralType, StringType, StructField, StructType, TimestampNTZType, TimestampType,
+)
 
 from plumbline.operators.profile import quoted
 from plumbline.operators.replay import TokenBucket
@@ -26,6 +30,8 @@ from plumbline.session import rocksdb_state
 
 #: Calls of one run that is sorted in memory, and of one of its blocks in the state store.
 RUN, BLOCK = 10_000, 500
+#: Runs that are merged at a time.
+MERGED = 64
 #: The columns that the stream gets for the walk, last of all.
 ADDED = ("__micros", "__tie")
 
@@ -45,22 +51,29 @@ class BucketLimit(StatefulProcessor):
         self.blocks = handle.getMapState("blocks", "run int, block int", "rows binary")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        for values in self._walked(rows):
+            yield self.answer(*values)
+
+    def _walked(self, rows: Iterator[Sequence]) -> Iterator[tuple]:
+        """The calls in order, each with its answer."""
         held = self.full_at.get()
         state = before = self.bucket.FULL if held is None else held[0]
         calls = ([self._order(row), tuple(row[: self.width])] for row in rows)
         ordered = self._run(calls)
         second = self._run(calls)
         if second:
-            runs = [self._spooled(0, ordered), self._spooled(1, second)]
+            self.spooled, levels = 0, [[]]
+            self._add(levels, ordered)
+            self._add(levels, second)
             del ordered, second
             while more := self._run(calls):
-                runs.append(self._spooled(len(runs), more))
-            ordered = heapq.merge(*runs, key=lambda call: call[0])
+                self._add(levels, more)
+            ordered = self._merged([run for level in levels for run in level])
         for (timed, micros, *_), values in ordered:
             passed = None
             if timed:
                 state, (passed,) = self.bucket(state, micros)
-            yield self.answer(*values, passed)
+            yield (*values, passed)
         if state != before:
             self._remember(state)
 
@@ -87,12 +100,27 @@ class BucketLimit(StatefulProcessor):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(-(-state // (self.bucket.scale * 1_000)))
 
-    def _spooled(self, number: int, run: list[list]) -> Iterator[list]:
+    @staticmethod
+    def _merged(runs: list[Iterator[list]]) -> Iterator[list]:
+        return heapq.merge(*runs, key=lambda call: call[0])
+
+    def _add(self, levels: list[list[Iterator[list]]], run: Iterable[list], at: int = 0) -> None:
+        """A run joins its level; a full level becomes one run of the next, so a call is written once per level."""
+        levels[at].append(self._spooled(run))
+        if len(levels[at]) == MERGED:
+            merged, levels[at] = self._merged(levels[at]), []
+            if at + 1 == len(levels):
+                levels.append([])
+            self._add(levels, merged, at + 1)
+
+    def _spooled(self, run: Iterable[list]) -> Iterator[list]:
         """A sorted run, put into the state store now and taken out again block by block."""
-        begins = range(0, len(run), self.block)
-        for at, begin in enumerate(begins):
-            self.blocks.updateValue((number, at), (pickle.dumps(run[begin : begin + self.block]),))
-        return self._taken(number, len(begins))
+        number, blocks, calls = self.spooled, 0, iter(run)
+        self.spooled += 1
+        while block := list(islice(calls, self.block)):
+            self.blocks.updateValue((number, blocks), (pickle.dumps(block),))
+            blocks += 1
+        return self._taken(number, blocks)
 
     def _taken(self, number: int, blocks: int) -> Iterator[list]:
         for at in range(blocks):
@@ -101,6 +129,50 @@ class BucketLimit(StatefulProcessor):
             yield from block
 
 
+class FramedBucketLimit(BucketLimit):
+    """The same on frames, whose answers leave while a key is walked."""
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        names = [*self.answer]
+        calls = (call for frame in rows for call in zip(*(frame[c].tolist() for c in frame.columns)))
+        answers = self._walked(calls)
+        while part := list(islice(answers, self.run)):
+            yield pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in zip(names, zip(*part))})
+
+    def _order(self, row: Sequence) -> tuple:
+        timed, micros, *tie = super()._order(row)
+        return timed, int(micros), *tie
+
+
+def _carried(field: StructField) -> tuple[Column, Column] | None:
+    """How a column travels through frames and back without any loss, most as text; None where it does not. Frames hold whole numbers
+    beside nulls as doubles, times as nanoseconds, and tell no null from NaN."""
+    column, kind = quoted(field.name), field.dataType
+    if isinstance(kind, TimestampType):
+        return F.unix_micros(column).cast("string"), F.timestamp_micros(column.cast("long"))
+    if isinstance(kind, DateType):
+        return F.unix_date(column).cast("string"), F.date_from_unix_date(column.cast("int"))
+    if isinstance(kind, (IntegralType, BooleanType, DoubleType, FloatType, TimestampNTZType)):
+        return column.cast("string"), column.cast(kind)
+    if isinstance(kind, (StringType, BinaryType, DecimalType)):
+        return column, column
+    return None
+
+
+def _ordered(field: StructField) -> Column | None:
+    """A tie that frames hold as it is; None where there is none."""
+    column, kind = quoted(field.name), field.dataType
+    if isinstance(kind, (StringType, BinaryType, DecimalType)):
+        return column
+    if isinstance(kind, TimestampType):
+        column = F.unix_micros(column)
+    elif isinstance(kind, DateType):
+        column = F.unix_date(column)
+    elif isinstance(kind, BooleanType):
+        column = column.cast("int")
+    return column.cast("decimal(20,0)") if isinstance(kind, (IntegralType, TimestampType, DateType, BooleanType)) else None
+
+
 def rate_limit_stream(
     stream: DataFrame, keys: Sequence[str], ts: str, tie: str, per_minute: int = 60, late: str | None = "1 hour",
     run: int = RUN, block: int = BLOCK,
@@ -116,8 +188,28 @@ def rate_limit_stream(
     rocksdb_state(stream.sparkSession)
     schema = StructType([*stream.schema.fields]).add("allowed", "boolean")
     time = F.col(ts).cast("timestamp")
-    timed = stream.select("*", F.unix_micros(time).alias(ADDED[0]), quoted(tie).alias(ADDED[1]))
-    if late is not None:
-        timed = timed.withColumn("__time", time).withWatermark("__time", late)
-    processor = BucketLimit(TokenBucket(per_minute), stream.columns, late is not None, run, block)
-    return timed.groupBy(*[quoted(k) for k in keys]).transformWithState(processor, schema, "append", "none" if late is None else "eventtime")
+    carried = [_carried(field) for field in stream.schema.fields]
+    # Nested columns go row by row, and so do the keys and ties that change their equality or order on the way.
+    order = _ordered(stream.schema[tie])
+    framed = order is not None and None not in carried and not any(isinstance(stream.schema[k].dataType, (DoubleType, FloatType)) for k in keys)
+    columns, micros = ["*"], F.unix_micros(time)
+    if framed:
+        columns, micros = [there.alias(c) for (there, _), c in zip(carried, stream.columns)], micros.cast("string")
+    else:
+        order = quoted(tie)
+    # A frame's times end in 2262; only the watermark reads this one.
+    bounds = [F.lit(f"{year}-01-01 00:00:00").cast("timestamp") for year in (1700, 2260)]
+    seen = F.when(time < bounds[0], bounds[0]).when(time > bounds[1], bounds[1]).otherwise(time) if framed else time
+    timed = stream.select(*columns, micros.alias(ADDED[0]), order.alias(ADDED[1]), seen.alias("__time"))
+    if late is None:
+        timed = timed.drop("__time")
+    else:
+        timed = timed.withWatermark("__time", late)
+    mode = "none" if late is None else "eventtime"
+    grouped = timed.groupBy(*[quoted(k) for k in keys])
+    bucket = TokenBucket(per_minute)
+    if not framed:
+        return grouped.transformWithState(BucketLimit(bucket, stream.columns, late is not None, run, block), schema, "append", mode)
+    passed = StructType([*timed.schema.fields[: len(carried)]]).add("allowed", "boolean")
+    found = grouped.transformWithStateInPandas(FramedBucketLimit(bucket, stream.columns, late is not None, run, block), passed, "append", mode)
+    return found.select(*[back.alias(c) for (_, back), c in zip(carried, stream.columns)], "allowed")

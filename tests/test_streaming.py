@@ -1,10 +1,11 @@
 from checks import runs
 from conftest import rows
+import pandas as pd
 from pyspark.sql import functions as F
 from test_ordered import hot_log
 
 from plumbline.operators import mask, replay
-from plumbline.streaming import streams
+from plumbline.streaming import limits, streams
 
 
 def written_in_parts(spark, df, order, path, parts):
@@ -49,6 +50,56 @@ def test_hot_key_is_merged_in_blocks(spark, tmp_path):
     assert untimed.count() == 31 and untimed.where("allowed IS NOT NULL").isEmpty()
 
 
+def test_answers_of_a_busy_key_leave_in_frames(spark, tmp_path, monkeypatch):
+    # A frame each time, where before all answers of a key were one; columns come through unchanged.
+    monkeypatch.setattr(limits, "MERGED", 3)
+    k = F.col("id")
+    log = spark.range(2000).select(
+        "id", F.when(k % 3 > 0, "busy").alias("key"), F.when(k % 50 > 0, F.timestamp_micros((k * 7919) % 2000 * 400_000 + 5)).alias("ts"),
+        F.when(k % 5 > 0, k + 2**60 + 1).alias("n"), F.when(k % 4 == 0, F.lit("NaN")).when(k % 4 == 1, "-0.1").when(k % 4 == 2, "Infinity").cast("double").alias("d"),
+        F.when(k % 2 > 0, F.timestamp_seconds(k * 10**8)).alias("far"), F.date_add(F.lit("0999-01-01").cast("date"), k.cast("int")).alias("day"),
+        (k / 7).cast("decimal(20,5)").alias("m"), F.encode(k.cast("string"), "utf-8").alias("b"), F.when(k % 3 > 0, k % 2 == 0).alias("f"),
+    )
+    path = str(tmp_path / "in")
+    log.coalesce(1).write.parquet(path)
+    stream = spark.readStream.schema(log.schema).parquet(path)
+    limited = streams.rate_limit_stream(stream, ["key"], "ts", "id", 20, run=40, block=7, late=None)
+    assert "timestamp_micros(cast(ts" in limited._jdf.queryExecution().analyzed().toString() and limited.schema.names == [*log.columns, "allowed"]
+    streamed = sunk(spark, limited, tmp_path)
+    told = [F.col(c).cast("string") if c != "b" else F.hex(c) for c in [*log.columns, "allowed"]]
+    assert rows(streamed.select(*told)) == rows(replay.rate_limit_replay(log, ["key"], "ts", "id", 20).select(*told))
+    walk = limits.FramedBucketLimit(limits.TokenBucket(20), ["id"], False, run=40)
+    walk.full_at, walk.blocks = Held(), Blocks()
+    frames = list(walk.handleInputRows((), iter([pd.DataFrame({"id": range(500), "micros": range(500), "tie": range(500)})]), None))
+    assert len(frames) == 13 and max(map(len, frames)) == 40 and walk.blocks.most <= 4 * 500 and not walk.blocks.held
+    assert pd.concat(frames)["id"].tolist() == list(range(500))
+
+
+class Held:
+    def get(self):
+        return None
+
+    def update(self, value):
+        pass
+
+
+class Blocks:
+    """A map state in memory."""
+
+    def __init__(self):
+        self.held, self.most = {}, 0
+
+    def updateValue(self, key, value):
+        self.held[key] = value
+        self.most = max(self.most, len(self.held))
+
+    def getValue(self, key):
+        return self.held[key]
+
+    def removeKey(self, key):
+        del self.held[key]
+
+
 def test_idle_keys_leave_the_state(spark, tmp_path):
     """Every batch brings new keys, an hour later; the state holds those of the last hours, and the answers are the replay's."""
     log = spark.range(400).select(
