@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -9,6 +10,7 @@ from checks import lineage as lineage_checks
 
 from plumbline.operators import activity, impact, knowledge, lineage, textindex
 from plumbline.plans import runs
+from plumbline.session import shared_dir
 
 
 def closure(edges, origins, limit=None):
@@ -85,6 +87,55 @@ def test_upstream_of_every_order(spark, sf):
     assert rows(lineage_checks.QUERIES["lineage_upstream"](spark, sf).select("origin").distinct()) == rows(orders.distinct())
 
 
+def folder_bytes(path):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(path.removeprefix("file:")) for f in files)
+
+
+def test_upstream_writes_no_row_for_each_pair(spark):
+    """Targets that share their only ways on share what lies behind these: it is written once, not for each of them."""
+    edges = [(f"mid{k % 20}", f"target{k}") for k in range(2_000)] + [("hub", f"mid{k}") for k in range(20)] + [(f"source{k}", "hub") for k in range(400)]
+    df, targets = spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([(f"target{k}",) for k in range(2_000)], "name string")
+    before = folder_bytes(shared_dir(spark))
+    found = lineage.upstream(df, targets, 3, separator=">")
+    # Before, 800,000 pairs were written twice.
+    assert folder_bytes(shared_dir(spark)) - before < 2_000_000
+    assert found.count() == 2_000 * 402
+    got = found.where("origin = 'target7'").orderBy("depth", "node").select("node", "depth", "path").limit(3)
+    assert [tuple(r) for r in got.collect()] == [("mid7", 1, "target7>mid7"), ("hub", 2, "target7>mid7>hub"), ("source0", 3, "target7>mid7>hub>source0")]
+
+
+@pytest.mark.parametrize(("limit", "far"), [(None, False), (None, True), (0, False), (2, False), (3, True), (4, False)])
+def test_closures_along_shared_ways(spark, monkeypatch, limit, far):
+    """Chains into hubs, circles, dead ends, back to their own origins and to other ones, with and without small tables at every task."""
+    if far:
+        monkeypatch.setattr(lineage, "broadcast_if_small", lambda df, *_: df)
+    monkeypatch.setattr(lineage, "TASK_PAIRS", 50)
+    edges = {(f"a{k}", f"b{k % 6}") for k in range(48)} | {(f"b{k}", f"c{k % 3}") for k in range(5)}  # b5 is a dead end
+    edges |= {("c0", f"d{k}") for k in range(9)} | {("d1", "a0"), ("d2", "a3"), ("d3", "b2"), ("d4", "c0"), ("d5", "e")}
+    edges |= {("c1", "b1"), ("c2", "a2")}  # circles of single ways, one of them through an origin
+    edges |= {("a40", "d7"), ("a41", "a41"), ("a42", "a0"), ("a42", "b0")}
+    origins = [*(f"a{k}" for k in range(48)), "b3", "c0", "nowhere"]
+    want = {}
+    for origin in origins:
+        depth, level, seen, paths = 0, {origin}, {origin}, {origin: [origin]}
+        while level and (limit is None or depth < limit):
+            depth += 1
+            new = {d for s, d in edges if s in level} - seen
+            for node in new:
+                paths[node] = [*paths[min(s for s, d in edges if d == node and s in level)], node]
+                want[origin, node] = paths[node]
+            level, seen = new, seen | new
+    df = spark.createDataFrame([*sorted(edges), ("a0", None), (None, "b1")], "src string, dst string")
+    starts = spark.createDataFrame([(o,) for o in [*origins, "a1", None]], "name string")
+    got = [tuple(r) for r in lineage.downstream(df, starts, limit).select("origin", "node", "depth", "path").collect()]
+    assert sorted(got) == sorted((*pair, len(path) - 1, path) for pair, path in want.items())
+    back = df.toDF("dst", "src").select("src", "dst")
+    got = [tuple(r) for r in lineage.upstream(back, starts, limit, separator="/").select("origin", "node", "depth", "path").collect()]
+    assert sorted(got) == sorted((*pair, len(path) - 1, "/".join(path)) for pair, path in want.items())
+    got = [tuple(r) for r in lineage.upstream(back, starts, limit, paths=False).select("origin", "node", "depth", "parent").collect()]
+    assert sorted(got) == sorted((*pair, len(path) - 1, path[-2]) for pair, path in want.items())
+
+
 def test_annotate(spark):
     nodes = spark.createDataFrame([("db.s.orders",), ("orders",), ("other",)], "name string")
     models = spark.createDataFrame([("orders", "models/orders.sql")], "name string, path string")
